@@ -27,21 +27,26 @@ import regex
 from pyspark.sql import DataFrame
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
-#: Entries of a worker's memo before it is emptied, and the longest text kept in one.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 80
+#: Entries of a worker's memo before the older ones go, and the longest text kept in one.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 80
 #: Where this is not found, splitting at single spaces never cuts a pre-token.
 _SPACES = re.compile(r"\s ")
 
 
 class _Memo(dict):
+    """Remembers up to MEMO_ENTRIES new results and as many older ones, so frequent keys outlive a full memo."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -67,8 +72,10 @@ class BytePairCodec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.text_of = {v: str(v) for v in ranks.values()}
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.text_of = [str(v) for v in range(len(self.bytes_of))]
         self.pattern = regex.compile(pattern)
         self.rank_of = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
