@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from symgrain.llm import bpe
-from symgrain.llm.common import table
+from symgrain.llm import bpe, decontam, token_store, url_filter
+from symgrain.llm.common import fresh_path, table
 
 
 def op1_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark, sf_dir):
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.index_store(spark, path)
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    from symgrain.llm.oracles import ORACLES
+
+    return dict(ORACLES)

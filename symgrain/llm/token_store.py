@@ -77,8 +77,8 @@ class PieceTokenizer:
         return out
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
-    """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files."""
+def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
+    """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER_FILE)
 
     def run(batches):
@@ -92,7 +92,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
                 values = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in each), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, SCHEMA).write.format("orc").options(**{"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}).save(path)
 
 
