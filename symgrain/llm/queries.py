@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrain.llm import bpe, decontam, token_store, url_filter
+from symgrain.llm import bpe, decontam, quality, simhash, token_store, url_filter
 from symgrain.llm.common import fresh_path, table
 
 
@@ -16,6 +16,14 @@ def op5_token_store(spark, sf_dir):
     return token_store.index_store(spark, path)
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
