@@ -33,7 +33,7 @@ def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node") -> Da
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
         dealt = dealt.withColumn("cell", F.when(F.col("blocks") == 1, F.col(key)).otherwise(pair)).withColumn("own", F.col("block") == F.col("other")).drop("members", "blocks", "other")
-    return dealt.drop(*({key} - {"cell"})).repartition("cell").sortWithinPartitions("cell")
+    return dealt.repartition("cell").sortWithinPartitions("cell")
 
 
 def by_cells(batches: Iterator[pa.RecordBatch], handle: Callable[[np.ndarray, pa.Table], Iterator[pa.RecordBatch]], rows: int = 60_000, column: str = "cell") -> Iterator[pa.RecordBatch]:

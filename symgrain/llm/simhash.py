@@ -191,7 +191,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap:
     rows = materialize(prints.select("doc_id", _signed(F.hex("print")).alias("node")), "simhash-prints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     keyed = nodes.select("node", F.explode(_exact_keys(F.col("node"))).alias("key"))
-    dealt = deal(keyed, cap).withColumn("print", _bytes_of("node"))
+    dealt = deal(keyed, cap).select("cell", "node", _bytes_of("node").alias("print"))
     components = connected_components(_links(dealt, radius, 1))
     named = nodes.join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
