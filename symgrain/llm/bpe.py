@@ -30,7 +30,7 @@ TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
 #: Entries of a worker's memo before the older ones go, and the longest text kept in one.
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 80
 #: Where this is not found, splitting at single spaces never cuts a pre-token.
-_SPACES = re.compile(r"\s ")
+SPACES = re.compile(r"\s ")
 
 
 class _Memo(dict):
@@ -58,7 +58,7 @@ def spaced_pieces(text: str) -> tuple[str, list[str]] | None:
     A pre-token holds a space only as its first character or among white space, so a border
     lies before any space that follows something else.
     """
-    if _SPACES.search(text):
+    if SPACES.search(text):
         return None
     first, *rest = text.split(" ")
     return first, rest

@@ -4,8 +4,8 @@ Documents are dealt by range of their id and sorted, tokenized, and written as O
 run-length encoding for the ids, a row index and a Bloom filter on the document id, so readers
 take stripes in parallel and skip those whose statistics or filter exclude an id.
 
-Tokenizing goes through the tokenizers library. Where the vocabulary splits at spaces, each
-distinct piece of a batch is encoded once and remembered (bounded); other texts go whole.
+Tokenizing goes through the tokenizers library. Where it splits texts before merging, each
+distinct word of a batch is encoded once and remembered (bounded); other texts go whole.
 
 Defined results: a null text counts as empty and holds the end id alone; texts are encoded
 whole; rows that share an id all stay, and their offsets follow (n_tokens, ids_crc32); null ids
@@ -16,25 +16,53 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symgrain.llm.bpe import MEMO_CHARS, MEMO_ENTRIES, spaced_pieces
+from symgrain.llm.bpe import MEMO_CHARS, SPACES
+from symgrain.llm.buckets import ranges
 from symgrain.llm.common import materialize
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
+#: Entries of each memo's newer half.
+MEMO_PIECES, MEMO_WORDS = 150_000, 300_000
+DOCS_AT_ONCE = 3_000
+
+
+class _Generations:
+    """Remembers up to ``size`` new entries and as many older ones."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.older = size, {}, {}
+
+    def known(self, keys) -> dict[str, bytes]:
+        new, older = self.new, self.older
+        found = {k: new[k] for k in keys if k in new}
+        if older:
+            again = {k: older[k] for k in keys if k not in new and k in older}
+            self.add(again)
+            found |= again
+        return found
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if len(self.new) + len(found) > self.size:
+            self.older, self.new = self.new, {}
+        self.new |= {k: v for k, v in found.items() if len(k) <= MEMO_CHARS}
 
 
 class PieceTokenizer:
-    """The library's tokenizer of one file, with a memo of pieces; one per Python worker and file."""
+    """The library's tokenizer of one file, with memos of pieces and words; one per Python worker and file. Ids are held as little-endian 32-bit bytes."""
 
     _built: dict[str, PieceTokenizer] = {}
 
@@ -48,7 +76,8 @@ class PieceTokenizer:
             spec = json.load(file)
         first = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)  # where ByteLevel splits
+        self.pieces, self.words = _Generations(MEMO_PIECES), _Generations(MEMO_WORDS)
 
     @classmethod
     def of(cls, path: str) -> PieceTokenizer:
@@ -56,25 +85,45 @@ class PieceTokenizer:
             cls._built[path] = cls(path)
         return cls._built[path]
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [spaced_pieces(t or "") if self.by_piece else None for t in texts]
-        whole = iter(self._library([s[0] if s else t or "" for s, t in zip(split, texts, strict=True)]))
-        needed = set().union(*(s[1] for s in split if s))
-        if len(self.memo) + len(needed) > 2 * MEMO_ENTRIES:
-            self.memo.clear()
-        missing = list(needed - self.memo.keys())
-        found = dict(zip(missing, map(tuple, self._library([" " + p for p in missing])), strict=True))
-        self.memo |= {p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS}
-        self_memo = self.memo
-        out = []
-        for s, head in zip(split, whole, strict=True):
-            if s and s[1]:
-                head.extend(chain.from_iterable([self_memo[p] if p in self_memo else found[p] for p in s[1]]))
-            out.append(head)
-        return out
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x)}i", *x) for x in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each distinct piece, which a space precedes."""
+        now = self.pieces.known(pieces)
+        fresh = {p: self.pattern.findall(" " + p) for p in pieces if p not in now}
+        words = set(chain.from_iterable(fresh.values()))
+        known = self.words.known(words)
+        missing = [w for w in words if w not in known]
+        found = dict(zip(missing, self._library(missing), strict=True))
+        self.words.add(found)
+        known |= found
+        made = {p: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for p, ws in fresh.items()}
+        self.pieces.add(made)
+        now |= made
+        return [now[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and how many each has; end_id, if given, ends each text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = np.array([self.by_piece and not SPACES.search(t) for t in texts.to_pylist()], bool)
+        split = pc.split_pattern(pc.if_else(pa.array(plain), texts, ""), " ")
+        offsets, values = np.asarray(split.offsets).astype(np.int64), split.values
+        firsts = np.zeros(len(values), bool)
+        firsts[offsets[:-1]] = True
+        heads = self._library(pc.if_else(pa.array(plain), values.filter(pa.array(firsts)), texts).to_pylist())
+        coded = values.filter(pa.array(~firsts)).dictionary_encode()
+        pool = [*self._pieces(coded.dictionary.to_pylist()), *heads, b"" if end_id is None else struct.pack("<i", end_id)]
+        sizes = np.array([len(x) // 4 for x in pool], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        # What stands where: a text's first piece, its others, the end.
+        n, distinct = len(texts), len(coded.dictionary)
+        parts = np.full(len(values) + n, len(pool) - 1)
+        places = np.arange(len(values)) + np.repeat(np.arange(n), np.diff(offsets))
+        parts[places[firsts]] = distinct + np.arange(n)
+        parts[places[~firsts]] = coded.indices.to_numpy()
+        at, _ = ranges(begins[parts], begins[parts] + sizes[parts])
+        return np.frombuffer(b"".join(pool), "<i4")[at], np.add.reduceat(sizes[parts], offsets[:-1] + np.arange(n)) if n else np.empty(0, np.int64)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
@@ -84,12 +133,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
     def run(batches):
         tokenizer = PieceTokenizer.of(tokenizer_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                each = tokenizer.encode(part.column(1).to_pylist())
-                sizes = np.fromiter((len(x) + 1 for x in each), dtype=np.int64, count=len(each))
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(start, DOCS_AT_ONCE)
+                values, sizes = tokenizer.encode(part.column(1), end_id)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in each), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")

@@ -1,17 +1,21 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 from symgrain.llm import token_store as store
+from tests.llm.test_bpe import ODD
 
 
-def library(text):
-    from tokenizers import Tokenizer
+T = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+T.encode_special_tokens = True
+
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+def library(text):
+    return T.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_round_trip(spark, tmp_path):
@@ -29,6 +33,16 @@ def test_round_trip(spark, tmp_path):
     assert len(list((tmp_path / "ids").glob("*.orc"))) > 1
 
 
+def test_random_texts_equal_the_library(monkeypatch):
+    monkeypatch.setattr(store, "MEMO_PIECES", 5)
+    monkeypatch.setattr(store, "MEMO_WORDS", 7)
+    mine, rng = store.PieceTokenizer(P.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(200):
+        texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(20)] + [None]
+        ids, sizes = mine.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library(t)[:-1] for t in texts]
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     store.write_store(docs, str(tmp_path / "none"))
