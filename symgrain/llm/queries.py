@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrain.llm import bpe, decontam, quality, simhash, token_store, url_filter
+from symgrain.llm import bpe, decontam, embed_dedup, quality, simhash, token_store, url_filter, warc
 from symgrain.llm.common import fresh_path, table
 
 
@@ -10,6 +10,16 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.captures(spark, path)
+
+
+def op3_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_store(spark, sf_dir):
     path = fresh_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
