@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrain.llm import bpe, decontam, embed_dedup, quality, simhash, token_store, url_filter, warc
+from symgrain.llm import bpe, decontam, embed_dedup, licenses, maxent_lm, quality, simhash, token_store, url_filter, warc
 from symgrain.llm.common import fresh_path, table
 
 
@@ -20,12 +20,20 @@ def op3_embedding_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     path = fresh_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
     return token_store.index_store(spark, path)
 
 
+def op6_maxent_lm(spark, sf_dir):
+    return maxent_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
