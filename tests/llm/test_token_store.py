@@ -34,8 +34,7 @@ def test_round_trip(spark, tmp_path):
 
 
 def test_random_texts_equal_the_library(monkeypatch):
-    monkeypatch.setattr(store, "MEMO_PIECES", 5)
-    monkeypatch.setattr(store, "MEMO_WORDS", 7)
+    monkeypatch.setattr(store, "MEMO_PIECES", 40)
     mine, rng = store.PieceTokenizer(P.path("byte_bpe_50k.json")), random.Random(3)
     for _ in range(200):
         texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(20)] + [None]
