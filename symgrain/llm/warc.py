@@ -112,25 +112,31 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in (*_FIELDS, "http_head")) + ", payload binary")
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, type, target_uri, date, request, response, metadata. Fields that are not selected are not shuffled."""
+_PARTS = {
+    "request": ("record_id", "http_head"),
+    "response": ("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http_head", "payload", "digest", "bytes"),
+    "metadata": ("record_id", "payload"),
+}
+
+
+def assemble_flat(records: DataFrame) -> DataFrame:
+    """One row per capture: capture_id, then each part's fields under <part>_<field>. Fields that are not selected are not shuffled."""
     answer = F.col("type").isin("response", "revisit")
     keyed = records.withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    of = lambda kind, name: F.max(F.when(answer if kind == "response" else F.col("type") == kind, F.col(name)))
-    fields = {
-        "request": ("record_id", "http_head"),
-        "response": ("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http_head", "payload", "digest", "bytes"),
-        "metadata": ("record_id", "payload"),
-    }
-    flat = keyed.groupBy("capture_id").agg(*[of(kind, name).alias(f"{kind}_{name}") for kind, names in fields.items() for name in names])
-    return flat.select("capture_id", *[F.struct(*[F.col(f"{kind}_{name}").alias(name) for name in names]).alias(kind) for kind, names in fields.items()])
+    of = lambda part, name: F.max(F.when(answer if part == "response" else F.col("type") == part, F.col(name)))
+    return keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in _PARTS.items() for name in names])
+
+
+def assemble(records: DataFrame) -> DataFrame:
+    """One nested row per capture: capture_id, request, response, metadata."""
+    return assemble_flat(records).select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in _PARTS.items()])
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture in the archives; what a revisit lacks comes from the record that it refers to."""
-    rows = assemble(read_records(spark, path)).select(
-        "capture_id", F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("refers_to_id"), F.col("response.digest").alias("digest"), F.col("response.bytes").alias("bytes"),
+    rows = assemble_flat(read_records(spark, path)).select(
+        "capture_id", F.regexp_extract(F.col("metadata_payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response_type").alias("record_type"),
+        F.col("response_refers_to").alias("refers_to_id"), F.col("response_digest").alias("digest"), F.col("response_bytes").alias("bytes"),
     )
     rows = materialize(rows, "warc-captures")
     held = rows.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("digest").alias("held_digest"), F.col("bytes").alias("held_bytes"))
