@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,18 +22,23 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 
+from symgrain.llm.buckets import ranges
+
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
-#: Entries of a worker's memo before the older ones go, and the longest text kept in one.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 80
-#: Where this is not found, splitting at single spaces never cuts a pre-token.
-SPACES = re.compile(r"\s ")
+#: Pieces that a worker's memo may hold (some 40 bytes each), words and pairs that its dictionaries may, and texts encoded at a time.
+MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 2_000_000, 100_000, 400_000
+MEMO_CHARS, DOCS_AT_ONCE = 80, 2_000
+#: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
+SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 
 class _Memo(dict):
-    """Remembers up to MEMO_ENTRIES new results and as many older ones, so frequent keys outlive a full memo."""
+    """Remembers up to MEMO_WORDS new results and as many older ones, so frequent keys outlive a full memo."""
 
     def __init__(self, make):
         super().__init__()
@@ -45,31 +49,109 @@ class _Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= MEMO_WORDS:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
-def spaced_pieces(text: str) -> tuple[str, list[str]] | None:
-    """The text's first piece and the others, each of which a space precedes, if pre-tokens never cross these borders; else None.
-
-    A pre-token holds a space only as its first character or among white space, so a border
-    lies before any space that follows something else.
-    """
-    if SPACES.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return first, rest
-
-
-class BytePairCodec:
+class PieceMemo:
+    """Ids of pieces, by two 64-bit hashes of each: some 40 bytes an entry. Emptied when full."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Each piece's place, or -1."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        slot = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[slot] == first) & (self.second[slot] == second), slot, -1)
+
+    def append(self, values: np.ndarray) -> int:
+        """Puts ids behind the others and returns where they begin."""
+        at = self.used
+        if at + len(values) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.empty(at + len(values), np.int32)])
+        self.ids[at : at + len(values)] = values
+        self.used += len(values)
+        return at
+
+    def add(self, first: np.ndarray, second: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        order = np.argsort(first, kind="stable")
+        at = np.searchsorted(self.first, first[order])
+        self.first, self.second, self.begin, self.length = (np.insert(a, at, x[order]) for a, x in ((self.first, first), (self.second, second), (self.begin, begin), (self.length, length)))
+
+
+class PieceEncoder:
+    """Encodes texts by their distinct pieces where single spaces never cut a pre-token; subclasses give _whole."""
+
+    by_piece = True
+
+    def __init__(self):
+        self.memo = PieceMemo(MEMO_PIECES)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has."""
+        raise NotImplementedError
+
+    def _pieces(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the memo's ids each distinct piece, which a space precedes, begins, and how many it has."""
+        if len(self.memo.first) + len(pieces) > self.memo.size:
+            self.memo.clear()
+        first, second = hash_array(pieces, categorize=False), hash_array(pieces, hash_key="fedcba9876543210", categorize=False)
+        place = self.memo.places(first, second)
+        new = np.flatnonzero(place < 0)
+        begin, length = (np.zeros(len(pieces), np.int64) for _ in range(2))
+        old = place >= 0
+        begin[old], length[old] = self.memo.begin[place[old]], self.memo.length[place[old]]
+        values, sizes = self._whole([" " + p for p in pieces[new]])
+        begin[new] = self.memo.append(values) + np.cumsum(sizes) - sizes
+        length[new] = sizes
+        self.memo.add(first[new], second[new], begin[new], sizes)
+        return begin, length
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and how many each has; end_id, if given, ends each text."""
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = pa.array(~pc.match_substring_regex(texts, SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False).astype(bool) & self.by_piece)
+        split = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        offsets, values = np.asarray(split.offsets).astype(np.int64), split.values
+        firsts = np.zeros(len(values), bool)
+        firsts[offsets[:-1]] = True
+        coded = values.filter(pa.array(~firsts)).dictionary_encode()
+        begin, length = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False))
+        heads, sizes = self._whole(pc.if_else(plain, values.filter(pa.array(firsts)), texts).to_pylist())
+        used = self.memo.used
+        pool = np.concatenate([self.memo.ids[:used], heads, np.array([] if end_id is None else [end_id], np.int32)])
+        begin = np.concatenate([begin, used + np.cumsum(sizes) - sizes, [used + len(heads)]])
+        length = np.concatenate([length, sizes, [int(end_id is not None)]])
+        # What stands where: a text's first piece, its others, the end.
+        parts = np.full(len(values) + n, len(length) - 1)
+        places = np.arange(len(values)) + np.repeat(np.arange(n), np.diff(offsets))
+        parts[places[firsts]] = len(coded.dictionary) + np.arange(n)
+        parts[places[~firsts]] = coded.indices.to_numpy()
+        at, _ = ranges(begin[parts], begin[parts] + length[parts])
+        return pool[at], np.add.reduceat(length[parts], offsets[:-1] + np.arange(n))
+
+
+class BytePairCodec(PieceEncoder):
     """Encodes and decodes with one vocabulary; one is built per Python worker and path."""
 
     _built: dict[str, BytePairCodec] = {}
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
@@ -95,8 +177,7 @@ class BytePairCodec:
         self._split_tokens(ranks)
         self.fits: dict[int, bool] = {}
         self.words = _Memo(lambda word: self._encode_word(word.encode()))
-        self.alone = _Memo(self._encode_piece)
-        self.spaced = _Memo(lambda piece: self._encode_piece(" " + piece))
+        self.by_piece = pattern == public_tokenizers.PATTERN
 
     @classmethod
     def of(cls, path: str, pattern: str) -> BytePairCodec:
@@ -140,7 +221,7 @@ class BytePairCodec:
                 before, x = x, self.right[x]
             else:
                 before, y = y + 1, self.left[y]
-        if len(self.fits) >= 4 * MEMO_ENTRIES:
+        if len(self.fits) >= MEMO_PAIRS:
             self.fits.clear()
         self.fits[a << 32 | b] = fits
         return fits
@@ -184,25 +265,23 @@ class BytePairCodec:
         piece = text[at : at + self.longest]
         return self.ending[piece[: self.automaton.longest_prefix(piece)]]
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        words = self.pattern.findall(piece)
-        return self.words[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.words.__getitem__, words)))
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        word, found = self.words.__getitem__, map(self.pattern.findall, texts)
+        each = [word(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(word, ws))) for ws in found]
+        sizes = np.fromiter(map(len, each), np.int64, count=len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, count=int(sizes.sum())), sizes
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        pieces = spaced_pieces(text)
-        if pieces is None:
-            return list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
-        return [*self.alone[pieces[0]], *chain.from_iterable(map(self.spaced.__getitem__, pieces[1]))]
+    def encode_one(self, text: str | None) -> list[int]:
+        return self._whole([text or ""])[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _rows(batch: pa.RecordBatch, limit: int = 512) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, limit):
-        yield batch.slice(start, limit)
+def _rows(batches, limit: int = DOCS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, limit):
+            yield batch.slice(start, limit)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -212,12 +291,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
-        for batch in (part for whole in batches for part in _rows(whole)):
-            each = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        for batch in _rows(batches):
+            ids, sizes = codec.encode(batch.column(1))
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.array(np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(ends[-1])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids), pa.array(sizes)], [id_col, "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(sizes)], [id_col, "ids", "n_tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long")
 
@@ -229,7 +306,7 @@ def decode_documents(tokens: DataFrame, path: str | None = None, pattern: str |
 
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
-        for batch in (part for whole in batches for part in _rows(whole)):
+        for batch in _rows(batches):
             out = [None if ids is None else codec.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
 
@@ -242,13 +319,14 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
-        for batch in (part for whole in batches for part in _rows(whole)):
-            sizes, shas, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text)
-                sizes.append(len(ids))
+        for batch in _rows(batches):
+            shas, decoded = [], []
+            values, sizes = codec.encode(batch.column(1))
+            ends = np.cumsum(sizes)
+            for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                ids = values[start:end].tolist()
                 shas.append(hashlib.sha256(" ".join(map(codec.text_of.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

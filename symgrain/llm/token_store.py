@@ -22,64 +22,25 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
-from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symgrain.llm.buckets import ranges
+from symgrain.llm.bpe import PieceEncoder
 from symgrain.llm.common import materialize
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
-#: Pieces that a worker's memo may hold.
-MEMO_PIECES = 2_000_000
 DOCS_AT_ONCE = 3_000
-#: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
-SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 
-class _Memo:
-    """Ids of pieces, by two 64-bit hashes of each: some 40 bytes an entry. Emptied when full."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.clear()
-
-    def clear(self) -> None:
-        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.used = np.empty(1 << 16, np.int32), 0
-
-    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Each piece's place, or -1."""
-        if not len(self.first):
-            return np.full(len(first), -1)
-        slot = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
-        return np.where((self.first[slot] == first) & (self.second[slot] == second), slot, -1)
-
-    def append(self, values: np.ndarray) -> int:
-        """Puts ids behind the others and returns where they begin."""
-        at = self.used
-        if at + len(values) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:at], np.empty(at + len(values), np.int32)])
-        self.ids[at : at + len(values)] = values
-        self.used += len(values)
-        return at
-
-    def add(self, first: np.ndarray, second: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-        order = np.argsort(first, kind="stable")
-        at = np.searchsorted(self.first, first[order])
-        self.first, self.second, self.begin, self.length = (np.insert(a, at, x[order]) for a, x in ((self.first, first), (self.second, second), (self.begin, begin), (self.length, length)))
-
-
-class PieceTokenizer:
+class PieceTokenizer(PieceEncoder):
     """The library's tokenizer of one file, with a memo of pieces; one per Python worker and file."""
 
     _built: dict[str, PieceTokenizer] = {}
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,7 +50,6 @@ class PieceTokenizer:
             spec = json.load(file)
         first = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-        self.memo = _Memo(MEMO_PIECES)
 
     @classmethod
     def of(cls, path: str) -> PieceTokenizer:
@@ -97,54 +57,12 @@ class PieceTokenizer:
             cls._built[path] = cls(path)
         return cls._built[path]
 
-    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, each), np.int64, count=len(each))
         return np.fromiter(chain.from_iterable(each), np.int32, count=int(sizes.sum())), sizes
 
-    def _pieces(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the memo's ids each distinct piece, which a space precedes, begins, and how many it has."""
-        if len(self.memo.first) + len(pieces) > self.memo.size:
-            self.memo.clear()
-        first, second = hash_array(pieces, categorize=False), hash_array(pieces, hash_key="fedcba9876543210", categorize=False)
-        place = self.memo.places(first, second)
-        new = np.flatnonzero(place < 0)
-        begin, length = (np.zeros(len(pieces), np.int64) for _ in range(2))
-        old = place >= 0
-        begin[old], length[old] = self.memo.begin[place[old]], self.memo.length[place[old]]
-        values, sizes = self._library([" " + p for p in pieces[new]])
-        begin[new] = self.memo.append(values) + np.cumsum(sizes) - sizes
-        length[new] = sizes
-        self.memo.add(first[new], second[new], begin[new], sizes)
-        return begin, length
-
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids one after another, and how many each has; end_id, if given, ends each text."""
-        n = len(texts)
-        if not n:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        plain = pa.array(~pc.match_substring_regex(texts, SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False).astype(bool) & self.by_piece)
-        split = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
-        offsets, values = np.asarray(split.offsets).astype(np.int64), split.values
-        firsts = np.zeros(len(values), bool)
-        firsts[offsets[:-1]] = True
-        coded = values.filter(pa.array(~firsts)).dictionary_encode()
-        begin, length = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False))
-        heads, sizes = self._library(pc.if_else(plain, values.filter(pa.array(firsts)), texts).to_pylist())
-        used = self.memo.used
-        pool = np.concatenate([self.memo.ids[:used], heads, np.array([] if end_id is None else [end_id], np.int32)])
-        begin = np.concatenate([begin, used + np.cumsum(sizes) - sizes, [used + len(heads)]])
-        length = np.concatenate([length, sizes, [int(end_id is not None)]])
-        # What stands where: a text's first piece, its others, the end.
-        parts = np.full(len(values) + n, len(length) - 1)
-        places = np.arange(len(values)) + np.repeat(np.arange(n), np.diff(offsets))
-        parts[places[firsts]] = len(coded.dictionary) + np.arange(n)
-        parts[places[~firsts]] = coded.indices.to_numpy()
-        at, _ = ranges(begin[parts], begin[parts] + length[parts])
-        return pool[at], np.add.reduceat(length[parts], offsets[:-1] + np.arange(n))
-
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
     """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""

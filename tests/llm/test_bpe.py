@@ -2,7 +2,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 from symgrain.llm import bpe
@@ -22,16 +24,21 @@ def test_random_texts_equal_the_library():
     rng = random.Random(3)
     for _ in range(5000):
         text = "".join(rng.choices(ODD, k=rng.randint(0, 14)))
-        ids = c.encode(text)
+        ids = c.encode_one(text)
         assert ids == e.encode_ordinary(text)
         assert c.decode(ids).decode() == text
+    for _ in range(200):
+        texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(20)] + [None]
+        ids, sizes = c.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.encode_ordinary(t or "") for t in texts]
 
 
 def test_long_words_and_full_memo(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 5)
     e, c = library(), bpe.BytePairCodec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for text in ("a" * 5000, "ab" * 4000, " " * 3000, "é" * 2000, "one two three four five one two three! one"):
-        assert c.encode(text) == e.encode_ordinary(text)
+        assert c.encode_one(text) == e.encode_ordinary(text)
 
 
 def test_query(spark):

@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from symgrain.llm import bpe
 from symgrain.llm import token_store as store
 from tests.llm.test_bpe import ODD
 
@@ -34,7 +35,7 @@ def test_round_trip(spark, tmp_path):
 
 
 def test_random_texts_equal_the_library(monkeypatch):
-    monkeypatch.setattr(store, "MEMO_PIECES", 40)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 40)
     mine, rng = store.PieceTokenizer(P.path("byte_bpe_50k.json")), random.Random(3)
     for _ in range(200):
         texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(20)] + [None]
