@@ -31,8 +31,8 @@ from symgrain.llm.buckets import ranges
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker's memo may hold (some 40 bytes each), words and pairs that its dictionaries may, and texts encoded at a time.
-MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 2_000_000, 100_000, 400_000
-MEMO_CHARS, DOCS_AT_ONCE = 80, 2_000
+MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 1_200_000, 100_000, 400_000
+MEMO_CHARS, DOCS_AT_ONCE = 80, 1_000
 #: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
 SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 

@@ -31,7 +31,7 @@ from symgrain.llm.common import materialize
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
-DOCS_AT_ONCE = 3_000
+DOCS_AT_ONCE = 1_000
 
 
 class PieceTokenizer(PieceEncoder):
