@@ -1,4 +1,405 @@
-"""All queries of the pattern engine by name, with the SQL that checks them."""
+"""All queries of the pattern engine by name; ``oracles`` holds the SQL that checks them."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symgrain.functions import orderings  # noqa: F401  (part of the public surface)
+from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
+from symgrain.oracles import ORACLES, ROUNDING
+from symgrain.plans import bestof
+from symgrain.sources import generators, jsonl, tables
+
+ALL = ("month", "priority", "orders")
+BAD_LINES = ("not json", '{"n":2}', "", '{"n":1,"indptr":[0],"indices":[]}', '{"n":1,"indptr":[1,1],"indices":[0]}', '{"n":1,"indptr":[0,2],"indices":[0]}', '{"n":2,"indptr":[0,2,1],"indices":[1]}', '{"n":1,"indptr":[0,1],"indices":[1]}')
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _family(spark, sf_dir, families=("month",)):
+    """(edges both ways, vertices) of the families."""
+    linked = tables.links(spark, sf_dir, families)
+    vertices = tables.numbered(linked)
+    return pattern.symmetrize(tables.edge_list(linked, vertices)), vertices
+
+
+def _generated(edges: DataFrame):
+    both = pattern.symmetrize(edges)
+    return both, both.select("mid", F.col("a").alias("id")).distinct()
+
+
+def _orders(edges, vertices):
+    found = [symbolic.natural_order(vertices), symbolic.degree_order(pattern.degrees(edges, vertices)), symbolic.reverse_order(vertices)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _scores(spark, sf_dir, families=ALL, candidates=("natural", "degree")):
+    edges, vertices = _family(spark, sf_dir, families)
+    return symbolic.scores(edges, _orders(edges, vertices).where(F.col("candidate").isin(*candidates)))
+
+
+def _ratios(spark, sf_dir, families=ALL):
+    return scoring.ratios(_scores(spark, sf_dir, families), "degree", "natural")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, ROUNDING) for n in names})
+
+
+@query
+def edges_symmetrize(spark, sf_dir):
+    return _family(spark, sf_dir)[0]
+
+
+@query
+def vertex_index(spark, sf_dir):
+    return _family(spark, sf_dir, ALL)[1].select("mid", "kind", "key", "id")
+
+
+@query
+def csc_build(spark, sf_dir):
+    return pattern.columns_of(*_family(spark, sf_dir)).select("mid", "col", "col_end", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
+
+
+@query
+def csc_roundtrip(spark, sf_dir):
+    return pattern.unpack(pattern.pack(*_family(spark, sf_dir)))
+
+
+@query
+def csc_column(spark, sf_dir):
+    """The rows of each pattern's last column."""
+    packed = pattern.pack(*_family(spark, sf_dir))
+    return packed.select("mid", F.explode(pattern.column(F.col("col_at"), F.col("rows"), F.col("n") - 1)).alias("row"))
+
+
+@query
+def upper_triangle(spark, sf_dir):
+    return pattern.upper(_family(spark, sf_dir)[0])
+
+
+@query
+def degree_hist(spark, sf_dir):
+    return pattern.degrees(*_family(spark, sf_dir, ALL)).groupBy("mid", "degree").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@query
+def pattern_stats(spark, sf_dir):
+    return pattern.matrices(*_family(spark, sf_dir, ALL))
+
+
+@query
+def size_buckets(spark, sf_dir):
+    sizes = pattern.matrices(*_family(spark, sf_dir, ALL))
+    return sizes.groupBy(scoring.size_bucket(F.col("n")).alias("bucket")).agg(F.count(F.lit(1)).alias("matrices"))
+
+
+@query
+def edge_checks(spark, sf_dir):
+    """Entries out of range and entries without their reverse, in patterns whose one-way links were shifted by one."""
+    edges, vertices = _family(spark, sf_dir)
+    shifted = edges.where("a < b").select("mid", "a", (F.col("b") + 1).alias("b"))
+    sizes = vertices.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+    wide = pattern.out_of_range(shifted, sizes).groupBy("mid").agg(F.count(F.lit(1)).alias("out_of_range"))
+    lone = pattern.asymmetric(shifted).groupBy("mid").agg(F.count(F.lit(1)).alias("one_way"))
+    return sizes.join(wide, "mid", "left").join(lone, "mid", "left").select("mid", "n", F.coalesce("out_of_range", F.lit(0)).alias("out_of_range"), F.coalesce("one_way", F.lit(0)).alias("one_way"))
+
+
+@query
+def order_degree(spark, sf_dir):
+    return symbolic.degree_order(pattern.degrees(*_family(spark, sf_dir, ALL)))
+
+
+@query
+def order_reverse(spark, sf_dir):
+    return symbolic.reverse_order(_family(spark, sf_dir, ALL)[1])
+
+
+@query
+def permute_edges(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return symbolic.permute(edges, symbolic.degree_order(pattern.degrees(edges, vertices)))
+
+
+@query
+def bijection_check(spark, sf_dir):
+    """Degree orders, whole and spoilt: one cut short, one with a vertex out of range, one with a vertex twice."""
+    edges, vertices = _family(spark, sf_dir)
+    good = symbolic.degree_order(pattern.degrees(edges, vertices))
+    sizes = vertices.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+    first = F.col("k") == 0
+    spoilt = [
+        good.where("k > 0").withColumn("candidate", F.lit("short")),
+        good.join(sizes, "mid").withColumn("v", F.when(first, F.col("n")).otherwise(F.col("v"))).drop("n").withColumn("candidate", F.lit("range")),
+        good.join(good.where("k = 1").select("mid", F.col("v").alias("second")), "mid").withColumn("v", F.when(first, F.col("second")).otherwise(F.col("v"))).drop("second").withColumn("candidate", F.lit("repeat")),
+    ]
+    return validate.order_faults(good.unionByName(spoilt[0]).unionByName(spoilt[1]).unionByName(spoilt[2]), sizes)
+
+
+@query
+def determinism_check(spark, sf_dir):
+    """Places where degree order differs between two runs under different partitioning (none), and from the reverse of the reverse order's mirror."""
+    edges, vertices = _family(spark, sf_dir)
+    one = symbolic.degree_order(pattern.degrees(edges, vertices))
+    two = symbolic.degree_order(pattern.degrees(edges.repartition(7, "b"), vertices.repartition(3)))
+    other = symbolic.reverse_order(vertices).withColumn("candidate", F.lit("degree"))
+    rows = validate.differing(one, two).select("mid", F.lit("again").alias("run")).unionByName(validate.differing(one, other).select("mid", F.lit("reverse").alias("run")))
+    return rows.groupBy("mid", "run").agg(F.count(F.lit(1)).alias("differences"))
+
+
+@query
+def run_status(spark, sf_dir):
+    """A run fails with its first bad pattern: here the first, by name, whose most links at one vertex exceed 30."""
+    sizes = pattern.matrices(*_family(spark, sf_dir))
+    outcomes = sizes.select(F.col("mid").alias("seq"), F.when(F.col("max_degree") > 30, F.concat(F.lit("degree too high: "), "mid")).alias("reason"))
+    return validate.run_status(outcomes)
+
+
+@query
+def etree_parent(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return symbolic.columns(edges, symbolic.natural_order(vertices)).select("mid", "j", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+@query
+def column_counts(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return symbolic.columns(edges, symbolic.natural_order(vertices)).select("mid", "j", "c")
+
+
+@query
+def column_counts_relational(spark, sf_dir):
+    """By paths, on the priority family, whose paths are short."""
+    edges, vertices = _family(spark, sf_dir, ("priority",))
+    return symbolic.columns_by_paths(edges, vertices).withColumn("parent", F.coalesce("parent", F.lit(-1)))
+
+
+@query
+def score_natural(spark, sf_dir):
+    return _scores(spark, sf_dir, ALL, ("natural",)).drop("candidate")
+
+
+@query
+def score_degree(spark, sf_dir):
+    return _scores(spark, sf_dir, ALL, ("degree",)).drop("candidate")
+
+
+@query
+def flop_ratio(spark, sf_dir):
+    return _rounded(_ratios(spark, sf_dir), "flop_ratio", "fill_ratio")
+
+
+@query
+def bucket_geomean(spark, sf_dir):
+    return _rounded(scoring.bucket_means(_ratios(spark, sf_dir)).drop("place"), "flop_geomean", "fill_geomean")
+
+
+@query
+def weighted_score(spark, sf_dir):
+    return _rounded(scoring.combine(scoring.bucket_means(_ratios(spark, sf_dir))), "score", "fill")
+
+
+@query
+def weighted_score_missing_bucket(spark, sf_dir):
+    return _rounded(scoring.combine(scoring.bucket_means(_ratios(spark, sf_dir, ("month",)))), "score", "fill")
+
+
+@query
+def bestof_argmin(spark, sf_dir):
+    scored = _scores(spark, sf_dir, ("month",), ("natural", "degree", "reverse"))
+    ranked = scored.withColumn("cand_idx", F.expr("cast(array_position(array('natural', 'degree', 'reverse'), candidate) as bigint)"))
+    return scoring.cheapest(ranked).select("mid", "candidate", "cand_idx", "flops")
+
+
+@query
+def gate_admission(spark, sf_dir):
+    return bestof.admitted(pattern.matrices(*_family(spark, sf_dir, ALL)))
+
+
+def _nations(spark, sf_dir):
+    """One pattern: regions, their nations, the nations' customers and suppliers; vertices numbered by kind and key."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    nation = read("nation")
+    edges = nation.select(F.col("n_regionkey").cast("long").alias("a"), (F.col("n_nationkey") + 100).cast("long").alias("b"))
+    edges = edges.unionByName(read("customer").select((F.col("c_nationkey") + 100).cast("long").alias("a"), (F.col("c_custkey") * 2 + 1000).alias("b")))
+    edges = edges.unionByName(read("supplier").select((F.col("s_nationkey") + 100).cast("long").alias("a"), (F.col("s_suppkey") * 2 + 1001).alias("b")))
+    return _generated(edges.withColumn("mid", F.lit("nations")))
+
+
+@query
+def bfs_levels(spark, sf_dir):
+    """Distance from region 0."""
+    edges, _ = _nations(spark, sf_dir)
+    starts = spark.createDataFrame([("nations", 0)], "mid string, v long")
+    return walks.levels(edges, starts)
+
+
+@query
+def components(spark, sf_dir):
+    edges, vertices = _nations(spark, sf_dir)
+    return walks.components(edges, vertices)
+
+
+@query
+def median_level_split(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    starts = vertices.where("id = 0").select("mid", F.col("id").alias("v"))
+    return walks.median_level(walks.levels(edges, starts))
+
+
+def _halves(vertices):
+    return vertices.select("mid", F.col("id").alias("v"), (F.col("id") % 3 == 0).alias("side"))
+
+
+@query
+def cut_boundary(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return walks.border(edges, _halves(vertices))
+
+
+@query
+def subset_gain(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return walks.gains(edges, _halves(vertices))
+
+
+@query
+def deficiency_first_pivot(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return walks.first_pivot(walks.lacks(edges, vertices))
+
+
+def _closed(spark, make):
+    edges, vertices = _generated(make)
+    return symbolic.scores(edges, symbolic.natural_order(vertices)).drop("candidate")
+
+
+@query
+def arrow_score(spark, sf_dir):
+    return _closed(spark, generators.arrow(spark, 50).unionByName(generators.arrow(spark, 200)))
+
+
+@query
+def grid2d_score(spark, sf_dir):
+    return _closed(spark, generators.grid2d(spark, 10))
+
+
+@query
+def grid3d_score(spark, sf_dir):
+    return _closed(spark, generators.grid3d(spark, 4))
+
+
+@query
+def kkt_score(spark, sf_dir):
+    return _closed(spark, generators.kkt(spark, 600, 200, 42))
+
+
+def _texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("path"), "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), "page_id").alias("path"), F.col("html").alias("text"))
+    return docs.unionByName(pages)
+
+
+@query
+def text_forbidden_words(spark, sf_dir):
+    """Lines of documents and pages that hold one of some words as a whole word."""
+    rows = policy.lines_of(_texts(spark, sf_dir))
+    return rows.where(policy.has_word(F.col("content"), "(license|License|idiot|script)")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min("line").cast("long").alias("first_line"))
+
+
+_DEPENDENCIES = '# top\n[dependencies]\nalpha = "1.2.3" # kept\nbeta = "0.1.0-rc.1+x"\ngamma = { git = "u" }\ndelta = "^1"\nepsilon = 1\n = "1.0"\nzeta\n[dev-dependencies]\neta = "2"\n'
+
+
+@query
+def dep_line_parse(spark, sf_dir):
+    files = spark.createDataFrame([("one", _DEPENDENCIES), ("two", 'early = "1.0"\n[dependencies]\nlate = "1.0"')], "path string, text string")
+    return policy.dependencies(files).select("path", F.col("line").cast("long").alias("line"), "name", "version", "fault")
+
+
+@query
+def version_shape(spark, sf_dir):
+    rows = [(v,) for v in ("1", "1.2.3", "0.1.0-rc.1+x", "v1", "", "^1", "1 2", "1.*", "9z")]
+    return spark.createDataFrame(rows, "version string").select("version", policy.plain_version(F.col("version")).alias("plain"))
+
+
+@query
+def crate_split(spark, sf_dir):
+    rows = [(v,) for v in ("foo-1.0.0", "foo-sys-1.0.0-alpha.1", "foo", "foo-bar", "a-1-b-2", "-1", "x-")]
+    return spark.createDataFrame(rows, "folder string").select("folder", policy.crate_name(F.col("folder")).alias("crate"))
+
+
+@query
+def license_gate(spark, sf_dir):
+    rows = [("a", "MIT"), ("b", "MIT OR GPL-3.0"), ("c", "GPL-3.0"), ("d", "MIT AND Apache-2.0"), ("e", "MIT AND GPL-3.0"), ("f", None), ("g", "MIT/Apache-2.0")]
+    return policy.license_faults(spark.createDataFrame(rows, "crate string, license string"), ["MIT", "Apache-2.0", "BSD-3-Clause"])
+
+
+@query
+def strip_comments(spark, sf_dir):
+    files = _texts(spark, sf_dir)
+    return files.select("path", F.length(policy.stripped(F.col("text"), True)).alias("length"))
+
+
+@query
+def source_scan(spark, sf_dir):
+    return policy.first_findings(_texts(spark, sf_dir))
+
+
+@query
+def matrix_table(spark, sf_dir):
+    return sinks.matrix_table(_ratios(spark, sf_dir))
+
+
+@query
+def bucket_report(spark, sf_dir):
+    return sinks.bucket_report(scoring.bucket_means(_ratios(spark, sf_dir, ("month",))))
+
+
+@query
+def score_json(spark, sf_dir):
+    means = scoring.bucket_means(_ratios(spark, sf_dir, ("month",)))
+    return sinks.score_document(means, scoring.combine(means))
+
+
+@query
+def run_log_row(spark, sf_dir):
+    total = scoring.combine(scoring.bucket_means(_ratios(spark, sf_dir, ("month",))))
+    note = sinks.composed_note(F.lit("a\tb"), F.lit("c\nd"))
+    return total.select(sinks.log_line(F.lit(1_700_000_000), F.lit("OK"), F.col("score"), F.col("fill"), note).alias("line"))
+
+
+def _kernel_order(index):
+    def run(spark, sf_dir):
+        return bestof.orders_of(pattern.pack(*_family(spark, sf_dir)), (index,))
+
+    return run
+
+
+for _name, _index in (("order_amd", 1), ("order_amf", 5), ("order_rcm", 17), ("order_sloan", 18), ("order_nd", 20), ("order_gggp", 21), ("order_minfill", 22), ("order_multilevel", 23)):
+    QUERIES[_name] = _kernel_order(_index)
+
+
+@query
+def bestof_full(spark, sf_dir):
+    """The cheapest of all admitted candidates of each monthly pattern, against the floor."""
+    edges, vertices = _family(spark, sf_dir)
+    return bestof.best_of(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)))
+
+
+@query
+def jsonl_scan_rejects(spark, sf_dir):
+    """Monthly patterns written as JSON lines and read back, with lines that are none among them."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="symgrain-")
+    path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    jsonl.write(pattern.pack(*_family(spark, sf_dir)), path)
+    bad = spark.createDataFrame([(i, x) for i, x in enumerate(BAD_LINES)], "seq long, value string")
+    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 100).alias("seq"), "value").unionByName(bad)
+    return jsonl.parse(lines).select("mid", "n", F.size("rows").alias("nnz"), "fault")
