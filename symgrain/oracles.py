@@ -115,7 +115,7 @@ ORACLES = {
     "gate_admission": f"WITH {ALL}, {_gates()}, s AS (SELECT mid, count(*) AS n, sum(degree) AS nnz FROM deg GROUP BY mid) SELECT DISTINCT mid, CAST(cand_idx AS BIGINT) AS cand_idx, candidate FROM s JOIN g ON (max_n IS NULL OR n < max_n) AND nnz >= min_nnz AND (max_nnz IS NULL OR nnz < max_nnz)",
     "bfs_levels": f"WITH RECURSIVE {NATIONS}, w(v, level) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.v WHERE w.level < 12) SELECT 'nations' AS mid, v, min(level) AS level FROM w GROUP BY v",
     "components": f"WITH RECURSIVE {NATIONS}, w(v, c) AS (SELECT DISTINCT a, a FROM e WHERE a < 100 UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v), u AS (SELECT DISTINCT a AS v FROM e) SELECT 'nations' AS mid, v, min(c) AS component FROM w GROUP BY v",
-    "median_level_split": f"""WITH RECURSIVE {ONE}, w(mid, v, level) AS (SELECT mid, CAST(0 AS BIGINT), 0 FROM m UNION SELECT e.mid, e.b, w.level + 1 FROM w JOIN e ON e.mid = w.mid AND e.a = w.v WHERE w.level < 16),
+    "median_level_split": f"""WITH RECURSIVE {ONE}, w(mid, v, level) AS (SELECT mid, CAST(0 AS BIGINT), 0 FROM m UNION SELECT e.mid, e.b, w.level + 1 FROM w JOIN e ON e.mid = w.mid AND e.a = w.v WHERE w.level < 100),
       l AS (SELECT mid, v, min(level) AS level FROM w GROUP BY ALL), c AS (SELECT mid, level, sum(count(*)) OVER (PARTITION BY mid ORDER BY level) AS upto, sum(count(*)) OVER (PARTITION BY mid) AS reached FROM l GROUP BY mid, level)
       SELECT mid, CAST(max(reached) AS BIGINT) AS reached, CAST(min(level) FILTER (upto >= (reached + 1) // 2) AS BIGINT) AS median FROM c GROUP BY mid""",
     "cut_boundary": f"WITH {ONE}, {SIDES} SELECT s.mid, s.v, s.side FROM s WHERE EXISTS (SELECT 1 FROM e JOIN s t ON t.mid = e.mid AND t.v = e.b WHERE e.mid = s.mid AND e.a = s.v AND t.side <> s.side)",
