@@ -24,14 +24,14 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pandas.util import hash_array
 from pyspark.sql import DataFrame
 
 from symgrain.llm.buckets import ranges
+from symgrain.llm.common import trimmed
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker's memo may hold (some 40 bytes each), words and pairs that its dictionaries may, and texts encoded at a time.
-MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 1_200_000, 100_000, 400_000
+MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 1_200_000, 60_000, 250_000
 MEMO_CHARS, DOCS_AT_ONCE = 80, 1_000
 #: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
 SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -56,6 +56,31 @@ class _Memo(dict):
         return value
 
 
+def hashes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string: sums of random words, one for each byte value, times powers that its place gives, and the length."""
+    strings = pa.concat_arrays([strings])  # from offset zero
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(strings) + 1).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, ends[-1]) if data is not None else np.empty(0, np.uint8)
+    sizes = np.diff(ends)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1], sizes)
+    out = []
+    for words, power in _HASHES:
+        powers = np.full(int(sizes.max(initial=0)) + 1, power, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        sums = np.zeros(len(sizes), np.uint64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            sums[full] = np.add.reduceat(words[raw] * powers[place], ends[full])
+        sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
+        out.append(sums ^ (sums >> np.uint64(32)))
+    return out[0], out[1]
+
+
+_HASHES = [(np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64), np.uint64(power)) for seed, power in ((17, 0x9E3779B97F4A7C15), (23, 0xC2B2AE3D27D4EB4F))]
+
+
 class PieceMemo:
     """Ids of pieces, by two 64-bit hashes of each: some 40 bytes an entry. Emptied when full."""
 
@@ -102,17 +127,17 @@ class PieceEncoder:
         """All ids one after another, and how many each text has."""
         raise NotImplementedError
 
-    def _pieces(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where in the memo's ids each distinct piece, which a space precedes, begins, and how many it has."""
         if len(self.memo.first) + len(pieces) > self.memo.size:
             self.memo.clear()
-        first, second = hash_array(pieces, categorize=False), hash_array(pieces, hash_key="fedcba9876543210", categorize=False)
+        first, second = hashes_of(pieces)
         place = self.memo.places(first, second)
         new = np.flatnonzero(place < 0)
         begin, length = (np.zeros(len(pieces), np.int64) for _ in range(2))
         old = place >= 0
         begin[old], length[old] = self.memo.begin[place[old]], self.memo.length[place[old]]
-        values, sizes = self._whole([" " + p for p in pieces[new]])
+        values, sizes = self._whole([" " + p for p in pieces.take(pa.array(new)).to_pylist()])
         begin[new] = self.memo.append(values) + np.cumsum(sizes) - sizes
         length[new] = sizes
         self.memo.add(first[new], second[new], begin[new], sizes)
@@ -130,7 +155,7 @@ class PieceEncoder:
         firsts = np.zeros(len(values), bool)
         firsts[offsets[:-1]] = True
         coded = values.filter(pa.array(~firsts)).dictionary_encode()
-        begin, length = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False))
+        begin, length = self._pieces(coded.dictionary)
         heads, sizes = self._whole(pc.if_else(plain, values.filter(pa.array(firsts)), texts).to_pylist())
         used = self.memo.used
         pool = np.concatenate([self.memo.ids[:used], heads, np.array([] if end_id is None else [end_id], np.int32)])
@@ -289,6 +314,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = path or public_tokenizers.path(TIKTOKEN_FILE), pattern or public_tokenizers.PATTERN
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @trimmed
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
         for batch in _rows(batches):
@@ -304,6 +330,7 @@ def decode_documents(tokens: DataFrame, path: str | None = None, pattern: str |
     path, pattern = path or public_tokenizers.path(TIKTOKEN_FILE), pattern or public_tokenizers.PATTERN
     kind = tokens.schema[id_col].dataType.simpleString()
 
+    @trimmed
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
         for batch in _rows(batches):
@@ -317,6 +344,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """Encodes and decodes each text in one Python pass and returns digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path, pattern = path or public_tokenizers.path(TIKTOKEN_FILE), pattern or public_tokenizers.PATTERN
 
+    @trimmed
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
         for batch in _rows(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrain.llm.buckets import by_cells, deal, least_linked, ranges, starts_of
-from symgrain.llm.common import connected_components, materialize
+from symgrain.llm.common import connected_components, materialize, trimmed
 
 TABLES, PROBES, HASHES = 12, 3, 2
 CAP = 2048
@@ -83,6 +83,7 @@ def _valid(lists: pa.Array, kind: str) -> list[np.ndarray | None]:
 def _keyed(classes: DataFrame, kind: str, tables: int, seed: int) -> DataFrame:
     """(key, node, label, vec, n, met): a row for each bucket that a class enters; met: all its buckets."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             nodes, labels, n = (batch.column(k).to_numpy() for k in (0, 1, 3))
@@ -138,6 +139,7 @@ def _linked_pairs(cells: np.ndarray, unit: np.ndarray, least: float):
 def _cells_to_links(dealt: DataFrame, kind: str, least: float, tables: int) -> DataFrame:
     """(node, links, root): how many vectors a class links with, and a class linked with it, summed over the pairs that first meet in this cell."""
 
+    @trimmed
     def run(batches):
         def handle(cells, rows):
             lengths = np.array([len(v) for v in rows.column("vec").to_pylist()])

@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from symgrain.llm.common import trimmed
+
 GRAM, WINDOW = 3, 3
 BAND, LEAST_COVERAGE = 8, 0.7
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -160,6 +162,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = B
     templates = TEMPLATES if templates is None else templates
     LicenseIndex(templates, band, least)
 
+    @trimmed
     def run(batches):
         index = LicenseIndex(templates, band, least)
         for batch in batches:

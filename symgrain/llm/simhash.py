@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrain.llm.buckets import by_cells, deal, least_linked, ranges, starts_of
-from symgrain.llm.common import connected_components, materialize
+from symgrain.llm.common import connected_components, materialize, trimmed
 
 SEED = 42
 #: Members of a bucket that one tree may hold.
 CAP = 4096
-#: Tree visits that one numpy step may hold.
+#: 64-bit words of fingerprints that one numpy step may compare.
 _VISITS = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +88,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, print binary) of every row. distinct: a shingle that a text repeats counts once."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             out = []
@@ -125,7 +126,7 @@ def bk_links(prints: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
     keys = keys[order]
     labels = np.arange(len(roots))
     asks = np.flatnonzero(roots != labels)
-    step = 20_000
+    step = max(20_000 // prints.shape[1], 1)
     for begin in range(0, len(asks), step):
         pending = [(asks[begin : begin + step], roots[asks[begin : begin + step]])]
         while pending:
@@ -135,7 +136,7 @@ def bk_links(prints: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
             labels = least_linked(labels, ask[near], node[near])
             low = np.searchsorted(keys, node * wide + np.maximum(away - radius, 0))
             high = np.searchsorted(keys, node * wide + np.minimum(away + radius, wide - 1), side="right")
-            for cut in _cuts(high - low):
+            for cut in _cuts((high - low) * prints.shape[1]):
                 child, of = ranges(low[cut], high[cut])
                 child, who = order[child], ask[cut][of]
                 earlier = child < who  # the other half finds the same links
@@ -156,6 +157,7 @@ def _cuts(sizes: np.ndarray) -> list[slice]:
 def _links(dealt: DataFrame, radius: int, words: int) -> DataFrame:
     """(a, b) links of nodes; dealt: cell, node long, print binary."""
 
+    @trimmed
     def run(batches):
         def handle(cells, rows):
             nodes = rows.column("node").to_numpy()
@@ -164,7 +166,7 @@ def _links(dealt: DataFrame, radius: int, words: int) -> DataFrame:
             linked = labels != np.arange(len(labels))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], ["a", "b"])
 
-        yield from by_cells(batches, handle)
+        yield from by_cells(batches, handle, rows=60_000 // words)
 
     return dealt.select("cell", "node", "print").mapInArrow(run, "a long, b long")
 
@@ -234,6 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = materialize(fingerprints(docs, shingle, words, distinct=True).select("doc_id", F.xxhash64("print").alias("node"), "print"), "simhash-wide")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("print").alias("print"))
 
+    @trimmed
     def run(batches):
         for batch in batches:
             if not batch.num_rows:

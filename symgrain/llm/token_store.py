@@ -27,11 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symgrain.llm.bpe import PieceEncoder
-from symgrain.llm.common import materialize
+from symgrain.llm.common import materialize, trimmed
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
-DOCS_AT_ONCE = 1_000
+DOCS_AT_ONCE = 1_500
 
 
 class PieceTokenizer(PieceEncoder):
@@ -68,6 +68,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
     """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER_FILE)
 
+    @trimmed
     def run(batches):
         tokenizer = PieceTokenizer.of(tokenizer_path)
         for batch in batches:
@@ -94,6 +95,7 @@ def index_store(spark: SparkSession, path: str) -> DataFrame:
     consecutive ranges, so only one row for each file meets in one task.
     """
 
+    @trimmed
     def run(batches):
         for batch in batches:
             lists = batch.column(1)

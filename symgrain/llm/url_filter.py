@@ -20,6 +20,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from symgrain.llm.common import trimmed
+
 THRESHOLD = 1.0
 #: Words that alone mark a url, and words of which two are needed.
 STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "milf", "gangbang", "viagra", "cialis", "onlinecasino", "warez", "keygen")
@@ -98,6 +100,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = (), vocabulary: dict[
     vocabulary = VOCABULARY if vocabulary is None else vocabulary
     UrlJudge(tuple(rules), vocabulary, threshold)
 
+    @trimmed
     def run(batches):
         judge = UrlJudge(tuple(rules), vocabulary, threshold)
         for batch in batches:

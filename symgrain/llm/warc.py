@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrain.llm.common import materialize
+from symgrain.llm.common import materialize, trimmed
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,6 +93,7 @@ _FIELDS = {"record_id": "warc-record-id", "type": "warc-type", "concurrent_to":
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per record: the named headers, http_head and payload (of application/http, what follows its head)."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
