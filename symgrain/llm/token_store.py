@@ -78,7 +78,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, SCHEMA).write.format("orc").options(**{"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}).save(path)
 
 
