@@ -86,27 +86,29 @@ def admitted(matrices: DataFrame) -> DataFrame:
 _SCORED = "mid string, cand_idx long, candidate string, n long, nnz_l long, flops long, status string, reason string"
 
 
+def run_candidate(mid, index, name, n, col_at, rows):
+    """One candidate on one packed pattern: a row of candidate_scores, with the order. A failure is a row that says why."""
+    try:
+        graph = Graph.packed(n, col_at, rows)
+        order = ALGORITHMS[index][1](graph)
+        if not is_order(order, n):
+            return mid, index, name, n, None, None, "FAIL", "not an order of the vertices", None
+        return mid, index, name, n, *score(graph, order), "OK", None, order
+    except Exception as error:
+        return mid, index, name, n, None, None, "FAIL", f"{type(error).__name__}: {error}", None
+
+
 def candidate_scores(packed: DataFrame, admissions: DataFrame, with_orders: bool = False) -> DataFrame:
     """(mid, cand_idx, candidate, n, nnz_l, flops, status, reason, and if asked the order): one kernel run per row."""
     work = packed.join(admissions, "mid").select("mid", "cand_idx", "candidate", "n", "col_at", "rows").repartition("mid", "cand_idx")
 
-    def one(mid, index, name, n, col_at, rows):
-        try:
-            graph = Graph.packed(n, col_at, rows)
-            order = ALGORITHMS[index][1](graph)
-            if not is_order(order, n):
-                return mid, index, name, n, None, None, "FAIL", "not an order of the vertices", None
-            return mid, index, name, n, *score(graph, order), "OK", None, order
-        except Exception as error:  # a candidate may fail; the row says why
-            return mid, index, name, n, None, None, "FAIL", f"{type(error).__name__}: {error}", None
-
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.string(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _SCORED.split(", ")] + ["order"]
         keep = len(names) - (not with_orders)
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                out = one(*(x.as_py() for x in row))
+                out = run_candidate(*(x.as_py() for x in row))
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in list(zip(out, kinds, strict=True))[:keep]], names[:keep])
 
     return work.mapInArrow(run, _SCORED + (", order array<long>" if with_orders else ""))
