@@ -185,6 +185,12 @@ def _exact_keys(node: Column) -> Column:
     return F.array(*keys)
 
 
+def _by_row(rows: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, node, component_id) of each row. The nodes' components are written first: the one join that meets a hot node's rows is then between plain exchanges, which adaptive execution can split."""
+    resolved = materialize(nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    return rows.select("doc_id", "node").join(resolved, "node")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap: int = CAP) -> DataFrame:
     """doc_id, fingerprint (hex), component_id over links of 64-bit fingerprints within radius (3 at most)."""
     if radius > 3:
@@ -198,8 +204,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap:
     named = nodes.join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
-    lone = rows.join(nodes.select("node", "least"), "node").join(named, "node", "left")
-    return lone.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id"))
+    return _by_row(rows, nodes, named).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _signed(hex_little: Column) -> Column:
