@@ -20,8 +20,8 @@ from symgrain.llm.common import materialize
 BROADCAST_ROWS = 100_000
 
 
-def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node") -> DataFrame:
-    """Adds ``cell`` (long), ``block`` (int, within the bucket) and ``own`` (boolean: the cell pairs a block with itself); partitions by cell and sorts by it."""
+def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node", tasks: int = 0) -> DataFrame:
+    """Adds ``cell`` (long), ``block`` (int, within the bucket) and ``own`` (boolean: the cell pairs a block with itself); partitions by cell (into the session's number of shuffle partitions, ``tasks`` at least) and sorts by it."""
     hot = materialize(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > cap), "hot-buckets")
     n_hot = hot.count()
     if not n_hot:
@@ -33,7 +33,11 @@ def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node") -> Da
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
         dealt = dealt.withColumn("cell", F.when(F.col("blocks") == 1, F.col(key)).otherwise(pair)).withColumn("own", F.col("block") == F.col("other")).drop("members", "blocks", "other")
-    return dealt.repartition("cell").sortWithinPartitions("cell")
+    if tasks:
+        dealt = dealt.repartition(max(tasks, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell")
+    else:
+        dealt = dealt.repartition("cell")
+    return dealt.sortWithinPartitions("cell")
 
 
 def by_cells(batches: Iterator[pa.RecordBatch], handle: Callable[[np.ndarray, pa.Table], Iterator[pa.RecordBatch]], rows: int = 60_000, column: str = "cell") -> Iterator[pa.RecordBatch]:

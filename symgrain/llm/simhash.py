@@ -40,6 +40,8 @@ SEED = 42
 CAP = 4096
 #: 64-bit words of fingerprints that one numpy step may compare.
 _VISITS = 1_000_000
+#: Partitions at least for wide fingerprints: a text's bands then go to as many, whatever the input's size.
+TASKS = 64
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -224,7 +226,7 @@ def _agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 12, band_bits: int = 16, bands: int = 48, slack: float = 1.5, cap: int = CAP, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 12, band_bits: int = 16, bands: int = 48, slack: float = 1.2, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(doc_id, node, component_id): documents linked by fingerprints of distinct shingles that agree as those of sets with that Jaccard similarity do.
 
     The radius is that of the similarity plus ``slack`` standard errors of the estimate. With
@@ -255,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(keys.ravel())], ["node", "print", "key"])
 
     keyed = nodes.select("node", "print").mapInArrow(run, "node long, print binary, key long")
-    components = connected_components(_links(deal(keyed, cap), radius, words))
+    components = connected_components(_links(deal(keyed, cap, tasks=TASKS), radius, words))
     named = nodes.select("node", "least").join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
