@@ -28,7 +28,7 @@ def _family(spark, sf_dir, families=("month",)):
     """(edges both ways, vertices) of the families."""
     linked = tables.links(spark, sf_dir, families)
     vertices = tables.numbered(linked)
-    return pattern.symmetrize(tables.edge_list(linked, vertices)), vertices
+    return pattern.both_ways(tables.edge_list(linked, vertices)), vertices
 
 
 def _generated(edges: DataFrame):
@@ -56,7 +56,10 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def edges_symmetrize(spark, sf_dir):
-    return _family(spark, sf_dir)[0]
+    """From links given in both directions, with repeats and loops."""
+    linked = tables.links(spark, sf_dir)
+    once = tables.edge_list(linked, tables.numbered(linked))
+    return pattern.symmetrize(once.unionByName(once.select("mid", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(once.select("mid", "a", F.col("a").alias("b"))))
 
 
 @query

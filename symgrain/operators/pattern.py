@@ -17,6 +17,11 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return both.where("a <> b").distinct()
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Both directions of edges that are given once each, without loops; needs no shuffle."""
+    return edges.select("mid", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("mid", "e.a", "e.b")
+
+
 def out_of_range(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Edges with an end that is no vertex of the pattern; sizes: (mid, n)."""
     return edges.join(sizes, "mid").where("a < 0 OR b < 0 OR a >= n OR b >= n").select("mid", "a", "b", "n")
