@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from symgrain.functions import orderings  # noqa: F401  (part of the public surface)
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
-from symgrain.oracles import ORACLES, ROUNDING
+from symgrain.oracles import BAD_LINES, ORACLES, ROUNDING
 from symgrain.plans import bestof
 from symgrain.sources import generators, jsonl, tables
 
 ALL = ("month", "priority", "orders")
-BAD_LINES = ("not json", '{"n":2}', "", '{"n":1,"indptr":[0],"indices":[]}', '{"n":1,"indptr":[1,1],"indices":[0]}', '{"n":1,"indptr":[0,2],"indices":[0]}', '{"n":2,"indptr":[0,2,1],"indices":[1]}', '{"n":1,"indptr":[0,1],"indices":[1]}')
 QUERIES: dict = {}
 
 
@@ -403,6 +402,7 @@ def jsonl_scan_rejects(spark, sf_dir):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="symgrain-")
     path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
     jsonl.write(pattern.pack(*_family(spark, sf_dir)), path)
-    bad = spark.createDataFrame([(i, x) for i, x in enumerate(BAD_LINES)], "seq long, value string")
+    bad = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(BAD_LINES)], "seq long, value string")
     lines = spark.read.text(path).select((F.monotonically_increasing_id() + 100).alias("seq"), "value").unionByName(bad)
-    return jsonl.parse(lines).select("mid", "n", F.size("rows").alias("nnz"), "fault")
+    none = F.lit(-1).cast("long")
+    return jsonl.parse(lines).select("mid", F.coalesce("n", none).alias("n"), F.coalesce(F.size("rows").cast("long"), none).alias("nnz"), F.coalesce("fault", F.lit("")).alias("fault"))

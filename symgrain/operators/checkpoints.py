@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,5 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="symgrain-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="symgrain-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint()

@@ -4,6 +4,16 @@ from __future__ import annotations
 
 #: Decimal places to which both sides round doubles.
 ROUNDING = 9
+#: Lines that are no patterns: the line, its n and count of rows (-1: none), what is wrong.
+BAD_LINES = (
+    ("not json", -1, -1, "n missing"),
+    ('{"n":2}', 2, -1, "col_at missing"),
+    ('{"n":1,"indptr":[0],"indices":[]}', 1, 0, "col_at length"),
+    ('{"n":1,"indptr":[1,1],"indices":[0]}', 1, 1, "col_at start"),
+    ('{"n":1,"indptr":[0,2],"indices":[0]}', 1, 1, "col_at end"),
+    ('{"n":2,"indptr":[0,2,1],"indices":[1]}', 2, 1, "col_at falls"),
+    ('{"n":1,"indptr":[0,1],"indices":[1]}', 1, 1, "row out of range"),
+)
 MONTH = "SELECT 'month-' || strftime(l_shipdate, '%Y-%m') AS mid, l_suppkey AS l, l_partkey AS r FROM lineitem"
 PRIORITY = "SELECT 'priority-' || o_orderpriority AS mid, o_custkey AS l, o_orderkey AS r FROM orders"
 ORDERS = "SELECT 'orders' AS mid, o_custkey AS l, o_orderkey AS r FROM orders"
@@ -132,6 +142,9 @@ ORACLES = {
     "version_shape": "SELECT version, regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') AS plain FROM (VALUES ('1'), ('1.2.3'), ('0.1.0-rc.1+x'), ('v1'), (''), ('^1'), ('1 2'), ('1.*'), ('9z')) t(version)",
     "crate_split": "SELECT folder, CASE WHEN regexp_matches(folder, '-[0-9]') THEN regexp_extract(folder, '^(.*)-[0-9]', 1) ELSE folder END AS crate FROM (VALUES ('foo-1.0.0'), ('foo-sys-1.0.0-alpha.1'), ('foo'), ('foo-bar'), ('a-1-b-2'), ('-1'), ('x-')) t(folder)",
     "license_gate": "SELECT * FROM (VALUES ('c', 'GPL-3.0'), ('e', 'MIT AND GPL-3.0'), ('f', NULL)) t(crate, license)",
+    "jsonl_scan_rejects": f"WITH {ONE} SELECT mid, CAST(count(*) AS BIGINT) AS n, CAST(sum(degree) AS BIGINT) AS nnz, '' AS fault FROM deg GROUP BY mid UNION ALL SELECT '', n, nnz, fault FROM (VALUES "
+    + ", ".join(f"(CAST({n} AS BIGINT), CAST({nnz} AS BIGINT), '{fault}: {line}')" for line, n, nnz, fault in BAD_LINES)
+    + ") t(n, nnz, fault)",
     "matrix_table": f"WITH RECURSIVE {both(ALL)} SELECT mid, n, base_flops AS flops_base, flops AS flops_yours, printf('%.3f', flop_ratio) AS ratio FROM ratio",
     "bucket_report": f"WITH RECURSIVE {both(ONE)} SELECT bucket, matrices, coalesce(printf('%.4f', flop_geomean), '—') AS flops, coalesce(printf('%.4f', fill_geomean), '—') AS fill FROM means",
     "run_log_row": f"WITH RECURSIVE {both(ONE)} SELECT concat_ws(chr(9), '1700000000', 'OK', printf('%.6f', score), printf('%.6f', fill), 'a b | c d') AS line FROM total",
