@@ -31,7 +31,7 @@ from symgrain.llm.common import trimmed
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker's memo may hold (some 40 bytes each), words and pairs that its dictionaries may, and texts encoded at a time.
-MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 1_200_000, 60_000, 250_000
+MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 600_000, 40_000, 150_000
 MEMO_CHARS, DOCS_AT_ONCE = 80, 1_000
 #: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
 SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -120,8 +120,8 @@ class PieceEncoder:
 
     by_piece = True
 
-    def __init__(self):
-        self.memo = PieceMemo(MEMO_PIECES)
+    def __init__(self, memo_pieces: int):
+        self.memo = PieceMemo(memo_pieces)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
@@ -176,7 +176,7 @@ class BytePairCodec(PieceEncoder):
     _built: dict[str, BytePairCodec] = {}
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
+        super().__init__(MEMO_PIECES)
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)

@@ -31,7 +31,8 @@ from symgrain.llm.common import materialize, trimmed
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
-DOCS_AT_ONCE = 1_500
+#: Pieces that a worker's memo may hold (some 40 bytes each), and texts encoded at a time.
+MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 1_500
 
 
 class PieceTokenizer(PieceEncoder):
@@ -40,7 +41,7 @@ class PieceTokenizer(PieceEncoder):
     _built: dict[str, PieceTokenizer] = {}
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(MEMO_PIECES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
