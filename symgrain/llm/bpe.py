@@ -104,7 +104,7 @@ class PieceMemo:
         """Puts ids behind the others and returns where they begin."""
         at = self.used
         if at + len(values) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:at], np.empty(at + len(values), np.int32)])
+            self.ids = np.concatenate([self.ids[:at], np.empty(at // 2 + len(values), np.int32)])
         self.ids[at : at + len(values)] = values
         self.used += len(values)
         return at
@@ -157,8 +157,8 @@ class PieceEncoder:
         coded = values.filter(pa.array(~firsts)).dictionary_encode()
         begin, length = self._pieces(coded.dictionary)
         heads, sizes = self._whole(pc.if_else(plain, values.filter(pa.array(firsts)), texts).to_pylist())
-        used = self.memo.used
-        pool = np.concatenate([self.memo.ids[:used], heads, np.array([] if end_id is None else [end_id], np.int32)])
+        used = self.memo.append(np.concatenate([heads, np.array([] if end_id is None else [end_id], np.int32)]))
+        pool, self.memo.used = self.memo.ids, used  # what is only this batch's will be written over
         begin = np.concatenate([begin, used + np.cumsum(sizes) - sizes, [used + len(heads)]])
         length = np.concatenate([length, sizes, [int(end_id is not None)]])
         # What stands where: a text's first piece, its others, the end.

@@ -32,7 +32,7 @@ from symgrain.llm.common import materialize, trimmed
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
 #: Pieces that a worker's memo may hold (some 40 bytes each), and texts encoded at a time.
-MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 1_500
+MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 3_000
 
 
 class PieceTokenizer(PieceEncoder):
@@ -80,7 +80,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SCHEMA).write.format("orc").options(**{"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}).save(path)
+    ordered.mapInArrow(run, SCHEMA).write.format("orc").options(**{"compression": "lz4", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}).save(path)
 
 
 def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
