@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,3 +26,14 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     context._symgrain_shipped = True
+
+
+def shipped(f: Callable) -> Callable:
+    """f(spark, ...), after ship(spark)."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *rest):
+        ship(spark)
+        return f(spark, *rest)
+
+    return run
