@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from symgrain.llm import bpe, decontam, quality, selection, simhash
 from symgrain.llm.common import materialize, table
+from symgrain.shipping import shipped
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -31,7 +32,7 @@ def encode(spark, docs, sf_dir):
     return bpe.encode_documents(docs)
 
 
-STAGES = [("quality classifier", keep_quality), ("SimHash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated), ("byte-level BPE", encode)]
+STAGES = [("quality classifier", shipped(keep_quality)), ("SimHash near-dedup", shipped(drop_near_duplicates)), ("benchmark decontamination", shipped(drop_contaminated)), ("byte-level BPE", shipped(encode))]
 
 #: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
