@@ -32,7 +32,7 @@ from symgrain.llm.common import materialize, trimmed
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, ids array<int>"
 #: Pieces that a worker's memo may hold (some 40 bytes each), and texts encoded at a time.
-MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 3_000
+MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 1_000
 
 
 class PieceTokenizer(PieceEncoder):
@@ -69,7 +69,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
     """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER_FILE)
 
-    @trimmed
     def run(batches):
         tokenizer = PieceTokenizer.of(tokenizer_path)
         for batch in batches:
