@@ -14,7 +14,7 @@ Steps, each over all data:
 2. Vocabulary counts of training documents are summed by hash.
 3. Weights: in each round every task descends the gradient over its share of the training
    chunks, starting from the weights so far; the results are averaged, weighted by tokens, in a
-   tree of bounded fan-in. The table of weights has a fixed size.
+   tree of bounded fan-in. The table of weights grows with the vocabulary, up to MOST_ROWS.
 4. The counts go back to the chunks that hold the word, and each chunk is scored in numpy
    batches.
 
@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 
 from symgrain.llm.common import materialize, trimmed
 
-HEAD, TAIL = 20, 12
+HEAD, TAIL = 32, 16
 CLASSES = HEAD + TAIL
-ROWS = 1 << 14
+#: Rows of a table of weights: these at least, then as many as a WORDS_PER_ROW-th of the vocabulary asks for, up to what a worker can hold.
+ROWS, WORDS_PER_ROW, MOST_ROWS = 1 << 15, 128, 1 << 18
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
-BATCH, RATE, ROUNDS = 16384, 0.3, 2
-FAN, BLOCKS = 64, 8
+BATCH, RATE, ROUNDS = 8192, 0.3, 2
+#: Tables added up at a time, and the least number of blocks that a table is cut into, of BLOCK_CELLS at most.
+FAN, BLOCKS, BLOCK_CELLS = 64, 8, 1 << 18
 END = np.int64(np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -110,8 +112,13 @@ def chunks_of(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, chunk
     return docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held")).mapInArrow(run, _CHUNK)
 
 
-def features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows of the weight table of each token's context: bigram, trigram, skip. starts: places where a document begins; before it stand end tokens."""
+def rows_for(distinct: int) -> int:
+    """Rows of the table of weights for so many distinct words, a power of two."""
+    return min(max(ROWS, 1 << (-(-distinct // WORDS_PER_ROW) - 1).bit_length()), MOST_ROWS) if distinct else ROWS
+
+
+def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of each token's context: bigram, trigram, skip. starts: places where a document begins; before it stand end tokens."""
     h = hashes.view(np.uint64)
     end = np.uint64(np.int64(END).view(np.uint64))
     one = np.concatenate([[end], h[:-1]])
@@ -120,8 +127,17 @@ def features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two[starts] = end
     after = starts + 1
     two[after[after < len(h)]] = end
-    shift = np.uint64(64 - ROWS.bit_length() + 1)
-    return np.stack([(one * _M1) >> shift, ((one * _M2) ^ (two * _M3)) * _M1 >> shift, ((two + _M2) * _M3) >> shift]).astype(np.int64)
+    return np.stack([one * _M1, ((one * _M2) ^ (two * _M3)) * _M1, (two + _M2) * _M3])
+
+
+def rows_of(keys: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes brought to rows of a table: their upper bits."""
+    return (keys >> np.uint64(65 - rows.bit_length())).astype(np.int32)
+
+
+def features(hashes: np.ndarray, starts: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """Rows of the weight table of each token's context."""
+    return rows_of(contexts(hashes, starts), rows)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -132,12 +148,18 @@ def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _order(row: np.ndarray, size: int) -> np.ndarray:
+    """What sorts numbers below size: passes over 16 bits at a time, which numpy sorts in linear time."""
+    order = np.argsort(row.astype(np.uint16), kind="stable")
+    return order if size <= 1 << 16 else order[np.argsort((row >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One step over a batch: weights and the sums of squared gradients (Adagrad) change in place. The last row is the bias."""
     slope = _softmax(weights, rows)
     slope[np.arange(len(classes)), classes] -= 1
     for row in rows:
-        order = np.argsort(row, kind="stable")
+        order = _order(row, len(weights))
         at = row[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         total = np.add.reduceat(slope[order], first, axis=0)
@@ -169,9 +191,10 @@ def _tokens(batch, at) -> np.ndarray:
 
 
 def _average(chunks: DataFrame, weights, head: np.ndarray) -> np.ndarray:
-    """Descends over all training tokens of the chunks from the given weights; returns the tasks' average."""
+    """Descends over all training tokens of the chunks from the given weights; returns the tasks' average. Steps travel in half precision, sums are made in double."""
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast((weights, head))
+    blocks = max(BLOCKS, -(-weights.size // BLOCK_CELLS))
 
     @trimmed
     def run(batches):
@@ -183,38 +206,36 @@ def _average(chunks: DataFrame, weights, head: np.ndarray) -> np.ndarray:
                 tokens = _tokens(batch, at)
                 held = np.asarray(_column(batch, "held", at).to_pylist(), bool)
                 classes, starts = classes_of(vocab, tails, heads), np.cumsum(sizes) - sizes
-                rows = features(vocab[tokens], starts).astype(np.int32)
-                trained = np.flatnonzero(~np.repeat(held, sizes))
+                keys, trained = contexts(vocab[tokens], starts), np.flatnonzero(~np.repeat(held, sizes))
                 for s in range(0, len(trained), BATCH):
                     some = trained[s : s + BATCH]
-                    descend(own, squares, rows[:, some], classes[tokens[some]])
+                    descend(own, squares, rows_of(keys[:, some], len(own) - 1), classes[tokens[some]])
                 seen += len(trained)
         if seen:
             task = TaskContext.get().partitionId()
-            flat = np.array_split((own.astype(np.float64) * seen).astype(np.float32).ravel(), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.array([float(seen)] * BLOCKS), pa.array([b.tobytes() for b in flat])], ["block", "task", "seen", "sums"])
-
-    schema = "block int, task long, seen double, sums binary"
-
-    def add(table):
-        sums = np.zeros(len(table.column("sums")[0].as_py()) // 4, np.float64)
-        for s in table.column("sums"):
-            sums += np.frombuffer(s.as_py(), np.float32)
-        return pa.table({"block": table.column("block")[:1], "task": pa.array([table.column("task")[0].as_py() // FAN], pa.int64()), "seen": pa.array([float(np.sum(table.column("seen").to_numpy()))]), "sums": pa.array([sums.astype(np.float32).tobytes()])})
-
-    parts = materialize(chunks.select("held", "sizes", "low", "high", "vocab", "tails").mapInArrow(run, schema), "lm-parts")
-    n = chunks.rdd.getNumPartitions()
-    while True:
-        parts = parts.groupBy("block", (F.col("task") / FAN).cast("long").alias("group")).applyInArrow(add, schema)
+            flat = np.array_split((own - start).ravel().astype(np.float16), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int64()), pa.array([float(seen)] * blocks), pa.array([b.tobytes() for b in flat])], ["block", "task", "seen", "step"])
+
+    schema = "block int, task long, seen double, step binary"
+
+    def add(table, kind=np.float16):
+        seen = table.column("seen").to_numpy()
+        mean = np.zeros(len(table.column("step")[0].as_py()) // np.dtype(kind).itemsize, np.float64)
+        for n, b in zip(seen, table.column("step"), strict=True):
+            mean += n / seen.sum() * np.frombuffer(b.as_py(), kind)
+        return pa.table({"block": table.column("block")[:1], "task": pa.array([table.column("task")[0].as_py() // FAN], pa.int64()), "seen": pa.array([float(seen.sum())]), "step": pa.array([mean.astype(np.float32).tobytes()])})
+
+    # Written by the shuffle alone: each table crosses the disk once.
+    parts = chunks.select("held", "sizes", "low", "high", "vocab", "tails").mapInArrow(run, schema).groupBy("block", (F.col("task") / FAN).cast("long").alias("group")).applyInArrow(lambda t: add(t), schema)
+    n = -(-chunks.rdd.getNumPartitions() // FAN)
+    while n > 1:
+        parts = materialize(parts, "lm-parts").groupBy("block", (F.col("task") / FAN).cast("long").alias("group")).applyInArrow(lambda t: add(t, np.float32), schema)
         n = -(-n // FAN)
-        if n <= 1:
-            break
-        parts = materialize(parts, "lm-parts")
-    found = sorted(parts.collect(), key=lambda r: r["block"])  # BLOCKS rows
+    found = sorted(parts.collect(), key=lambda r: r["block"])
     shared.unpersist()
     if not found:
         return weights
-    return (np.concatenate([np.frombuffer(r["sums"], np.float32) for r in found]) / np.float32(found[0]["seen"])).reshape(weights.shape)
+    return weights + np.concatenate([np.frombuffer(r["step"], np.float32) for r in found]).reshape(weights.shape)
 
 
 def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_tokens: int = CHUNK_TOKENS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -232,7 +253,7 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
     sizes = np.array([stats.get(k, (0, 0)) for k in range(CLASSES)], np.float64)
     total, distinct = int(sizes[:, 0].sum()), int(sizes[:, 1].sum())
 
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
+    weights = np.zeros((rows_for(distinct) + 1, CLASSES), np.float32)
     for k in range(rounds):
         weights = _average(chunks.where(F.col("chunk") % rounds == k), weights, head)
     shared = spark.sparkContext.broadcast((weights, head, sizes))
@@ -251,10 +272,10 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
         classes, starts = classes_of(vocab, tails, head), np.cumsum(lengths) - lengths
         base = np.log10((known + 1) / (total + distinct + 1))
         inside = np.log10((known + 1) / (sizes[classes, 0] + sizes[classes, 1] + 1))
-        rows = features(vocab[tokens], starts).astype(np.int32)
+        keys = contexts(vocab[tokens], starts)
         chosen = np.empty(len(tokens), np.float64)
         for s in range(0, len(tokens), BATCH):
-            p = _softmax(weights, rows[:, s : s + BATCH])
+            p = _softmax(weights, rows_of(keys[:, s : s + BATCH], len(weights) - 1))
             chosen[s : s + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), classes[tokens[s : s + BATCH]]], 1e-30))
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table({

@@ -55,7 +55,7 @@ def test_the_model_is_a_distribution():
 def test_descent_learns():
     rng = np.random.default_rng(4)
     weights, squares = np.zeros((lm.ROWS + 1, lm.CLASSES), np.float32), np.full((lm.ROWS + 1, lm.CLASSES), 1e-6, np.float32)
-    context = rng.integers(0, 30, 4000)
+    context = rng.integers(0, 40, 4000)
     rows = np.stack([context, context + 100, context * 3])
     for _ in range(20):
         lm.descend(weights, squares, rows, context)
@@ -68,3 +68,14 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.train_and_score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 3, 0, 0, 0.0)
+
+
+def test_the_table_grows_with_the_vocabulary(spark, monkeypatch):
+    assert (lm.HEAD, lm.TAIL) == (32, 16) and lm.rows_for(0) == lm.rows_for(1) == lm.rows_for(1_000_000) == 1 << 15
+    assert lm.rows_for(5_000_000) == 1 << 16 and lm.rows_for(20_000_000) == 1 << 18
+    row = np.random.default_rng(1).integers(0, 1 << 18, 5000).astype(np.int32)
+    assert (lm._order(row, 1 << 18) == np.argsort(row, kind="stable")).all()
+    made = []
+    monkeypatch.setattr(lm, "rows_for", lambda n: made.append(n) or 1 << 16)
+    rows = lm.train_and_score(spark.createDataFrame(corpus(60), "doc_id long, text string")).collect()
+    assert made == [181] and len(rows) == 60 and all(r["score"] < 0 for r in rows)
