@@ -39,7 +39,8 @@ CLASSES = HEAD + TAIL
 #: Rows of a table of weights: these at least, then as many as a WORDS_PER_ROW-th of the vocabulary asks for, up to what a worker can hold.
 ROWS, WORDS_PER_ROW, MOST_ROWS = 1 << 15, 128, 1 << 18
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
-BATCH, RATE, ROUNDS = 8192, 0.3, 2
+#: FIRST: what the sums of squared gradients begin with, so that a row met once takes a step by its gradient and not by its sign alone, in every round.
+BATCH, RATE, FIRST, ROUNDS = 8192, 0.3, 1.0, 2
 #: Tables added up at a time, and the least number of blocks that a table is cut into, of BLOCK_CELLS at most.
 FAN, BLOCKS, BLOCK_CELLS = 64, 8, 1 << 18
 END = np.int64(np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64))
@@ -199,7 +200,7 @@ def _average(chunks: DataFrame, weights, head: np.ndarray) -> np.ndarray:
     @trimmed
     def run(batches):
         start, heads = shared.value
-        own, squares, seen = start.copy(), np.full(start.shape, 1e-6, np.float32), 0
+        own, squares, seen = start.copy(), np.full(start.shape, FIRST, np.float32), 0
         for batch in batches:
             for at in range(batch.num_rows):
                 vocab, tails, sizes = (np.asarray(_column(batch, c, at)) for c in ("vocab", "tails", "sizes"))
@@ -254,8 +255,8 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
     total, distinct = int(sizes[:, 0].sum()), int(sizes[:, 1].sum())
 
     weights = np.zeros((rows_for(distinct) + 1, CLASSES), np.float32)
-    for k in range(rounds):
-        weights = _average(chunks.where(F.col("chunk") % rounds == k), weights, head)
+    for _ in range(rounds):
+        weights = _average(chunks, weights, head)
     shared = spark.sparkContext.broadcast((weights, head, sizes))
 
     def score(left, right):

@@ -79,3 +79,9 @@ def test_the_table_grows_with_the_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(lm, "rows_for", lambda n: made.append(n) or 1 << 16)
     rows = lm.train_and_score(spark.createDataFrame(corpus(60), "doc_id long, text string")).collect()
     assert made == [181] and len(rows) == 60 and all(r["score"] < 0 for r in rows)
+
+
+def test_each_round_uses_all_chunks(spark):
+    docs = spark.createDataFrame(corpus(200), "doc_id long, text string").coalesce(1)
+    one, two = (sum(r["score"] for r in lm.train_and_score(docs, rounds=k).collect()) for k in (1, 2))
+    assert two > one + 1
