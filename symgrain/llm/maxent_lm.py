@@ -1,11 +1,13 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The probability of a token is that of its class given the context, times that of the token
-within its class. Classes: each of the most frequent words has its own; the others share
-classes by the first two bytes of their spelling. The class softmax is a maximum-entropy model
-over hashed features of the context: the word before (bigram), the two before (trigram) and the
-word before that alone (skip). Within a class a token has add-one probability, with one place
-left for what is unknown.
+The probability of a token is that of its class given the context, times that of its leaf given
+the class and the context, times that of the token within its leaf. Classes: each of the most
+frequent words has its own; the others share classes by the first two bytes of their spelling.
+Leaves: in half of those of a shared class stands one frequent word each; the other words share
+the other half by hash. Both softmaxes are maximum-entropy models over hashed features of the
+context: the word before (bigram), the two before (trigram) and the word before that alone
+(skip); for leaves the class is hashed in. Within a leaf a token has add-one probability, with
+one place left for what is unknown.
 
 Steps, each over all data:
 
@@ -14,7 +16,7 @@ Steps, each over all data:
 2. Vocabulary counts of training documents are summed by hash.
 3. Weights: in each round every task descends the gradient over its share of the training
    chunks, starting from the weights so far; the results are averaged, weighted by tokens, in a
-   tree of bounded fan-in. The table of weights grows with the vocabulary, up to MOST_ROWS.
+   tree of bounded fan-in. The tables of weights grow with the vocabulary, up to MOST_ROWS.
 4. The counts go back to the chunks that hold the word, and each chunk is scored in numpy
    batches.
 
@@ -38,6 +40,8 @@ HEAD, TAIL = 32, 16
 CLASSES = HEAD + TAIL
 #: Rows of a table of weights: these at least, then as many as a WORDS_PER_ROW-th of the vocabulary asks for, up to what a worker can hold.
 ROWS, WORDS_PER_ROW, MOST_ROWS = 1 << 15, 128, 1 << 18
+#: Leaves of a shared class for a vocabulary of LEAF_WORDS; they double when it grows sixteenfold.
+LEAVES, LEAF_WORDS = 32, 1 << 20
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
 #: FIRST: what the sums of squared gradients begin with, so that a row met once takes a step by its gradient and not by its sign alone, in every round.
 BATCH, RATE, FIRST, ROUNDS = 8192, 0.3, 1.0, 2
@@ -118,6 +122,11 @@ def rows_for(distinct: int) -> int:
     return min(max(ROWS, 1 << (-(-distinct // WORDS_PER_ROW) - 1).bit_length()), MOST_ROWS) if distinct else ROWS
 
 
+def leaves_for(distinct: int) -> int:
+    """Leaves of a shared class for so many distinct words, a power of two."""
+    return LEAVES << max(0, (-(-distinct // LEAF_WORDS) - 1).bit_length() // 4) if distinct else LEAVES
+
+
 def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes of each token's context: bigram, trigram, skip. starts: places where a document begins; before it stand end tokens."""
     h = hashes.view(np.uint64)
@@ -141,8 +150,16 @@ def features(hashes: np.ndarray, starts: np.ndarray, rows: int = ROWS) -> np.nda
     return rows_of(contexts(hashes, starts), rows)
 
 
+def leaf_rows(keys: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows of the leaves' table of weights: of each context together with the class, and of the class alone (these rows stand before the bias)."""
+    rows, own = len(weights) - 1 - TAIL, (classes - HEAD).astype(np.uint64)
+    return np.concatenate([rows_of((keys ^ ((own + np.uint64(1)) * _M2)) * _M3, rows), (rows + classes - HEAD).astype(np.int32)[None]])
+
+
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + weights[-1]
+    z = weights[-1] + weights[rows[0]]
+    for row in rows[1:]:
+        z += weights[row]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -180,6 +197,16 @@ def classes_of(vocab: np.ndarray, tails: np.ndarray, head: np.ndarray) -> np.nda
     return np.where(own, order[slot] if len(head) else 0, HEAD + tails).astype(np.int64)
 
 
+def leaves_of(vocab: np.ndarray, classes: np.ndarray, own: np.ndarray, place: np.ndarray, leaves: int) -> np.ndarray:
+    """The leaf of each word within its class; own: the hashes, ascending, of the words that have their own, place: which."""
+    half = leaves // 2
+    found = half + (vocab & (half - 1))
+    if len(own):
+        slot = np.minimum(np.searchsorted(own, vocab), len(own) - 1)
+        found = np.where(own[slot] == vocab, place[slot], found)
+    return np.where(classes < HEAD, 0, found)
+
+
 def _column(batch, name, at):
     start, stop = batch.column(name).offsets[at].as_py(), batch.column(name).offsets[at + 1].as_py()
     return batch.column(name).values.slice(start, stop - start)
@@ -191,30 +218,36 @@ def _tokens(batch, at) -> np.ndarray:
     return low.astype(np.int32) | (high.astype(np.int32) << 16)
 
 
-def _average(chunks: DataFrame, weights, head: np.ndarray) -> np.ndarray:
-    """Descends over all training tokens of the chunks from the given weights; returns the tasks' average. Steps travel in half precision, sums are made in double."""
+def _average(chunks: DataFrame, weights, head: np.ndarray, own: np.ndarray, place: np.ndarray):
+    """Descends over all training tokens of the chunks from the given weights (of classes, of leaves); returns the tasks' average. Steps travel in half precision, sums are made in double."""
     spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast((weights, head))
-    blocks = max(BLOCKS, -(-weights.size // BLOCK_CELLS))
+    shared = spark.sparkContext.broadcast((weights, head, own, place))
+    blocks = max(BLOCKS, -(-sum(w.size for w in weights) // BLOCK_CELLS))
 
     @trimmed
     def run(batches):
-        start, heads = shared.value
-        own, squares, seen = start.copy(), np.full(start.shape, FIRST, np.float32), 0
+        start, heads, words, places = shared.value
+        first, second = (w.copy() for w in start)
+        squares, squares2, seen = np.full(first.shape, FIRST, np.float32), np.full(second.shape, FIRST, np.float32), 0
         for batch in batches:
             for at in range(batch.num_rows):
                 vocab, tails, sizes = (np.asarray(_column(batch, c, at)) for c in ("vocab", "tails", "sizes"))
                 tokens = _tokens(batch, at)
                 held = np.asarray(_column(batch, "held", at).to_pylist(), bool)
                 classes, starts = classes_of(vocab, tails, heads), np.cumsum(sizes) - sizes
+                leaves = leaves_of(vocab, classes, words, places, second.shape[1])
                 keys, trained = contexts(vocab[tokens], starts), np.flatnonzero(~np.repeat(held, sizes))
                 for s in range(0, len(trained), BATCH):
                     some = trained[s : s + BATCH]
-                    descend(own, squares, rows_of(keys[:, some], len(own) - 1), classes[tokens[some]])
+                    descend(first, squares, rows_of(keys[:, some], len(first) - 1), classes[tokens[some]])
+                below = trained[classes[tokens[trained]] >= HEAD]
+                for s in range(0, len(below), BATCH):
+                    some = below[s : s + BATCH]
+                    descend(second, squares2, leaf_rows(keys[:, some], classes[tokens[some]], second), leaves[tokens[some]])
                 seen += len(trained)
         if seen:
             task = TaskContext.get().partitionId()
-            flat = np.array_split((own - start).ravel().astype(np.float16), blocks)
+            flat = np.array_split(np.concatenate([(a - b).ravel().astype(np.float16) for a, b in zip((first, second), start, strict=True)]), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int64()), pa.array([float(seen)] * blocks), pa.array([b.tobytes() for b in flat])], ["block", "task", "seen", "step"])
 
     schema = "block int, task long, seen double, step binary"
@@ -236,7 +269,8 @@ def _average(chunks: DataFrame, weights, head: np.ndarray) -> np.ndarray:
     shared.unpersist()
     if not found:
         return weights
-    return weights + np.concatenate([np.frombuffer(r["step"], np.float32) for r in found]).reshape(weights.shape)
+    step = np.concatenate([np.frombuffer(r["step"], np.float32) for r in found])
+    return [w + part.reshape(w.shape) for w, part in zip(weights, np.split(step, [weights[0].size]), strict=True)]
 
 
 def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_tokens: int = CHUNK_TOKENS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -247,20 +281,35 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
     chunks = materialize(chunks_of(docs, held_out, chunk_tokens, chunk_words), "lm-chunks")
     each = chunks.select(F.inline(F.arrays_zip("vocab", "tails", "counts"))).where("counts > 0")
     counts = materialize(each.groupBy(F.col("vocab").alias("word")).agg(F.sum("counts").alias("c"), F.max("tails").alias("tail")), "lm-counts")
-    head = np.array([END, *(r["word"] for r in counts.where(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(HEAD - 1).collect())], np.int64)
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    leaves = leaves_for(distinct)
+    half = leaves // 2
+    top = counts.where(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(HEAD - 1 + 16 * TAIL * half).collect()
+    head = np.array([END, *(r["word"] for r in top[: HEAD - 1])], np.int64)
 
     number = F.coalesce(*[F.when(F.col("word") == int(h), F.lit(i)) for i, h in enumerate(head)], F.lit(HEAD) + F.col("tail"))
-    stats = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy(number.alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    sizes = np.array([stats.get(k, (0, 0)) for k in range(CLASSES)], np.float64)
-    total, distinct = int(sizes[:, 0].sum()), int(sizes[:, 1].sum())
-
-    weights = np.zeros((rows_for(distinct) + 1, CLASSES), np.float32)
+    shared_leaf = F.when(number < HEAD, 0).otherwise(F.lit(half) + F.col("word").bitwiseAND(F.lit(half - 1)))
+    sizes = np.zeros((CLASSES, leaves, 2), np.float64)  # of each leaf: training tokens, words
+    for r in counts.groupBy(number.alias("class"), shared_leaf.cast("int").alias("leaf")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        sizes[r["class"], r["leaf"]] = r["n"], r["v"]
+    taken, places = [0] * TAIL, {}
+    for r in top[HEAD - 1 :]:
+        if taken[r["tail"]] < half:
+            places[r["word"]] = taken[r["tail"]]
+            sizes[HEAD + r["tail"], taken[r["tail"]]] = r["c"], 1
+            sizes[HEAD + r["tail"], half + (r["word"] & (half - 1))] -= r["c"], 1
+            taken[r["tail"]] += 1
+    own = np.array(sorted(places), np.int64)
+    place = np.array([places[w] for w in sorted(places)], np.int64)
+
+    rows = rows_for(distinct)
+    weights = [np.zeros((rows + 1, CLASSES), np.float32), np.zeros((rows + TAIL + 1, leaves), np.float32)]
     for _ in range(rounds):
-        weights = _average(chunks, weights, head)
-    shared = spark.sparkContext.broadcast((weights, head, sizes))
+        weights = _average(chunks, weights, head, own, place)
+    shared = spark.sparkContext.broadcast((weights, head, own, place, sizes))
 
     def score(left, right):
-        weights, head, sizes = shared.value
+        (first, second), head, own, place, sizes = shared.value
         batch = left.combine_chunks().to_batches()[0]
         vocab, tails, lengths = (np.asarray(_column(batch, c, 0)) for c in ("vocab", "tails", "sizes"))
         tokens = _tokens(batch, 0)
@@ -272,12 +321,18 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
             known = np.where(words[order][slot] == vocab, right.column("c").to_numpy()[order][slot], 0)
         classes, starts = classes_of(vocab, tails, head), np.cumsum(lengths) - lengths
         base = np.log10((known + 1) / (total + distinct + 1))
-        inside = np.log10((known + 1) / (sizes[classes, 0] + sizes[classes, 1] + 1))
+        leaves = leaves_of(vocab, classes, own, place, second.shape[1])
+        inside = np.log10((known + 1) / (sizes[classes, leaves].sum(axis=1) + 1))
         keys = contexts(vocab[tokens], starts)
         chosen = np.empty(len(tokens), np.float64)
         for s in range(0, len(tokens), BATCH):
-            p = _softmax(weights, rows_of(keys[:, s : s + BATCH], len(weights) - 1))
+            p = _softmax(first, rows_of(keys[:, s : s + BATCH], len(first) - 1))
             chosen[s : s + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), classes[tokens[s : s + BATCH]]], 1e-30))
+        below = np.flatnonzero(classes[tokens] >= HEAD)
+        for s in range(0, len(below), BATCH):
+            some = below[s : s + BATCH]
+            p = _softmax(second, leaf_rows(keys[:, some], classes[tokens[some]], second))
+            chosen[some] += np.log10(np.maximum(p[np.arange(len(p)), leaves[tokens[some]]], 1e-30))
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table({
             "doc_id": _column(batch, "doc_ids", 0), "held_out": _column(batch, "held", 0), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(add((known > 0)[tokens].astype(np.int64))),

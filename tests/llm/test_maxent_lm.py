@@ -85,3 +85,13 @@ def test_each_round_uses_all_chunks(spark):
     docs = spark.createDataFrame(corpus(200), "doc_id long, text string").coalesce(1)
     one, two = (sum(r["score"] for r in lm.train_and_score(docs, rounds=k).collect()) for k in (1, 2))
     assert two > one + 1
+
+
+def test_context_tells_words_of_one_class_apart(spark):
+    assert lm.leaves_for(0) == lm.leaves_for(5_000_000) == 32 and lm.leaves_for(30_000_000) == 64
+    vocab, classes = np.array([4, -7, 9, 12]), np.array([lm.HEAD, lm.HEAD + 1, lm.HEAD, 3])
+    assert lm.leaves_of(vocab, classes, np.array([-7, 9]), np.array([2, 5]), 32).tolist() == [16 + 4, 2, 5, 0]
+    rng, ring = random.Random(5), [f"ba{i}" for i in range(150)]  # one class but for those that have their own
+    rows = [(i, " ".join(ring[(k + j) % 150] for j in range(100))) for i in range(400) for k in [rng.randrange(150)]]
+    held = [r for r in lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 1.0 * sum(r["n_tokens"] for r in held)
