@@ -6,8 +6,12 @@ corpus, and it can be counted over all trusted text, summed in Spark by shard an
 sent to every worker, where each document meets the shards' counts by direct address.
 
 A document is rejected if its perplexity lies above its language's bound: the trusted
-documents' quantile, times a margin. Languages with few trusted documents, and null, take the
-bound of all.
+documents' quantile of what is left after an allowance for short texts, whose means scatter
+(ALLOWANCE / sqrt(symbols), on log10), times a margin that vanishes as trusted documents grow in
+number. Languages with few trusted documents, and null, take the bound of all. Symbols do not
+see a word that is likely and comes again and again: a document of LEAST_WORDS or more is also
+rejected if over a share MOST_REPEATED of its words equal the word before (trusted documents of
+sf0.1: 0.15 at most).
 
 Defined results: a null or empty text has no symbols, perplexity null, and is kept; texts are
 scored whole; repeated rows are scored alike and each gives a row; labels that repeat an id or
@@ -17,6 +21,9 @@ out.
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +34,7 @@ from symgrain.llm.common import materialize, trimmed
 
 SYMBOLS, ORDER = 64, 4
 SHARDS = 64
+ALLOWANCE, LEAST_WORDS, MOST_REPEATED = 2.0, 5, 0.3
 #: Trusted ids that may be broadcast (8 bytes each); beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 10_000_000
 _ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõøùúûüœßÿ"
@@ -149,55 +157,64 @@ def _slices(batches, rows: int = 500):
             yield batch.slice(start, rows)
 
 
-def _score(text: str | None, model: np.ndarray) -> tuple[int, float | None]:
+def repeated(text: str) -> float:
+    """Share of the words, after the first, that equal the word before; 0 for a text of few words."""
+    words = text.split()
+    return sum(map(eq, words, islice(words, 1, None))) / (len(words) - 1) if len(words) >= LEAST_WORDS else 0.0
+
+
+def _score(text: str | None, model: np.ndarray) -> tuple[int, float | None, float]:
+    """Symbols, log10 perplexity, share of repeated words."""
     if not text:
-        return 0, None
+        return 0, None, 0.0
     cells = grams_of(text)
-    return len(cells), float(-model[cells].mean(dtype=np.float64))
+    return len(cells), float(-model[cells].mean(dtype=np.float64)), repeated(text)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, lang, n_symbols, log10_perplexity) of each row."""
+    """(doc_id, lang, n_symbols, log10_perplexity, repeated) of each row."""
 
     @trimmed
     def run(batches):
         for batch in _slices(batches):
             each = [_score(t, model.value) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in each], pa.int64()), pa.array([s for _, s in each], pa.float64())], ["doc_id", "lang", "n_symbols", "log10_perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(column, kind) for column, kind in zip(zip(*each, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "lang", "n_symbols", "log10_perplexity", "repeated"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, n_symbols long, log10_perplexity double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, n_symbols long, log10_perplexity double, repeated double")
 
 
-def bounds(scores: DataFrame, trusted: DataFrame, quantile: float, margin: float, least_docs: int) -> DataFrame:
+def bounds(scores: DataFrame, trusted: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
     """(lang, bound): a row for each language with enough trusted documents, and one with a null lang for the others."""
     good = materialize(_semi(scores, trusted).where("log10_perplexity IS NOT NULL"), "trusted-scores")
-    cut = F.percentile_approx("log10_perplexity", F.lit(quantile), F.lit(20_000)) * margin
+    left = F.col("log10_perplexity") - F.lit(ALLOWANCE) / F.sqrt("n_symbols")
+    best = F.percentile_approx(left, F.lit(quantile), F.lit(20_000))
+    cut = best + F.abs(best) * doubt / F.sqrt(F.count(F.lit(1)))
     own = good.where("lang IS NOT NULL").groupBy("lang").agg(cut.alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("lang", "bound")
     return own.unionByName(good.agg(cut.alias("bound")).select(F.lit(None).cast("string").alias("lang"), "bound"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05, least_docs: int = 50) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, bound, keep of each row."""
-    scores, limits = _fit(docs, labels, quantile, margin, least_docs)
+    scores, limits = _fit(docs, labels, quantile, doubt, least_docs)
     rest = limits.where("lang IS NULL").select(F.col("bound").alias("rest"))
     joined = scores.join(limits.where("lang IS NOT NULL"), "lang", "left").withColumn("rest", rest.scalar())
-    bound = F.coalesce("bound", "rest")
-    keep = F.coalesce(F.col("log10_perplexity") <= bound, F.lit(True))
+    bound = F.coalesce("bound", "rest") + F.when(F.col("n_symbols") > 0, F.lit(ALLOWANCE) / F.sqrt("n_symbols")).otherwise(0.0)
+    keep = F.coalesce((F.col("log10_perplexity") <= bound) & ((F.col("repeated") <= MOST_REPEATED) | bound.isNull()), F.lit(True))
     return joined.select("doc_id", "lang", "n_symbols", F.pow(F.lit(10.0), "log10_perplexity").alias("perplexity"), F.pow(F.lit(10.0), bound).alias("bound"), keep.alias("keep"))
 
 
-def _fit(docs, labels, quantile, margin, least_docs):
+def _fit(docs, labels, quantile, doubt, least_docs):
     trusted = trusted_ids(labels)
     scores = materialize(score(docs, train(docs, trusted)), "quality-scores")
-    return scores, materialize(bounds(scores, trusted, quantile, margin, least_docs), "quality-bounds")
+    return scores, materialize(bounds(scores, trusted, quantile, doubt, least_docs), "quality-bounds")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05, least_docs: int = 50, max_languages: int = 10_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, max_languages: int = 10_000) -> DataFrame:
     """The rows of docs that are not rejected, all columns kept. Texts are scored again rather than shuffled."""
     trusted = trusted_ids(labels)
     model = train(docs, trusted)
     scores = materialize(score(docs, model), "quality-scores")
-    found = bounds(scores, trusted, quantile, margin, least_docs).limit(max_languages + 1).collect()
+    found = bounds(scores, trusted, quantile, doubt, least_docs).limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError("more languages than may be sent to every task")
     limits = {r["lang"]: r["bound"] for r in found}
@@ -207,8 +224,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margi
         for batch in _slices(batches):
             keep = []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                bound, found = limits.get(lang, limits[None]), _score(text, model.value)[1]
-                keep.append(found is None or bound is None or found <= bound)
+                bound, (n, found, again) = limits.get(lang, limits[None]), _score(text, model.value)
+                keep.append(found is None or bound is None or (found <= bound + ALLOWANCE / n**0.5 and again <= MOST_REPEATED))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

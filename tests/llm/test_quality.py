@@ -72,3 +72,13 @@ def test_empty_tables(spark):
     assert [r["keep"] for r in q.classify(docs, labels).collect()] == [True]
     assert q.keep_good(docs, labels).count() == 1
     assert q.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_rejects_repeated_words_and_allows_for_short_texts(spark):
+    good, _ = corpus()
+    rows = [*enumerate(good), (500, "the " * 80), (501, "water " * 30 + "stone " * 30), (502, "the of"), (503, "the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in q.classify(docs, labels).collect() if not r["keep"]} == {500, 501}
+    assert {r["doc_id"] for r in q.keep_good(docs, labels).collect()} == {*range(120), 502, 503}
+    assert q.repeated("a a b b c") == 0.5 and q.repeated("a a a") == q.repeated("") == 0
