@@ -119,6 +119,7 @@ class PieceEncoder:
     """Encodes texts by their distinct pieces where single spaces never cut a pre-token; subclasses give _whole."""
 
     by_piece = True
+    whole_if: list[str] = []  # texts that hold one of these are not cut
 
     def __init__(self, memo_pieces: int):
         self.memo = PieceMemo(memo_pieces)
@@ -149,7 +150,10 @@ class PieceEncoder:
         if not n:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        plain = pa.array(~pc.match_substring_regex(texts, SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False).astype(bool) & self.by_piece)
+        plain = ~pc.match_substring_regex(texts, SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False).astype(bool) & self.by_piece
+        for content in self.whole_if:
+            plain &= ~pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
+        plain = pa.array(plain)
         split = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
         offsets, values = np.asarray(split.offsets).astype(np.int64), split.values
         firsts = np.zeros(len(values), bool)

@@ -5,7 +5,8 @@ run-length encoding for the ids, a row index and a Bloom filter on the document
 take stripes in parallel and skip those whose statistics or filter exclude an id.
 
 Tokenizing goes through the tokenizers library. Where it splits texts before merging, each
-distinct piece of a batch is encoded once and remembered (bounded); other texts go whole.
+distinct piece of a batch is encoded once and remembered (bounded); other texts go whole, as do
+those that hold an added token, which the library finds before it splits.
 
 Defined results: a null text counts as empty and holds the end id alone; texts are encoded
 whole; rows that share an id all stay, and their offsets follow (n_tokens, ids_crc32); null ids
@@ -36,26 +37,27 @@ MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 1_000
 
 
 class PieceTokenizer(PieceEncoder):
-    """The library's tokenizer of one file, with a memo of pieces; one per Python worker and file."""
+    """The library's tokenizer of one file, with a memo of pieces; one per Python worker and file. added: added tokens are found in texts, as the file says (the store's way); else they are text like any other."""
 
     _built: dict[str, PieceTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         super().__init__(MEMO_PIECES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as file:
             spec = json.load(file)
+        self.tokenizer.encode_special_tokens = not added
+        self.whole_if = [token["content"] for token in spec.get("added_tokens") or []]
         first = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
 
     @classmethod
     def of(cls, path: str) -> PieceTokenizer:
         if path not in cls._built:
-            cls._built[path] = cls(path)
+            cls._built[path] = cls(path, added=True)
         return cls._built[path]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -46,3 +46,17 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     store.write_store(docs, str(tmp_path / "none"))
     assert store.index_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_added_tokens_equal_the_library_as_loaded(spark, tmp_path):
+    loaded = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark} x", f"no{mark}gap", f" {mark}  two\n", f"cut <|endof text|> {mark[:-1]}", "plain words", "", None]
+    want = [loaded.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    mine, rng = store.PieceTokenizer.of(P.path("byte_bpe_50k.json")), random.Random(6)
+    for some in [texts, *(["".join(rng.choices([mark, *ODD], k=9)) for _ in range(20)] for _ in range(30))]:
+        ids, sizes = mine.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [loaded.encode(t or "", add_special_tokens=False).ids for t in some]
+    store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "added"))
+    assert [r["ids"][:-1] for r in store.read_store(spark, str(tmp_path / "added")).orderBy("doc_id").collect()] == want
