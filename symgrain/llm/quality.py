@@ -59,11 +59,19 @@ def _symbol_table() -> np.ndarray:
 
 
 _TABLE = _symbol_table()
+#: Where accented letters are folded; letters of other scripts share these symbols by hash, marks and pictures beyond the table are 0.
+_FOLDED = 29 + len(_MARKS)
 
 
 def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 0).astype(np.int32)
+    found = _TABLE[np.minimum(points, len(_TABLE) - 1)].astype(np.int32)
+    far = np.flatnonzero(points >= len(_TABLE))
+    if len(far):
+        beyond = points[far]
+        letters = ((beyond >= 0x370) & (beyond < 0x2000)) | ((beyond >= 0x2E80) & (beyond < 0xE000)) | ((beyond >= 0x20000) & (beyond < 0x32000))
+        found[far] = np.where(letters, _FOLDED + (beyond * np.uint32(0x9E3779B1) >> 16) % (SYMBOLS - _FOLDED), 0)
+    return found
 
 
 def grams_of(text: str) -> np.ndarray:

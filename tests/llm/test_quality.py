@@ -82,3 +82,11 @@ def test_rejects_repeated_words_and_allows_for_short_texts(spark):
     assert {r["doc_id"] for r in q.classify(docs, labels).collect() if not r["keep"]} == {500, 501}
     assert {r["doc_id"] for r in q.keep_good(docs, labels).collect()} == {*range(120), 502, 503}
     assert q.repeated("a a b b c") == 0.5 and q.repeated("a a a") == q.repeated("") == 0
+
+
+def test_letters_of_other_scripts_are_told_apart():
+    for text in ("привет мир как дела", "καλημέρα κόσμε", "你好世界天地玄黄", "مرحبا بالعالم"):
+        found = q.symbols_of(text)
+        assert len(set(found.tolist())) > 4 and found.max() < q.SYMBOLS
+        assert (found == q.symbols_of(text)).all() and 0 not in found[[c.isalpha() for c in text]]
+    assert q.symbols_of("\u201c\U0001f642").tolist() == [0, 0] and q.symbols_of("aé").tolist() == [1, q._TABLE[ord("é")]]
