@@ -30,9 +30,10 @@ from symgrain.llm.buckets import ranges
 from symgrain.llm.common import trimmed
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
-#: Pieces that a worker's memo may hold (some 40 bytes each), words and pairs that its dictionaries may, and texts encoded at a time.
-MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 600_000, 40_000, 150_000
+#: Pieces that a worker's memo may hold (some 60 bytes each), and of how many bytes; words and pairs that its dictionaries may, and texts encoded at a time.
+MEMO_PIECES, MEMO_BYTES, MEMO_WORDS, MEMO_PAIRS = 600_000, 24, 40_000, 150_000
 MEMO_CHARS, DOCS_AT_ONCE = 80, 1_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
 SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
@@ -56,49 +57,51 @@ class _Memo(dict):
         return value
 
 
-def hashes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each string: sums of random words, one for each byte value, times powers that its place gives, and the length."""
+def words_and_sizes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each string's first MEMO_BYTES bytes, zeros behind them, as 64-bit words; and its length in bytes. The two tell strings of up to MEMO_BYTES apart."""
     strings = pa.concat_arrays([strings])  # from offset zero
     _, offsets, data = strings.buffers()
     ends = np.frombuffer(offsets, np.int32, len(strings) + 1).astype(np.int64)
     raw = np.frombuffer(data, np.uint8, ends[-1]) if data is not None else np.empty(0, np.uint8)
     sizes = np.diff(ends)
-    place = np.arange(len(raw)) - np.repeat(ends[:-1], sizes)
-    out = []
-    for words, power in _HASHES:
-        powers = np.full(int(sizes.max(initial=0)) + 1, power, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        sums = np.zeros(len(sizes), np.uint64)
-        full = np.flatnonzero(sizes)
-        if len(full):
-            sums[full] = np.add.reduceat(words[raw] * powers[place], ends[full])
-        sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
-        out.append(sums ^ (sums >> np.uint64(32)))
-    return out[0], out[1]
-
-
-_HASHES = [(np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64), np.uint64(power)) for seed, power in ((17, 0x9E3779B97F4A7C15), (23, 0xC2B2AE3D27D4EB4F))]
+    raw = np.concatenate([raw, np.zeros(MEMO_BYTES, np.uint8)])
+    table = np.lib.stride_tricks.sliding_window_view(raw, MEMO_BYTES)[ends[:-1]]
+    table = np.where(np.arange(MEMO_BYTES) < sizes[:, None], table, 0).astype(np.uint8)
+    return table.view("<u8"), sizes
 
 
 class PieceMemo:
-    """Ids of pieces, by two 64-bit hashes of each: some 40 bytes an entry. Emptied when full."""
+    """Ids of pieces of up to MEMO_BYTES bytes, found by the pieces' own bytes: an open-addressed table names the entry, whose words and length must equal the piece's. Emptied when full."""
 
     def __init__(self, size: int):
         self.size = size
+        self.slots = 1 << max(2 * size - 1, 1).bit_length()
         self.clear()
 
     def clear(self) -> None:
-        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.used = np.empty(1 << 16, np.int32), 0
-
-    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Each piece's place, or -1."""
-        if not len(self.first):
-            return np.full(len(first), -1)
-        slot = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
-        return np.where((self.first[slot] == first) & (self.second[slot] == second), slot, -1)
+        self.table = np.full(self.slots, -1, np.int32)
+        self.words, self.sizes = np.empty((0, MEMO_BYTES // 8), np.uint64), np.empty(0, np.uint8)
+        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used, self.entries = np.empty(1 << 16, np.int32), 0, 0
+
+    def _slots(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        mixed = sizes.astype(np.uint64)
+        for column in words.T:
+            mixed = (mixed ^ column) * _MIX
+            mixed ^= mixed >> np.uint64(32)
+        return (mixed & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def places(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each piece's entry, or -1."""
+        found, slot, open_ = np.full(len(sizes), -1, np.int64), self._slots(words, sizes), np.arange(len(sizes))
+        while len(open_):
+            entry = self.table[slot]
+            there = entry >= 0
+            open_, slot, entry = open_[there], slot[there], entry[there]
+            same = (self.sizes[entry] == sizes[open_]) & (self.words[entry] == words[open_]).all(axis=1)
+            found[open_[same]] = entry[same]
+            open_, slot = open_[~same], (slot[~same] + 1) & (self.slots - 1)
+        return found
 
     def append(self, values: np.ndarray) -> int:
         """Puts ids behind the others and returns where they begin."""
@@ -109,10 +112,21 @@ class PieceMemo:
         self.used += len(values)
         return at
 
-    def add(self, first: np.ndarray, second: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-        order = np.argsort(first, kind="stable")
-        at = np.searchsorted(self.first, first[order])
-        self.first, self.second, self.begin, self.length = (np.insert(a, at, x[order]) for a, x in ((self.first, first), (self.second, second), (self.begin, begin), (self.length, length)))
+    def add(self, words: np.ndarray, sizes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """Enters pieces, all different and none known."""
+        first, total = self.entries, self.entries + len(sizes)
+        if total > len(self.sizes):
+            room = max(total, min(2 * len(self.sizes), self.size))
+            self.words, self.sizes, self.begin, self.length = (np.concatenate([a[:first], np.empty((room - first, *a.shape[1:]), a.dtype)]) for a in (self.words, self.sizes, self.begin, self.length))
+        for kept, fresh in ((self.words, words), (self.sizes, sizes), (self.begin, begin), (self.length, length)):
+            kept[first:total] = fresh
+        self.entries = total
+        entry, slot = np.arange(first, total, dtype=np.int32), self._slots(words, sizes)
+        while len(entry):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = entry[free]
+            lost = self.table[slot] != entry
+            entry, slot = entry[lost], (slot[lost] + 1) & (self.slots - 1)
 
 
 class PieceEncoder:
@@ -128,21 +142,27 @@ class PieceEncoder:
         """All ids one after another, and how many each text has."""
         raise NotImplementedError
 
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the memo's ids each distinct piece, which a space precedes, begins, and how many it has."""
-        if len(self.memo.first) + len(pieces) > self.memo.size:
+    def _new_pieces(self, pieces: pa.Array, some: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """Encodes some of the pieces and notes where their ids are."""
+        values, sizes = self._whole([" " + p for p in pieces.take(pa.array(some)).to_pylist()])
+        begin[some], length[some] = self.memo.append(values) + np.cumsum(sizes) - sizes, sizes
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where in the memo's ids each distinct piece, which a space precedes, begins, and how many it has; and where the ids that are remembered end."""
+        if self.memo.entries + len(pieces) > self.memo.size:
             self.memo.clear()
-        first, second = hashes_of(pieces)
-        place = self.memo.places(first, second)
-        new = np.flatnonzero(place < 0)
+        words, sizes = words_and_sizes(pieces)
+        place = self.memo.places(words, sizes)
+        old, new = place >= 0, np.flatnonzero(place < 0)
         begin, length = (np.zeros(len(pieces), np.int64) for _ in range(2))
-        old = place >= 0
         begin[old], length[old] = self.memo.begin[place[old]], self.memo.length[place[old]]
-        values, sizes = self._whole([" " + p for p in pieces.take(pa.array(new)).to_pylist()])
-        begin[new] = self.memo.append(values) + np.cumsum(sizes) - sizes
-        length[new] = sizes
-        self.memo.add(first[new], second[new], begin[new], sizes)
-        return begin, length
+        short = sizes[new] <= MEMO_BYTES if len(new) <= self.memo.size else np.zeros(len(new), bool)
+        kept = new[short]
+        self._new_pieces(pieces, kept, begin, length)
+        self.memo.add(words[kept], sizes[kept], begin[kept], length[kept])
+        used = self.memo.used
+        self._new_pieces(pieces, new[~short], begin, length)  # for this batch only
+        return begin, length, used
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and how many each has; end_id, if given, ends each text."""
@@ -159,10 +179,10 @@ class PieceEncoder:
         firsts = np.zeros(len(values), bool)
         firsts[offsets[:-1]] = True
         coded = values.filter(pa.array(~firsts)).dictionary_encode()
-        begin, length = self._pieces(coded.dictionary)
+        begin, length, kept = self._pieces(coded.dictionary)
         heads, sizes = self._whole(pc.if_else(plain, values.filter(pa.array(firsts)), texts).to_pylist())
         used = self.memo.append(np.concatenate([heads, np.array([] if end_id is None else [end_id], np.int32)]))
-        pool, self.memo.used = self.memo.ids, used  # what is only this batch's will be written over
+        pool, self.memo.used = self.memo.ids, kept  # what is only this batch's will be written over
         begin = np.concatenate([begin, used + np.cumsum(sizes) - sizes, [used + len(heads)]])
         length = np.concatenate([length, sizes, [int(end_id is not None)]])
         # What stands where: a text's first piece, its others, the end.

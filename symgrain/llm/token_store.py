@@ -9,8 +9,9 @@ distinct piece of a batch is encoded once and remembered (bounded); other texts
 those that hold an added token, which the library finds before it splits.
 
 Defined results: a null text counts as empty and holds the end id alone; texts are encoded
-whole; rows that share an id all stay, and their offsets follow (n_tokens, ids_crc32); null ids
-come first; an empty table gives an empty store; other columns are left out.
+whole; rows that share an id all stay, in one file, and their offsets follow their place in it
+(which is a column of its own, ``place``, as ORC rows carry none); null ids come first; an empty
+table gives an empty store; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from symgrain.llm.bpe import PieceEncoder
 from symgrain.llm.common import materialize, trimmed
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-SCHEMA = "doc_id long, ids array<int>"
-#: Pieces that a worker's memo may hold (some 40 bytes each), and texts encoded at a time.
+SCHEMA = "doc_id long, place long, ids array<int>"
+#: Pieces that a worker's memo may hold (some 60 bytes each), and texts encoded at a time.
 MEMO_PIECES, DOCS_AT_ONCE = 1_200_000, 1_000
 
 
@@ -68,17 +69,19 @@ class PieceTokenizer(PieceEncoder):
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
-    """Writes doc_id and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""
+    """Writes doc_id, place (within the task's rows) and ids, end_id appended, in ascending doc_id order within and across files (as many as adaptive execution makes, or the given number)."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER_FILE)
 
     def run(batches):
-        tokenizer = PieceTokenizer.of(tokenizer_path)
+        tokenizer, before = PieceTokenizer.of(tokenizer_path), 0
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(start, DOCS_AT_ONCE)
                 values, sizes = tokenizer.encode(part.column(1), end_id)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
+                places = pa.array(np.arange(before, before + part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), places, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "place", "ids"])
+                before += part.num_rows
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, SCHEMA).write.format("orc").options(**{"compression": "lz4", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}).save(path)
@@ -93,23 +96,23 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
 def index_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files.
 
-    Offsets: a running sum within each file, plus the sum over the files before it. Files hold
-    consecutive ranges, so only one row for each file meets in one task.
+    Offsets: a running sum over a task's rows, by place, plus the sum over the tasks before it.
+    Tasks hold consecutive ranges, so only one row for each task meets in one task.
     """
 
     @trimmed
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             ends = np.asarray(lists.offsets)
             values = np.asarray(lists.values).astype("<u4")
             crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
-
-    part, piece = (F.regexp_extract("_metadata.file_name", p, 1).try_cast("long") for p in (r"part-(\d+)", r"-c(\d+)"))
-    rows = read_store(spark, path).select("doc_id", "ids", (part * 1000 + F.coalesce(piece, F.lit(0))).alias("file"))
-    each = materialize(rows.mapInArrow(run, "doc_id long, file long, n_tokens long, ids_crc32 long"), "token-index")
-    files = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("before"))
-    inside = W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, 0)
-    return each.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, "file").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "place", "part", "n_tokens", "ids_crc32"])
+
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    rows = read_store(spark, path).select("doc_id", "place", "ids", part.alias("part"))
+    each = materialize(rows.mapInArrow(run, "doc_id long, place long, part long, n_tokens long, ids_crc32 long"), "token-index")
+    parts = each.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    inside = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    return each.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, "part").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

@@ -41,6 +41,29 @@ def test_long_words_and_full_memo(monkeypatch):
         assert c.encode_one(text) == e.encode_ordinary(text)
 
 
+def thue_morse():
+    """Two pieces of equal length whose sums of place-weighted bytes agree for many odd multipliers."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch):
+    e, (x, y) = library(), thue_morse()
+    for first, second in ((x, y), (y, x)):
+        c = bpe.BytePairCodec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        for text in (f"s {first}", f"s {second}", f"s {first} {second}"):
+            ids, _ = c.encode(pa.array([text]))
+            assert ids.tolist() == e.encode_ordinary(text) and c.decode(ids.tolist()).decode() == text
+    monkeypatch.setattr(bpe.PieceMemo, "_slots", lambda self, words, sizes: np.zeros(len(sizes), np.int64))  # all in one place
+    c = bpe.BytePairCodec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [f"s {'k' * k} {'k' * k}\x00 é{k} {'n' * (20 + k)}" for k in range(12)]
+    for _ in range(2):
+        ids, sizes = c.encode(pa.array(texts))
+        assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [e.encode_ordinary(t) for t in texts]
+
+
 def test_query(spark):
     e = library()
     rows = [(1, "The cat's  hat"), (2, None), (3, ""), (1, "The cat's  hat"), (None, "x\n\n y")]

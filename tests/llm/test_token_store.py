@@ -7,7 +7,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from symgrain.llm import token_store as store
-from tests.llm.test_bpe import ODD
+from tests.llm.test_bpe import ODD, thue_morse
 
 
 T = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -60,3 +60,22 @@ def test_added_tokens_equal_the_library_as_loaded(spark, tmp_path):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [loaded.encode(t or "", add_special_tokens=False).ids for t in some]
     store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "added"))
     assert [r["ids"][:-1] for r in store.read_store(spark, str(tmp_path / "added")).orderBy("doc_id").collect()] == want
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    loaded, (x, y) = Tokenizer.from_file(P.path("byte_bpe_50k.json")), thue_morse()
+    for first, second in ((x, y), (y, x)):
+        mine = store.PieceTokenizer(P.path("byte_bpe_50k.json"), added=True)
+        for text in (f"s {first}", f"s {second}", f"s {first} {second}"):
+            assert mine.encode(pa.array([text]))[0].tolist() == loaded.encode(text, add_special_tokens=False).ids
+
+
+def test_offsets_of_repeated_ids_are_those_of_the_file(spark, tmp_path):
+    rows = [(1, "word " * 20), (1, "two"), (1, None), (1, "word " * 20), (0, "first"), (None, "none here"), (None, "n"), (2, "last")]
+    path = str(tmp_path / "ids")
+    store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, files=2)
+    stored = [r["ids"] for r in sorted(spark.read.orc(path).selectExpr("*", "_metadata.file_name as f").collect(), key=lambda r: (r["f"], r["place"]))]
+    starts, crcs = [sum(map(len, stored[:k])) for k in range(len(stored))], [zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for ids in stored]
+    found = sorted(store.index_store(spark, path).collect(), key=lambda r: r["start"])
+    assert [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in found] == list(zip(starts, map(len, stored), crcs))
+    assert [r["doc_id"] for r in found] == [None, None, 0, 1, 1, 1, 1, 2]
