@@ -5,17 +5,20 @@ the axis that it then lies nearest to, with the sign. A table joins two such has
 each vector also enters the buckets that the second-nearest axis of either hash gives. Members
 of a bucket are compared in double precision, so every link is verified.
 
-Equal vectors with equal labels collapse to one class first. A pair counts only in the first
-bucket in which it meets, so tasks return sums and one link per member, never pairs. A bucket of
-more than ``cap`` members is cut into blocks whose pairs go to different tasks.
+Equal vectors with equal labels collapse to one class first, those that can link at all. A pair
+counts only in the first bucket in which it meets, so tasks return sums and one link per member,
+never pairs. A bucket of more than ``cap`` members is cut into blocks whose pairs go to
+different tasks.
 
-A pair at cosine 0.93 in 64 dimensions meets in a table with probability of about 0.7, so
-twelve tables miss fewer than one in a million; recall is measured in the tests.
+Hashes per table grow with the logarithm of the number of vectors, so that chance fills a bucket
+with some OCCUPANCY members at most, and tables with the hashes. Measured in 64 dimensions, a
+pair at cosine 0.93 meets in a table of 1, 2, 3, 4 hashes with probability 0.88, 0.72, 0.55,
+0.41; TABLES then miss fewer than one in a million. Recall is measured in the tests.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components, and
 rows without label or vec_id, link with nothing: n_links 0, their own component (null without a
 vec_id, and then kept is null); vectors of different lengths do not link; rows that repeat a
-vec_id are separate vectors; other columns are left out.
+vec_id are separate vectors; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from symgrain.llm.buckets import by_cells, deal, least_linked, ranges, starts_of
 from symgrain.llm.common import connected_components, materialize, trimmed
 
-TABLES, PROBES, HASHES = 12, 3, 2
-CAP = 2048
+#: Tables by hashes per table.
+TABLES = {1: 7, 2: 12, 3: 18, 4: 28}
+OCCUPANCY, CAP = 64, 2048
 #: Pairs that one numpy step may hold, and the cell size from which blocks are multiplied instead.
 _PAIRS, _LARGE = 200_000, 48
 
@@ -58,61 +62,56 @@ def axes(x: np.ndarray, table: int, k: int, seed: int) -> tuple[np.ndarray, np.n
     return code(first), code(second), top - away[rows, second]
 
 
-def signatures(unit: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
-    """rows x tables x PROBES bucket numbers: both nearest axes, then each with the other's second-nearest."""
-    width = 1 << max(int(np.ceil(np.log2(unit.shape[1]))), 0)
+def hashes_for(vectors: int, size: int) -> int:
+    """Hashes per table for so many vectors of that length: two at least, for which a table's buckets number (2 x width) ^ hashes."""
+    return next((k for k in range(2, max(TABLES)) if vectors * (k + 1) <= OCCUPANCY * (2 * _width(size)) ** k), max(TABLES))
+
+
+def _width(size: int) -> int:
+    return 1 << max((size - 1).bit_length(), 1)
+
+
+def signatures(unit: np.ndarray, hashes: int = 2, tables: int | None = None, seed: int = 11) -> np.ndarray:
+    """rows x tables x (hashes + 1) bucket numbers: all nearest axes, then each replaced by the second-nearest. A row's buckets of one table differ."""
+    width, tables = _width(unit.shape[1]), tables or TABLES[hashes]
     padded = np.zeros((len(unit), width))
     padded[:, : unit.shape[1]] = unit
-    out = np.empty((len(unit), tables, PROBES), np.int64)
+    out = np.empty((len(unit), tables, hashes + 1), np.int64)
     for t in range(tables):
-        (a, a2, _), (b, b2, _) = (axes(padded, t, k, seed) for k in range(HASHES))
-        for p, (x, y) in enumerate(((a, b), (a2, b), (a, b2))):
-            out[:, t, p] = x * 2 * width + y
+        both = [axes(padded, t, k, seed) for k in range(hashes)]
+        for p in range(hashes + 1):
+            out[:, t, p] = 0
+            for k, (first, second, _) in enumerate(both):
+                out[:, t, p] = out[:, t, p] * 2 * width + (second if p == k + 1 else first)
     return out
 
 
-def _valid(lists: pa.Array, kind: str) -> list[np.ndarray | None]:
-    """Each list as an array if it can link, else None."""
-    out = []
-    for item in lists.to_pylist():
-        v = None if item is None or None in item else np.array(item, kind)
-        out.append(v if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
-    return out
-
-
-def _keyed(classes: DataFrame, kind: str, tables: int, seed: int) -> DataFrame:
-    """(key, node, label, vec, n, met): a row for each bucket that a class enters; met: all its buckets."""
+def _signed(classes: DataFrame, kind: str, hashes: int, seed: int) -> DataFrame:
+    """(c1, c2, node, label, n, vec, size, met): met: the buckets of each class."""
 
     @trimmed
     def run(batches):
         for batch in batches:
-            nodes, labels, n = (batch.column(k).to_numpy() for k in (0, 1, 3))
-            vectors = _valid(batch.column(2), kind)
-            for size in {len(v) for v in vectors if v is not None}:
-                rows = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
+            lists = batch.column(3)
+            flat, sizes = np.asarray(lists.flatten()).astype(kind), np.diff(np.asarray(lists.offsets))
+            ends = np.cumsum(sizes)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
                 for start in range(0, len(rows), 1000):
                     some = rows[start : start + 1000]
-                    x = np.stack([vectors[i] for i in some])
-                    wide = x.astype(np.float64)
-                    wide /= np.abs(wide).max(axis=1, keepdims=True)  # squares stay finite
-                    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
-                    met = signatures(wide, tables, seed)
-                    keys = (labels[some].astype(np.int64) * 0x9E3779B1 + size).astype(np.uint64)[:, None, None] * np.uint64(0x9E3779B97F4A7C15) ^ (met.astype(np.uint64) * np.uint64(64) + np.arange(tables, dtype=np.uint64)[None, :, None]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    # A vector that enters one bucket twice does so once.
-                    flat = keys.reshape(len(some), -1).view(np.int64)
-                    fresh = np.ones(flat.shape, bool)
-                    for p in range(1, PROBES):
-                        for q in range(p):
-                            fresh[:, p::PROBES] &= flat[:, p::PROBES] != flat[:, q::PROBES]
-                    who, which = np.nonzero(fresh)
-                    raw = [v.tobytes() for v in x]
-                    signed = [m.tobytes() for m in flat]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(flat[who, which]), pa.array(nodes[some][who]), pa.array(labels[some][who], pa.int64()), pa.array([raw[i] for i in who], pa.binary()), pa.array(n[some][who]), pa.array([signed[i] for i in who], pa.binary())],
-                        ["key", "node", "label", "vec", "n", "met"],
-                    )
-
-    return classes.select("node", "label", "embedding", "n").mapInArrow(run, "key long, node long, label long, vec binary, n long, met binary")
+                    x = flat[(ends[some] - size)[:, None] + np.arange(size)]
+                    met = signatures(_unit(x), hashes, seed=seed).reshape(len(some), -1)
+                    at = pa.array(some)
+                    offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * met.shape[1])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 1, 2, 4, 5)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(some), size, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(met.ravel()))], ["c1", "c2", "node", "label", "n", "vec", "size", "met"])
+
+    return classes.select("c1", "c2", "node", "embedding", "label", "n").mapInArrow(run, "c1 long, c2 int, node long, label long, n long, vec binary, size int, met array<long>")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _linked_pairs(cells: np.ndarray, unit: np.ndarray, least: float):
@@ -136,24 +135,22 @@ def _linked_pairs(cells: np.ndarray, unit: np.ndarray, least: float):
             yield i[below], j[below]
 
 
-def _cells_to_links(dealt: DataFrame, kind: str, least: float, tables: int) -> DataFrame:
+def _cells_to_links(dealt: DataFrame, kind: str, least: float, probes: int) -> DataFrame:
     """(node, links, root): how many vectors a class links with, and a class linked with it, summed over the pairs that first meet in this cell."""
 
     @trimmed
     def run(batches):
         def handle(cells, rows):
-            lengths = np.array([len(v) for v in rows.column("vec").to_pylist()])
-            for size in np.unique(lengths):
-                at = np.flatnonzero(lengths == size)
+            sizes = rows.column("size").to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
                 yield from compare(cells[at], rows.take(pa.array(at)).combine_chunks())
 
         def compare(cells, rows):
-            nodes, n, keys, block, label = (rows.column(c).to_numpy() for c in ("node", "n", "key", "block", "label"))
+            nodes, n, table, bucket, block, label = (rows.column(c).to_numpy() for c in ("node", "n", "table", "bucket", "block", "label"))
             own = np.asarray(rows.column("own").to_pylist(), bool)
-            x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), kind).reshape(len(nodes), -1).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            met = np.frombuffer(b"".join(rows.column("met").to_pylist()), np.int64).reshape(len(nodes), tables, PROBES)
+            unit = _unit(np.frombuffer(b"".join(rows.column("vec").to_pylist()), kind).reshape(len(nodes), -1))
+            met = np.asarray(rows.column("met").combine_chunks().flatten()).reshape(len(nodes), -1, probes)
             labels, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
             for i, j in _linked_pairs(cells, unit, least):
                 good = (label[i] == label[j]) & (nodes[i] != nodes[j]) & ((block[i] != block[j]) | own[i])
@@ -162,10 +159,9 @@ def _cells_to_links(dealt: DataFrame, kind: str, least: float, tables: int) -> D
                     p, q = i[s : s + _PAIRS // 4], j[s : s + _PAIRS // 4]
                     shared = (met[p][:, :, :, None] == met[q][:, :, None, :]).any(axis=3).reshape(len(p), -1)
                     # Two buckets of one table may be shared: the one that both would name first is the lesser.
-                    t = shared.argmax(axis=1) // PROBES
-                    options = np.where(shared.reshape(len(p), tables, PROBES)[np.arange(len(p)), t], met[p, t], np.iinfo(np.int64).max)
-                    first = options.min(axis=1)
-                    here = first == keys[p]
+                    t = shared.argmax(axis=1) // probes
+                    options = np.where(shared.reshape(len(p), -1, probes)[np.arange(len(p)), t], met[p, t], np.iinfo(np.int64).max)
+                    here = (t == table[p]) & (options.min(axis=1) == bucket[p])
                     p, q = p[here], q[here]
                     labels = least_linked(labels, p, q)
                     links += np.bincount(p, weights=n[q], minlength=len(nodes)).astype(np.int64) + np.bincount(q, weights=n[p], minlength=len(nodes)).astype(np.int64)
@@ -174,23 +170,29 @@ def _cells_to_links(dealt: DataFrame, kind: str, least: float, tables: int) -> D
 
         yield from by_cells(batches, handle, rows=30_000)
 
-    return dealt.select("cell", "key", "node", "label", "vec", "n", "met", "block", "own").mapInArrow(run, "node long, links long, root long")
+    return dealt.select("cell", "node", "label", "vec", "size", "n", "met", "table", "bucket", "block", "own").mapInArrow(run, "node long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = TABLES, cap: int = CAP, seed: int = 11) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, least: float = 0.93, hashes: int | None = None, cap: int = CAP, seed: int = 11) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label). hashes: per table; by default as many as the number of vectors asks for."""
     kind = "<f8" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "<f4"
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").withColumns({"c1": F.xxhash64("label", "embedding"), "c2": F.hash("embedding", "label")})
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
-    classes = materialize(rows.where(usable).groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"), F.count(F.lit(1)).alias("n")), "vector-classes")
-
-    finite = "size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)"
-    dealt = deal(_keyed(classes.where(finite), kind, tables, seed), cap, key="key")
-    found = materialize(_cells_to_links(dealt, kind, least, tables), "vector-links")
+    usable = F.expr("label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").withColumn("usable", usable)
+    rows = rows.withColumns({"c1": F.xxhash64("label", F.size("embedding"), "embedding"), "c2": F.hash("embedding", F.size("embedding"), "label")})
+    good = rows.where("usable")
+    if hashes is None:
+        seen = good.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("size")).first()
+        hashes = hashes_for(seen["n"], seen["size"] or 1)
+    classes = good.groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(_signed(classes, kind, hashes, seed), "vector-classes")
+
+    probes = hashes + 1
+    keyed = classes.select("node", "label", "n", "vec", "size", "met", F.posexplode("met").alias("at", "bucket")).withColumn("table", F.expr(f"at div {probes}"))
+    dealt = deal(keyed.withColumn("key", F.xxhash64("label", "size", "table", "bucket")).drop("at"), cap)
+    found = materialize(_cells_to_links(dealt, kind, least, probes), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.withColumn("can", F.expr(finite)).select("c1", "c2", "node", F.when(F.col("can"), F.col("n")).alias("n")).join(links, "node", "left").join(components, "node", "left")
-    joined = rows.select("vec_id", usable.alias("usable"), "c1", "c2").join(named, ["c1", "c2"], "left")
-    can = F.col("usable") & F.col("n").isNotNull()
-    component = F.when(can, F.coalesce("component", "node")).otherwise(F.col("vec_id"))
-    return joined.select("vec_id", F.when(can, F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    named = classes.select("c1", "c2", "node", "n").join(links, "node", "left").join(components, "node", "left")
+    joined = rows.select("vec_id", "usable", "c1", "c2").join(named, ["c1", "c2"], "left")
+    component = F.when(F.col("usable"), F.coalesce("component", "node")).otherwise(F.col("vec_id"))
+    return joined.select("vec_id", F.when(F.col("usable"), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
