@@ -6,13 +6,22 @@ WARC-Concurrent-To, by which reading joins them to one nested row per capture.
 
 Records are built as text columns and written by Spark's own text writer with CRLF CRLF, a
 record's end, as the line separator: writes are committed like any other table's, and go to
-any file system. Reading parses whole files, by Content-Length.
+any file system. Each task starts a new archive when the last one holds ``archive_bytes`` of
+payload, so a file is that large at most, but for one last payload. Reading parses whole files,
+by Content-Length.
+
+Every row is a capture with record ids of its own, made from its place in the input
+(monotonically_increasing_id): the table must give the same rows to the same tasks when it is
+read twice, as files do.
+
+Assembly joins by the transaction's id, a response's own or that in WARC-Concurrent-To, in one
+shuffle of all three kinds: a group holds a capture's records, three of them.
 
 Defined results: a null payload counts as empty; payloads under ``least_bytes`` are never
-revisits; rows that repeat page_id and payload are one capture and give one row; a null
-page_id counts as larger than any other; a null url leaves out WARC-Target-URI, and line
-breaks in one are percent-encoded; an empty table gives no captures; other columns are left
-out.
+revisits; rows that repeat page_id and payload each give a row, and of those with the smallest
+page_id each holds the payload; a null page_id counts as larger than any other; a null url
+leaves out WARC-Target-URI, and line breaks in one are percent-encoded; an empty table gives no
+captures; other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ from __future__ import annotations
 import gzip
 import io
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +40,11 @@ END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows of (digest, first page) that may be broadcast (about 100 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
-RECORDS_PER_FILE = 3_000
+ARCHIVE_BYTES = 64 << 20
 
 
-def _record_id(kind: str, page_id: Column, digest: Column) -> Column:
-    name = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("")), digest))
+def _record_id(kind: str, place: Column, digest: Column) -> Column:
+    name = F.md5(F.concat_ws("|", F.lit(kind), place.cast("string"), digest))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(name, a, n), F.lit("-" if a < 21 else ">"))])
 
 
@@ -44,28 +54,47 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END + END), block)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "none") -> None:
+def _in_volumes(captures: DataFrame, archive_bytes: int) -> DataFrame:
+    """Adds ``volume``: the number of the task's archive that a row goes into."""
+
+    @trimmed
+    def run(batches):
+        volume, held = 0, 0
+        for batch in batches:
+            volumes = np.empty(batch.num_rows, np.int32)
+            for at, size in enumerate(batch.column("size").to_pylist()):
+                if held >= archive_bytes:
+                    volume, held = volume + 1, 0
+                volumes[at] = volume
+                held += size + 1000  # headers
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(volumes)], [*batch.schema.names, "volume"])
+
+    return captures.mapInArrow(run, "page_id long, url string, html string, place long, digest string, size int, volume int")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "none", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes the captures (page_id, url, html) as WARC files."""
     html = F.coalesce("html", F.lit(""))
-    captures = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
-    firsts = materialize(captures.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"), "warc-firsts")
+    captures = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place")))
+    firsts = materialize(captures.where(F.col("size") >= least_bytes).groupBy("digest").agg(least.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1 AND f IS NOT NULL").select("digest", F.col("f.page_id").alias("first"), F.col("f.place").alias("first_place")), "warc-firsts")
     few = firsts.count() <= BROADCAST_ROWS
-    captures = captures.join(F.broadcast(firsts) if few else firsts, "digest", "left")
+    captures = _in_volumes(captures, archive_bytes).join(F.broadcast(firsts) if few else firsts, "digest", "left")
 
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    this, uri = _record_id("response", F.col("page_id"), F.col("digest")), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    this, uri = _record_id("response", F.col("place"), F.col("digest")), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "^[^:]*://[^/?#]*", ""), r"[\s]", "%20")
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"), F.lit(END + END))
     common = [("WARC-Date", date), ("WARC-Target-URI", uri)]
-    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", this), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare)), F.lit(f" HTTP/1.1{END}{END}")))
+    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", F.col("place"), F.col("digest"))), ("WARC-Concurrent-To", this), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare)), F.lit(f" HTTP/1.1{END}{END}")))
     response = _record(
         [("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", this), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("first"), F.col("digest")))), ("Content-Type", "application/http; msgtype=response")],
+         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("first_place"), F.col("digest")))), ("Content-Type", "application/http; msgtype=response")],
         F.concat(head, F.when(revisit, "").otherwise(F.col("html"))),
     )
-    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", this), *common, ("Content-Type", "application/warc-fields")], F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(END)), F.lit("")))
-    records = captures.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", END + END).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("place"), F.col("digest"))), ("WARC-Concurrent-To", this), *common, ("Content-Type", "application/warc-fields")], F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(END)), F.lit("")))
+    records = captures.select("volume", F.explode(F.array(request, response, metadata)).alias("value"))
+    records.write.option("lineSep", END + END).option("compression", compression).partitionBy("volume").text(path)
 
 
 def parse_records(data: bytes):
@@ -109,7 +138,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     columns["payload"].append(block)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "payload" else pa.string()) for k, v in columns.items()], list(columns))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in (*_FIELDS, "http_head")) + ", payload binary")
 
 
@@ -120,24 +149,20 @@ _PARTS = {
 }
 
 
-def assemble_flat(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, then each part's fields under <part>_<field>. Fields that are not selected are not shuffled."""
+def assemble(records: DataFrame) -> DataFrame:
+    """One nested row per capture: capture_id, request, response, metadata. Fields that the caller does not use are not shuffled."""
     answer = F.col("type").isin("response", "revisit")
     keyed = records.withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     of = lambda part, name: F.max(F.when(answer if part == "response" else F.col("type") == part, F.col(name)))
-    return keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in _PARTS.items() for name in names])
-
-
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, request, response, metadata."""
-    return assemble_flat(records).select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in _PARTS.items()])
+    joined = keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in _PARTS.items() for name in names])
+    return joined.select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in _PARTS.items()])
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture in the archives; what a revisit lacks comes from the record that it refers to."""
-    rows = assemble_flat(read_records(spark, path)).select(
-        "capture_id", F.regexp_extract(F.col("metadata_payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response_type").alias("record_type"),
-        F.col("response_refers_to").alias("refers_to_id"), F.col("response_digest").alias("digest"), F.col("response_bytes").alias("bytes"),
+    rows = assemble(read_records(spark, path)).select(
+        "capture_id", F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers_to_id"), F.col("response.digest").alias("digest"), F.col("response.bytes").alias("bytes"),
     )
     rows = materialize(rows, "warc-captures")
     held = rows.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("digest").alias("held_digest"), F.col("bytes").alias("held_bytes"))

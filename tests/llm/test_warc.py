@@ -11,26 +11,34 @@ def brute(rows):
     for page_id, _, html in rows:
         if html and len(html.encode()) >= 100 and page_id is not None:
             firsts[html] = min(page_id, firsts.get(html, page_id))
-    out = set()
+    out = []
     for page_id, _, html in rows:
         first = firsts.get(html)
         data = (html or "").encode()
         again = first is not None and page_id != first
-        out.add((page_id, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
-    return out
+        out.append((page_id, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
+    return sorted(out, key=str)
 
 
 LONG, TRICKY = "é" * 60, "WARC/1.1\r\n\r\n\r\n\r\nContent-Length: 5\r\n\r\nx" * 5
-ROWS = [(7, "http://a/b?c", LONG), (3, "http://a/é x", LONG), (9, None, LONG), (9, None, LONG), (1, "no scheme", None), (2, "http://a\r\nX: y", ""), (4, "u", "short"), (5, "u", "short"), (6, "http://t", TRICKY), (8, "http://t", TRICKY), (None, "u", LONG), (10, "u", "퟿\r\n" * 20000), (9, "u", "other")]
+ROWS = [(7, "http://a/b?c", LONG), (3, "http://a/é x", LONG), (9, None, LONG), (9, None, LONG), (1, "no scheme", None), (2, "http://a\r\nX: y", ""), (4, "u", "short"), (5, "u", "short"), (6, "http://t", TRICKY), (8, "http://t", TRICKY), (None, "u", LONG), (10, "u", "퟿\r\n" * 20000), (9, "u", "other"), (3, "http://second/url", LONG), (3, "http://a/é x", LONG), (12, "u", "z" * 3_000_000), (13, "u", "z" * 3_000_000)]
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_round_trip(spark, tmp_path, compression):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3).selectExpr("*", "'d' as digest", "1 as size")
     path = str(tmp_path / "warc")
-    warc.write_archives(pages, path, compression=compression)
+    pages.write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    warc.write_archives(pages, path, compression=compression, archive_bytes=5000)
     got = list(map(tuple, warc.captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
-    assert len(got) == len(set(got)) and set(got) == brute(ROWS)
+    assert sorted(got, key=str) == brute(ROWS)
+    records = warc.read_records(spark, path)
+    assert records.count() == 3 * len(ROWS) == records.select("record_id").distinct().count()
+    assert {r["target_uri"] for r in records.where("type = 'request'").collect()} >= {"http://second/url", "http://a/é x"}
+    if compression == "none":
+        sizes = [f.stat().st_size for f in (tmp_path / "warc").rglob("part-*")]
+        assert len(sizes) > 3 and all(n < 5000 + 6000 or n > 100_000 for n in sizes)
     nested = {r["metadata"]["payload"].decode(): r for r in warc.assemble(warc.read_records(spark, path)).collect()}
     assert nested["page-id: 6\r\n"]["response"]["payload"].decode() == TRICKY
     assert nested["page-id: 7\r\n"]["request"]["http_head"].startswith("GET /b?c HTTP/1.1")
