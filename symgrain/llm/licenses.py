@@ -12,7 +12,8 @@ task; texts are never shuffled.
 
 Defined results: null and wordless texts have no matches; a text gives a row for each match,
 repeated rows each their own; of matches of one template that overlap the one that covers more
-stays, then the earlier; templates may match the same words; other columns are left out.
+stays, then the earlier; templates may match the same words; a template of fewer than three
+words is an error; no templates, or an empty table, give no matches; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,12 +29,21 @@ from symgrain.llm.common import trimmed
 
 GRAM, WINDOW = 3, 3
 BAND, LEAST_COVERAGE = 8, 0.7
+#: Diagonals of a long template may lie a WIDEN-th of its length apart and still form one candidate: what was put in or left out.
+WIDEN = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_TEMPLATE_WORDS = 200_000
-#: Wordings by which licenses are commonly named or granted.
+#: Wordings by which licenses are commonly named or granted, and whole texts of the short ones.
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = {
     "mit/notice": "Released under the MIT License.",
-    "mit/grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mit/grant": MIT_GRANT,
     "apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "gpl-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -42,10 +52,19 @@ TEMPLATES = {
     "cc-by-nc-4.0/notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd/conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd/conditions": BSD_GRANT,
     "mpl-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "isc/grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc/grant": ISC_GRANT,
     "unlicense/notice": "This is free and unencumbered software released into the public domain.",
+    "lgpl-2.1-or-later/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-or-later/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc-by-nd-4.0/notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc0-1.0/notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "mit/text": MIT_GRANT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + MIT_WARRANTY,
+    "isc/text": ISC_GRANT + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-clause/text": f"{BSD_GRANT} 1. {BSD_SOURCE} 2. {BSD_BINARY} {BSD_DISCLAIMER}",
+    "bsd-3-clause/text": f"{BSD_GRANT} 1. {BSD_SOURCE} 2. {BSD_BINARY} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_DISCLAIMER}",
+    "zlib/text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 _TABLE = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -93,13 +112,14 @@ class LicenseIndex:
         each = [words_of(t) for t in templates.values()]
         if sum(map(len, each)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
+        if short := [name for name, words in zip(self.names, each, strict=True) if len(words) < GRAM]:
+            raise ValueError(f"templates need {GRAM} words: {', '.join(short)}")
         self.ids = {w: i + 1 for i, w in enumerate(sorted(set().union(*each)))}
         self.templates = [np.array([self.ids[w] for w in ws], np.int64) for ws in each]
         self.base = len(self.ids) + 1
         index: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.templates):
-            size = min(GRAM, len(ids))
-            grams = [tuple(ids[i : i + size].tolist()) for i in range(len(ids) - size + 1)] if size == GRAM else []
+            grams = [tuple(ids[i : i + GRAM].tolist()) for i in range(len(ids) - GRAM + 1)]
             hashes = [xxhash.xxh64_intdigest(repr(g)) for g in grams]
             for start in range(max(len(grams) - WINDOW + 1, min(len(grams), 1))):
                 window = range(start, min(start + WINDOW, len(grams)))
@@ -124,7 +144,7 @@ class LicenseIndex:
         diagonals = sorted({(t, int(p) - place) for p, s in zip(at[hit], slot[hit], strict=True) for t, place in self.places[s]})
         out: list[tuple[int, int, int]] = []
         for t, d in diagonals:
-            if out and out[-1][0] == t and d - out[-1][1] <= self.band:
+            if out and out[-1][0] == t and d - out[-1][1] <= max(self.band, len(self.templates[t]) // WIDEN):
                 out[-1] = (t, out[-1][1], d)
             else:
                 out.append((t, d, d))

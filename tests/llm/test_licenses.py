@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from symgrain.llm import licenses as li
 
@@ -30,7 +31,7 @@ def edited(rng, text):
 def test_index_and_band_lose_nothing():
     rng, index = random.Random(1), li.LicenseIndex(li.TEMPLATES)
     filler = ["alpha", "beta", "the", "software", "of", "license", "gamma"]
-    for trial in range(60):
+    for trial in range(40):
         parts = [" ".join(rng.choices(filler, k=rng.randint(0, 60)))]
         for name in rng.sample(list(li.TEMPLATES), 2):
             parts += [edited(rng, li.TEMPLATES[name]) if trial % 2 else li.TEMPLATES[name].upper(), " ".join(rng.choices(filler, k=rng.randint(0, 60)))]
@@ -54,3 +55,14 @@ def test_query(spark):
     assert got == [(0, "mit", 1.0, 0, 5), (1, "mit", 1.0, 2, 7), *[(5, "mit", 1.0, a, a + 5) for a in (0, 0, 5, 5)], (6, "mit", 1.0, 20000, 20005)]
     assert li.scan(docs.limit(0)).count() == 0
     assert li.scan(docs, {}).count() == 0
+    with pytest.raises(ValueError, match="three|3 words: b"):
+        li.scan(docs, {"a": "one two three", "b": "one two"})
+
+
+def test_whole_texts_are_found_reflowed_and_beside_their_grants():
+    index = li.LicenseIndex(li.TEMPLATES)
+    text = "Copyright (c) 2020 A\n\n" + li.TEMPLATES["mit/text"].replace(". ", ".\n * ").replace("AUTHORS", "X CONSORTIUM")
+    found = {name: coverage for name, coverage, *_ in index.matches(text)}
+    assert found["mit/grant"] == 1.0 and found["mit/text"] > 0.95 and "bsd-2-clause/text" not in found
+    three = {name for name, *_ in index.matches(li.TEMPLATES["bsd-3-clause/text"])}
+    assert "bsd-3-clause/text" in three
