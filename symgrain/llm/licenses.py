@@ -29,8 +29,8 @@ from symgrain.llm.common import trimmed
 
 GRAM, WINDOW = 3, 3
 BAND, LEAST_COVERAGE = 8, 0.7
-#: Diagonals of a long template may lie a WIDEN-th of its length apart and still form one candidate: what was put in or left out.
-WIDEN = 6
+#: Candidates of a long template whose diagonals lie a quarter of its length apart at most are also tried as one: what was put in or left out.
+WIDEN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_TEMPLATE_WORDS = 200_000
 #: Wordings by which licenses are commonly named or granted, and whole texts of the short ones.
@@ -117,6 +117,7 @@ class LicenseIndex:
         self.ids = {w: i + 1 for i, w in enumerate(sorted(set().union(*each)))}
         self.templates = [np.array([self.ids[w] for w in ws], np.int64) for ws in each]
         self.base = len(self.ids) + 1
+        self.counts = [np.bincount(ids, minlength=self.base) for ids in self.templates]
         index: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.templates):
             grams = [tuple(ids[i : i + GRAM].tolist()) for i in range(len(ids) - GRAM + 1)]
@@ -142,12 +143,21 @@ class LicenseIndex:
         slot = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = self.codes[slot] == codes
         diagonals = sorted({(t, int(p) - place) for p, s in zip(at[hit], slot[hit], strict=True) for t, place in self.places[s]})
-        out: list[tuple[int, int, int]] = []
+        narrow: list[tuple[int, int, int]] = []
         for t, d in diagonals:
-            if out and out[-1][0] == t and d - out[-1][1] <= max(self.band, len(self.templates[t]) // WIDEN):
-                out[-1] = (t, out[-1][1], d)
+            if narrow and narrow[-1][0] == t and d - narrow[-1][1] <= self.band:
+                narrow[-1] = (t, narrow[-1][1], d)
             else:
-                out.append((t, d, d))
+                narrow.append((t, d, d))
+        out = []
+        for i, (t, low, high) in enumerate(narrow):
+            out.append((t, low, high))
+            for u, _, further in narrow[i + 1 :]:  # at most as many as fit into the wider band
+                if u != t or further - low > len(self.templates[t]) // WIDEN:
+                    break
+                high = further
+            if high > out[-1][2]:
+                out.append((t, low, high))
         return out
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
@@ -161,7 +171,8 @@ class LicenseIndex:
                 continue
             begin = max(low - self.band, 0)
             part = ids[begin : high + self.band + len(template)].copy()
-            while True:  # again without the words just matched
+            # Again without the words just matched, while enough of the template's words are left.
+            while np.minimum(np.bincount(part, minlength=self.base), self.counts[t])[1:].sum() >= self.least * len(template):
                 _, matched, first, last = align(template, part, low - self.band - begin, high + self.band - begin)
                 if not matched or matched < self.least * len(template):
                     break
