@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Ids that may be broadcast (some 50 bytes each in the driver's hashed relation); beyond it tables are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_stored(df: DataFrame, name: str) -> DataFrame:
+    """df itself if it reads files, which deal the same rows to the same tasks each time; else written first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if plan.getClass().getSimpleName() == "LogicalRelation" else materialize(df, name)
+
+
 def trimmed(run):
     """Wraps a function over Arrow batches: when a task ends, its worker, which waits for the next one, hands freed memory back."""
 

@@ -1,22 +1,33 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over symbols: letters, a few accented ones, digits and capitals as one each, the
-marks of prose and of junk. There are 64, so an order-4 table has 2^24 cells whatever the
-corpus, and it can be counted over all trusted text, summed in Spark by shard and cell, and
-sent to every worker, where each document meets the shards' counts by direct address.
+The model is over code units: a text is its UTF-16 units (letters of all scripts stand for
+themselves; Latin capitals are one symbol and so are digits), and four units pack into one long.
+Counts never leave Spark's tables:
+
+1. Documents are read in chunks of some CHUNK_BYTES. Each chunk asks once for every distinct
+   4-gram of its texts, and tells how often its trusted documents hold it.
+2. Counts are summed by gram; lower levels count what precedes (Chen and Goodman 1998). Each
+   level's probabilities come from joins on gram, on context and on the shorter gram, for the
+   distinct grams that are asked for. All these tables are sharded by gram.
+3. What a gram's probability is made of goes back to the chunks that ask for it, where the
+   chunk's texts are scored in numpy.
+
+A trusted document is scored as if it had not been counted (its own grams are taken off the
+counts of the highest order; lower orders keep them), so bounds are those of held-out text.
 
 A document is rejected if its perplexity lies above its language's bound: the trusted
 documents' quantile of what is left after an allowance for short texts, whose means scatter
-(ALLOWANCE / sqrt(symbols), on log10), times a margin that vanishes as trusted documents grow in
-number. Languages with few trusted documents, and null, take the bound of all. Symbols do not
+(ALLOWANCE / sqrt(units), on log10), times a margin that vanishes as trusted documents grow in
+number. Languages with few trusted documents, and null, take the bound of all. Units do not
 see a word that is likely and comes again and again: a document of LEAST_WORDS or more is also
 rejected if over a share MOST_REPEATED of its words equal the word before (trusted documents of
 sf0.1: 0.15 at most).
 
-Defined results: a null or empty text has no symbols, perplexity null, and is kept; texts are
-scored whole; repeated rows are scored alike and each gives a row; labels that repeat an id or
-are null count once and not; without trusted text nothing is rejected; other columns are left
-out.
+Defined results: a null or empty text has no units, perplexity null, and is kept; texts are
+scored whole; repeated rows are scored alike (but for what is trusted) and each gives a row;
+labels that repeat an id or are null count once and not; without trusted text nothing is
+rejected; an empty table gives no rows; other columns are left out, or kept as they are by
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -26,143 +37,135 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgrain.llm.common import materialize, trimmed
+from symgrain.llm.common import BROADCAST_IDS, as_stored, materialize, trimmed
 
-SYMBOLS, ORDER = 64, 4
-SHARDS = 64
+ORDER, UNIT_BITS = 4, 16
+CHUNK_BYTES = 16 << 20
 ALLOWANCE, LEAST_WORDS, MOST_REPEATED = 2.0, 5, 0.3
-#: Trusted ids that may be broadcast (8 bytes each); beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 10_000_000
-_ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõøùúûüœßÿ"
-_MARKS = " \n.,;:!?'\"()-/|#$%&*=@<>"
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 0x180: 0 other, 1-26 letters, 27 capital, 28 digit, then marks, then accented letters folded into what is left."""
-    table = np.zeros(0x180, np.uint8)
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        table[ord(c)], table[ord(c.upper())] = 1 + i, 27
-    table[ord("0") : ord("9") + 1] = 28
-    for i, c in enumerate(_MARKS):
-        table[ord(c)] = 29 + i
-    table[ord("\t")] = table[ord("\r")] = table[ord(" ")]
-    first = 29 + len(_MARKS)
-    for i, c in enumerate(_ACCENTED):
-        table[ord(c)] = first + i % (SYMBOLS - first)
-        if len(c.upper()) == 1 and ord(c.upper()) < 0x180:
-            table[ord(c.upper())] = 27
+#: Rows of bounds by language that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_LANGUAGES = 100_000
+_START = ord("\n")
+
+
+def _folds() -> np.ndarray:
+    """The symbol of each unit: itself, but for Latin capitals, digits and white space."""
+    table = np.arange(1 << UNIT_BITS, dtype=np.uint16)
+    for unit in range(0x180):
+        if chr(unit).isupper():
+            table[unit] = ord("A")
+    table[ord("0") : ord("9") + 1] = ord("0")
+    table[ord("\t")] = table[ord("\r")] = ord(" ")
     return table
 
 
-_TABLE = _symbol_table()
-#: Where accented letters are folded; letters of other scripts share these symbols by hash, marks and pictures beyond the table are 0.
-_FOLDED = 29 + len(_MARKS)
+_FOLDS = _folds()
 
 
-def symbols_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    found = _TABLE[np.minimum(points, len(_TABLE) - 1)].astype(np.int32)
-    far = np.flatnonzero(points >= len(_TABLE))
-    if len(far):
-        beyond = points[far]
-        letters = ((beyond >= 0x370) & (beyond < 0x2000)) | ((beyond >= 0x2E80) & (beyond < 0xE000)) | ((beyond >= 0x20000) & (beyond < 0x32000))
-        found[far] = np.where(letters, _FOLDED + (beyond * np.uint32(0x9E3779B1) >> 16) % (SYMBOLS - _FOLDED), 0)
-    return found
+def units_of(text: str) -> np.ndarray:
+    return _FOLDS[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")]
 
 
 def grams_of(text: str) -> np.ndarray:
-    """The cell of each symbol with the three before it; the text starts after line breaks."""
-    padded = np.concatenate([np.full(ORDER - 1, _TABLE[10], np.int32), symbols_of(text)])
-    cells = padded[ORDER - 1 :].copy()
+    """Each unit with the three before it, the last in the lowest bits; the text starts after line breaks."""
+    padded = np.concatenate([np.full(ORDER - 1, _START, np.uint16), units_of(text)]).astype(np.uint64)
+    grams = padded[ORDER - 1 :].copy()
     for k in range(1, ORDER):
-        cells |= padded[ORDER - 1 - k : len(padded) - k] << (6 * k)
-    return cells
+        grams |= padded[ORDER - 1 - k : len(padded) - k] << np.uint64(UNIT_BITS * k)
+    return grams.view(np.int64)
 
 
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more (Chen and Goodman); within [0, 1, 2, 3] where counts of counts are missing."""
-    n = [max(int((counts == k).sum()), 0) for k in range(1, 5)]
-    if not n[0] or not n[1]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more (Chen and Goodman), from how many grams have the counts 1 to 4; within [0, 1, 2, 3] where some are missing."""
+    if not n1 or not n2:
         return 0.5, 0.75, 1.0
-    y = n[0] / (n[0] + 2 * n[1])
+    n, y = (n1, n2, n3, n4), n1 / (n1 + 2 * n2)
     found = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else k / 2 + 0.5 for k in range(3)]
     return tuple(min(max(d, 0.05), k + 1.0) for k, d in enumerate(found))
 
 
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log10 P(last symbol | the three before) of every cell, from counts of all cells. The largest level is worked off a block of contexts at a time."""
-    levels = [counts]
-    for _ in range(ORDER - 1):
-        top = levels[-1]
-        levels.append((top.reshape(SYMBOLS, -1) > 0).sum(axis=0, dtype=np.int32))
-    lower = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for level in reversed(levels):
-        d = np.array([0.0, *discounts(level)])
-        grid = level.reshape(-1, SYMBOLS)
-        last = level is counts
-        out = np.empty(grid.shape, np.float16 if last else np.float64)
-        step = max(len(lower), 4096)
-        for start in range(0, len(grid), step):
-            block = grid[start : start + step]
-            cut = d[np.minimum(block, 3)]
-            total = block.sum(axis=1, dtype=np.int64)[:, None]
-            share = np.where(total > 0, cut.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-            below = lower[np.arange(start, start + len(block)) % len(lower)]
-            p = np.maximum(block - cut, 0) / np.maximum(total, 1) + share * below
-            # Half precision: 32 MB; a step of 0.002 at most, which a document's mean evens out.
-            out[start : start + step] = np.log10(p) if last else p
-        lower = out
-    return lower.ravel()
-
-
-def count_grams(texts: DataFrame) -> np.ndarray:
-    """Counts of all 2^24 cells over all texts; each task sends its cells once, and sums are made by shard and cell."""
-
-    @trimmed
-    def run(batches):
-        own = np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                found = [grams_of(t) for t in batch.column(0).slice(start, 256).to_pylist() if t]
-                if found:
-                    cells, n = np.unique(np.concatenate(found), return_counts=True)
-                    own[cells] += n.astype(np.int32)
-        cells = np.flatnonzero(own)
-        for start in range(0, len(cells), 50_000):
-            some = cells[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some * SHARDS // SYMBOLS**ORDER, pa.int32()), pa.array(some, pa.int32()), pa.array(own[some], pa.int64())], ["shard", "cell", "n"])
-
-    total = texts.select("text").mapInArrow(run, "shard int, cell int, n long").groupBy("shard", "cell").agg(F.sum("n").alias("n")).select("cell", "n").toArrow()
-    counts = np.zeros(SYMBOLS**ORDER, np.int64 if (pc.max(total.column("n")).as_py() or 0) >= 1 << 31 else np.int32)
-    counts[total.column("cell").to_numpy()] = total.column("n").to_numpy()
-    return counts
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _semi(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is among ids (distinct, no nulls): by broadcast if they are few enough, else by shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+def _asked(chunked: DataFrame) -> DataFrame:
+    """(chunk, g, n): every distinct gram of a chunk, and its count in the chunk's trusted documents."""
 
+    @trimmed
+    def run(batches):
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    return materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct(), "trusted")
-
-
-def train(docs: DataFrame, trusted: DataFrame):
-    """The model, trained on all trusted documents, as a broadcast array of log10 probabilities."""
-    counts = count_grams(_semi(docs.select(F.col("doc_id").cast("long"), "text"), trusted))
-    return docs.sparkSession.sparkContext.broadcast(kneser_ney(counts))
-
+        def row():
+            grams, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts.clear()
+            for start in range(0, len(grams), 100_000):
+                some = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams[some]), now)), pa.array(grams[some]), pa.array(counts[some])], ["chunk", "g", "n"])
 
-def _slices(batches, rows: int = 500):
-    """Small parts of batches, so that few texts are held as Python strings at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            for start, stop in _runs(chunks):
+                if now is not None and chunks[start] != now and parts:
+                    yield from row()
+                now = int(chunks[start])
+                trusted, texts = (batch.column(k).slice(start, stop - start).to_pylist() for k in (1, 2))
+                for flag in (True, False):
+                    found = [grams_of(t) for t, f in zip(texts, trusted, strict=True) if t and f is flag]
+                    if found:
+                        grams, counts = np.unique(np.concatenate(found), return_counts=True)
+                        parts.append((grams, counts * flag))
+                if sum(len(g) for g, _ in parts) > 4_000_000:
+                    parts[:] = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+        if parts:
+            yield from row()
+
+    return chunked.select("_q_chunk", "_q_trusted", "text").mapInArrow(run, "chunk long, g long, n long")
+
+
+def _runs(values: np.ndarray, most: int = 256):
+    """(start, stop) of runs of equal values, cut into ``most`` places at most."""
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for start in range(a, b, most):
+            yield start, min(start + most, b)
+
+
+def _shorter(units: int) -> Column:
+    """A gram's last units."""
+    return F.col("g").bitwiseAND(F.lit((1 << (UNIT_BITS * units)) - 1))
+
+
+def _model(asked: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
+    """(g, n, total, cut, low) for all that is asked for: the gram's count, its context's count and discounts, the shorter gram's probability; and the discounts of the highest order."""
+    counts = {ORDER: materialize(asked.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")), "quality-grams")}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = counts[k + 1].select(_shorter(k).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    wanted = {ORDER: asked.select("g").distinct()}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select(_shorter(k).alias("g")).distinct()
+    low, cuts = None, ()
+    for k in range(1, ORDER + 1):
+        cuts = discounts(*(int(x or 0) for x in counts[k].agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()))
+        cut = F.when(F.col("n") == 1, cuts[0]).when(F.col("n") == 2, cuts[1]).otherwise(cuts[2])
+        found = wanted[k].join(counts[k], "g", "left")
+        if k == 1:  # one context
+            total, whole = counts[1].agg(F.sum("n"), F.sum(cut)).first()
+            found = found.select("g", "n", F.lit(total).cast("long").alias("total"), F.lit(whole).cast("double").alias("cut"), F.lit(2.0**-UNIT_BITS).alias("low"))
+        else:
+            context = F.shiftrightunsigned("g", UNIT_BITS)
+            contexts = counts[k].groupBy(context.alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
+            found = found.withColumns({"h": context, "s": _shorter(k - 1)}).join(contexts, "h", "left").join(low, "s").select("g", "n", "total", "cut", "low")
+        left = F.greatest(F.coalesce(F.col("n") - cut, F.lit(0.0)), F.lit(0.0))
+        p = F.when(F.col("total").isNull(), F.col("low")).otherwise((left + F.col("cut") * F.col("low")) / F.col("total"))
+        if k < ORDER:
+            low = materialize(found.select(F.col("g").alias("s"), p.alias("low")), "quality-level")
+    return found.select("g", *[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(c) for c in ("n", "total", "cut", "low")]), cuts
 
 
 def repeated(text: str) -> float:
@@ -171,69 +174,124 @@ def repeated(text: str) -> float:
     return sum(map(eq, words, islice(words, 1, None))) / (len(words) - 1) if len(words) >= LEAST_WORDS else 0.0
 
 
-def _score(text: str | None, model: np.ndarray) -> tuple[int, float | None, float]:
-    """Symbols, log10 perplexity, share of repeated words."""
-    if not text:
-        return 0, None, 0.0
-    cells = grams_of(text)
-    return len(cells), float(-model[cells].mean(dtype=np.float64)), repeated(text)
-
-
-def score(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, lang, n_symbols, log10_perplexity, repeated) of each row."""
+class ChunkModel:
+    """What a chunk was told about its grams."""
+
+    def __init__(self, answers: pa.Table, cuts: tuple[float, float, float]):
+        order = np.argsort(answers.column("g").to_numpy())
+        self.grams, self.n, self.total, self.cut, self.low = (answers.column(c).to_numpy()[order].astype(np.int64 if c == "g" else np.float64) for c in ("g", "n", "total", "cut", "low"))
+        self.cuts = np.array([0.0, *cuts])
+        _, self.context = np.unique(self.grams.view(np.uint64) >> np.uint64(UNIT_BITS), return_inverse=True)
+        self.log = np.log10(self._p(self.n, self.total, self.cut, self.low))
+
+    def _discount(self, n: np.ndarray) -> np.ndarray:
+        return self.cuts[np.clip(n, 0, 3).astype(np.int64)]
+
+    def _p(self, n, total, cut, low) -> np.ndarray:
+        seen = total > 0
+        return np.where(seen, (np.maximum(n - self._discount(n), 0) + cut * low) / np.where(seen, total, 1), low)
+
+    def perplexities(self, texts: list[str], trusted: list[bool]) -> np.ndarray:
+        """log10 perplexity of each text (none is empty)."""
+        found = [grams_of(t) for t in texts]
+        sizes = np.array([len(g) for g in found])
+        at = np.searchsorted(self.grams, np.concatenate(found))
+        out = -np.add.reduceat(self.log[at], np.cumsum(sizes) - sizes) / sizes
+        own = np.flatnonzero(trusted)
+        if len(own):
+            who = np.repeat(np.arange(len(texts)), sizes)
+            mine = np.asarray(trusted)[who]
+            out[own] = self._without(who[mine], at[mine], len(texts))[own] / sizes[own]
+        return out
+
+    def _without(self, who: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
+        """The sum of -log10 probabilities of each text, its own counts taken off."""
+        keys, m = np.unique(who * len(self.grams) + at, return_counts=True)
+        who, at = keys // len(self.grams), keys % len(self.grams)
+        _, inside = np.unique(who * len(self.grams) + self.context[at], return_inverse=True)
+        n = self.n[at] - m
+        total = self.total[at] - np.bincount(inside, weights=m)[inside]
+        cut = self.cut[at] - np.bincount(inside, weights=self._discount(self.n[at]) - self._discount(n))[inside]
+        p = self._p(n, total, np.maximum(cut, 1e-9), self.low[at])
+        return np.bincount(who, weights=-m * np.log10(p), minlength=texts)
 
-    @trimmed
-    def run(batches):
-        for batch in _slices(batches):
-            each = [_score(t, model.value) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(column, kind) for column, kind in zip(zip(*each, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "lang", "n_symbols", "log10_perplexity", "repeated"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, n_symbols long, log10_perplexity double, repeated double")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_q_id"), F.lit(True).alias("_q_trusted")).distinct(), "trusted")
 
 
-def bounds(scores: DataFrame, trusted: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
-    """(lang, bound): a row for each language with enough trusted documents, and one with a null lang for the others."""
-    good = materialize(_semi(scores, trusted).where("log10_perplexity IS NOT NULL"), "trusted-scores")
-    left = F.col("log10_perplexity") - F.lit(ALLOWANCE) / F.sqrt("n_symbols")
-    best = F.percentile_approx(left, F.lit(quantile), F.lit(20_000))
+def _chunked(docs: DataFrame, labels: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs with _q_chunk and _q_trusted. A chunk is a run of a task's rows; both readings of the table must deal rows alike, as those of files do."""
+    trusted = trusted_ids(labels)
+    docs = as_stored(docs, "quality-docs")
+    size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    rows = max(int(chunk_bytes * size[1] / max(size[0] or 1, 1)), 1)
+    placed = docs.withColumn("_q_chunk", F.shiftright(F.monotonically_increasing_id(), min(rows.bit_length() - 1, 33)))
+    few = trusted.count() <= BROADCAST_IDS
+    joined = placed.join(F.broadcast(trusted) if few else trusted.hint("merge"), F.col("doc_id").cast("long") == F.col("_q_id"), "left").drop("_q_id")
+    joined = joined.withColumn("_q_trusted", F.coalesce("_q_trusted", F.lit(False)))
+    return joined if few else materialize(joined.repartition("_q_chunk").sortWithinPartitions("_q_chunk"), "quality-docs")
+
+
+_ADDED = {"_q_units": "long", "_q_log": "double", "_q_repeated": "double"}
+
+
+def score(docs: DataFrame, labels: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The named columns of each row, _q_trusted, _q_units, _q_log (log10 perplexity) and _q_repeated (share of repeated words), written once."""
+    chunked = _chunked(docs, labels, chunk_bytes)
+    asked = materialize(_asked(chunked), "quality-asked")
+    model, cuts = _model(asked)
+    answers = asked.select("chunk", "g").join(model, "g")
+    carried = [*columns, "_q_trusted"]
+    needed = [*dict.fromkeys(["_q_chunk", "text", *carried])]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, rows = ChunkModel(right, cuts), left.combine_chunks()
+        units, logs, again = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan), np.zeros(rows.num_rows)
+        for start in range(0, rows.num_rows, 128):
+            texts, trusted = (rows.column(c).slice(start, 128).to_pylist() for c in ("text", "_q_trusted"))
+            full = [i for i, t in enumerate(texts) if t]
+            if full:
+                at = start + np.array(full)
+                logs[at] = model.perplexities([texts[i] for i in full], [trusted[i] for i in full])
+                units[at] = [len(texts[i].encode("utf-16-le", "surrogatepass")) // 2 for i in full]
+                again[at] = [repeated(texts[i]) for i in full]
+        added = (pa.array(units), pa.array(logs, mask=units == 0), pa.array(again))
+        return pa.table({**{c: rows.column(c) for c in carried}, **dict(zip(_ADDED, added, strict=True))})
+
+    source = chunked.select(*needed)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*carried).schema) + "".join(f", {c} {t}" for c, t in _ADDED.items())
+    return materialize(source.groupBy("_q_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema), "quality-scores")
+
+
+def bounds(scores: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
+    """(_q_lang, _q_bound): a row for each language with enough trusted documents, and one with a null language for the others."""
+    good = scores.where("_q_trusted AND _q_log IS NOT NULL").select(F.col("lang").cast("string").alias("_q_lang"), (F.col("_q_log") - F.lit(ALLOWANCE) / F.sqrt("_q_units")).alias("left"))
+    best = F.percentile_approx("left", F.lit(quantile), F.lit(20_000))
     cut = best + F.abs(best) * doubt / F.sqrt(F.count(F.lit(1)))
-    own = good.where("lang IS NOT NULL").groupBy("lang").agg(cut.alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("lang", "bound")
-    return own.unionByName(good.agg(cut.alias("bound")).select(F.lit(None).cast("string").alias("lang"), "bound"))
-
+    own = good.where("_q_lang IS NOT NULL").groupBy("_q_lang").agg(cut.alias("_q_bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("_q_lang", "_q_bound")
+    return own.unionByName(good.agg(cut.alias("_q_bound")).select(F.lit(None).cast("string").alias("_q_lang"), "_q_bound"))
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, bound, keep of each row."""
-    scores, limits = _fit(docs, labels, quantile, doubt, least_docs)
-    rest = limits.where("lang IS NULL").select(F.col("bound").alias("rest"))
-    joined = scores.join(limits.where("lang IS NOT NULL"), "lang", "left").withColumn("rest", rest.scalar())
-    bound = F.coalesce("bound", "rest") + F.when(F.col("n_symbols") > 0, F.lit(ALLOWANCE) / F.sqrt("n_symbols")).otherwise(0.0)
-    keep = F.coalesce((F.col("log10_perplexity") <= bound) & ((F.col("repeated") <= MOST_REPEATED) | bound.isNull()), F.lit(True))
-    return joined.select("doc_id", "lang", "n_symbols", F.pow(F.lit(10.0), "log10_perplexity").alias("perplexity"), F.pow(F.lit(10.0), bound).alias("bound"), keep.alias("keep"))
 
+def _judged(scores: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
+    """scores with _q_bound (of log10 perplexity) and _q_keep."""
+    limits = materialize(bounds(scores, quantile, doubt, least_docs), "quality-bounds")
+    own = limits.where("_q_lang IS NOT NULL")
+    rest = limits.where("_q_lang IS NULL").select(F.col("_q_bound").alias("rest")).scalar()
+    joined = scores.join(F.broadcast(own) if own.count() <= BROADCAST_LANGUAGES else own, F.col("lang").cast("string") == F.col("_q_lang"), "left").drop("_q_lang").withColumn("_q_rest", rest)
+    bound = F.coalesce("_q_bound", "_q_rest") + F.when(F.col("_q_units") > 0, F.lit(ALLOWANCE) / F.sqrt("_q_units")).otherwise(0.0)
+    keep = F.coalesce((F.col("_q_log") <= bound) & ((F.col("_q_repeated") <= MOST_REPEATED) | bound.isNull()), F.lit(True))
+    return joined.withColumns({"_q_bound": bound, "_q_keep": keep}).drop("_q_rest")
 
-def _fit(docs, labels, quantile, doubt, least_docs):
-    trusted = trusted_ids(labels)
-    scores = materialize(score(docs, train(docs, trusted)), "quality-scores")
-    return scores, materialize(bounds(scores, trusted, quantile, doubt, least_docs), "quality-bounds")
 
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, lang, n_units, perplexity, bound, keep of each row."""
+    rows = _judged(score(docs, labels, ["doc_id", "lang"], chunk_bytes), quantile, doubt, least_docs)
+    power = lambda c: F.pow(F.lit(10.0), c)
+    return rows.select("doc_id", "lang", F.col("_q_units").alias("n_units"), power("_q_log").alias("perplexity"), power("_q_bound").alias("bound"), F.col("_q_keep").alias("keep"))
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, max_languages: int = 10_000) -> DataFrame:
-    """The rows of docs that are not rejected, all columns kept. Texts are scored again rather than shuffled."""
-    trusted = trusted_ids(labels)
-    model = train(docs, trusted)
-    scores = materialize(score(docs, model), "quality-scores")
-    found = bounds(scores, trusted, quantile, doubt, least_docs).limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError("more languages than may be sent to every task")
-    limits = {r["lang"]: r["bound"] for r in found}
 
-    @trimmed
-    def run(batches):
-        for batch in _slices(batches):
-            keep = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                bound, (n, found, again) = limits.get(lang, limits[None]), _score(text, model.value)
-                keep.append(found is None or bound is None or (found <= bound + ALLOWANCE / n**0.5 and again <= MOST_REPEATED))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of docs that are not rejected, all columns kept."""
+    rows = _judged(score(docs, labels, docs.columns, chunk_bytes), quantile, doubt, least_docs)
+    return rows.where("_q_keep").select(docs.columns)

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgrain.llm.common import materialize
-
-#: Ids that may be broadcast (8 bytes each); beyond it the tables are joined by shuffle.
-BROADCAST_IDS = 10_000_000
+from symgrain.llm.common import BROADCAST_IDS, materialize
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,46 +1,73 @@
+import math
 import random
 from collections import Counter
 
-import numpy as np
+import pytest
 
 from symgrain.llm import quality as q
 
 
-def brute_kn(grams, d):
-    """Probability by dictionaries; grams: Counter of 4-tuples, d: discounts by order."""
-    levels = {4: grams}
+def tuples(text):
+    units = [q._START] * 3 + q.units_of(text).tolist()
+    return [tuple(units[i : i + 4]) for i in range(len(units) - 3)]
+
+
+def brute(texts, left_out=None):
+    """Perplexity by dictionaries; the text left out is taken off the counts of four units only."""
+    levels = {4: Counter(g for t in texts for g in tuples(t))}
     for k in (3, 2, 1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
+    d = {k: (0.0, *q.discounts(*(sum(n == i for n in level.values()) for i in (1, 2, 3, 4)))) for k, level in levels.items()}
+    levels[4] = levels[4] - Counter(tuples(left_out or ""))
+    following = {k: {} for k in levels}
+    for k, level in levels.items():
+        for h, n in level.items():
+            following[k].setdefault(h[:-1], []).append(n)
 
     def p(g):
         if not g:
-            return 1 / q.SYMBOLS
-        level = levels[len(g)]
-        following = [n for h, n in level.items() if h[:-1] == g[:-1]]
-        if not following:
+            return 2.0**-16
+        k = len(g)
+        seen = following[k].get(g[:-1])
+        if not seen:
             return p(g[1:])
-        cut = lambda n: d[len(g)][min(n, 3) - 1] if n else 0
-        return (max(level[g] - cut(level[g]), 0) + sum(map(cut, following)) * p(g[1:])) / sum(following)
+        cut = lambda n: d[k][min(n, 3)]
+        return (max(levels[k][g] - cut(levels[k][g]), 0) + sum(map(cut, seen)) * p(g[1:])) / sum(seen)
 
-    return p
+    return lambda text: -sum(math.log10(p(g)) for g in tuples(text)) / len(tuples(text))
 
 
-def test_model_equals_brute_force():
+@pytest.mark.parametrize("chunk_bytes", [q.CHUNK_BYTES, 1500])
+def test_perplexities_equal_brute_force(spark, chunk_bytes):
     rng = random.Random(2)
-    texts = ["".join(rng.choices("abcd e.", weights=[9, 5, 4, 2, 6, 1, 1], k=300)) for _ in range(6)]
-    counts = np.zeros(q.SYMBOLS**q.ORDER, np.int64)
-    for t in texts:
-        np.add.at(counts, q.grams_of(t), 1)
-    model = q.kneser_ney(counts)
-    level, d = counts, {}
-    for k in (4, 3, 2, 1):
-        d[k] = q.discounts(level)
-        level = (level.reshape(q.SYMBOLS, -1) > 0).sum(axis=0)
-    as_tuple = lambda cell: tuple(cell >> 6 * k & 63 for k in (3, 2, 1, 0))
-    p = brute_kn(Counter({as_tuple(int(c)): int(counts[c]) for c in np.flatnonzero(counts)}), d)
-    for cell in [*np.flatnonzero(counts)[:200], *(rng.randrange(q.SYMBOLS**q.ORDER) for _ in range(100)), *q.grams_of("abe. zq")]:
-        assert abs(float(model[cell]) - np.log10(p(as_tuple(int(cell))))) < 3e-3
-    assert np.allclose((10.0 ** model.astype(float)).reshape(-1, q.SYMBOLS).sum(axis=1), 1, atol=5e-3)
+    texts = ["".join(rng.choices("abcd e.", weights=[9, 5, 4, 2, 6, 1, 1], k=rng.randint(5, 300))) for _ in range(30)]
+    texts += ["привет мир, как дела", "你好世界天地玄黄", "Ünï 12 \U0001f642 ABC\r\n\tx", texts[0], None, "", "abcd " * 5000]
+    trusted = [i for i in range(len(texts)) if i % 3 == 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "1 as g", "2 as chunk", "3 as n").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(0, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in q.score(docs, labels, ["doc_id", "g", "text"], chunk_bytes).collect()}
+    assert len(got) == len(texts) and got[1]["g"] == 1 and got[1]["text"] == texts[1]
+    known = [texts[i] or "" for i in trusted]
+    whole = brute(known)
+    for i, text in enumerate(texts):
+        assert got[i]["_q_units"] == len(tuples(text or "")) and got[i]["_q_trusted"] == (i in trusted)
+        if text:
+            assert got[i]["_q_log"] == pytest.approx((brute(known, text) if i in trusted else whole)(text), rel=1e-4)
+        else:
+            assert got[i]["_q_log"] is None
+
+
+def test_scripts_are_not_folded(spark):
+    rng = random.Random(3)
+    tongues = {"ru": ["привет", "мир", "дорога", "вода", "камень", "дом"], "zh": ["你好", "世界", "天地", "玄黄", "宇宙", "洪荒"]}
+    prose = lambda lang, n=60: ("" if lang == "zh" else " ").join(rng.choices(tongues[lang], k=n))
+    junk = {lang: "".join(rng.sample(list("".join(words)) * 12, 60)) for lang, words in tongues.items()}
+    rows = [(i, prose(lang), lang) for i, lang in enumerate(["ru", "zh"] * 80)] + [(900 + k, junk[lang], lang) for k, lang in enumerate(tongues)] + [(910, prose("ru"), "zh"), (911, prose("zh"), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in q.classify(docs, labels).collect() if not r["keep"]} >= {900, 901}
+    assert len({r["doc_id"] for r in q.keep_good(docs, labels).collect()} & set(range(160))) >= 158
+    assert len(set(q.units_of("привет你好αβ").tolist())) == 10
 
 
 def corpus():
@@ -63,7 +90,7 @@ def test_keeps_good_and_rejects_junk(spark):
     assert sorted(map(str, ids)) == sorted(map(str, [*range(120), 900, 901, None, 0]))
     out = {r["doc_id"]: r for r in q.classify(docs, labels).collect()}
     assert {i for i, r in out.items() if not r["keep"]} == set(range(120, 140))
-    assert out[900]["perplexity"] is None and out[900]["n_symbols"] == 0
+    assert out[900]["perplexity"] is None and out[900]["n_units"] == 0
 
 
 def test_empty_tables(spark):
@@ -82,11 +109,3 @@ def test_rejects_repeated_words_and_allows_for_short_texts(spark):
     assert {r["doc_id"] for r in q.classify(docs, labels).collect() if not r["keep"]} == {500, 501}
     assert {r["doc_id"] for r in q.keep_good(docs, labels).collect()} == {*range(120), 502, 503}
     assert q.repeated("a a b b c") == 0.5 and q.repeated("a a a") == q.repeated("") == 0
-
-
-def test_letters_of_other_scripts_are_told_apart():
-    for text in ("привет мир как дела", "καλημέρα κόσμε", "你好世界天地玄黄", "مرحبا بالعالم"):
-        found = q.symbols_of(text)
-        assert len(set(found.tolist())) > 4 and found.max() < q.SYMBOLS
-        assert (found == q.symbols_of(text)).all() and 0 not in found[[c.isalpha() for c in text]]
-    assert q.symbols_of("\u201c\U0001f642").tolist() == [0, 0] and q.symbols_of("aé").tolist() == [1, q._TABLE[ord("é")]]
