@@ -17,8 +17,8 @@ counts of the highest order; lower orders keep them), so bounds are those of hel
 
 A document is rejected if its perplexity lies above its language's bound: the trusted
 documents' quantile of what is left after an allowance for short texts, whose means scatter
-(ALLOWANCE / sqrt(units), on log10), times a margin that vanishes as trusted documents grow in
-number. Languages with few trusted documents, and null, take the bound of all. Units do not
+(ALLOWANCE standard errors of trusted text's log10 probabilities), times a margin that vanishes
+as trusted documents grow in number. Languages with few trusted documents, and null, take the bound of all. Units do not
 see a word that is likely and comes again and again: a document of LEAST_WORDS or more is also
 rejected if over a share MOST_REPEATED of its words equal the word before (trusted documents of
 sf0.1: 0.15 at most).
@@ -44,7 +44,7 @@ from symgrain.llm.common import BROADCAST_IDS, as_stored, materialize, trimmed
 
 ORDER, UNIT_BITS = 4, 16
 CHUNK_BYTES = 16 << 20
-ALLOWANCE, LEAST_WORDS, MOST_REPEATED = 2.0, 5, 0.3
+ALLOWANCE, LEAST_WORDS, MOST_REPEATED = 3.0, 5, 0.3
 #: Rows of bounds by language that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_LANGUAGES = 100_000
 _START = ord("\n")
@@ -191,29 +191,30 @@ class ChunkModel:
         seen = total > 0
         return np.where(seen, (np.maximum(n - self._discount(n), 0) + cut * low) / np.where(seen, total, 1), low)
 
-    def perplexities(self, texts: list[str], trusted: list[bool]) -> np.ndarray:
-        """log10 perplexity of each text (none is empty)."""
+    def perplexities(self, texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 perplexity of each text (none is empty), and the mean square of its units' log10 probabilities."""
         found = [grams_of(t) for t in texts]
         sizes = np.array([len(g) for g in found])
         at = np.searchsorted(self.grams, np.concatenate(found))
-        out = -np.add.reduceat(self.log[at], np.cumsum(sizes) - sizes) / sizes
+        log, starts = self.log[at], np.cumsum(sizes) - sizes
+        out, squares = -np.add.reduceat(log, starts) / sizes, np.add.reduceat(log * log, starts) / sizes
         own = np.flatnonzero(trusted)
         if len(own):
             who = np.repeat(np.arange(len(texts)), sizes)
             mine = np.asarray(trusted)[who]
-            out[own] = self._without(who[mine], at[mine], len(texts))[own] / sizes[own]
-        return out
+            out[own], squares[own] = (x[own] / sizes[own] for x in self._without(who[mine], at[mine], len(texts)))
+        return out, squares
 
-    def _without(self, who: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
-        """The sum of -log10 probabilities of each text, its own counts taken off."""
+    def _without(self, who: np.ndarray, at: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of -log10 probabilities of each text and of their squares, its own counts taken off."""
         keys, m = np.unique(who * len(self.grams) + at, return_counts=True)
         who, at = keys // len(self.grams), keys % len(self.grams)
         _, inside = np.unique(who * len(self.grams) + self.context[at], return_inverse=True)
         n = self.n[at] - m
         total = self.total[at] - np.bincount(inside, weights=m)[inside]
         cut = self.cut[at] - np.bincount(inside, weights=self._discount(self.n[at]) - self._discount(n))[inside]
-        p = self._p(n, total, np.maximum(cut, 1e-9), self.low[at])
-        return np.bincount(who, weights=-m * np.log10(p), minlength=texts)
+        log = np.log10(self._p(n, total, np.maximum(cut, 1e-9), self.low[at]))
+        return np.bincount(who, weights=-m * log, minlength=texts), np.bincount(who, weights=m * log * log, minlength=texts)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -233,11 +234,11 @@ def _chunked(docs: DataFrame, labels: DataFrame, chunk_bytes: int) -> DataFrame:
     return joined if few else materialize(joined.repartition("_q_chunk").sortWithinPartitions("_q_chunk"), "quality-docs")
 
 
-_ADDED = {"_q_units": "long", "_q_log": "double", "_q_repeated": "double"}
+_ADDED = {"_q_units": "long", "_q_log": "double", "_q_square": "double", "_q_repeated": "double"}
 
 
 def score(docs: DataFrame, labels: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The named columns of each row, _q_trusted, _q_units, _q_log (log10 perplexity) and _q_repeated (share of repeated words), written once."""
+    """The named columns of each row, _q_trusted, _q_units, _q_log (log10 perplexity), _q_square (mean square of log10 probabilities) and _q_repeated (share of repeated words), written once."""
     chunked = _chunked(docs, labels, chunk_bytes)
     asked = materialize(_asked(chunked), "quality-asked")
     model, cuts = _model(asked)
@@ -247,16 +248,16 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], chunk_bytes: i
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model, rows = ChunkModel(right, cuts), left.combine_chunks()
-        units, logs, again = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan), np.zeros(rows.num_rows)
+        units, (logs, squares, again) = np.zeros(rows.num_rows, np.int64), np.zeros((3, rows.num_rows))
         for start in range(0, rows.num_rows, 128):
             texts, trusted = (rows.column(c).slice(start, 128).to_pylist() for c in ("text", "_q_trusted"))
             full = [i for i, t in enumerate(texts) if t]
             if full:
                 at = start + np.array(full)
-                logs[at] = model.perplexities([texts[i] for i in full], [trusted[i] for i in full])
+                logs[at], squares[at] = model.perplexities([texts[i] for i in full], [trusted[i] for i in full])
                 units[at] = [len(texts[i].encode("utf-16-le", "surrogatepass")) // 2 for i in full]
                 again[at] = [repeated(texts[i]) for i in full]
-        added = (pa.array(units), pa.array(logs, mask=units == 0), pa.array(again))
+        added = (pa.array(units), pa.array(logs, mask=units == 0), pa.array(squares, mask=units == 0), pa.array(again))
         return pa.table({**{c: rows.column(c) for c in carried}, **dict(zip(_ADDED, added, strict=True))})
 
     source = chunked.select(*needed)
@@ -264,9 +265,16 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], chunk_bytes: i
     return materialize(source.groupBy("_q_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema), "quality-scores")
 
 
-def bounds(scores: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
+def _allowance(scores: DataFrame) -> Column:
+    """What a text's length allows, on log10."""
+    mean = lambda c: F.sum(F.col("_q_units") * F.col(c)) / F.sum("_q_units")
+    spread = scores.where("_q_trusted AND _q_log IS NOT NULL").agg(F.sqrt(F.greatest(mean("_q_square") - F.pow(mean("_q_log"), 2), F.lit(0.0)))).first()[0]
+    return F.when(F.col("_q_units") > 0, F.lit(ALLOWANCE * (spread or 0.0)) / F.sqrt("_q_units")).otherwise(0.0)
+
+
+def bounds(scores: DataFrame, allowance: Column, quantile: float, doubt: float, least_docs: int) -> DataFrame:
     """(_q_lang, _q_bound): a row for each language with enough trusted documents, and one with a null language for the others."""
-    good = scores.where("_q_trusted AND _q_log IS NOT NULL").select(F.col("lang").cast("string").alias("_q_lang"), (F.col("_q_log") - F.lit(ALLOWANCE) / F.sqrt("_q_units")).alias("left"))
+    good = scores.where("_q_trusted AND _q_log IS NOT NULL").select(F.col("lang").cast("string").alias("_q_lang"), (F.col("_q_log") - allowance).alias("left"))
     best = F.percentile_approx("left", F.lit(quantile), F.lit(20_000))
     cut = best + F.abs(best) * doubt / F.sqrt(F.count(F.lit(1)))
     own = good.where("_q_lang IS NOT NULL").groupBy("_q_lang").agg(cut.alias("_q_bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("_q_lang", "_q_bound")
@@ -275,23 +283,24 @@ def bounds(scores: DataFrame, quantile: float, doubt: float, least_docs: int) ->
 
 def _judged(scores: DataFrame, quantile: float, doubt: float, least_docs: int) -> DataFrame:
     """scores with _q_bound (of log10 perplexity) and _q_keep."""
-    limits = materialize(bounds(scores, quantile, doubt, least_docs), "quality-bounds")
+    allowance = _allowance(scores)
+    limits = materialize(bounds(scores, allowance, quantile, doubt, least_docs), "quality-bounds")
     own = limits.where("_q_lang IS NOT NULL")
     rest = limits.where("_q_lang IS NULL").select(F.col("_q_bound").alias("rest")).scalar()
     joined = scores.join(F.broadcast(own) if own.count() <= BROADCAST_LANGUAGES else own, F.col("lang").cast("string") == F.col("_q_lang"), "left").drop("_q_lang").withColumn("_q_rest", rest)
-    bound = F.coalesce("_q_bound", "_q_rest") + F.when(F.col("_q_units") > 0, F.lit(ALLOWANCE) / F.sqrt("_q_units")).otherwise(0.0)
+    bound = F.coalesce("_q_bound", "_q_rest") + allowance
     keep = F.coalesce((F.col("_q_log") <= bound) & ((F.col("_q_repeated") <= MOST_REPEATED) | bound.isNull()), F.lit(True))
     return joined.withColumns({"_q_bound": bound, "_q_keep": keep}).drop("_q_rest")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.5, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, lang, n_units, perplexity, bound, keep of each row."""
     rows = _judged(score(docs, labels, ["doc_id", "lang"], chunk_bytes), quantile, doubt, least_docs)
     power = lambda c: F.pow(F.lit(10.0), c)
     return rows.select("doc_id", "lang", F.col("_q_units").alias("n_units"), power("_q_log").alias("perplexity"), power("_q_bound").alias("bound"), F.col("_q_keep").alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.35, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, doubt: float = 0.5, least_docs: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows of docs that are not rejected, all columns kept."""
     rows = _judged(score(docs, labels, docs.columns, chunk_bytes), quantile, doubt, least_docs)
     return rows.where("_q_keep").select(docs.columns)
