@@ -78,6 +78,25 @@ def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner], owner
 
 
+def spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """least_linked, and the places of links that suffice to join what the links join, the first of several."""
+    labels, used, open_ = labels.copy(), [], np.arange(len(a))
+    while True:
+        x, y = labels[a[open_]], labels[b[open_]]
+        apart = x != y
+        open_, x, y = open_[apart], x[apart], y[apart]
+        if not len(open_):
+            return labels, np.concatenate([np.empty(0, np.int64), *used])
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        used.append(open_[first])
+        labels[high] = np.minimum(x, y)[first]
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels = up
+
+
 def least_linked(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the links a-b to components given by labels (of each place, the least place of its component)."""
     while True:

@@ -14,12 +14,15 @@ blocks of the rest, which still differ in 3 bits at most, one more: 16 keys of 2
 pair within the radius escapes.
 
 ``bands`` (wide fingerprints): keys of some bits drawn by a fixed seed. A pair that differs in
-a share p of the bits meets with probability 1 - (1 - (1 - p)^bits)^bands.
+a share p of the bits meets with probability 1 - (1 - (1 - p)^bits)^bands; the bits grow with the
+logarithm of the number of documents, and the bands with the bits. Links found there are
+candidates: those of nearly equal fingerprints stand, the others are verified by the Jaccard
+similarity of the whole shingle sets.
 
 Defined results: a null text has no words and, like any wordless one, fingerprint zero, which
 links like any other; fewer words than a shingle: the whole sequence is one; every row gives
 one row, repeats included; a null doc_id is never a component's id unless the whole component
-has none; other columns are left out.
+has none; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgrain.llm.buckets import by_cells, deal, least_linked, ranges, starts_of
-from symgrain.llm.common import connected_components, materialize, trimmed
+from symgrain.llm.buckets import by_cells, deal, least_linked, ranges, spanning, starts_of
+from symgrain.llm.common import BROADCAST_IDS, as_stored, connected_components, materialize, trimmed
 
 SEED = 42
 #: Members of a bucket that one tree may hold.
@@ -42,6 +45,10 @@ CAP = 4096
 _VISITS = 1_000_000
 #: Partitions at least for wide fingerprints: a text's bands then go to as many, whatever the input's size.
 TASKS = 64
+#: Wide fingerprints: standard errors by which a candidate may be farther apart than the similarity asks, and by which one must be nearer to need no verification; shingles that a set must have for that; chance of a pair to share no band.
+SLACK, SURE, SURE_SHINGLES, MISS = 4.0, 5.0, 64, 0.0025
+#: Members of a bucket that chance alone may bring together, and the fewest bits of a band.
+OCCUPANCY, BAND_BITS = 64, 14
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,18 +95,20 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, print binary) of every row. distinct: a shingle that a text repeats counts once."""
+    """(doc_id, print binary, shingles int) of every row; distinct: a shingle that a text repeats counts once."""
 
     @trimmed
     def run(batches):
         for batch in batches:
-            out = []
+            out, sizes = [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(words_of(text), shingle)
-                out.append(fingerprint(np.unique(hashes) if distinct else hashes, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "print"])
+                hashes = np.unique(hashes) if distinct else hashes
+                out.append(fingerprint(hashes, words))
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(sizes, pa.int32()), batch.column(2)], ["doc_id", "print", "shingles", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place")).mapInArrow(run, "doc_id long, print binary, shingles int, place long")
 
 
 def bk_forest(prints: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,23 +128,30 @@ def bk_forest(prints: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.nda
     return parent, edge
 
 
-def bk_links(prints: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the first place of its component, over links within the radius in the same tree."""
+def bk_links(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each fingerprint the first place of its component, over links within the radius in the same tree; and links (place, place, distance) that join the components, nearer ones preferred."""
     parent, edge = bk_forest(prints, roots)
     wide = 64 * prints.shape[1] + 1
     keys = np.where(parent < 0, -1, parent * wide + edge)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    labels = np.arange(len(roots))
+    labels, used = np.arange(len(roots)), []
     asks = np.flatnonzero(roots != labels)
     step = max(20_000 // prints.shape[1], 1)
     for begin in range(0, len(asks), step):
-        pending = [(asks[begin : begin + step], roots[asks[begin : begin + step]])]
+        pending, found = [(asks[begin : begin + step], roots[asks[begin : begin + step]])], []
         while pending:
             ask, node = pending.pop()
             away = np.bitwise_count(prints[ask] ^ prints[node]).sum(axis=1, dtype=np.int64)
-            near = away <= radius
-            labels = least_linked(labels, ask[near], node[near])
+            near = (away <= radius) & (labels[ask] != labels[node])
+            found.append((ask[near], node[near], away[near]))
+            if sum(len(f[0]) for f in found) > _VISITS:
+                a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                nearest = np.argsort(d, kind="stable")
+                a, b, d = a[nearest], b[nearest], d[nearest]
+                labels, pick = spanning(labels, a, b)
+                used.append((a[pick], b[pick], d[pick]))
+                found = []
             low = np.searchsorted(keys, node * wide + np.maximum(away - radius, 0))
             high = np.searchsorted(keys, node * wide + np.minimum(away + radius, wide - 1), side="right")
             for cut in _cuts((high - low) * prints.shape[1]):
@@ -144,7 +160,12 @@ def bk_links(prints: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
                 earlier = child < who  # the other half finds the same links
                 if earlier.any():
                     pending.append((who[earlier], child[earlier]))
-    return labels
+        if found:
+            a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            labels, pick = spanning(labels, a, b)
+            used.append((a[pick], b[pick], d[pick]))
+    empty = np.empty(0, np.int64)
+    return labels, *(np.concatenate([empty, *x]) for x in (zip(*used, strict=True) if used else [()] * 3))
 
 
 def _cuts(sizes: np.ndarray) -> list[slice]:
@@ -157,20 +178,20 @@ def _cuts(sizes: np.ndarray) -> list[slice]:
 
 
 def _links(dealt: DataFrame, radius: int, words: int) -> DataFrame:
-    """(a, b) links of nodes; dealt: cell, node long, print binary."""
+    """(a, b, away, fewest) links of nodes that join what lies within the radius; dealt: cell, node long, print binary, shingles int; fewest: the lesser of both nodes' shingles."""
 
     @trimmed
     def run(batches):
         def handle(cells, rows):
             nodes = rows.column("node").to_numpy()
             prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), "<u8").reshape(-1, words)
-            labels = bk_links(prints, starts_of(cells), radius)
-            linked = labels != np.arange(len(labels))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], ["a", "b"])
+            _, a, b, away = bk_links(prints, starts_of(cells), radius)
+            sizes = rows.column("shingles").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(away), pa.array(np.minimum(sizes[a], sizes[b]))], ["a", "b", "away", "fewest"])
 
         yield from by_cells(batches, handle, rows=60_000 // words)
 
-    return dealt.select("cell", "node", "print").mapInArrow(run, "a long, b long")
+    return dealt.select("cell", "node", "print", "shingles").mapInArrow(run, "a long, b long, away long, fewest int")
 
 
 def _exact_keys(node: Column) -> Column:
@@ -187,10 +208,10 @@ def _exact_keys(node: Column) -> Column:
     return F.array(*keys)
 
 
-def _by_row(rows: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """(doc_id, node, component_id) of each row. The nodes' components are written first: the one join that meets a hot node's rows is then between plain exchanges, which adaptive execution can split."""
-    resolved = materialize(nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
-    return rows.select("doc_id", "node").join(resolved, "node")
+def _by_row(rows: DataFrame, nodes: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    """doc_id, what names the node, component_id of each row. The nodes' components are written first: the one join that meets a hot node's rows is then between plain exchanges, which adaptive execution can split."""
+    resolved = materialize(nodes.select("node", "least", *[c for c in on if c != "node"]).join(named, "node", "left").select(*on, F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    return rows.select("doc_id", *on).join(resolved, on)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap: int = CAP) -> DataFrame:
@@ -201,12 +222,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap:
     rows = materialize(prints.select("doc_id", _signed(F.hex("print")).alias("node")), "simhash-prints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     keyed = nodes.select("node", F.explode(_exact_keys(F.col("node"))).alias("key"))
-    dealt = deal(keyed, cap).select("cell", "node", _bytes_of("node").alias("print"))
+    dealt = deal(keyed, cap).select("cell", "node", _bytes_of("node").alias("print"), F.lit(0).alias("shingles"))
     components = connected_components(_links(dealt, radius, 1))
     named = nodes.join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
-    return _by_row(rows, nodes, named).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    return _by_row(rows, nodes, named, ["node"]).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _signed(hex_little: Column) -> Column:
@@ -226,39 +247,78 @@ def _agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 12, band_bits: int = 16, bands: int = 48, slack: float = 1.2, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """(doc_id, node, component_id): documents linked by fingerprints of distinct shingles that agree as those of sets with that Jaccard similarity do.
+def band_plan(documents: int, agree: float) -> tuple[int, int]:
+    """Bits of a band and number of bands: chance fills a bucket with OCCUPANCY documents at most, and a pair that agrees in that share of the bits shares no band with probability MISS."""
+    bits = max(BAND_BITS, math.ceil(math.log2(max(documents, 1) / OCCUPANCY)))
+    return bits, math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
 
-    The radius is that of the similarity plus ``slack`` standard errors of the estimate. With
-    the defaults a pair of similarity 0.8 meets in a band with probability 0.97 and one of 0.85
-    with 0.997; pairs from about 0.75 on may link.
-    """
-    bits = 64 * words
-    agree = _agreement(similarity)
-    radius = round(bits * (1 - agree) + slack * math.sqrt(bits * agree * (1 - agree)))
-    drawn = np.random.default_rng(seed)
+
+def _banded(classes: DataFrame, words: int, band_bits: int, bands: int, seed: int) -> DataFrame:
+    """classes (k1, k2, node, least, place, shingles, print) with keys array<long>, one of each band."""
+    bits, drawn = 64 * words, np.random.default_rng(seed)
     chosen = np.concatenate([drawn.permutation(bits) for _ in range(-(-band_bits * bands // bits))])[: band_bits * bands].reshape(bands, band_bits)
     weights = (1 << np.arange(band_bits)).astype(np.int64)
 
-    rows = materialize(fingerprints(docs, shingle, words, distinct=True).select("doc_id", F.xxhash64("print").alias("node"), "print"), "simhash-wide")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("print").alias("print"))
+    @trimmed
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                raw = part.column("print").to_pylist()
+                spread = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+                keys = (spread[:, chosen].astype(np.int64) @ weights) | (np.arange(bands, dtype=np.int64) << band_bits)
+                offsets = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * bands)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], [*part.schema.names, "keys"])
+
+    return classes.select("k1", "k2", "node", "least", "place", "shingles", "print").mapInArrow(run, "k1 long, k2 long, node long, least long, place long, shingles int, print binary, keys array<long>")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets have that Jaccard similarity. Only texts of linked nodes are read, one for each, and their sets (32 bits a shingle) go to their links."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    asked = materialize(ends.join(nodes.select("node", "place"), "node"), "simhash-asked")
+    placed = docs.select("text", F.monotonically_increasing_id().alias("place"))
+    texts = placed.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked.hint("merge"), "place").select("node", "text")
 
     @trimmed
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = batch.column(1).to_pylist()
-            spread = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
-            for start in range(0, len(raw), 500):
-                some = spread[start : start + 500]
-                keys = (some[:, chosen].astype(np.int64) @ weights) | (np.arange(bands, dtype=np.int64) << band_bits)
-                which = np.repeat(np.arange(start, start + len(some)), bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(keys.ravel())], ["node", "print", "key"])
-
-    keyed = nodes.select("node", "print").mapInArrow(run, "node long, print binary, key long")
-    components = connected_components(_links(deal(keyed, cap, tasks=TASKS), radius, words))
+            sets = [np.unique(shingle_hashes(words_of(text), shingle).astype(np.uint32)).view(np.int32) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    sets = materialize(texts.mapInArrow(run, "node long, shingles array<int>"), "simhash-sets")
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = links.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """(doc_id, component_id): documents linked by sets of distinct shingles with that Jaccard similarity.
+
+    Candidates are fingerprints that share a band and lie within the radius: that of the
+    similarity plus SLACK standard errors. Each bucket gives the links that join its candidates,
+    nearest first. Those nearer than the similarity asks by SURE standard errors stand; the others
+    are verified. Recall is measured in the tests. Documents whose fingerprints are equal, of
+    which 128 hashed bits are compared, are one class.
+    """
+    bits, agree = 64 * words, _agreement(similarity)
+    error = math.sqrt(bits * agree * (1 - agree))
+    radius, sure = round(bits * (1 - agree) + SLACK * error), round(bits * (1 - agree) - SURE * error)
+
+    docs = as_stored(docs, "simhash-docs")
+    prints = fingerprints(docs, shingle, words, distinct=True)
+    rows = materialize(prints.withColumns({"k1": F.xxhash64("print"), "k2": F.xxhash64(F.reverse(F.hex("print")))}), "simhash-wide")
+    classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.any_value("shingles").alias("shingles"), F.any_value("print").alias("print")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(_banded(classes, words, *band_plan(rows.count(), agree), seed), "simhash-nodes")
+
+    keyed = nodes.select("node", "print", "shingles", F.explode("keys").alias("key"))
+    found = _links(deal(keyed, cap, tasks=TASKS), radius, words)
+    found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "away", "fewest").distinct(), "simhash-found")
+    stands = (F.col("away") <= sure) & (F.col("fewest") >= SURE_SHINGLES)
+    links = found.where(stands).select("a", "b").unionByName(_verified(docs, nodes, found.where(~stands), shingle, similarity))
+    components = connected_components(materialize(links, "simhash-links"))
     named = nodes.select("node", "least").join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(nodes.select("node", "least"), "node").join(named, "node", "left").select("doc_id", "node", F.coalesce("component_id", "least").alias("component_id"))
+    return _by_row(rows, nodes, named, ["k1", "k2"]).select("doc_id", "component_id")

@@ -36,10 +36,12 @@ def test_trees_find_every_link(radius, words):
         for b in rng.integers(0, 64 * words, rng.integers(0, 7)):
             row[b // 64] ^= np.uint64(1 << int(b % 64))
     cells = np.sort(rng.integers(0, 4, 300))
-    got = s.bk_links(prints, starts_of(cells), radius)
+    got, a, b, d = s.bk_links(prints, starts_of(cells), radius)
     away = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     want = components(range(300), [(a, b) for a in range(300) for b in range(a) if cells[a] == cells[b] and away[a, b] <= radius])
     assert got.tolist() == [want[i] for i in range(300)]
+    assert (away[a, b] == d).all() and (d <= radius).all() and (cells[a] == cells[b]).all()
+    assert len(a) == 300 - len(set(got.tolist())) and components(range(300), list(zip(a.tolist(), b.tolist()))) == want
 
 
 @pytest.mark.parametrize("cap", [4096, 2])
@@ -69,18 +71,63 @@ def test_empty_and_null_ids(spark):
     assert s.simhash_components(docs.limit(0)).count() == 0
 
 
-def test_wide_prints_find_similar_texts(spark):
-    rng = random.Random(9)
-    rows, groups = [], {}
-    for g in range(30):
-        w = [f"g{g}x{rng.randrange(400)}" for _ in range(300)]
-        for copy in range(3):
-            v = list(w)
-            for _ in range(3 * copy):
-                v[rng.randrange(300)] = "changed"
-            groups[len(rows)] = g
-            rows.append((len(rows), " ".join(v)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def sets_of(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_duplicates_equal_exact_similarity_but_for_few(spark):
+    rng, texts = random.Random(9), []
+    for g in range(220):  # pairs from far below to far above the bound, most of them close to it
+        n = rng.choice([7, 9, 14, 40, 150, 600])
+        w = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        v = list(w)
+        for at in rng.sample(range(n), round((n - 4) * rng.uniform(0.0, 0.18) / 5)):
+            v[at] = f"changed{g}"
+        v += [f"more{g}"] * (n < 20)
+        texts += [" ".join(w), " ".join(v).upper()]
+    texts += ["", None, "one two", "One  two", texts[0], "z y x w v u " * 9000]
+    sets = [sets_of(t) for t in texts]
+    pairs = [(2 * k, 2 * k + 1) for k in range(220)]
+    similar = [jaccard(sets[a], sets[b]) for a, b in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'p' as print", "1 as place", "2 as node", "3 as k1")
     got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs).collect()}
-    assert sum(got[i] != 3 * g for i, g in groups.items()) <= 2
-    assert all(got[i] // 3 == g for i, g in groups.items())
+    wanted = [got[a] == got[b] for (a, b), j in zip(pairs, similar, strict=True) if j >= 0.8]
+    near = [got[a] == got[b] for (a, b), j in zip(pairs, similar, strict=True) if 0.8 <= j < 0.85]
+    assert len(wanted) > 60 and len(near) > 10 and sum(wanted) >= 0.98 * len(wanted) and sum(near) >= 0.9 * len(near)
+    assert not any(got[a] == got[b] for (a, b), j in zip(pairs, similar, strict=True) if j < 0.8)
+    assert got[441] == got[440] == 440 and got[442] == got[443] == 442 and got[444] == 0 and got[445] == 445
+
+
+def test_bands_grow_with_the_documents():
+    agree = s._agreement(0.8)
+    for n in (0, 1000, 10**6, 10**8, 10**10):
+        bits, bands = s.band_plan(n, agree)
+        assert n / 2**bits <= s.OCCUPANCY and 1 - (1 - agree**bits) ** bands >= 0.997
+    assert s.band_plan(10**6, agree)[0] == s.BAND_BITS < s.band_plan(10**8, agree)[0]
+
+
+def test_near_duplicates_of_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert s.near_duplicates(docs).count() == 0
+
+
+@pytest.mark.parametrize("cap", [4096, 30])
+def test_chains_and_hot_groups(spark, cap):
+    rng = random.Random(4)
+    w = [f"c{i}" for i in range(400)]
+    chain = []
+    for k in range(40):  # each similar to the next, the ends not to each other
+        chain.append(" ".join(w))
+        at = rng.sample(range(400), 4)
+        for i in at:
+            w[i] = f"k{k}x{i}"
+    hot = [f"d{i}" for i in range(200)]
+    copies = [" ".join(hot)] * 50 + [" ".join([*hot[:i], "other", *hot[i + 1 :]]) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(chain + copies)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs, cap=cap).collect()}
+    assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(40, 240)} == {40}
