@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from symgrain.llm.common import BROADCAST_IDS, as_stored, materialize, trimmed
 
 ORDER, UNIT_BITS = 4, 16
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, CHUNKS_PER_TASK = 16 << 20, 8
 ALLOWANCE, LEAST_WORDS, MOST_REPEATED = 3.0, 5, 0.3
 #: Rows of bounds by language that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_LANGUAGES = 100_000
@@ -262,7 +262,9 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], chunk_bytes: i
 
     source = chunked.select(*needed)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*carried).schema) + "".join(f", {c} {t}" for c, t in _ADDED.items())
-    return materialize(source.groupBy("_q_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema), "quality-scores")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.agg(F.count_distinct("chunk")).first()[0] // CHUNKS_PER_TASK)
+    left, right = source.repartition(tasks, "_q_chunk").groupBy("_q_chunk"), answers.repartition(tasks, "chunk").groupBy("chunk")
+    return materialize(left.cogroup(right).applyInArrow(run, schema), "quality-scores")
 
 
 def _allowance(scores: DataFrame) -> Column:
