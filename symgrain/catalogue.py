@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrain.functions import orderings  # noqa: F401  (part of the public surface)
+from symgrain.functions import orderings
+from symgrain.functions import symbolic as kernels
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
-from symgrain.oracles import BAD_LINES, ORACLES, ROUNDING
+from symgrain.operators.checkpoints import cut, shared
+from symgrain.oracles import BAD_LINES, DEPENDENCIES, LICENSES, MANIFESTS, NATIVE_FILES, ORACLES, ROUNDING, SOURCES
 from symgrain.plans import bestof
 from symgrain.sources import generators, jsonl, tables
 
@@ -286,7 +288,11 @@ def _closed(spark, make):
 
 @query
 def arrow_score(spark, sf_dir):
-    return _closed(spark, generators.arrow(spark, 50).unionByName(generators.arrow(spark, 200)))
+    """The hub first, then the hub last."""
+    edges, vertices = _generated(generators.arrow(spark, 50).unionByName(generators.arrow(spark, 200)))
+    sizes = vertices.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+    last = vertices.join(sizes, "mid").select("mid", F.lit("hub last").alias("candidate"), F.expr("(id + n - 1) % n").alias("k"), F.col("id").alias("v"))
+    return symbolic.scores(edges, symbolic.natural_order(vertices).unionByName(last))
 
 
 @query
@@ -317,12 +323,9 @@ def text_forbidden_words(spark, sf_dir):
     return rows.where(policy.has_word(F.col("content"), "(license|License|idiot|script)")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min("line").cast("long").alias("first_line"))
 
 
-_DEPENDENCIES = '# top\n[dependencies]\nalpha = "1.2.3" # kept\nbeta = "0.1.0-rc.1+x"\ngamma = { git = "u" }\ndelta = "^1"\nepsilon = 1\n = "1.0"\nzeta\n[dev-dependencies]\neta = "2"\n'
-
-
 @query
 def dep_line_parse(spark, sf_dir):
-    files = spark.createDataFrame([("one", _DEPENDENCIES), ("two", 'early = "1.0"\n[dependencies]\nlate = "1.0"')], "path string, text string")
+    files = spark.createDataFrame(list(DEPENDENCIES.items()), "path string, text string")
     return policy.dependencies(files).select("path", F.col("line").cast("long").alias("line"), "name", "version", "fault")
 
 
@@ -340,24 +343,85 @@ def crate_split(spark, sf_dir):
 
 @query
 def license_gate(spark, sf_dir):
-    rows = [("a", "MIT"), ("b", "MIT OR GPL-3.0"), ("c", "GPL-3.0"), ("d", "MIT AND Apache-2.0"), ("e", "MIT AND GPL-3.0"), ("f", None), ("g", "MIT/Apache-2.0")]
-    return policy.license_faults(spark.createDataFrame(rows, "crate string, license string"), ["MIT", "Apache-2.0", "BSD-3-Clause"])
+    return policy.license_faults(spark.createDataFrame(list(LICENSES), "crate string, license string"), ["MIT", "Apache-2.0", "BSD-3-Clause"])
 
 
 @query
 def strip_comments(spark, sf_dir):
-    files = _texts(spark, sf_dir)
-    return files.select("path", F.length(policy.stripped(F.col("text"), True)).alias("length"))
+    """Sources without comments, with and without the insides of strings."""
+    both = [policy.stripped(F.col("text"), blank).alias(name) for name, blank in (("code", True), ("shown", False))]
+    return _sources(spark).select("path", *both)
+
+
+def _sources(spark):
+    return spark.createDataFrame([(path, text) for path, text, *_ in SOURCES], "path string, text string")
 
 
 @query
 def source_scan(spark, sf_dir):
-    return policy.first_findings(_texts(spark, sf_dir))
+    return policy.first_findings(_sources(spark)).select("path", F.col("line").cast("long").alias("line"), "what")
+
+
+@query
+def source_purity(spark, sf_dir):
+    """Build scripts are found by name, all others by what they hold."""
+    scripts = spark.createDataFrame([("x/build.rs", "fn main() {}"), ("x/rebuild.rs", "fn main() {}"), ("build.rs", "")], "path string, text string")
+    return policy.purity(_sources(spark).unionByName(scripts)).select("path", F.col("line").cast("long").alias("line"), "what")
+
+
+@query
+def macro_calls(spark, sf_dir):
+    """Where ``asm`` is called as a macro, and its line."""
+    return _sources(spark).select("path", policy.has_macro_call(F.col("text"), "asm").alias("called"), policy.macro_line(F.col("text"), "asm").cast("long").alias("line"))
+
+
+@query
+def attribute_lines(spark, sf_dir):
+    return policy.lines_of(_sources(spark)).where(policy.has_attribute(F.col("content"), "link")).select("path", F.col("line").cast("long").alias("line"))
+
+
+@query
+def build_tools(spark, sf_dir):
+    """Tools among the build dependencies of manifests, some behind tabs."""
+    return policy.build_tools(spark.createDataFrame([(path, text) for path, text, _ in MANIFESTS], "path string, text string"))
+
+
+@query
+def native_files(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p, _ in NATIVE_FILES], "path string").select("path", policy.native_file(F.col("path")).alias("native"))
+
+
+@query
+def vendored_faults(spark, sf_dir):
+    crates = [(f"{path}-1.0.0", "Cargo.toml", text) for path, text, _ in MANIFESTS] + [("wrap-sys-0.1.0", "src/lib.rs", "x"), ("blob-2.0.0", "lib/x.so", None), ("plain-2.0.0", "src/lib.rs", "x")]
+    return policy.vendored_faults(spark.createDataFrame(crates, "crate string, path string, text string"))
+
+
+@query
+def policy_gate(spark, sf_dir):
+    """The first fault of sources, dependencies, licenses."""
+    rows = [(i, s, d, x) for i, (s, d, x) in enumerate((s, d, x) for s in ("source", None) for d in ("dependency", None) for x in ("license", None))]
+    return spark.createDataFrame(rows, "case long, s string, d string, l string").select("case", policy.gate(F.col("s"), F.col("d"), F.col("l")).alias("fault"))
+
+
+@query
+def exit_reasons(spark, sf_dir):
+    codes = spark.createDataFrame([(i, c) for i, c in enumerate((0, 1, 101, -9, -6, None))], "case long, code int")
+    return codes.select("case", validate.exit_reason(F.col("code")).alias("reason"))
+
+
+@query
+def json_fields(spark, sf_dir):
+    """Single fields of event properties and of corpus lines."""
+    lines = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(BAD_LINES)] + [(100, '{"n": 7, "source": "a b", "indices": [1, 2, 3]}'), (101, '{"n": -7, "source": "x\\"y", "indices": []}'), (102, "y" * 100)], "case long, value string")
+    j = F.col("value")
+    return lines.select("case", jsonl.integer_field(j, "n").alias("n"), jsonl.text_field(j, "source").alias("source"), F.size(jsonl.integers_field(j, "indices")).cast("long").alias("indices"), jsonl.shortened(j).alias("shown"))
 
 
 @query
 def matrix_table(spark, sf_dir):
-    return sinks.matrix_table(_ratios(spark, sf_dir))
+    sizes = pattern.matrices(*_family(spark, sf_dir, ALL)).select("mid", "nnz")
+    return sinks.matrix_table(_ratios(spark, sf_dir).join(sizes, "mid"))
 
 
 @query
@@ -378,9 +442,34 @@ def run_log_row(spark, sf_dir):
     return total.select(sinks.log_line(F.lit(1_700_000_000), F.lit("OK"), F.col("score"), F.col("fill"), note).alias("line"))
 
 
+_REPORT = "mid string, candidate string, n long, whole boolean, repeats boolean, counts_agree boolean, nnz_l long, flops long"
+
+
+def order_report(packed: DataFrame, index: int) -> DataFrame:
+    """What one candidate's order is worth on each packed pattern: whether it is an order, comes out the same twice, and is scored alike by both ways to count columns."""
+    name, make = bestof.ALGORITHMS[index]
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                mid, n, col_at, rows = (x.as_py() for x in row)
+                graph = orderings.Graph.packed(n, col_at, rows)
+                order = make(graph)
+                moved = kernels.reordered(graph, order)
+                counts = kernels.column_counts(moved)
+                out = (mid, name, n, kernels.is_order(order, n), order == make(graph), counts == kernels.column_counts_by_rows(moved), sum(counts), sum(c * c for c in counts))
+                yield pa.RecordBatch.from_pylist([dict(zip((f.split()[0] for f in _REPORT.split(", ")), out, strict=True))])
+
+    return packed.select("mid", "n", "col_at", "rows").mapInArrow(run, _REPORT)
+
+
 def _kernel_order(index):
     def run(spark, sf_dir):
-        return bestof.orders_of(pattern.pack(*_family(spark, sf_dir)), (index,))
+        """Against the natural order's flops, which the SQL side computes too."""
+        edges, vertices = _family(spark, sf_dir)
+        natural = symbolic.scores(edges, symbolic.natural_order(vertices)).select("mid", F.col("flops").alias("natural_flops"))
+        report = order_report(pattern.pack(edges, vertices), index).join(natural, "mid")
+        return report.select("mid", "n", "natural_flops", "whole", "repeats", "counts_agree", (F.col("flops") <= F.col("natural_flops")).alias("no_dearer"))
 
     return run
 
@@ -389,20 +478,38 @@ for _name, _index in (("order_amd", 1), ("order_amf", 5), ("order_rcm", 17), ("o
     QUERIES[_name] = _kernel_order(_index)
 
 
+def _best(spark, sf_dir):
+    edges, vertices = _family(spark, sf_dir)
+    return bestof.best_of(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)))
+
+
 @query
 def bestof_full(spark, sf_dir):
-    """The cheapest of all admitted candidates of each monthly pattern, against the floor."""
+    """The cheapest of all admitted candidates of each monthly pattern: against the floor, and against the natural and the degree order, which are none of them."""
+    others = _scores(spark, sf_dir, ("month",)).groupBy("mid").agg(F.max(F.when(F.col("candidate") == "natural", F.col("flops"))).alias("natural_flops"), F.max(F.when(F.col("candidate") == "degree", F.col("flops"))).alias("degree_flops"))
+    joined = _best(spark, sf_dir).join(others, "mid")
+    return joined.select("mid", "n", "natural_flops", "degree_flops", (F.col("flops") <= F.col("base_flops")).alias("at_most_floor"), (F.col("flops") <= F.least("natural_flops", "degree_flops")).alias("at_most_others"), (F.col("nnz_l") >= F.col("n")).alias("counts_diagonal"))
+
+
+@query
+def own_order(spark, sf_dir):
+    """A run with an order of one's own: the reverse, registered beside the candidates for this plan alone."""
     edges, vertices = _family(spark, sf_dir)
-    return bestof.best_of(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)))
+    before = len(bestof.GATES)
+    index = bestof.register("backwards", orderings.backwards)
+    try:
+        scored = cut(bestof.candidate_scores(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)).where(F.col("cand_idx") == index)))
+    finally:
+        del bestof.ALGORITHMS[index], bestof.GATES[before:]
+    return scored.select("mid", "candidate", "n", "nnz_l", "flops", "status")
 
 
 @query
 def jsonl_scan_rejects(spark, sf_dir):
     """Monthly patterns written as JSON lines and read back, with lines that are none among them."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="symgrain-")
-    path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    path = f"{shared(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     jsonl.write(pattern.pack(*_family(spark, sf_dir)), path)
     bad = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(BAD_LINES)], "seq long, value string")
-    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 100).alias("seq"), "value").unionByName(bad)
+    lines = jsonl.file_order(spark.read.text(path)).withColumn("seq", F.col("seq") + 100).unionByName(bad)
     none = F.lit(-1).cast("long")
     return jsonl.parse(lines).select("mid", F.coalesce("n", none).alias("n"), F.coalesce(F.size("rows").cast("long"), none).alias("nnz"), F.coalesce("fault", F.lit("")).alias("fault"))

@@ -13,10 +13,11 @@ import heapq
 import math
 
 from symgrain.functions.graph import Graph
+from symgrain.functions.orderings import allowance
 
 
-def minimum_degree(graph: Graph, aggressive: bool = True, dense: float = 10.0, fill: bool = False) -> list[int]:
-    """The order of elimination. aggressive: also absorbs elements that the pivot's covers without touching the pivot. fill: picks by estimated fill instead of degree. dense: negative for no dense rows. Of equals the least number goes first."""
+def minimum_degree(graph: Graph, aggressive: bool = True, dense: float = 10.0, fill: bool = False, budget: int | None = None) -> list[int]:
+    """The order of elimination. aggressive: also absorbs elements that the pivot's covers without touching the pivot. fill: picks by estimated fill instead of degree. dense: negative for no dense rows. Of equals the least number goes first. When the budget of visited entries is spent, the variables left go by their bounds."""
     n = graph.n
     limit = n if dense < 0 else max(16, dense * math.sqrt(n))
     late = {v for v in range(n) if graph.degree[v] > limit}
@@ -30,8 +31,13 @@ def minimum_degree(graph: Graph, aggressive: bool = True, dense: float = 10.0, f
     queue = [(cost[v], v) for v in range(n) if v not in late]
     heapq.heapify(queue)
     left, order = n - len(late), []
+    budget = allowance(graph) if budget is None else budget
 
     while queue:
+        if budget < 0:
+            for v in sorted((v for v in range(n) if weight[v]), key=lambda v: (cost[v], v)):
+                order += merged[v]
+            break
         value, pivot = heapq.heappop(queue)
         if not weight[pivot] or value != cost[pivot]:
             continue
@@ -46,6 +52,7 @@ def minimum_degree(graph: Graph, aggressive: bool = True, dense: float = 10.0, f
         weight[pivot] = 0
         members[pivot] = clique
         size = sum(weight[v] for v in clique)
+        budget -= 1 + sum(1 + len(links[v]) + len(touches[v]) for v in clique)
 
         outside: dict[int, int] = {}  # weight of each touched element beyond the clique
         for v in clique:

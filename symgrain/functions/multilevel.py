@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from symgrain.functions.graph import Graph
 from symgrain.functions.minimum_degree import minimum_degree
+from symgrain.functions.orderings import allowance
 
 COARSE, LEAF = 60, 60
 
@@ -94,12 +95,15 @@ def _bisect(weights, links, trials, passes):
     return side
 
 
-def multilevel_dissection(graph: Graph, trials: int = 4, passes: int = 4) -> list[int]:
+def multilevel_dissection(graph: Graph, trials: int = 4, passes: int = 4, budget: int | None = None) -> list[int]:
+    """Separators come last; small parts, and all that are left when the budget is spent, go by minimum degree."""
     order, tasks = [0] * graph.n, [(list(range(graph.n)), 0)]
+    budget = allowance(graph) if budget is None else budget
     while tasks:
         part, low = tasks.pop()
         number = {v: k for k, v in enumerate(part)}
-        if len(part) > LEAF:
+        if len(part) > LEAF and budget > 0:
+            budget -= (4 + passes) * (len(part) + sum(graph.degree[v] for v in part)) + trials * (2 + passes) * COARSE**2
             links = [{number[u]: 1 for u in graph.neighbours[v] if u in number} for v in part]
             side = _bisect([1] * len(part), links, trials, passes)
             border = [[k for k, row in enumerate(links) if side[k] == s and any(side[u] != s for u in row)] for s in (False, True)]

@@ -23,14 +23,26 @@ def by_degree(graph: Graph) -> list[int]:
     return graph.by_degree(range(graph.n))
 
 
-def reverse_cuthill_mckee(graph: Graph) -> list[int]:
-    """Components by their least vertex, each walked from a peripheral vertex with neighbours by (degree, number); then all reversed."""
+def allowance(graph: Graph) -> int:
+    """Steps that an order may take by default: what its published bound asks of a sparse pattern, many times over."""
+    return 400 * (graph.n + graph.nnz) + 20_000_000
+
+
+def rest_by_degree(graph: Graph, order: list[int]) -> list[int]:
+    """The order with the vertices that it lacks behind it."""
+    return order + graph.by_degree(set(range(graph.n)).difference(order))
+
+
+def reverse_cuthill_mckee(graph: Graph, budget: int | None = None) -> list[int]:
+    """Components by their least vertex, each walked from a peripheral vertex with neighbours by (degree, number); then all reversed. Components that are reached after the budget is spent are not searched for a peripheral vertex."""
     order: list[int] = []
     placed: set[int] = set()
+    budget = allowance(graph) if budget is None else budget
     for seed in range(graph.n):
         if seed in placed:
             continue
-        start = graph.peripheral(seed) if graph.degree[seed] else seed
+        start = graph.peripheral(seed) if graph.degree[seed] and budget > 0 else seed
+        reached = len(order)
         at = len(order)
         order.append(start)
         placed.add(start)
@@ -39,49 +51,62 @@ def reverse_cuthill_mckee(graph: Graph) -> list[int]:
             order += fresh
             placed.update(fresh)
             at += 1
+        budget -= 8 * sum(1 + graph.degree[v] for v in order[reached:])
     return order[::-1]
 
 
-def sloan(graph: Graph, far: int = 2, slim: int = 1) -> list[int]:
-    """Sloan's profile reduction: prefers vertices far from the end and of low current degree; of equals the highest number."""
-    waiting, near, front, done = range(4)
-    state, merit, order = [waiting] * graph.n, [0] * graph.n, []
+def sloan(graph: Graph, far: int = 2, slim: int = 1, budget: int | None = None) -> list[int]:
+    """Profile reduction after Sloan (1986), "An algorithm for profile and wavefront reduction of sparse matrices".
+
+    A vertex's priority is ``far`` times its distance from the end, less ``slim`` times one more
+    than its current degree. Vertices next to the front are active; each step numbers the vertex
+    of highest priority among those active or beside them, of equals the highest number. A vertex
+    that joins the numbered or the active ones lessens the current degree of its neighbours by
+    one. When the budget is spent, the rest goes by degree.
+    """
+    budget = allowance(graph) if budget is None else budget
+    order, numbered, active, listed = [], [False] * graph.n, [False] * graph.n, [False] * graph.n
+    priority = [0] * graph.n
 
     for seed in range(graph.n):
-        if state[seed] == done:
+        if numbered[seed]:
             continue
         start = graph.peripheral(seed) if graph.degree[seed] else seed
-        end, _ = graph.outermost(start)
-        for away, level in enumerate(graph.walk(end)):
+        levels = graph.walk(graph.outermost(start)[0])
+        for distance, level in enumerate(levels):
             for v in level:
-                merit[v] = far * away - slim * (graph.degree[v] + 1)
-        queue = [(-merit[start], -start)]
-        state[start] = near
+                priority[v] = far * distance - slim * (graph.degree[v] + 1)
+        budget -= 8 * sum(1 + graph.degree[v] for level in levels for v in level)
+        heap = [(-priority[start], -start)]
+        listed[start] = True
 
-        def lift(v: int, queue=queue) -> None:
-            merit[v] += slim
-            if state[v] == waiting:
-                state[v] = near
-            heapq.heappush(queue, (-merit[v], -v))
+        def joins(v: int, heap=heap) -> None:
+            """v becomes active or numbered: its neighbours' current degrees, and so their priorities, change; they can be chosen now."""
+            for w in graph.neighbours[v]:
+                if not numbered[w]:
+                    priority[w] += slim
+                    listed[w] = True
+                    heapq.heappush(heap, (-priority[w], -w))
 
-        while queue:
-            value, v = heapq.heappop(queue)
+        while heap and budget > 0:
+            key, v = heapq.heappop(heap)
             v = -v
-            if state[v] == done or -value != merit[v]:
+            if numbered[v] or -key != priority[v]:
                 continue
-            if state[v] == near:
-                for w in graph.neighbours[v]:
-                    if state[w] != done:
-                        lift(w)
-            state[v] = done
+            budget -= 1 + graph.degree[v]
+            if not active[v]:
+                joins(v)
+            numbered[v] = True
             order.append(v)
             for w in graph.neighbours[v]:
-                if state[w] == near:
-                    state[w] = front
-                    lift(w)
-                    for x in graph.neighbours[w]:
-                        if state[x] != done:
-                            lift(x)
+                if listed[w] and not active[w] and not numbered[w]:
+                    active[w] = True
+                    budget -= graph.degree[w]
+                    priority[w] += slim
+                    heapq.heappush(heap, (-priority[w], -w))
+                    joins(w)
+        if budget <= 0:
+            return rest_by_degree(graph, order)
     return order
 
 

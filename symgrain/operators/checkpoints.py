@@ -6,18 +6,24 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; where it names none and the master is local, a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it names none and the master is local, the one that is set, or a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="symgrain-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        named = tempfile.mkdtemp(prefix="symgrain-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if not context.getCheckpointDir():
         context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -63,6 +63,11 @@ def column(packed_at: Column, packed_rows: Column, j: Column) -> Column:
     return F.slice(packed_rows, (start + 1).cast("int"), (stop - start).cast("int"))
 
 
+def entries() -> Column:
+    """A packed pattern's entries off the diagonal, of its columns n, col_at, rows."""
+    return F.expr("cast(size(rows) - if(n > 0, size(filter(sequence(0L, n - 1), j -> array_contains(slice(rows, cast(get(col_at, cast(j as int)) as int) + 1, cast(get(col_at, cast(j as int) + 1) - get(col_at, cast(j as int)) as int)), j))), 0) as long)")
+
+
 def unpack(packed: DataFrame) -> DataFrame:
     """Edges of packed patterns; loops are dropped."""
     each = packed.where("n > 0").select("mid", "col_at", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("a"))

@@ -20,6 +20,11 @@ NATIVE_ENDINGS = ("a", "so", "dylib", "dll", "lib", "o", "obj")
 _EDGE = "[^A-Za-z0-9_]"
 
 
+def bare(text: Column) -> Column:
+    """Without white space of any kind at both ends (trim() takes spaces only)."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def stripped(text: Column, blank_strings: bool) -> Column:
     @F.pandas_udf("string")
     def strip(texts: pd.Series) -> pd.Series:
@@ -58,7 +63,7 @@ def source_findings(files: DataFrame) -> DataFrame:
     """(path, rank, line, what) of all that sources may not use; rank: the order in which kinds are looked for within a file."""
     views = files.select("path", stripped(F.col("text"), True).alias("code"), stripped(F.col("text"), False).alias("shown"))
     code = lines_of(views.select("path", F.col("code").alias("text")))
-    line = F.trim("content")
+    line = bare(F.col("content"))
     link = has_attribute(line, "link") & (line.contains("link(") | line.contains("link =") | line.contains("link_name"))
     kinds = [F.when(has_word(line, w), F.struct(F.lit(k).alias("k"), F.lit(what).alias("what"))) for k, (w, what) in enumerate(WORDS)] + [F.when(link, F.struct(F.lit(len(WORDS)).alias("k"), F.lit("link attribute").alias("what")))]
     by_line = code.select("path", "line", F.explode(F.array_compact(F.array(*kinds))).alias("f")).select("path", F.lit(0).alias("rank"), "line", "f.k", "f.what")
@@ -90,7 +95,7 @@ def purity(files: DataFrame) -> DataFrame:
 
 def uncommented(line: Column) -> Column:
     """The line up to the first #, trimmed."""
-    return F.trim(F.substring_index(line, "#", 1))
+    return bare(F.substring_index(line, "#", 1))
 
 
 def plain_version(text: Column) -> Column:
@@ -102,7 +107,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     rows = lines_of(files).select("path", "line", uncommented(F.col("content")).alias("t")).where("t <> ''")
     header = F.when(F.col("t") == "[dependencies]", F.col("line"))
     seen = F.max(header).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
-    name, value = F.trim(F.regexp_extract("t", r"^([^=]*)=(.*)$", 1)), F.trim(F.regexp_extract("t", r"^([^=]*)=(.*)$", 2))
+    name, value = (bare(F.regexp_extract("t", r"^([^=]*)=(.*)$", k)) for k in (1, 2))
     version = F.regexp_extract(value, r'^"(.*)"$', 1)
     fault = (
         F.when(F.col("t").startswith("["), "another table").when(seen.isNull(), "before [dependencies]").when(~F.col("t").contains("="), "no name = version")
@@ -120,8 +125,8 @@ def crate_name(folder: Column) -> Column:
 def build_tools(manifests: DataFrame) -> DataFrame:
     """(path, tool): the first native build tool that a manifest names among its build dependencies, by key, table header or rename."""
     tools = "|".join(BUILD_TOOLS)
-    rows = lines_of(manifests).select("path", "line", F.trim("content").alias("t"))
-    named = F.trim(F.regexp_extract("t", r"^\[(?:.*\.)?build-dependencies\.(.*)\]$", 1))
+    rows = lines_of(manifests).select("path", "line", bare(F.col("content")).alias("t"))
+    named = bare(F.regexp_extract("t", r"^\[(?:.*\.)?build-dependencies\.(.*)\]$", 1))
     plain = (F.col("t") == "[build-dependencies]") | F.col("t").rlike(r"^\[target\..*\.build-dependencies\]$")
     opens = F.when(named != "", True).when(F.col("t").startswith("["), plain)
     section = F.last(opens, ignorenulls=True).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))

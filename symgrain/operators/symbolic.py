@@ -1,7 +1,8 @@
 """Scores of elimination orders.
 
-Orders: (mid, candidate, k, v): vertex v goes k-th. Relabelling is two joins; the tree and the
-counts are one kernel call per pattern and order, which returns integers only. The relational
+Orders: (mid, candidate, k, v): vertex v goes k-th. ``permute`` relabels edges by two joins. For
+scores each pattern's edges are gathered once, whatever the number of orders, and relabelled by
+the kernel, one call per pattern and order, which returns integers only. The relational
 twin counts by the fill-path theorem and serves as an independent check on shallow patterns.
 """
 
@@ -10,12 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symgrain.functions.graph import Graph
 from symgrain.functions.symbolic import column_counts, elimination_tree
 from symgrain.operators.checkpoints import cut
+from symgrain.operators.numbering import numbered_by
 
 
 def natural_order(vertices: DataFrame) -> DataFrame:
@@ -24,14 +25,13 @@ def natural_order(vertices: DataFrame) -> DataFrame:
 
 def reverse_order(vertices: DataFrame) -> DataFrame:
     """The highest number first."""
-    k = F.row_number().over(W.partitionBy("mid").orderBy(F.desc("id"))).cast("long") - 1
-    return vertices.select("mid", F.lit("reverse").alias("candidate"), k.alias("k"), F.col("id").alias("v"))
+    sizes = vertices.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+    return vertices.join(sizes, "mid").select("mid", F.lit("reverse").alias("candidate"), (F.col("n") - 1 - F.col("id")).alias("k"), F.col("id").alias("v"))
 
 
 def degree_order(degrees: DataFrame) -> DataFrame:
     """By (degree, number); degrees: (mid, v, degree)."""
-    k = F.row_number().over(W.partitionBy("mid").orderBy("degree", "v")).cast("long") - 1
-    return degrees.select("mid", F.lit("degree").alias("candidate"), k.alias("k"), "v")
+    return numbered_by(degrees, "mid", ["degree", "v"], "k").select("mid", F.lit("degree").alias("candidate"), "k", "v")
 
 
 def permute(edges: DataFrame, orders: DataFrame) -> DataFrame:
@@ -42,14 +42,19 @@ def permute(edges: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _groups(edges: DataFrame, orders: DataFrame) -> DataFrame:
-    """(mid, candidate, n, a array, b array): the lower half of each renamed pattern."""
-    half = permute(edges.where("a < b"), orders).groupBy("mid", "candidate").agg(F.collect_list(F.struct("a", "b")).alias("e"))
-    sizes = orders.groupBy("mid", "candidate").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(half, ["mid", "candidate"], "left").select("mid", "candidate", "n", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+    """(mid, candidate, order array, a array, b array): the lower half of each pattern beside each order."""
+    half = edges.where("a < b").groupBy("mid").agg(F.collect_list(F.struct("a", "b")).alias("e"))
+    each = orders.groupBy("mid", "candidate").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("o"))
+    return each.join(half, "mid", "left").select("mid", "candidate", F.col("o.v").alias("order"), F.col("e.a").alias("a"), F.col("e.b").alias("b"))
 
 
-def _graph(n, a, b) -> Graph:
-    return Graph.edges(n, a.as_py() or [], b.as_py() or [])
+def _graph(order, a, b) -> Graph:
+    """The pattern with vertex order[k] renamed k."""
+    flat = lambda x: np.asarray(x.values) if x.is_valid else np.empty(0, np.int64)
+    order, a, b = flat(order), flat(a), flat(b)
+    place = np.full(max([len(order), *(int(x.max()) + 1 for x in (order, a, b) if len(x))]), -1)
+    place[order] = np.arange(len(order))
+    return Graph.edges(len(order), place[a], place[b])
 
 
 def columns(edges: DataFrame, orders: DataFrame) -> DataFrame:
@@ -57,8 +62,8 @@ def columns(edges: DataFrame, orders: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for mid, candidate, n, a, b in zip(*batch.columns, strict=True):
-                graph = _graph(n.as_py(), a, b)
+            for mid, candidate, order, a, b in zip(*batch.columns, strict=True):
+                graph = _graph(order, a, b)
                 parent = elimination_tree(graph)
                 counts = column_counts(graph, parent)
                 yield pa.RecordBatch.from_arrays(
@@ -75,9 +80,9 @@ def scores(edges: DataFrame, orders: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for mid, candidate, n, a, b in zip(*batch.columns, strict=True):
-                counts = column_counts(_graph(n.as_py(), a, b))
-                out.append((mid.as_py(), candidate.as_py(), n.as_py(), sum(counts), sum(c * c for c in counts)))
+            for mid, candidate, order, a, b in zip(*batch.columns, strict=True):
+                counts = column_counts(_graph(order, a, b))
+                out.append((mid.as_py(), candidate.as_py(), len(counts), sum(counts), sum(c * c for c in counts)))
             names, kinds = ["mid", "candidate", "n", "nnz_l", "flops"], [pa.string(), pa.string(), *[pa.int64()] * 3]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -85,7 +90,7 @@ def scores(edges: DataFrame, orders: DataFrame) -> DataFrame:
     return _groups(edges, orders).mapInArrow(run, "mid string, candidate string, n long, nnz_l long, flops long")
 
 
-def columns_by_paths(edges: DataFrame, vertices: DataFrame, max_steps: int = 200) -> DataFrame:
+def columns_by_paths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(mid, j, parent, c) in natural order without a kernel: column j has row i > j iff a path j..i leads over vertices below j alone (Rose, Tarjan and Lueker 1976).
 
     Reached pairs grow by one step a round, all patterns at once, until none is new; the loop is
@@ -94,13 +99,11 @@ def columns_by_paths(edges: DataFrame, vertices: DataFrame, max_steps: int = 200
     step = edges.select("mid", F.col("a").alias("at"), F.col("b").alias("to"))
     reached = cut(edges.select("mid", F.col("a").alias("j"), F.col("b").alias("v")))
     fresh = reached
-    for _ in range(max_steps):
+    while True:
         ahead = fresh.where("v < j").withColumnRenamed("v", "at").join(step, ["mid", "at"]).select("mid", "j", F.col("to").alias("v")).where("v <> j").distinct()
         fresh = cut(ahead.join(reached, ["mid", "j", "v"], "left_anti"))
         if fresh.isEmpty():
             break
         reached = cut(reached.unionByName(fresh))
-    else:
-        raise RuntimeError(f"paths are longer than {max_steps} steps")
     above = reached.where("v > j").groupBy("mid", "j").agg(F.min("v").alias("parent"), F.count(F.lit(1)).alias("c"))
     return vertices.select("mid", F.col("id").alias("j")).join(above, ["mid", "j"], "left").select("mid", "j", "parent", (F.coalesce("c", F.lit(0)) + 1).cast("long").alias("c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,17 +11,16 @@ from pyspark.sql import functions as F
 from symgrain.operators.checkpoints import cut
 
 
-def levels(edges: DataFrame, starts: DataFrame, max_levels: int = 500) -> DataFrame:
+def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(mid, v, level): breadth-first distance from starts (mid, v); what is not reached is left out. A round per level, all patterns at once."""
     step = edges.select("mid", F.col("a").alias("v"), F.col("b").alias("to"))
     seen = front = cut(starts.select("mid", "v", F.lit(0).cast("long").alias("level")))
-    for k in range(1, max_levels + 1):
+    for k in count(1):
         ahead = front.join(step, ["mid", "v"]).select("mid", F.col("to").alias("v")).distinct()
         front = cut(ahead.join(seen, ["mid", "v"], "left_anti").withColumn("level", F.lit(k).cast("long")))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
-    raise RuntimeError(f"more than {max_levels} levels")
 
 
 def components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -82,14 +82,102 @@ _LINES = r"SELECT path, unnest(string_split(regexp_replace(replace(text, chr(13)
 
 
 def _gates() -> str:
-    from symgrain.plans.bestof import CANDIDATES
-
-    rows = [(i, name, g.max_n, g.min_nnz, g.max_nnz) for i, name, _, each in CANDIDATES for g in each]
-    text = ", ".join(f"({i}, '{name}', {'NULL' if n is None else n}, {low}, {'NULL' if high is None else high})" for i, name, n, low, high in rows)
+    text = ", ".join(f"({i}, '{name}', {n}, {low}, {high})" for i, name, n, low, high in GATES)
     return f"g(cand_idx, candidate, max_n, min_nnz, max_nnz) AS (VALUES {text})"
 
 
-_DEP_ROWS = """(VALUES ('one', 3, 'alpha = "1.2.3"'), ('one', 4, 'beta = "0.1.0-rc.1+x"'), ('one', 5, 'gamma = { git = "u" }'), ('one', 6, 'delta = "^1"'), ('one', 7, 'epsilon = 1'), ('one', 8, '= "1.0"'), ('one', 9, 'zeta'), ('one', 10, '[dev-dependencies]'), ('one', 11, 'eta = "2"'), ('two', 1, 'early = "1.0"'), ('two', 3, 'late = "1.0"')) t(path, line, t)"""
+
+#: Dependency lists, with tabs where spaces are usual.
+DEPENDENCIES = {
+    "one": '# top\n[dependencies]\nalpha = "1.2.3" # kept\nbeta = "0.1.0-rc.1+x"\ngamma = { git = "u" }\ndelta = "^1"\nepsilon = 1\n = "1.0"\nzeta\n[dev-dependencies]\neta = "2"\n',
+    "two": 'early = "1.0"\n[dependencies]\nlate = "1.0"',
+    "tabs": '\t[dependencies]\t# here\n\t\n theta\t=\t"1.0"\t\n\tiota = "2"\t# two\n\t[features]\n',
+}
+_DEP_ROWS = """(VALUES ('one', 3, 'alpha = "1.2.3"'), ('one', 4, 'beta = "0.1.0-rc.1+x"'), ('one', 5, 'gamma = { git = "u" }'), ('one', 6, 'delta = "^1"'), ('one', 7, 'epsilon = 1'), ('one', 8, '= "1.0"'), ('one', 9, 'zeta'), ('one', 10, '[dev-dependencies]'), ('one', 11, 'eta = "2"'), ('two', 1, 'early = "1.0"'), ('two', 3, 'late = "1.0"'), ('tabs', 3, 'theta = "1.0"'), ('tabs', 4, 'iota = "2"'), ('tabs', 5, '[features]')) t(path, line, t)"""
+LICENSES = (("a", "MIT"), ("b", "MIT OR GPL-3.0"), ("c", "GPL-3.0"), ("d", "MIT AND Apache-2.0"), ("e", "MIT AND GPL-3.0"), ("f", None), ("g", "MIT/Apache-2.0"))
+#: Sources: path, text, line and kind of the first finding (none: null), the text without comments and with blank strings, the text without comments.
+SOURCES = (
+    ("f01", 'extern "C" { fn f(); }', 1, "foreign functions", 'extern " " { fn f(); }', 'extern "C" { fn f(); }'),
+    ("f02", "// extern in prose\nfn f() {}", None, None, "\nfn f() {}", "\nfn f() {}"),
+    ("f03", "/* a /* extern */ extern */ let x = 1;", None, None, " let x = 1;", " let x = 1;"),
+    ("f04", 'let s = "extern";', None, None, 'let s = "      ";', 'let s = "extern";'),
+    ("f05", 'let s = "/*"; extern "C" {}', 1, "foreign functions", 'let s = "  "; extern " " {}', 'let s = "/*"; extern "C" {}'),
+    ("f06", "fn f<'a>(x: &'a str) {} // '\nextern", 2, "foreign functions", "fn f<'a>(x: &'a str) {} \nextern", "fn f<'a>(x: &'a str) {} \nextern"),
+    ("f07", "\t#[no_mangle]\nfn f() {}", 1, "no_mangle", "\t#[no_mangle]\nfn f() {}", "\t#[no_mangle]\nfn f() {}"),
+    ("f08", "fn no_mangle_helper() {}", None, None, "fn no_mangle_helper() {}", "fn no_mangle_helper() {}"),
+    ("f09", "let asm = 5; if asm != 5 {}", None, None, "let asm = 5; if asm != 5 {}", "let asm = 5; if asm != 5 {}"),
+    ("f10", "use x;\ncore::arch::asm\n  !\n (nop)", 2, "inline assembly", "use x;\ncore::arch::asm\n  !\n (nop)", "use x;\ncore::arch::asm\n  !\n (nop)"),
+    ("f11", 'a;\ninclude!("../x.rs");', 2, "include of a path outside", 'a;\ninclude!("       ");', 'a;\ninclude!("../x.rs");'),
+    ("f12", 'include!("x.rs");', None, None, 'include!("    ");', 'include!("x.rs");'),
+    ("f13", '\n\t#[link(name = "c")]', 2, "link attribute", '\n\t#[link(name = " ")]', '\n\t#[link(name = "c")]'),
+    ("f14", "use proc_macro::TokenStream;", 1, "procedural macros", "use proc_macro::TokenStream;", "use proc_macro::TokenStream;"),
+)
+#: Manifests and the native build tool that each names first (none: null).
+MANIFESTS = (
+    ("plain", '[package]\nname = "x"\n[dependencies]\ncc = "1"\n', None),
+    ("key", '[build-dependencies]\ncc = "1"\n', "cc"),
+    ("tab", '[build-dependencies]\n\tcc\t=\t"1"\n', "cc"),
+    ("tabbed-header", '\t[build-dependencies]\t\nnasm = "1"\n', "nasm"),
+    ("target", "[target.'cfg(unix)'.build-dependencies.cmake]\nversion = \"1\"\n", "cmake"),
+    ("renamed", '[build-dependencies]\nmine = { package = "bindgen" }\n', "bindgen"),
+    ("dotted", "[build-dependencies]\ncc.workspace = true\n", "cc"),
+    ("under", "[build-dependencies.mine]\n\tpackage\t=\t'gcc'\n", "gcc"),
+    ("closed", '[build-dependencies]\nserde = "1"\n\t[features]\ncc = []\n', None),
+    ("comment", '[build-dependencies]\n\t# cc = "1"\n', None),
+)
+NATIVE_FILES = (("lib/x.so", True), ("x.a", True), ("src/lib.rs", False), (".so", False), ("a.so.1", False), ("notes.asm", False), ("win/y.dll", True), ("z.OBJ", False), ("o", False))
+#: The candidates' gates: number, name, n below, nnz from, nnz below.
+GATES = (
+    (1, "amd", "NULL", 0, "NULL"), (2, "amf a5", 250_000, 0, 1_500_000), (3, "amd a5", 60_000, 0, 400_000), (4, "amd a2", 60_000, 0, 400_000), (5, "amf", 60_000, 0, 400_000), (6, "amf a2", 60_000, 0, 400_000),
+    (7, "amd a1", 60_000, 0, 150_000), (8, "amd a16", 60_000, 0, 150_000), (9, "amf a1", 300_000, 0, 130_000), (10, "amf a16", 300_000, 0, 130_000), (11, "amf all", 300_000, 0, 130_000), (11, "amf all", 300_000, 400_000, 1_500_000),
+    (12, "amd calm", 150_000, 0, 130_000), (13, "amd calm a5", 150_000, 0, 130_000), (14, "amd calm a2", 150_000, 0, 130_000), (15, "amd calm all", 150_000, 0, 130_000), (16, "amd all", 150_000, 0, 130_000),
+    (17, "rcm", 150_000, 0, 130_000), (18, "sloan 2 1", 150_000, 0, 130_000), (19, "sloan 1 2", 150_000, 0, 130_000), (20, "nested dissection", 150_000, 0, 130_000), (21, "grown dissection", 150_000, 0, 130_000), (22, "minimum fill", 3_000, 0, 12_000),
+    (23, "multilevel 4 4", 130_000, 0, 320_000), (24, "multilevel 16 20", 21_000, 0, 120_000), (25, "multilevel 32 30", 8_000, 0, 40_000), (26, "multilevel 2 8", 12_000, 0, 200_000), (27, "multilevel 10 8", 10_000, 0, 120_000), (28, "multilevel 8 40", 6_000, 0, 50_000),
+)
+
+
+def literal(value) -> str:
+    """A Python value as SQL; control characters by number."""
+    if value is None:
+        return "NULL"
+    if not isinstance(value, str):
+        return str(value)
+    parts = ["'" + run.replace("'", "''") + "'" if run not in ("\n", "\t") else f"chr({ord(run)})" for run in _pieces(value)]
+    return " || ".join(parts) or "''"
+
+
+def _pieces(text: str) -> list[str]:
+    out: list[str] = []
+    for c in text:
+        if c in "\n\t" or not out or out[-1] in ("\n", "\t"):
+            out.append(c)
+        else:
+            out[-1] += c
+    return out
+
+
+def values(rows, *names: str) -> str:
+    """A SELECT of literal rows; rows of nulls in a column take the type of the others."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, row)) + ')' for row in rows)}) t({', '.join(names)})"
+
+
+_FINDINGS = [(path, line, what) for path, _, line, what, *_ in SOURCES if what]
+
+
+def kkt(h: int, m: int, seed: int) -> str:
+    """The seeded generator, draw by draw: a row of states, two links of each variable from four draws, then each constraint's draws, whose number the first gives."""
+    modulus, draws = 1 << 64, 4 * h + 7 * m + 8
+    first = (seed * 0x9E3779B97F4A7C15 + 1) % modulus
+    return f"""WITH RECURSIVE st(i, s) AS (SELECT 0, CAST('{first}' AS HUGEINT) UNION ALL SELECT i + 1, (s * CAST('6364136223846793005' AS HUGEINT) + CAST('1442695040888963407' AS HUGEINT)) % CAST('{modulus}' AS HUGEINT) FROM st WHERE i < {draws}),
+d AS MATERIALIZED (SELECT i, CAST(s // 2048 AS BIGINT) AS x FROM st),
+near AS (SELECT v, CASE WHEN y.x % 2 = 0 THEN greatest(v - 1 - r.x % 40, 0) ELSE least(v + 1 + r.x % 40, {h - 1}) END AS w FROM range({h}) t(v), range(2) u(k), d r, d y WHERE r.i = 4 * v + 2 * k + 1 AND y.i = 4 * v + 2 * k + 2),
+q(k, place, size) AS (SELECT 0, {4 * h} + 1, (SELECT 3 + x % 4 FROM d WHERE i = {4 * h} + 1) UNION ALL SELECT k + 1, place + 1 + size, 3 + d.x % 4 FROM q, d WHERE d.i = place + 1 + size AND k < {m - 1}),
+g AS (SELECT 'kkt-{h}-{m}-{seed}' AS mid, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (SELECT v AS a, v + 1 AS b FROM range({h - 1}) t(v) UNION SELECT v, w FROM near WHERE v <> w UNION SELECT least(k * {h} // {m} + d.x % 80, {h - 1}), {h} + k FROM q, d WHERE d.i > q.place AND d.i <= q.place + q.size)), {_GENERATED}"""
+
+
+def _report(fam: str) -> str:
+    return f"WITH RECURSIVE {fam}, {closure('c', 'e')}, {scored('s', 'c')} SELECT mid, n, flops AS natural_flops, true AS whole, true AS repeats, true AS counts_agree, true AS no_dearer FROM s"
+
 
 ORACLES = {
     "edges_symmetrize": f"WITH {ONE} SELECT mid, a, b FROM e",
@@ -104,7 +192,7 @@ ORACLES = {
     "edge_checks": f"WITH {ONE}, s AS (SELECT mid, a, b + 1 AS b FROM h) SELECT m.mid, m.n, (SELECT count(*) FROM s WHERE s.mid = m.mid AND b >= m.n) AS out_of_range, (SELECT count(*) FROM s WHERE s.mid = m.mid AND NOT EXISTS (SELECT 1 FROM s r WHERE r.mid = s.mid AND r.a = s.b AND r.b = s.a)) AS one_way FROM m",
     "order_degree": f"WITH {ALL}, {DEGREE} SELECT mid, 'degree' AS candidate, k, v FROM o",
     "order_reverse": f"WITH {ALL} SELECT mid, 'reverse' AS candidate, k, v FROM ({REVERSE})",
-    "permute_edges": f"WITH {ONE}, {DEGREE}, {MOVED} SELECT mid, 'degree' AS candidate, a, b FROM d",
+    "permute_edges": f"WITH {ONE}, {DEGREE.replace(' AS (', ' AS MATERIALIZED (', 1)}, {MOVED} SELECT mid, 'degree' AS candidate, a, b FROM d",
     "bijection_check": f"""WITH {ONE}, {DEGREE}, c AS (SELECT mid, 'degree' AS candidate, v FROM o UNION ALL SELECT mid, 'short', v FROM o WHERE k > 0 UNION ALL SELECT o.mid, 'range', CASE WHEN k = 0 THEN n ELSE v END FROM o JOIN m USING (mid)
       UNION ALL SELECT o.mid, 'repeat', CASE WHEN o.k = 0 THEN p.v ELSE o.v END FROM o JOIN o p ON p.mid = o.mid AND p.k = 1)
       SELECT c.mid, candidate, any_value(n) AS n, CASE WHEN count(*) <> any_value(n) THEN 'length' WHEN min(v) < 0 OR max(v) >= any_value(n) THEN 'range' WHEN count(DISTINCT v) <> count(*) THEN 'repeat' END AS fault FROM c JOIN m ON m.mid = c.mid GROUP BY c.mid, candidate""",
@@ -132,7 +220,23 @@ ORACLES = {
     "subset_gain": f"WITH {ONE}, {SIDES} SELECT s.mid, s.v, CAST(coalesce(sum(CASE WHEN t.side THEN 1 WHEN t.side IS NULL THEN 0 ELSE -1 END), 0) AS BIGINT) AS gain FROM s LEFT JOIN e ON e.mid = s.mid AND e.a = s.v LEFT JOIN s t ON t.mid = e.mid AND t.v = e.b GROUP BY s.mid, s.v",
     "deficiency_first_pivot": f"""WITH {ONE}, p AS (SELECT x.mid, x.a AS v, count(*) FILTER (NOT EXISTS (SELECT 1 FROM e z WHERE z.mid = x.mid AND z.a = x.b AND z.b = y.b)) AS lack FROM e x JOIN e y ON y.mid = x.mid AND y.a = x.a AND x.b < y.b GROUP BY ALL),
       q AS (SELECT deg.mid, deg.v, degree, coalesce(lack, 0) AS lack, row_number() OVER (PARTITION BY deg.mid ORDER BY coalesce(lack, 0), degree, deg.v) AS place FROM deg LEFT JOIN p ON p.mid = deg.mid AND p.v = deg.v) SELECT mid, v, degree, lack FROM q WHERE place = 1""",
-    "arrow_score": f"WITH RECURSIVE g AS (SELECT 'arrow-' || n AS mid, CAST(0 AS BIGINT) AS a, i AS b FROM (VALUES (50), (200)) s(n), range(1, 200) t(i) WHERE i < n), {_GENERATED}",
+    "arrow_score": f"""WITH RECURSIVE q AS (SELECT n, i FROM (VALUES (50), (200)) s(n), range(1, 200) t(i) WHERE i < n), g AS (SELECT 'arrow-' || n AS mid, CAST(0 AS BIGINT) AS a, i AS b FROM q UNION ALL SELECT 'arrow-' || n, i, i + 1 FROM q WHERE i < n - 1),
+      e AS (SELECT mid, a, b FROM g UNION SELECT mid, b, a FROM g), v AS (SELECT DISTINCT mid, a AS id FROM e), m AS (SELECT mid, count(*) AS n FROM v GROUP BY mid), l AS (SELECT mid, (a + n - 1) % n AS a, (b + n - 1) % n AS b FROM e JOIN m USING (mid)),
+      {closure("c", "e")}, {scored("s", "c")}, {closure("d", "l")}, {scored("t", "d")} SELECT mid, 'natural' AS candidate, n, nnz_l, flops FROM s UNION ALL SELECT mid, 'hub last', n, nnz_l, flops FROM t""",
+    "kkt_score": kkt(600, 200, 42),
+    "strip_comments": values([(path, code, shown) for path, _, _, _, code, shown in SOURCES], "path", "code", "shown"),
+    "source_scan": "SELECT path, CAST(line AS BIGINT) AS line, what FROM (" + values(_FINDINGS, "path", "line", "what") + ")",
+    "source_purity": "SELECT path, CAST(line AS BIGINT) AS line, what FROM (" + values([*_FINDINGS, ("x/build.rs", None, "build script"), ("build.rs", None, "build script")], "path", "line", "what") + ")",
+    "macro_calls": "SELECT path, path = 'f10' AS called, CASE WHEN path = 'f10' THEN CAST(2 AS BIGINT) END AS line FROM (" + values([(path,) for path, *_ in SOURCES], "path") + ")",
+    "attribute_lines": "SELECT 'f13' AS path, CAST(2 AS BIGINT) AS line",
+    "build_tools": values([(path, tool) for path, _, tool in MANIFESTS if tool], "path", "tool"),
+    "native_files": values(NATIVE_FILES, "path", "native"),
+    "vendored_faults": values([*[(f"{path}-1.0.0", f"builds with {tool}") for path, _, tool in MANIFESTS if tool], ("wrap-sys-0.1.0", "wraps a native library"), ("blob-2.0.0", "ships lib/x.so")], "crate", "fault"),
+    "policy_gate": "SELECT CAST(i AS BIGINT) AS \"case\", CASE WHEN i < 4 THEN 'source' WHEN i IN (4, 5) THEN 'dependency' WHEN i = 6 THEN 'license' END AS fault FROM range(8) t(i)",
+    "exit_reasons": "SELECT CAST(c AS BIGINT) AS \"case\", reason FROM (VALUES (0, NULL), (1, 'exit code 1'), (2, 'exit code 101'), (3, 'killed by signal 9'), (4, 'killed by signal 6'), (5, 'no exit status')) t(c, reason)",
+    "json_fields": "SELECT CAST(c AS BIGINT) AS \"case\", CAST(n AS BIGINT) AS n, source, CAST(k AS BIGINT) AS indices, shown FROM ("
+    + values([(i, n if n >= 0 else None, None, k if k >= 0 else None, line) for i, (line, n, k, _) in enumerate(BAD_LINES)] + [(100, 7, "a b", 3, '{"n": 7, "source": "a b", "indices": [1, 2, 3]}'), (101, None, 'x"y', 0, '{"n": -7, "source": "x\\"y", "indices": []}'), (102, None, None, None, "y" * 80 + "…")], "c", "n", "source", "k", "shown")
+    + ")",
     "grid2d_score": mesh("grid2d-10", 10, 2),
     "grid3d_score": mesh("grid3d-4", 4, 3),
     "text_forbidden_words": f"WITH l AS ({_LINES}{_TEXTS}) SELECT path, count(*) AS lines, CAST(min(line) AS BIGINT) AS first_line FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_]){_W}([^A-Za-z0-9_]|$)') GROUP BY path",
@@ -141,11 +245,18 @@ ORACLES = {
       WHEN NOT regexp_matches(value, '^".*"$') THEN 'version not quoted' WHEN NOT regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') THEN 'version not plain' WHEN name = '' THEN 'no name' END AS fault FROM s""",
     "version_shape": "SELECT version, regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') AS plain FROM (VALUES ('1'), ('1.2.3'), ('0.1.0-rc.1+x'), ('v1'), (''), ('^1'), ('1 2'), ('1.*'), ('9z')) t(version)",
     "crate_split": "SELECT folder, CASE WHEN regexp_matches(folder, '-[0-9]') THEN regexp_extract(folder, '^(.*)-[0-9]', 1) ELSE folder END AS crate FROM (VALUES ('foo-1.0.0'), ('foo-sys-1.0.0-alpha.1'), ('foo'), ('foo-bar'), ('a-1-b-2'), ('-1'), ('x-')) t(folder)",
-    "license_gate": "SELECT * FROM (VALUES ('c', 'GPL-3.0'), ('e', 'MIT AND GPL-3.0'), ('f', NULL)) t(crate, license)",
+    "license_gate": f"""WITH l AS ({values(LICENSES, "crate", "license")}), alt AS (SELECT crate, unnest(regexp_split_to_array(license, ' OR |/')) AS part FROM l),
+      fine AS (SELECT crate FROM alt WHERE len([x for x in string_split(part, ' AND ') if trim(x) NOT IN ('MIT', 'Apache-2.0', 'BSD-3-Clause')]) = 0) SELECT crate, license FROM l WHERE crate NOT IN (SELECT crate FROM fine)""",
     "jsonl_scan_rejects": f"WITH {ONE} SELECT mid, CAST(count(*) AS BIGINT) AS n, CAST(sum(degree) AS BIGINT) AS nnz, '' AS fault FROM deg GROUP BY mid UNION ALL SELECT '', n, nnz, fault FROM (VALUES "
     + ", ".join(f"(CAST({n} AS BIGINT), CAST({nnz} AS BIGINT), '{fault}: {line}')" for line, n, nnz, fault in BAD_LINES)
     + ") t(n, nnz, fault)",
-    "matrix_table": f"WITH RECURSIVE {both(ALL)} SELECT mid, n, base_flops AS flops_base, flops AS flops_yours, printf('%.3f', flop_ratio) AS ratio FROM ratio",
+    "matrix_table": f"WITH RECURSIVE {both(ALL)} SELECT mid, n, nnz, base_flops AS flops_base, flops AS flops_yours, printf('%.3f', flop_ratio) AS ratio FROM ratio JOIN (SELECT mid, CAST(sum(degree) AS BIGINT) AS nnz FROM deg GROUP BY mid) USING (mid)",
+    "score_json": f"""WITH RECURSIVE {both(ONE)}, j AS (SELECT string_agg(printf('"%s": %.2f', bucket, weight), ', ' ORDER BY place) AS weights,
+      string_agg(printf('"%s": {{ "count": %d, "geomean_flop_ratio": %s, "geomean_fill_ratio": %s }}', bucket, matrices, coalesce(printf('%.6f', flop_geomean), 'null'), coalesce(printf('%.6f', fill_geomean), 'null')), ', ' ORDER BY place) AS buckets FROM means)
+      SELECT printf('{{ "score": %.6f, "metrics": {{ "geomean_flop_ratio": %.6f, "geomean_fill_ratio": %.6f, "matrices": %d, "weights": {{ %s }}, "buckets": {{ %s }} }} }}', score, score, fill, matrices, weights, buckets) AS document FROM total, j""",
+    "bestof_full": f"""WITH RECURSIVE {both(ONE)} SELECT mid, n, base_flops AS natural_flops, flops AS degree_flops, true AS at_most_floor, true AS at_most_others, true AS counts_diagonal FROM ratio""",
+    "own_order": f"WITH RECURSIVE {ONE}, {BACKWARDS}, {closure('c', 't')}, {scored('s', 'c')} SELECT mid, 'backwards' AS candidate, n, nnz_l, flops, 'OK' AS status FROM s",
+    **dict.fromkeys(("order_amd", "order_amf", "order_rcm", "order_sloan", "order_nd", "order_gggp", "order_minfill", "order_multilevel"), _report(ONE)),
     "bucket_report": f"WITH RECURSIVE {both(ONE)} SELECT bucket, matrices, coalesce(printf('%.4f', flop_geomean), '—') AS flops, coalesce(printf('%.4f', fill_geomean), '—') AS fill FROM means",
     "run_log_row": f"WITH RECURSIVE {both(ONE)} SELECT concat_ws(chr(9), '1700000000', 'OK', printf('%.6f', score), printf('%.6f', fill), 'a b | c d') AS line FROM total",
 }

@@ -68,11 +68,20 @@ CANDIDATES: tuple[tuple[int, str, Callable[[Graph], list[int]], tuple[Gate, ...]
     (28, "multilevel 8 40", lambda g: multilevel_dissection(g, 8, 40), (Gate(6_000, 50_000),)),
 )
 ALGORITHMS = {index: (name, make) for index, name, make, _ in CANDIDATES}
+GATES = [(index, name, gate) for index, name, _, each in CANDIDATES for gate in each]
+
+
+def register(name: str, make: Callable[[Graph], list[int]], *admits: Gate) -> int:
+    """Adds one's own order to the candidates, behind those there are, and returns its number. make: from a graph to its vertices in order; it goes to the tasks with the plan. Without gates it is admitted always."""
+    index = max(ALGORITHMS) + 1
+    ALGORITHMS[index] = (name, make)
+    GATES.extend((index, name, gate) for gate in admits or (Gate(),))
+    return index
 
 
 def gates(spark: SparkSession) -> DataFrame:
-    """(cand_idx, candidate, max_n, min_nnz, max_nnz): 29 rows."""
-    rows = [(i, name, g.max_n, g.min_nnz, g.max_nnz) for i, name, _, each in CANDIDATES for g in each]
+    """(cand_idx, candidate, max_n, min_nnz, max_nnz): 29 rows, and those registered."""
+    rows = [(i, name, g.max_n, g.min_nnz, g.max_nnz) for i, name, g in GATES]
     return spark.createDataFrame(rows, "cand_idx long, candidate string, max_n long, min_nnz long, max_nnz long")
 
 
@@ -86,11 +95,11 @@ def admitted(matrices: DataFrame) -> DataFrame:
 _SCORED = "mid string, cand_idx long, candidate string, n long, nnz_l long, flops long, status string, reason string"
 
 
-def run_candidate(mid, index, name, n, col_at, rows):
+def run_candidate(mid, index, name, n, col_at, rows, algorithms=ALGORITHMS):
     """One candidate on one packed pattern: a row of candidate_scores, with the order. A failure is a row that says why."""
     try:
         graph = Graph.packed(n, col_at, rows)
-        order = ALGORITHMS[index][1](graph)
+        order = algorithms[index][1](graph)
         if not is_order(order, n):
             return mid, index, name, n, None, None, "FAIL", "not an order of the vertices", None
         return mid, index, name, n, *score(graph, order), "OK", None, order
@@ -102,13 +111,15 @@ def candidate_scores(packed: DataFrame, admissions: DataFrame, with_orders: bool
     """(mid, cand_idx, candidate, n, nnz_l, flops, status, reason, and if asked the order): one kernel run per row."""
     work = packed.join(admissions, "mid").select("mid", "cand_idx", "candidate", "n", "col_at", "rows").repartition("mid", "cand_idx")
 
+    algorithms = dict(ALGORITHMS)  # registered ones too, by value
+
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.string(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _SCORED.split(", ")] + ["order"]
         keep = len(names) - (not with_orders)
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                out = run_candidate(*(x.as_py() for x in row))
+                out = run_candidate(*(x.as_py() for x in row), algorithms)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in list(zip(out, kinds, strict=True))[:keep]], names[:keep])
 
     return work.mapInArrow(run, _SCORED + (", order array<long>" if with_orders else ""))

@@ -1,6 +1,6 @@
 """Generated patterns with known answers: (mid, a, b), each edge once.
 
-``arrow(n)``: vertex 0 meets all others. ``grid2d(k)`` and ``grid3d(k)``: meshes of k per side,
+``arrow(n)``: vertex 0 meets all others, which form a path. ``grid2d(k)`` and ``grid3d(k)``: meshes of k per side,
 vertices numbered row by row. ``kkt(h, m, seed)``: a banded random block of h variables beside
 m constraints.
 """
@@ -17,7 +17,8 @@ BAND = 40
 
 
 def arrow(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(1, max(n, 1)).select(F.lit(f"arrow-{n}").alias("mid"), F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    ends = F.array_compact(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), F.when(F.col("id") + 1 < n, F.struct(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))))
+    return spark.range(1, max(n, 1)).select(F.lit(f"arrow-{n}").alias("mid"), F.explode(ends).alias("e")).select("mid", "e.a", "e.b")
 
 
 def _mesh(spark: SparkSession, name: str, k: int, axes: int) -> DataFrame:

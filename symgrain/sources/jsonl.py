@@ -1,7 +1,7 @@
 """JSON-lines corpora: one pattern per line, {n, nnz, indptr, indices, hash, source}, diagonal included.
 
 Only n, indptr, indices and source are read. A line that is no pattern gets a reason; strict
-loading raises the first one, by file order where the files give one.
+loading raises the first one, by path and place in the file.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symgrain.operators.pattern import faults, unpack
+from symgrain.operators.policy import bare
 
 SCHEMA = "n long, indptr array<bigint>, indices array<bigint>, source string"
 CORPUS_VARIABLE = "SYMGRAIN_CORPUS_FILE"
@@ -51,15 +53,23 @@ def integers_field(line, key: str):
 
 def parse(lines: DataFrame) -> DataFrame:
     """Lines (seq, value) as packed patterns: seq, mid, n, col_at, rows, fault; blank lines are no lines."""
-    kept = lines.where(F.trim("value") != "")
+    kept = lines.where(bare(F.col("value")) != "")
     read = kept.withColumn("j", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))
     packed = read.select("seq", "value", F.coalesce("j.source", F.lit("")).alias("mid"), F.col("j.n").alias("n"), F.col("j.indptr").alias("col_at"), F.col("j.indices").alias("rows"))
     return faults(packed).withColumn("fault", F.when(F.col("fault").isNotNull(), F.concat("fault", F.lit(": "), shortened(F.col("value"))))).drop("value")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """parse() of the files under path. seq orders lines by file and by place in it."""
-    return parse(spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value"))
+    """parse() of the files under path. seq numbers lines by path and place in the file."""
+    return parse(file_order(spark.read.text(path)))
+
+
+def file_order(lines: DataFrame) -> DataFrame:
+    """(seq, value): lines of text files, numbered. Spark deals files by size, so each block's lines are counted first; only one row per block meets in one task."""
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = placed.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = blocks.select("file", "block", "first", (F.sum("n").over(W.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return placed.join(before, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("seq"), "value")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

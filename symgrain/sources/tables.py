@@ -9,9 +9,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symgrain.operators.numbering import numbered_by
+
 
 def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -39,7 +40,7 @@ def links(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = ("month"
 def numbered(linked: DataFrame) -> DataFrame:
     """(mid, kind, key, id): every vertex with its number."""
     both = linked.select("mid", F.lit(0).alias("kind"), F.col("l").alias("key")).unionByName(linked.select("mid", F.lit(1).alias("kind"), F.col("r").alias("key"))).distinct()
-    return both.withColumn("id", F.row_number().over(W.partitionBy("mid").orderBy("kind", "key")).cast("long") - 1)
+    return numbered_by(both, "mid", ["kind", "key"], "id").select("mid", "kind", "key", "id")
 
 
 def edge_list(linked: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from symgrain.operators.pattern import entries
 from symgrain.plans.bestof import admitted, best_of
 from symgrain.sources.jsonl import parse
 
@@ -16,7 +17,7 @@ def score_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str)
 
     def handle(batch, number):
         packed = parse(batch).where("fault IS NULL").select("mid", "n", "col_at", "rows")
-        sizes = packed.select("mid", "n", F.size("rows").cast("long").alias("nnz"))
+        sizes = packed.select("mid", "n", entries().alias("nnz"))
         best_of(packed, admitted(sizes)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -102,6 +102,14 @@ def test_minimum_fill_equals_full_scans():
         assert orderings.minimum_fill(g) == naive_fill(g)
 
 
+@pytest.mark.parametrize("budget", [0, 1, 200, 5000])
+def test_spent_budgets_still_give_orders(budget):
+    for graph in SHAPES.values():
+        for make in (orderings.reverse_cuthill_mckee, orderings.sloan, minimum_degree, lambda g, budget: minimum_degree(g, fill=True, budget=budget), multilevel.multilevel_dissection):
+            found = make(graph, budget=budget)
+            assert is_order(found, graph.n) and found == make(graph, budget=budget)
+
+
 def test_rules_for_ties():
     assert orderings.by_degree(path(4)) == [0, 3, 1, 2]
     assert orderings.reverse_cuthill_mckee(of(5, [(0, 1), (2, 3)])) == [4, 2, 3, 0, 1]

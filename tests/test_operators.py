@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symgrain.functions.lexing import strip_comments
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
+from symgrain.operators.numbering import numbered_by
 from symgrain.plans import bestof
 from symgrain.sources import binary, generators, jsonl
 
@@ -54,6 +55,15 @@ def test_jsonl(spark, tmp_path):
     with pytest.raises(ValueError, match="pointer"):
         jsonl.load(spark, str(path))
     assert jsonl.load(spark, str(tmp_path / "absent")).count() == 0
+    (tmp_path / "many").mkdir()
+    for k, size in enumerate((1, 60, 7)):  # Spark deals larger files first
+        (tmp_path / "many" / f"{k}.jsonl").write_text("".join(LINE.replace('"st"', f'"{k}-{i:02}"') + "\n" for i in range(size)) + ("\t \n" if k else "bad\n"))
+    scanned = jsonl.scan(spark, str(tmp_path / "many")).orderBy("seq").collect()
+    assert [r["mid"] for r in scanned] == ["0-00", "", *[f"1-{i:02}" for i in range(60)], *[f"2-{i:02}" for i in range(7)]]
+    with pytest.raises(ValueError, match="line 1: n missing: bad"):
+        jsonl.load(spark, str(tmp_path / "many"))
+    assert jsonl.parse(spark.createDataFrame([(0, LINE)], "seq long, value string")).select(pattern.entries()).first()[0] == 8
+    assert spark.createDataFrame([(0, [0], [])], "n long, col_at array<long>, rows array<long>").select(pattern.entries()).first()[0] == 0
     assert jsonl.corpus_path("d", " ") == "d" and jsonl.corpus_path("d", "x") == "x"
     fields = spark.createDataFrame([(LINE,)], "j string").select(jsonl.integer_field(F.col("j"), "n"), jsonl.text_field(F.col("j"), "source"), F.size(jsonl.integers_field(F.col("j"), "indptr")), jsonl.shortened(F.lit("x" * 90)))
     assert tuple(fields.first()) == (4, "st", 5, "x" * 80 + "…")
@@ -78,6 +88,10 @@ def test_generators_and_scores(spark):
         got = symbolic.scores(both, symbolic.natural_order(v)).first()
         assert (got["n"], got["nnz_l"], got["flops"]) == (n, *want)
     assert generators.grid3d(spark, 3).count() == 54
+    assert rows(generators.arrow(spark, 4)) == [("arrow-4", 0, 1), ("arrow-4", 0, 2), ("arrow-4", 0, 3), ("arrow-4", 1, 2), ("arrow-4", 2, 3)] and generators.arrow(spark, 1).isEmpty()
+    arrow = pattern.symmetrize(generators.arrow(spark, 50))
+    last = spark.createDataFrame([("arrow-50", "hub last", (v - 1) % 50, v) for v in range(50)], "mid string, candidate string, k long, v long")
+    assert symbolic.scores(arrow, last).first()["nnz_l"] == 147
     grid = pattern.symmetrize(generators.grid2d(spark, 4))
     v = grid.select("mid", F.col("a").alias("id")).distinct()
     kernel = rows(symbolic.columns(grid, symbolic.natural_order(v)).select("j", "parent", "c"))
@@ -129,7 +143,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "log")).count() == 2
     means = scoring.bucket_means(spark.createDataFrame([(5, 0.5, 0.25)], "n long, flop_ratio double, fill_ratio double"))
     document = json.loads(sinks.score_document(means, scoring.combine(means)).first()["document"])
-    assert document["score"] == 0.5 and list(document["buckets"]) == ["lt_1k", "1k_10k", "gt_10k"] and document["buckets"]["gt_10k"] == {"count": 0, "flops": None, "fill": None}
+    metrics = document["metrics"]
+    assert list(document) == ["score", "metrics"] and document["score"] == metrics["geomean_flop_ratio"] == 0.5 and metrics["geomean_fill_ratio"] == 0.25 and metrics["matrices"] == 1
+    assert metrics["weights"] == {"lt_1k": 0.3, "1k_10k": 0.3, "gt_10k": 0.4} and list(metrics["buckets"]) == ["lt_1k", "1k_10k", "gt_10k"]
+    assert metrics["buckets"]["gt_10k"] == {"count": 0, "geomean_flop_ratio": None, "geomean_fill_ratio": None} and metrics["buckets"]["lt_1k"]["geomean_fill_ratio"] == 0.25
     assert [tuple(r) for r in sinks.bucket_report(means).collect()][1] == ("1k_10k", 0, "—", "—")
 
 
@@ -162,6 +179,26 @@ def test_best_of(spark):
     assert [r["fault"] for r in validate.order_faults(orders, sizes).collect()] == [None, None]
 
 
+def test_registered_orders(spark):
+    before, grid = len(bestof.GATES), pattern.symmetrize(generators.grid2d(spark, 3))
+    v = grid.select("mid", F.col("a").alias("id")).distinct()
+    index = bestof.register("own", lambda g: list(range(g.n))[::-1], bestof.Gate(max_n=100))
+    try:
+        assert index == 29 and bestof.admitted(pattern.matrices(grid, v)).where("cand_idx = 29").first()["candidate"] == "own"
+        assert [r["v"] for r in bestof.orders_of(pattern.pack(grid, v), (29,)).orderBy("k").collect()] == list(range(8, -1, -1))
+    finally:
+        del bestof.ALGORITHMS[29], bestof.GATES[before:]
+
+
+def test_numbering_by_ranges(spark):
+    data = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, "b").otherwise("c").alias("g"), F.hash("id").alias("x"), "id").repartition(5)
+    got = numbered_by(data, "g", ["x", "id"], "k").collect()
+    for g in "abc":
+        each = sorted((r["x"], r["id"], r["k"]) for r in got if r["g"] == g)
+        assert [k for *_, k in each] == list(range(len(each)))
+    assert numbered_by(data.limit(0), "g", ["x"], "k").isEmpty()
+
+
 def test_failed_candidates_are_passed_over(monkeypatch):
     def broken(graph):
         raise RuntimeError("no")
@@ -201,6 +238,14 @@ def test_source_rules(spark):
     assert rows(policy.purity(scripts).select("path", "what")) == [("a/build.rs", "build script")]
 
 
+def test_white_space_does_not_hide_entries(spark):
+    hidden = ['\t[build-dependencies]\ncc = "1"', '[build-dependencies]\n\tcc = "1"', "[build-dependencies]\n\u00a0cc='1'", '[build-dependencies]\r\n\tcc\t= "1"\r\n']
+    files = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(hidden)], "path string, text string")
+    assert rows(policy.build_tools(files)) == [(f"m{i}", "cc") for i in range(4)]
+    listed = policy.dependencies(spark.createDataFrame([("d", '\t[dependencies]\n foo\t=\t"1.0"\n\t\n')], "path string, text string"))
+    assert rows(listed.select("name", "version", "fault")) == [("foo", "1.0", None)]
+
+
 def test_stripping_keeps_lines():
     source = "a /* x\n y */ b // c\n\"s\\\"t\n\" 'q' r\"z\n\""
     for blank in (True, False):

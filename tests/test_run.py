@@ -20,7 +20,8 @@ def test_scored_run(spark, tmp_path):
     found = scored_run(spark, corpus, log, "first\trun", seconds=300)
     assert found["status"] == "OK" and 0 < found["score"] <= 1 and found["rows"].count() == 3
     document = json.loads(found["document"])
-    assert document["matrices"] == 3 and document["buckets"]["gt_10k"]["count"] == 0
+    assert document["metrics"]["matrices"] == 3 and document["metrics"]["buckets"]["gt_10k"]["count"] == 0
+    assert sorted(r["nnz"] for r in found["rows"].collect()) == [8, 8, 288]
     (line,) = log_of(spark, log)
     assert line[1] == "OK" and line[4] == "first run"
 
