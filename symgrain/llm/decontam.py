@@ -2,9 +2,10 @@
 
 Texts become words and every five consecutive words a hash. Of the six hashes within ten words
 the least is the fingerprint of that ten-word window: equal windows have equal fingerprints, so
-no shared span of ten words escapes. A fixed-size bitmap of the benchmark's fingerprints drops
-most windows within the scan; what passes is joined with the benchmark's windows on the words
-themselves, so a hit is exact. Items of fewer than ten words are one window of their own
+no shared span of ten words escapes. A bitmap of the benchmark's fingerprints, of SPREAD bits
+for each and 2^MOST_BITS (8 MB) at most, drops most windows within the scan; what passes is
+joined with the benchmark's windows on the words themselves, so a hit is exact, whatever the
+bitmap lets through. Items of fewer than ten words are one window of their own
 length, whose hash goes through the same bitmap.
 
 Only windows that pass the bitmap are shuffled. A window that many documents share is a hot
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from symgrain.llm.common import lower_ascii, materialize
 
 WINDOW, GRAM = 10, 5
-BITS = 20
+#: Bits of the bitmap, as powers of two, and for each fingerprint.
+BITS, MOST_BITS, SPREAD = 20, 26, 32
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,10 +66,14 @@ def _with_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df
 
 
-def _bitmap(prints: DataFrame) -> DataFrame:
-    """One row with an array of 2^(BITS - 6) longs; the bit that the lowest BITS bits of each print name is set."""
-    cells = 1 << (BITS - 6)
-    place = F.col("print").bitwiseAND(F.lit((1 << BITS) - 1))
+def bits_for(prints: int) -> int:
+    return min(max((SPREAD * prints - 1).bit_length(), BITS), MOST_BITS)
+
+
+def _bitmap(prints: DataFrame, bits: int) -> DataFrame:
+    """One row with an array of 2^(bits - 6) longs; the bit that the lowest bits of each print name is set."""
+    cells = 1 << (bits - 6)
+    place = F.col("print").bitwiseAND(F.lit((1 << bits) - 1))
     set_bits = prints.groupBy(F.shiftright(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(print & {63} as int))")).alias("bits"))
     every = prints.sparkSession.range(0, cells, 1, 1).select(F.col("id").cast("int").alias("cell"))
     return every.join(set_bits, "cell", "left").agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all")).select(F.col("all.bits").alias("bitmap"))
@@ -91,14 +97,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items = _with_hashes(windows.dropDuplicates(["class"]).select("n", "words"), lengths)
     prints = reduce(DataFrame.unionByName, [items.where(F.col("n") == n).select(F.explode(f"w{n}").alias("print")) for n in lengths], windows.sparkSession.createDataFrame([], "print long")).distinct()
-    bitmap = materialize(_bitmap(prints), "benchmark-bitmap")
+    prints = materialize(prints, "benchmark-prints")
+    bits = bits_for(prints.count())
+    bitmap = materialize(_bitmap(prints, bits), "benchmark-bitmap")
 
     def passing(n: int) -> Column:
         starts = F.array_compact(F.transform(F.slice(f"w{n}", 1, F.greatest(F.size("words") - n + 1, F.lit(0))), lambda h, i: F.when(_bit(h), i)))
         return F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", s + 1, n), " ").alias("window")))
 
     def _bit(h: Column) -> Column:
-        cell = F.shiftright(h.bitwiseAND(F.lit((1 << BITS) - 1)), 6).cast("int")
+        cell = F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
         word = F.get(F.col("bitmap"), cell)
         return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 

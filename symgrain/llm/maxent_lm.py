@@ -42,7 +42,7 @@ CLASSES = HEAD + TAIL
 ROWS, WORDS_PER_ROW, MOST_ROWS = 1 << 15, 128, 1 << 18
 #: Leaves of a shared class for a vocabulary of LEAF_WORDS; they double when it grows sixteenfold.
 LEAVES, LEAF_WORDS = 32, 1 << 20
-CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
+CHUNK_TOKENS, CHUNK_WORDS, CHUNKS_PER_TASK = 4_000_000, 600_000, 2
 #: FIRST: what the sums of squared gradients begin with, so that a row met once takes a step by its gradient and not by its sign alone, in every round.
 BATCH, RATE, FIRST, ROUNDS = 8192, 0.3, 1.0, 2
 #: Tables added up at a time, and the least number of blocks that a table is cut into, of BLOCK_CELLS at most.
@@ -341,4 +341,7 @@ def train_and_score(docs: DataFrame, held_out=None, rounds: int = ROUNDS, chunk_
 
     asked = chunks.select(F.col("chunk").alias("asker"), F.explode("vocab").alias("word"))
     answers = asked.join(counts.select("word", "c"), "word").select("asker", "word", "c")
-    return chunks.drop("counts").groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # A chunk is one group; there are as many tasks as the chunks ask for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // CHUNKS_PER_TASK)
+    left, right = chunks.drop("counts").repartition(tasks, "chunk").groupBy("chunk"), answers.repartition(tasks, "asker").groupBy("asker")
+    return left.cogroup(right).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from symgrain.llm.decontam import contamination
+from symgrain.llm.decontam import bits_for, contamination
 
 
 def brute(docs, items):
@@ -43,6 +43,10 @@ def test_brute_force(spark, docs, items):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_the_bitmap_grows_with_the_fingerprints():
+    assert [bits_for(n) for n in (0, 1, 32_768, 32_769, 10**6, 10**9)] == [20, 20, 20, 21, 25, 26]
+
+
 def test_no_python_in_plan(spark):
     d = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
     b = spark.createDataFrame([(1, LONG)], "item_id long, text string")
