@@ -149,18 +149,23 @@ _PARTS = {
 }
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, request, response, metadata. Fields that the caller does not use are not shuffled."""
+#: What captures need: no payloads but the metadata's.
+_SLIM = {"request": ("record_id",), "response": ("type", "refers_to", "digest", "bytes"), "metadata": ("record_id", "payload")}
+
+
+def assemble(records: DataFrame, parts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One nested row per capture: capture_id, and request, response, metadata with the named fields (all by default). Fields that are not named are not shuffled."""
+    parts = _PARTS if parts is None else parts
     answer = F.col("type").isin("response", "revisit")
     keyed = records.withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     of = lambda part, name: F.max(F.when(answer if part == "response" else F.col("type") == part, F.col(name)))
-    joined = keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in _PARTS.items() for name in names])
-    return joined.select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in _PARTS.items()])
+    joined = keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in parts.items() for name in names])
+    return joined.select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in parts.items()])
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture in the archives; what a revisit lacks comes from the record that it refers to."""
-    rows = assemble(read_records(spark, path)).select(
+    rows = assemble(read_records(spark, path), _SLIM).select(
         "capture_id", F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("refers_to_id"), F.col("response.digest").alias("digest"), F.col("response.bytes").alias("bytes"),
     )
