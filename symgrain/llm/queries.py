@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrain.llm import bpe, decontam, embed_dedup, licenses, maxent_lm, packing, quality, simhash, token_store, url_filter, warc
+from symgrain.llm import bpe, decontam, embed_dedup, licenses, maxent_lm, packing, quality, resampling, simhash, token_store, url_filter, warc
 from symgrain.llm.common import fresh_path, table
 
 
@@ -54,6 +54,10 @@ def op11_packing(spark, sf_dir):
     return packing.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
