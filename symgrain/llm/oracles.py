@@ -52,4 +52,33 @@ reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN li
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) x ON x.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) y ON y.a = v.vec_id"""
 
-ORACLES = {"op2_warc": WARC, "op3_embedding_dedup": EMBEDDINGS, "op9_url_filter": _url_filter(), "op10_decontamination": DECONTAMINATION}
+
+def _crc(text):
+    """CRC-32 of a text's bytes, by the table that byte_crc holds."""
+    return f"xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT) for i in range(octet_length(encode({text})))]), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+#: A pair's checksum is put together from its words' where the second has up to 40 bytes: ``later`` says what each byte of a checksum becomes once n more bytes follow.
+RESAMPLING = f"""
+WITH RECURSIVE byte_crc AS MATERIALIZED (SELECT [list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for b in range(256)] AS crc),
+later(n, k, byte, v) AS (SELECT CAST(0 AS BIGINT), k, b, CAST(b << (8 * k) AS BIGINT) FROM range(4) s(k), range(256) t(b) UNION ALL SELECT n + 1, k, byte, CAST(xor(v >> 8, crc[(v & 255) + 1]) AS BIGINT) FROM later, byte_crc WHERE n <= 40),
+raw AS (SELECT row_number() OVER () AS id, * FROM (SELECT 0 AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark)),
+w AS MATERIALIZED (SELECT id, side, doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM raw),
+word AS MATERIALIZED (SELECT x, octet_length(encode(x)) AS bytes, {_crc("x")} AS one, {_crc("' ' || x")} AS spaced FROM (SELECT DISTINCT unnest(w) AS x FROM w), byte_crc),
+pair AS MATERIALIZED (SELECT id, side, x, y, count(*) AS n FROM (SELECT id, side, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM w WHERE len(w) > 1) GROUP BY ALL),
+seen AS MATERIALIZED (SELECT x, y, o.one, q.bytes, q.spaced FROM (SELECT DISTINCT x, y FROM pair) p JOIN word o USING (x) JOIN (SELECT x AS y, bytes, spaced FROM word) q USING (y)),
+keyed AS MATERIALIZED (SELECT (n * 4 + k) * 256 + byte AS key, v FROM later),
+hashed AS MATERIALIZED (SELECT x, y, xor(xor(xor(a.v, b.v), xor(c.v, d.v)), spaced) % 10000 AS bucket FROM (SELECT *, bytes * 1024 + 1024 AS base FROM seen WHERE bytes <= 40)
+  JOIN keyed a ON a.key = base + (one & 255) JOIN keyed b ON b.key = base + 256 + ((one >> 8) & 255) JOIN keyed c ON c.key = base + 512 + ((one >> 16) & 255) JOIN keyed d ON d.key = base + 768 + ((one >> 24) & 255)
+  UNION ALL SELECT x, y, {_crc("x || ' ' || y")} % 10000 FROM seen, byte_crc WHERE bytes > 40),
+f AS MATERIALIZED (SELECT id, side, bucket, sum(n) AS n FROM (SELECT id, side, one % 10000 AS bucket, 1 AS n FROM (SELECT id, side, unnest(w) AS x FROM w) JOIN word USING (x) UNION ALL SELECT id, side, bucket, n FROM pair JOIN hashed USING (x, y)) GROUP BY ALL),
+sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM f GROUP BY bucket),
+gain AS (SELECT k AS bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (all_s + 10000) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) r(k) LEFT JOIN sums ON bucket = k, (SELECT CAST(coalesce(sum(n) FILTER (side = 0), 0) AS DOUBLE) AS all_s, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS DOUBLE) AS all_t FROM f)),
+scored AS (SELECT w.id, doc_id, len(w) AS words, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)), 0) AS BIGINT) AS weight
+  FROM w LEFT JOIN f ON f.id = w.id LEFT JOIN gain USING (bucket) WHERE w.side = 0 GROUP BY w.id, doc_id, len(w)),
+noised AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS most FROM noised WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * most // 100 THEN rank END AS rank FROM noised LEFT JOIN ranked USING (id)"""
+
+ORACLES = {"op2_warc": WARC, "op3_embedding_dedup": EMBEDDINGS, "op9_url_filter": _url_filter(), "op10_decontamination": DECONTAMINATION, "op12_resampling": RESAMPLING}
