@@ -53,10 +53,16 @@ def has_attribute(line: Column, name: str) -> Column:
     return (line.contains("#[") & line.contains(name) & line.contains("]")) | (line.contains("#![") & line.contains(name))
 
 
-def lines_of(files: DataFrame, text: str = "text") -> DataFrame:
-    """(path, line from 1, content) of each line; a break at the end opens no line."""
+def numbered_lines(files: DataFrame, text: str = "text") -> DataFrame:
+    """Every other column, and line (from 1) and content of each line; a break at the end opens no line."""
+    others = [c for c in files.columns if c != text]
     whole = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n$", "")
-    return files.where(F.length(text) > 0).select("path", F.posexplode(F.split(whole, "\n", -1)).alias("at", "content")).select("path", (F.col("at") + 1).alias("line"), "content")
+    return files.where(F.length(text) > 0).select(*others, F.posexplode(F.split(whole, "\n", -1)).alias("at", "content")).select(*others, (F.col("at") + 1).alias("line"), "content")
+
+
+def lines_of(files: DataFrame, text: str = "text") -> DataFrame:
+    """(path, line from 1, content) of each line."""
+    return numbered_lines(files.select("path", text), text)
 
 
 def source_findings(files: DataFrame) -> DataFrame:
@@ -150,10 +156,49 @@ def vendored_faults(files: DataFrame) -> DataFrame:
     return names.unionByName(tools).unionByName(blobs).groupBy("crate").agg(F.min(F.struct("k", "fault")).alias("f")).select("crate", "f.fault")
 
 
+def license_allowed(expression: Column, allowed: list[str]) -> Column:
+    """Whether a license expression can be met by allowed licenses: AND needs both sides, OR (or a slash) one, AND binds tighter, brackets first; ``X WITH Y`` is a license of its own. Null, empty and malformed expressions cannot, nor can brackets deeper than 60.
+
+    The tokens are folded from left to right. Two stacks of bits, a bit for each open bracket,
+    hold whether an alternative before the current one was met, and whether the current one is so far.
+    """
+    one, others = F.lit(1).cast("long"), F.lit(~1).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("ors"), one.alias("ands"), F.lit(0).alias("depth"), F.lit(True).alias("operand"), F.lit(False).alias("bad"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, both, either = t == "(", t == ")", t == "AND", t.isin("OR", "/")
+        met = s["ors"].bitwiseOR(s["ands"]).bitwiseAND(one) == 1
+        outer = F.shiftright(s["ands"], 1)
+        ors = F.when(opens, F.shiftleft(s["ors"], 1)).when(closes, F.shiftright(s["ors"], 1)).when(either, s["ors"].bitwiseOR(s["ands"].bitwiseAND(one))).otherwise(s["ors"])
+        ands = (
+            F.when(opens, F.shiftleft(s["ands"], 1).bitwiseOR(one)).when(closes & met, outer).when(closes, outer.bitwiseAND(others))
+            .when(either, s["ands"].bitwiseOR(one)).when(both | t.isin(*allowed), s["ands"]).otherwise(s["ands"].bitwiseAND(others))
+        )
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        misplaced = F.when(opens, ~s["operand"] | (s["depth"] >= 60)).when(closes, s["operand"] | (s["depth"] == 0)).when(both | either, s["operand"]).otherwise(~s["operand"])
+        return F.struct(ors.alias("ors"), ands.alias("ands"), depth.alias("depth"), (opens | both | either).alias("operand"), (s["bad"] | misplaced).alias("bad"))
+
+    tokens = F.regexp_extract_all(expression, F.lit(r"[()/]|[^\s()/]+(?:\s+WITH\s+[^\s()/]+)?"), F.lit(0))
+    tokens = F.transform(tokens, lambda t: F.regexp_replace(t, r"\s+", " "))
+    end = lambda s: ~s["bad"] & ~s["operand"] & (s["depth"] == 0) & (s["ors"].bitwiseOR(s["ands"]).bitwiseAND(one) == 1)
+    return F.coalesce(F.aggregate(tokens, start, step, end), F.lit(False))
+
+
 def license_faults(crates: DataFrame, allowed: list[str]) -> DataFrame:
-    """Crates (crate, license) whose license expression has no allowed alternative, or none at all. AND needs all parts, OR one."""
-    ok = lambda text: F.forall(F.split(text, r"\s+AND\s+"), lambda x: F.trim(F.regexp_replace(x, r"[()]", "")).isin(*allowed))
-    return crates.where(~F.coalesce(F.exists(F.split("license", r"\s+OR\s+|/"), ok), F.lit(False)))
+    """Crates (crate, license) whose license expression cannot be met by the allowed licenses."""
+    return crates.where(~license_allowed(F.col("license"), allowed))
+
+
+def word_findings(line: Column, words: dict[str, str]) -> Column:
+    """What is said of each listed word that the line holds by itself, in the list's order."""
+    return F.array_compact(F.array(*[F.when(has_word(line, word), F.lit(what)) for word, what in words.items()]))
+
+
+def license_findings(line: Column, phrases: dict[str, str], allowed: list[str]) -> Column:
+    """The licenses that the line names, by a listed phrase or an SPDX expression, and that are not allowed."""
+    spdx = bare(F.regexp_extract(line, r"SPDX-License-Identifier:\s*([^*]*)", 1))
+    by_phrase = [F.when(F.contains(line, F.lit(phrase)), F.lit(name)) for phrase, name in phrases.items() if name not in allowed]
+    return F.array_compact(F.array(*by_phrase, F.when((spdx != "") & ~license_allowed(spdx, allowed), spdx)))
 
 
 def gate(source: Column, dependency: Column, license_: Column) -> Column:

@@ -78,7 +78,8 @@ def mesh(name: str, k: int, axes: int) -> str:
 _GENERATED = f"e AS (SELECT mid, a, b FROM g UNION SELECT mid, b, a FROM g), v AS (SELECT DISTINCT mid, a AS id FROM e), {closure('c', 'e')}, {scored('s', 'c')} SELECT mid, n, nnz_l, flops FROM s"
 _TEXTS = "(SELECT 'd' || doc_id AS path, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages)"
 _W = "(license|License|idiot|script)"
-_LINES = r"SELECT path, unnest(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10))) AS content, generate_subscripts(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)), 1) AS line FROM "
+#: Lines of a column ``text``, beside the columns named.
+TEXT_LINES = r"SELECT {}, unnest(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10))) AS content, generate_subscripts(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)), 1) AS line FROM "
 
 
 def _gates() -> str:
@@ -239,7 +240,7 @@ ORACLES = {
     + ")",
     "grid2d_score": mesh("grid2d-10", 10, 2),
     "grid3d_score": mesh("grid3d-4", 4, 3),
-    "text_forbidden_words": f"WITH l AS ({_LINES}{_TEXTS}) SELECT path, count(*) AS lines, CAST(min(line) AS BIGINT) AS first_line FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_]){_W}([^A-Za-z0-9_]|$)') GROUP BY path",
+    "text_forbidden_words": f"WITH l AS ({TEXT_LINES.format("path")}{_TEXTS}) SELECT path, count(*) AS lines, CAST(min(line) AS BIGINT) AS first_line FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_]){_W}([^A-Za-z0-9_]|$)') GROUP BY path",
     "dep_line_parse": f"""WITH q AS (SELECT path, line, t, trim(regexp_extract(t, '^([^=]*)=(.*)$', 1)) AS name, trim(regexp_extract(t, '^([^=]*)=(.*)$', 2)) AS value FROM {_DEP_ROWS}), s AS (SELECT *, regexp_extract(value, '^"(.*)"$', 1) AS version FROM q)
       SELECT path, CAST(line AS BIGINT) AS line, name, version, CASE WHEN starts_with(t, '[') THEN 'another table' WHEN path = 'two' AND line < 2 THEN 'before [dependencies]' WHEN NOT contains(t, '=') THEN 'no name = version' WHEN regexp_matches(value, '^[{{\\[]') THEN 'table or array'
       WHEN NOT regexp_matches(value, '^".*"$') THEN 'version not quoted' WHEN NOT regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') THEN 'version not plain' WHEN name = '' THEN 'no name' END AS fault FROM s""",

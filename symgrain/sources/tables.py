@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from symgrain.operators.numbering import numbered_by
 
 
-def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def month_links(rows: DataFrame) -> DataFrame:
+    """Suppliers and parts of line items, a pattern for each month of shipping."""
     return rows.select(F.concat(F.lit("month-"), F.date_format("l_shipdate", "yyyy-MM")).alias("mid"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r"))
 
 
+def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return month_links(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def _priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return rows.select(F.concat(F.lit("priority-"), "o_orderpriority").alias("mid"), F.col("o_custkey").alias("l"), F.col("o_orderkey").alias("r"))
