@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from symgrain.functions import orderings
 from symgrain.functions import symbolic as kernels
-from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
-from symgrain.operators.checkpoints import cut, shared
+from symgrain.operators import pattern, policy, scoring, sinks, sweeps, symbolic, validate, walks
+from symgrain.operators.checkpoints import cut, shared, stored
 from symgrain.oracles import BAD_LINES, DEPENDENCIES, LICENSES, MANIFESTS, NATIVE_FILES, ORACLES, ROUNDING, SOURCES
 from symgrain.plans import bestof
 from symgrain.sources import generators, jsonl, tables
@@ -474,10 +474,34 @@ def _kernel_order(index):
     return run
 
 
-for _name, _index in (("order_amd", 1), ("order_amf", 5), ("order_rcm", 17), ("order_sloan", 18), ("order_nd", 20), ("order_gggp", 21), ("order_minfill", 22), ("order_multilevel", 23)):
+for _name, _index in (("order_amd", 1), ("order_amf", 5), ("order_sloan", 18), ("order_gggp", 21), ("order_minfill", 22), ("order_multilevel", 23)):
     QUERIES[_name] = _kernel_order(_index)
 
 
+@query
+def order_rcm(spark, sf_dir):
+    """Every vertex's place in the monthly patterns, a pattern at a time."""
+    return bestof.orders_of(pattern.pack(*_family(spark, sf_dir)), (17,)).drop("cand_idx")
+
+
+@query
+def order_nd(spark, sf_dir):
+    """Every vertex's place in the yearly patterns, a pattern at a time."""
+    return bestof.orders_of(pattern.pack(*_family(spark, sf_dir, ("year",))), (20,)).drop("cand_idx")
+
+
+@query
+def nested_dissection(spark, sf_dir):
+    """Every vertex's place in the yearly patterns, whose parts are all split in one loop."""
+    return sweeps.nested_dissection(*(stored(x, "family") for x in _family(spark, sf_dir, ("year",))))
+
+
+@query
+def cuthill_mckee(spark, sf_dir):
+    """Every vertex's place in the yearly patterns, numbered level by level."""
+    return sweeps.cuthill_mckee(*(stored(x, "family") for x in _family(spark, sf_dir, ("year",))))
+
+
 def _best(spark, sf_dir):
     edges, vertices = _family(spark, sf_dir)
     return bestof.best_of(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)))

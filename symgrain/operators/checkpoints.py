@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written into the shared folder and read back. Unlike a checkpoint it carries no statistics and constraints of the plan behind it, which grow from round to round of a long loop, but its files' own sizes."""
+    path = f"{shared(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

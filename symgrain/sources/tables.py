@@ -23,6 +23,11 @@ def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return month_links(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
+def _year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.concat(F.lit("year-"), F.date_format("l_shipdate", "yyyy")).alias("mid"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r"))
+
+
 def _priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return rows.select(F.concat(F.lit("priority-"), "o_orderpriority").alias("mid"), F.col("o_custkey").alias("l"), F.col("o_orderkey").alias("r"))
@@ -33,7 +38,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("orders").alias("mid"), F.col("o_custkey").alias("l"), F.col("o_orderkey").alias("r"))
 
 
-FAMILIES = {"month": _month, "priority": _priority, "orders": _orders}
+FAMILIES = {"month": _month, "year": _year, "priority": _priority, "orders": _orders}
 
 
 def links(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = ("month",)) -> DataFrame:
