@@ -20,9 +20,12 @@ from symgrain.llm.common import materialize
 BROADCAST_ROWS = 100_000
 
 
-def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node", tasks: int = 0) -> DataFrame:
-    """Adds ``cell`` (long), ``block`` (int, within the bucket) and ``own`` (boolean: the cell pairs a block with itself); partitions by cell (into the session's number of shuffle partitions, ``tasks`` at least) and sorts by it."""
-    hot = materialize(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > cap), "hot-buckets")
+def deal(keyed: DataFrame, cap: int, key: str = "key", node: str = "node", tasks: int = 0, weight: str | None = None, most: int = 0) -> DataFrame:
+    """Adds ``cell`` (long), ``block`` (int, within the bucket) and ``own`` (boolean: the cell pairs a block with itself); partitions by cell (into the session's number of shuffle partitions, ``tasks`` at least) and sorts by it. weight, if given, is a column whose sum over a block may be about ``most``."""
+    members = F.count(F.lit(1))
+    if weight:
+        members = F.greatest(members, F.ceil(F.sum(weight) * cap / most))
+    hot = materialize(keyed.groupBy(key).agg(members.alias("members")).where(F.col("members") > cap), "hot-buckets")
     n_hot = hot.count()
     if not n_hot:
         dealt = keyed.select("*", F.col(key).alias("cell"), F.lit(0).alias("block"), F.lit(True).alias("own"))

@@ -16,8 +16,8 @@ pair within the radius escapes.
 ``bands`` (wide fingerprints): keys of some bits drawn by a fixed seed. A pair that differs in
 a share p of the bits meets with probability 1 - (1 - (1 - p)^bits)^bands; the bits grow with the
 logarithm of the number of documents, and the bands with the bits. Links found there are
-candidates: those of nearly equal fingerprints stand, the others are verified by the Jaccard
-similarity of the whole shingle sets.
+candidates: those of nearly equal fingerprints stand; groups that hold others are compared by
+the Jaccard similarity of the whole shingle sets.
 
 Defined results: a null text has no words and, like any wordless one, fingerprint zero, which
 links like any other; fewer words than a shingle: the whole sequence is one; every row gives
@@ -49,6 +49,8 @@ TASKS = 64
 SLACK, SURE, SURE_SHINGLES, MISS = 4.0, 5.0, 64, 0.0025
 #: Members of a bucket that chance alone may bring together, and the fewest bits of a band.
 OCCUPANCY, BAND_BITS = 64, 14
+#: Members and bytes of a block of shingle sets; a cell holds two blocks.
+SET_CAP, SET_BYTES = 2048, 16 << 20
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,33 +275,64 @@ def _banded(classes: DataFrame, words: int, band_bits: int, bands: int, seed: in
     return classes.select("k1", "k2", "node", "least", "place", "shingles", "print").mapInArrow(run, "k1 long, k2 long, node long, least long, place long, shingles int, print binary, keys array<long>")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose shingle sets have that Jaccard similarity. Only texts of linked nodes are read, one for each, and their sets (32 bits a shingle) go to their links."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    asked = materialize(ends.join(nodes.select("node", "place"), "node"), "simhash-asked")
+def true_links(sets: list[np.ndarray], starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (place, place) that join all sets of one cell (starts: its first place) that are similar enough, directly or by others. A set is compared with all of its cell that it is not joined to yet and that are of a size that can do."""
+    sizes = np.fromiter(map(len, sets), np.int64, count=len(sets))
+    values, ids = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint32), return_inverse=True)
+    begin, marked = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(values), bool)
+    labels, links = np.arange(len(sets)), ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    ends = np.searchsorted(starts, starts, side="right")
+    for a in range(len(sets)):
+        others = np.arange(a + 1, ends[a])
+        others = others[(labels[others] != labels[a]) & (np.minimum(sizes[others], sizes[a]) >= similarity * np.maximum(sizes[others], sizes[a])) & (sizes[others] > 0)]
+        marked[ids[begin[a] : begin[a + 1]]] = True
+        for cut in _cuts(sizes[others]):
+            some = others[cut]
+            at, _ = ranges(begin[some], begin[some + 1])
+            shared = np.add.reduceat(marked[ids[at]], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            some = some[shared >= similarity * (sizes[some] + sizes[a] - shared)]
+            labels, pick = spanning(labels, np.full(len(some), a), some)
+            links[0].append(np.full(len(pick), a))
+            links[1].append(some[pick])
+        marked[ids[begin[a] : begin[a + 1]]] = False
+    return np.concatenate(links[0]), np.concatenate(links[1])
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the nodes of each group whose shingle sets have that Jaccard similarity; grouped: (node, group). One text of each node is read. Its set (32 bits a shingle) goes to the cell of its group, or to several where the group is cut into blocks, by members and by bytes."""
+    asked = materialize(grouped.join(nodes.select("node", "place"), "node"), "simhash-asked")
     placed = docs.select("text", F.monotonically_increasing_id().alias("place"))
-    texts = placed.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked.hint("merge"), "place").select("node", "text")
+    texts = placed.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked.hint("merge"), "place").select("node", "group", "text")
 
     @trimmed
-    def run(batches):
+    def read(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(text), shingle).astype(np.uint32)).view(np.int32) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+            sets = [np.unique(shingle_hashes(words_of(text), shingle).astype(np.uint32)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.nbytes for s in sets], pa.int64())], ["node", "group", "shingles", "bytes"])
+
+    @trimmed
+    def compare(batches):
+        def handle(cells, rows):
+            nodes = rows.column("node").to_numpy()
+            a, b = true_links([np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()], starts_of(cells), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+        yield from by_cells(batches, handle, rows=2 * SET_CAP)
 
-    sets = materialize(texts.mapInArrow(run, "node long, shingles array<int>"), "simhash-sets")
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    both = links.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    sets = materialize(texts.mapInArrow(read, "node long, group long, shingles binary, bytes long"), "simhash-sets")
+    dealt = deal(sets, SET_CAP, key="group", tasks=TASKS, weight="bytes", most=SET_BYTES)
+    return dealt.select("cell", "node", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(doc_id, component_id): documents linked by sets of distinct shingles with that Jaccard similarity.
 
     Candidates are fingerprints that share a band and lie within the radius: that of the
-    similarity plus SLACK standard errors. Each bucket gives the links that join its candidates,
-    nearest first. Those nearer than the similarity asks by SURE standard errors stand; the others
-    are verified. Recall is measured in the tests. Documents whose fingerprints are equal, of
+    similarity plus SLACK standard errors. Each bucket gives links that suffice to join its
+    candidates, nearest first; together they give the groups that candidates can form at all.
+    Links nearer than the similarity asks by SURE standard errors stand. A group that holds any
+    other is compared within by the shingle sets themselves, so no similar pair of it depends on which
+    links a bucket happened to give. Recall is measured in the tests. Documents whose fingerprints are equal, of
     which 128 hashed bits are compared, are one class.
     """
     bits, agree = 64 * words, _agreement(similarity)
@@ -316,7 +349,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     found = _links(deal(keyed, cap, tasks=TASKS), radius, words)
     found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "away", "fewest").distinct(), "simhash-found")
     stands = (F.col("away") <= sure) & (F.col("fewest") >= SURE_SHINGLES)
-    links = found.where(stands).select("a", "b").unionByName(_verified(docs, nodes, found.where(~stands), shingle, similarity))
+    grouped = connected_components(found.select("a", "b")).withColumnRenamed("component", "group")
+    unsure = materialize(found.where(~stands).select(F.col("a").alias("node")).distinct().join(grouped, "node").select("group").distinct(), "simhash-unsure")
+    links = found.where(stands).select("a", "b").unionByName(_verified(docs, nodes, grouped.join(unsure, "group"), shingle, similarity))
     components = connected_components(materialize(links, "simhash-links"))
     named = nodes.select("node", "least").join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -131,3 +131,34 @@ def test_chains_and_hot_groups(spark, cap):
     docs = spark.createDataFrame(list(enumerate(chain + copies)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs, cap=cap).collect()}
     assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(40, 240)} == {40}
+
+
+@pytest.mark.parametrize("block", [2048, 25])
+def test_template_groups_lose_no_similar_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(s, "SET_CAP", block)
+    rng, texts, group = random.Random(12), [], []
+    for g in range(6):  # pages of one template: half of the pairs are similar enough, the other half nearly
+        base = [f"g{g}w{i}" for i in range(300)]
+        for _ in range(70):
+            w = list(base)
+            for at in rng.sample(range(300), rng.choice([3, 4])):
+                w[at] = f"own{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+            group.append(g)
+    sets = [sets_of(t) for t in texts]
+    similar = [(a, b) for a in range(len(texts)) for b in range(a) if group[a] == group[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    want = components(range(len(texts)), similar)
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(similar) > 2000 and sum(got[a] == got[b] for a, b in similar) >= 0.98 * len(similar)
+    assert all(want[i] == want[got[i]] for i in got)  # none joined that is not linked
+
+
+def test_true_links_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        sets = [np.array(sorted(rng.sample(range(40), rng.randint(0, 30))), np.uint32) for _ in range(40)]
+        starts = np.where(np.arange(40) < 7, 0, np.where(np.arange(40) < 20, 7, 20))
+        plain = [set(x.tolist()) for x in sets]
+        links = [(a, b) for a in range(40) for b in range(a) if starts[a] == starts[b] and plain[a] and plain[b] and jaccard(plain[a], plain[b]) >= 0.6]
+        a, b = s.true_links(sets, starts, 0.6)
+        assert components(range(40), links) == components(range(40), list(zip(a.tolist(), b.tolist())))
