@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symgrain.functions import orderings
 from symgrain.functions import symbolic as kernels
-from symgrain.operators import pattern, policy, scoring, sinks, sweeps, symbolic, validate, walks
+from symgrain.operators import blocks, pattern, policy, scoring, sinks, sweeps, symbolic, udtf, validate, walks
 from symgrain.operators.checkpoints import cut, shared, stored
 from symgrain.oracles import BAD_LINES, DEPENDENCIES, LICENSES, MANIFESTS, NATIVE_FILES, ORACLES, ROUNDING, SOURCES
 from symgrain.plans import bestof
@@ -493,13 +493,33 @@ def order_nd(spark, sf_dir):
 @query
 def nested_dissection(spark, sf_dir):
     """Every vertex's place in the yearly patterns, whose parts are all split in one loop."""
-    return sweeps.nested_dissection(*(stored(x, "family") for x in _family(spark, sf_dir, ("year",))))
+    return sweeps.nested_dissection(*_stored_family(spark, sf_dir, ("year",)))
 
 
 @query
 def cuthill_mckee(spark, sf_dir):
     """Every vertex's place in the yearly patterns, numbered level by level."""
-    return sweeps.cuthill_mckee(*(stored(x, "family") for x in _family(spark, sf_dir, ("year",))))
+    return sweeps.cuthill_mckee(*_stored_family(spark, sf_dir, ("year",)))
+
+
+def _stored_family(spark, sf_dir, families):
+    return tuple(stored(x, "family") for x in _family(spark, sf_dir, families))
+
+
+@query
+def score_components(spark, sf_dir):
+    """Degree order of all families, each connected component counted by itself."""
+    edges, vertices = _stored_family(spark, sf_dir, ALL)
+    order = symbolic.degree_order(pattern.degrees(edges, vertices))
+    return blocks.scores_by_blocks(edges, blocks.by_components(edges, vertices, order))
+
+
+@query
+def columns_dissected(spark, sf_dir):
+    """The elimination tree and column counts of the dissected patterns of brands, part by part, separators last."""
+    edges, vertices = _stored_family(spark, sf_dir, ("brand",))
+    found = blocks.columns_by_blocks(edges, sweeps.dissected(edges, vertices, leaf=100))
+    return found.select("mid", "j", F.coalesce("parent", F.lit(-1)).alias("parent"), "c")
 
 
 def _best(spark, sf_dir):
@@ -517,17 +537,24 @@ def bestof_full(spark, sf_dir):
 
 @query
 def own_order(spark, sf_dir):
-    """A run with an order of one's own: the reverse, registered beside the candidates for this plan alone."""
+    """A run with an order of one's own: the reverse, given beside the candidates for this plan alone."""
     edges, vertices = _family(spark, sf_dir)
-    before = len(bestof.GATES)
-    index = bestof.register("backwards", orderings.backwards)
-    try:
-        scored = cut(bestof.candidate_scores(pattern.pack(edges, vertices), bestof.admitted(pattern.matrices(edges, vertices)).where(F.col("cand_idx") == index)))
-    finally:
-        del bestof.ALGORITHMS[index], bestof.GATES[before:]
+    index = max(bestof.ALGORITHMS) + 1
+    mine = vertices.select("mid").distinct().select("mid", F.lit(index).cast("long").alias("cand_idx"), F.lit("backwards").alias("candidate"))
+    scored = bestof.candidate_scores(pattern.pack(edges, vertices), mine, own={index: ("backwards", orderings.backwards)})
     return scored.select("mid", "candidate", "n", "nnz_l", "flops", "status")
 
 
+@query
+def order_by_sql(spark, sf_dir):
+    """Reverse Cuthill-McKee as a table function, called by SQL text on the monthly patterns."""
+    name = f"rcm_{uuid.uuid4().hex}"
+    udtf.register_order(spark, name, orderings.reverse_cuthill_mckee)
+    found = spark.sql(f"SELECT mid, k, v FROM {name}(TABLE({{rows}}) PARTITION BY mid)", rows=udtf.entries(*_family(spark, sf_dir)))
+    spark.sql(f"DROP TEMPORARY FUNCTION {name}")
+    return found
+
+
 @query
 def jsonl_scan_rejects(spark, sf_dir):
     """Monthly patterns written as JSON lines and read back, with lines that are none among them."""

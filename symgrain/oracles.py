@@ -16,6 +16,7 @@ BAD_LINES = (
 )
 MONTH = "SELECT 'month-' || strftime(l_shipdate, '%Y-%m') AS mid, l_suppkey AS l, l_partkey AS r FROM lineitem"
 YEAR = "SELECT 'year-' || strftime(l_shipdate, '%Y') AS mid, l_suppkey AS l, l_partkey AS r FROM lineitem"
+BRAND = "SELECT 'brand-' || p_brand AS mid, l_suppkey AS l, l_partkey AS r FROM lineitem JOIN part ON p_partkey = l_partkey"
 PRIORITY = "SELECT 'priority-' || o_orderpriority AS mid, o_custkey AS l, o_orderkey AS r FROM orders"
 ORDERS = "SELECT 'orders' AS mid, o_custkey AS l, o_orderkey AS r FROM orders"
 
@@ -304,8 +305,11 @@ ORACLES = {
       SELECT printf('{{ "score": %.6f, "metrics": {{ "geomean_flop_ratio": %.6f, "geomean_fill_ratio": %.6f, "matrices": %d, "weights": {{ %s }}, "buckets": {{ %s }} }} }}', score, score, fill, matrices, weights, buckets) AS document FROM total, j""",
     "bestof_full": f"""WITH RECURSIVE {both(ONE)} SELECT mid, n, base_flops AS natural_flops, flops AS degree_flops, true AS at_most_floor, true AS at_most_others, true AS counts_diagonal FROM ratio""",
     "nested_dissection": f"WITH RECURSIVE {family(YEAR)}, {dissection(12)} SELECT mid, 'nested dissection' AS candidate, k, v FROM nd",
+    "score_components": f"WITH RECURSIVE {ALL}, {DEGREE}, {MOVED}, {closure('c', 'd')}, {scored('s', 'c')} SELECT mid, n, nnz_l, flops FROM s",
+    "columns_dissected": f"WITH RECURSIVE {family(BRAND)}, {dissection(6, 100)}, d AS MATERIALIZED (SELECT e.mid, x.k AS a, y.k AS b FROM e JOIN nd x ON x.mid = e.mid AND x.v = e.a JOIN nd y ON y.mid = e.mid AND y.v = e.b), {closure('c', 'd')} SELECT mid, j, coalesce(parent, -1) AS parent, c FROM c",
     "order_nd": f"WITH RECURSIVE {family(YEAR)}, {dissection(12)} SELECT mid, 'nested dissection' AS candidate, k, v FROM nd",
     "order_rcm": f"WITH RECURSIVE {ONE}, {rcm()} SELECT mid, 'rcm' AS candidate, k, v FROM rcm",
+    "order_by_sql": f"WITH RECURSIVE {ONE}, {rcm()} SELECT mid, k, v FROM rcm",
     "cuthill_mckee": f"WITH RECURSIVE {family(YEAR)}, {rcm()} SELECT mid, 'rcm' AS candidate, k, v FROM rcm",
     "own_order": f"WITH RECURSIVE {ONE}, {BACKWARDS}, {closure('c', 't')}, {scored('s', 'c')} SELECT mid, 'backwards' AS candidate, n, nnz_l, flops, 'OK' AS status FROM s",
     **dict.fromkeys(("order_amd", "order_amf", "order_sloan", "order_gggp", "order_minfill", "order_multilevel"), _report(ONE)),

@@ -107,11 +107,11 @@ def run_candidate(mid, index, name, n, col_at, rows, algorithms=ALGORITHMS):
         return mid, index, name, n, None, None, "FAIL", f"{type(error).__name__}: {error}", None
 
 
-def candidate_scores(packed: DataFrame, admissions: DataFrame, with_orders: bool = False) -> DataFrame:
-    """(mid, cand_idx, candidate, n, nnz_l, flops, status, reason, and if asked the order): one kernel run per row."""
+def candidate_scores(packed: DataFrame, admissions: DataFrame, with_orders: bool = False, own: dict[int, tuple[str, Callable[[Graph], list[int]]]] | None = None) -> DataFrame:
+    """(mid, cand_idx, candidate, n, nnz_l, flops, status, reason, and if asked the order): one kernel run per row. own: further orders by number, for this plan alone."""
     work = packed.join(admissions, "mid").select("mid", "cand_idx", "candidate", "n", "col_at", "rows").repartition("mid", "cand_idx")
 
-    algorithms = dict(ALGORITHMS)  # registered ones too, by value
+    algorithms = ALGORITHMS | (own or {})  # registered ones too, by value
 
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.string(), pa.list_(pa.int64())]

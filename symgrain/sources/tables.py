@@ -28,6 +28,13 @@ def _year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("year-"), F.date_format("l_shipdate", "yyyy")).alias("mid"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r"))
 
 
+def _brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts of line items, a pattern for each brand of part."""
+    rows, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    brands = parts.select(F.concat(F.lit("brand-"), "p_brand").alias("mid"), F.col("p_partkey").alias("r"))
+    return rows.select(F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r")).join(brands, "r").select("mid", "l", "r")
+
+
 def _priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return rows.select(F.concat(F.lit("priority-"), "o_orderpriority").alias("mid"), F.col("o_custkey").alias("l"), F.col("o_orderkey").alias("r"))
@@ -38,7 +45,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("orders").alias("mid"), F.col("o_custkey").alias("l"), F.col("o_orderkey").alias("r"))
 
 
-FAMILIES = {"month": _month, "year": _year, "priority": _priority, "orders": _orders}
+FAMILIES = {"month": _month, "year": _year, "brand": _brand, "priority": _priority, "orders": _orders}
 
 
 def links(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = ("month",)) -> DataFrame:
