@@ -11,11 +11,14 @@ payload, so a file is that large at most, but for one last payload. Reading pars
 by Content-Length.
 
 Every row is a capture with record ids of its own, made from its place in the input
-(monotonically_increasing_id): the table must give the same rows to the same tasks when it is
-read twice, as files do.
+(monotonically_increasing_id): a table that is not files, which give the same rows to the same
+tasks when read twice, is written first.
 
-Assembly joins by the transaction's id, a response's own or that in WARC-Concurrent-To, in one
-shuffle of all three kinds: a group holds a capture's records, three of them.
+Assembly joins by the transaction's id, a response's own or those in WARC-Concurrent-To, in one
+shuffle of all three kinds: a group holds a capture's records. A record that names several
+belongs to each that is a response; what names no response in the archives is a capture
+without one. Of several requests, or responses of one id, the whole one that compares highest is taken; all
+metadata records are kept, by record id.
 
 Defined results: a null payload counts as empty; payloads under ``least_bytes`` are never
 revisits; rows that repeat page_id and payload each give a row, and of those with the smallest
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrain.llm.common import materialize, trimmed
+from symgrain.llm.common import as_stored, materialize, trimmed
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,17 +72,18 @@ def _in_volumes(captures: DataFrame, archive_bytes: int) -> DataFrame:
                 held += size + 1000  # headers
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(volumes)], [*batch.schema.names, "volume"])
 
-    return captures.mapInArrow(run, "page_id long, url string, html string, place long, digest string, size int, volume int")
+    return captures.mapInArrow(run, "digest string, page_id long, url string, html string, place long, size int, first long, first_place long, volume int")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "none", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes the captures (page_id, url, html) as WARC files."""
     html = F.coalesce("html", F.lit(""))
-    captures = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
+    captures = as_stored(pages, "warc-pages").select(F.col("page_id").cast("long"), "url", html.alias("html"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
     least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place")))
     firsts = materialize(captures.where(F.col("size") >= least_bytes).groupBy("digest").agg(least.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1 AND f IS NOT NULL").select("digest", F.col("f.page_id").alias("first"), F.col("f.place").alias("first_place")), "warc-firsts")
     few = firsts.count() <= BROADCAST_ROWS
-    captures = _in_volumes(captures, archive_bytes).join(F.broadcast(firsts) if few else firsts, "digest", "left")
+    # Numbered behind the join: a shuffle deals the rows to other tasks.
+    captures = _in_volumes(captures.join(F.broadcast(firsts) if few else firsts, "digest", "left").select("digest", "page_id", "url", "html", "place", "size", "first", "first_place"), archive_bytes)
 
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     this, uri = _record_id("response", F.col("place"), F.col("digest")), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -97,6 +101,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: st
     records.write.option("lineSep", END + END).option("compression", compression).partitionBy("volume").text(path)
 
 
+#: The header that may stand more than once; its values are joined by spaces.
+REPEATED = "warc-concurrent-to"
+
+
 def parse_records(data: bytes):
     """(headers by lower-case name, block) of each record; raises on what is not a record."""
     if data[:2] == b"\x1f\x8b":
@@ -108,7 +116,10 @@ def parse_records(data: bytes):
         if stop < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
         lines = data[at:stop].decode("utf-8", "replace").split(END)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        headers: dict[str, str] = {}
+        for name, _, value in (line.partition(":") for line in lines):
+            name, value = name.strip().lower(), value.strip()
+            headers[name] = f"{headers[name]} {value}" if name == REPEATED and name in headers else value
         size, begin = int(headers["content-length"]), stop + 4
         if begin + size > len(data) or data[begin + size : begin + size + 4] not in (b"\r\n\r\n", b""):
             raise ValueError(f"the record at byte {at} is cut off")
@@ -154,19 +165,22 @@ _SLIM = {"request": ("record_id",), "response": ("type", "refers_to", "digest",
 
 
 def assemble(records: DataFrame, parts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One nested row per capture: capture_id, and request, response, metadata with the named fields (all by default). Fields that are not named are not shuffled."""
+    """One nested row per capture: capture_id, request and response with the named fields (all by default), and metadata, an array of such. Each part comes from one record. Fields that are not named are not shuffled."""
     parts = _PARTS if parts is None else parts
-    answer = F.col("type").isin("response", "revisit")
-    keyed = records.withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    of = lambda part, name: F.max(F.when(answer if part == "response" else F.col("type") == part, F.col(name)))
-    joined = keyed.groupBy("capture_id").agg(*[of(part, name).alias(f"{part}_{name}") for part, names in parts.items() for name in names])
-    return joined.select("capture_id", *[F.struct(*[F.col(f"{part}_{name}").alias(name) for name in names]).alias(part) for part, names in parts.items()])
+    answer, none = F.col("type").isin("response", "revisit"), F.array(F.lit(None).cast("string"))
+    named = F.when(F.coalesce("concurrent_to", F.lit("")) != "", F.split("concurrent_to", " +"))
+    ids = F.when(answer, F.array("record_id")).otherwise(F.coalesce(named, F.array("record_id"), none))
+    keyed = records.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("alone", F.size(ids) == 1).withColumn("capture_id", F.explode(ids))
+    of = lambda part: F.when(answer if part == "response" else F.col("type") == part, F.struct(*parts[part]))
+    found = {part: F.sort_array(F.collect_list(of(part))) if part == "metadata" else F.max(of(part)) for part in parts}
+    joined = keyed.groupBy("capture_id").agg(*[column.alias(part) for part, column in found.items()], F.bool_or(answer | F.col("alone")).alias("own"))
+    return joined.where("own").drop("own")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture in the archives; what a revisit lacks comes from the record that it refers to."""
     rows = assemble(read_records(spark, path), _SLIM).select(
-        "capture_id", F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
+        "capture_id", F.regexp_extract(F.get("metadata.payload", F.lit(0)).cast("string"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("refers_to_id"), F.col("response.digest").alias("digest"), F.col("response.bytes").alias("bytes"),
     )
     rows = materialize(rows, "warc-captures")
