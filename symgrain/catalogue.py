@@ -12,12 +12,15 @@ from symgrain.functions import orderings
 from symgrain.functions import symbolic as kernels
 from symgrain.operators import blocks, pattern, policy, scoring, sinks, sweeps, symbolic, udtf, validate, walks
 from symgrain.operators.checkpoints import cut, shared, stored
-from symgrain.oracles import BAD_LINES, DEPENDENCIES, LICENSES, MANIFESTS, NATIVE_FILES, ORACLES, ROUNDING, SOURCES
+from symgrain import policy_queries
+from symgrain.oracles import BAD_LINES, ROUNDING
+from symgrain.oracles import ORACLES as PATTERN_ORACLES
 from symgrain.plans import bestof
 from symgrain.sources import generators, jsonl, tables
 
 ALL = ("month", "priority", "orders")
-QUERIES: dict = {}
+QUERIES: dict = dict(policy_queries.QUERIES)
+ORACLES = PATTERN_ORACLES | policy_queries.ORACLES
 
 
 def query(f):
@@ -323,101 +326,6 @@ def text_forbidden_words(spark, sf_dir):
     return rows.where(policy.has_word(F.col("content"), "(license|License|idiot|script)")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min("line").cast("long").alias("first_line"))
 
 
-@query
-def dep_line_parse(spark, sf_dir):
-    files = spark.createDataFrame(list(DEPENDENCIES.items()), "path string, text string")
-    return policy.dependencies(files).select("path", F.col("line").cast("long").alias("line"), "name", "version", "fault")
-
-
-@query
-def version_shape(spark, sf_dir):
-    rows = [(v,) for v in ("1", "1.2.3", "0.1.0-rc.1+x", "v1", "", "^1", "1 2", "1.*", "9z")]
-    return spark.createDataFrame(rows, "version string").select("version", policy.plain_version(F.col("version")).alias("plain"))
-
-
-@query
-def crate_split(spark, sf_dir):
-    rows = [(v,) for v in ("foo-1.0.0", "foo-sys-1.0.0-alpha.1", "foo", "foo-bar", "a-1-b-2", "-1", "x-")]
-    return spark.createDataFrame(rows, "folder string").select("folder", policy.crate_name(F.col("folder")).alias("crate"))
-
-
-@query
-def license_gate(spark, sf_dir):
-    return policy.license_faults(spark.createDataFrame(list(LICENSES), "crate string, license string"), ["MIT", "Apache-2.0", "BSD-3-Clause"])
-
-
-@query
-def strip_comments(spark, sf_dir):
-    """Sources without comments, with and without the insides of strings."""
-    both = [policy.stripped(F.col("text"), blank).alias(name) for name, blank in (("code", True), ("shown", False))]
-    return _sources(spark).select("path", *both)
-
-
-def _sources(spark):
-    return spark.createDataFrame([(path, text) for path, text, *_ in SOURCES], "path string, text string")
-
-
-@query
-def source_scan(spark, sf_dir):
-    return policy.first_findings(_sources(spark)).select("path", F.col("line").cast("long").alias("line"), "what")
-
-
-@query
-def source_purity(spark, sf_dir):
-    """Build scripts are found by name, all others by what they hold."""
-    scripts = spark.createDataFrame([("x/build.rs", "fn main() {}"), ("x/rebuild.rs", "fn main() {}"), ("build.rs", "")], "path string, text string")
-    return policy.purity(_sources(spark).unionByName(scripts)).select("path", F.col("line").cast("long").alias("line"), "what")
-
-
-@query
-def macro_calls(spark, sf_dir):
-    """Where ``asm`` is called as a macro, and its line."""
-    return _sources(spark).select("path", policy.has_macro_call(F.col("text"), "asm").alias("called"), policy.macro_line(F.col("text"), "asm").cast("long").alias("line"))
-
-
-@query
-def attribute_lines(spark, sf_dir):
-    return policy.lines_of(_sources(spark)).where(policy.has_attribute(F.col("content"), "link")).select("path", F.col("line").cast("long").alias("line"))
-
-
-@query
-def build_tools(spark, sf_dir):
-    """Tools among the build dependencies of manifests, some behind tabs."""
-    return policy.build_tools(spark.createDataFrame([(path, text) for path, text, _ in MANIFESTS], "path string, text string"))
-
-
-@query
-def native_files(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p, _ in NATIVE_FILES], "path string").select("path", policy.native_file(F.col("path")).alias("native"))
-
-
-@query
-def vendored_faults(spark, sf_dir):
-    crates = [(f"{path}-1.0.0", "Cargo.toml", text) for path, text, _ in MANIFESTS] + [("wrap-sys-0.1.0", "src/lib.rs", "x"), ("blob-2.0.0", "lib/x.so", None), ("plain-2.0.0", "src/lib.rs", "x")]
-    return policy.vendored_faults(spark.createDataFrame(crates, "crate string, path string, text string"))
-
-
-@query
-def policy_gate(spark, sf_dir):
-    """The first fault of sources, dependencies, licenses."""
-    rows = [(i, s, d, x) for i, (s, d, x) in enumerate((s, d, x) for s in ("source", None) for d in ("dependency", None) for x in ("license", None))]
-    return spark.createDataFrame(rows, "case long, s string, d string, l string").select("case", policy.gate(F.col("s"), F.col("d"), F.col("l")).alias("fault"))
-
-
-@query
-def exit_reasons(spark, sf_dir):
-    codes = spark.createDataFrame([(i, c) for i, c in enumerate((0, 1, 101, -9, -6, None))], "case long, code int")
-    return codes.select("case", validate.exit_reason(F.col("code")).alias("reason"))
-
-
-@query
-def json_fields(spark, sf_dir):
-    """Single fields of event properties and of corpus lines."""
-    lines = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(BAD_LINES)] + [(100, '{"n": 7, "source": "a b", "indices": [1, 2, 3]}'), (101, '{"n": -7, "source": "x\\"y", "indices": []}'), (102, "y" * 100)], "case long, value string")
-    j = F.col("value")
-    return lines.select("case", jsonl.integer_field(j, "n").alias("n"), jsonl.text_field(j, "source").alias("source"), F.size(jsonl.integers_field(j, "indices")).cast("long").alias("indices"), jsonl.shortened(j).alias("shown"))
-
-
 @query
 def matrix_table(spark, sf_dir):
     sizes = pattern.matrices(*_family(spark, sf_dir, ALL)).select("mid", "nnz")

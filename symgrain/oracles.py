@@ -90,14 +90,6 @@ def _gates() -> str:
 
 
 
-#: Dependency lists, with tabs where spaces are usual.
-DEPENDENCIES = {
-    "one": '# top\n[dependencies]\nalpha = "1.2.3" # kept\nbeta = "0.1.0-rc.1+x"\ngamma = { git = "u" }\ndelta = "^1"\nepsilon = 1\n = "1.0"\nzeta\n[dev-dependencies]\neta = "2"\n',
-    "two": 'early = "1.0"\n[dependencies]\nlate = "1.0"',
-    "tabs": '\t[dependencies]\t# here\n\t\n theta\t=\t"1.0"\t\n\tiota = "2"\t# two\n\t[features]\n',
-}
-_DEP_ROWS = """(VALUES ('one', 3, 'alpha = "1.2.3"'), ('one', 4, 'beta = "0.1.0-rc.1+x"'), ('one', 5, 'gamma = { git = "u" }'), ('one', 6, 'delta = "^1"'), ('one', 7, 'epsilon = 1'), ('one', 8, '= "1.0"'), ('one', 9, 'zeta'), ('one', 10, '[dev-dependencies]'), ('one', 11, 'eta = "2"'), ('two', 1, 'early = "1.0"'), ('two', 3, 'late = "1.0"'), ('tabs', 3, 'theta = "1.0"'), ('tabs', 4, 'iota = "2"'), ('tabs', 5, '[features]')) t(path, line, t)"""
-LICENSES = (("a", "MIT"), ("b", "MIT OR GPL-3.0"), ("c", "GPL-3.0"), ("d", "MIT AND Apache-2.0"), ("e", "MIT AND GPL-3.0"), ("f", None), ("g", "MIT/Apache-2.0"))
 #: Sources: path, text, line and kind of the first finding (none: null), the text without comments and with blank strings, the text without comments.
 SOURCES = (
     ("f01", 'extern "C" { fn f(); }', 1, "foreign functions", 'extern " " { fn f(); }', 'extern "C" { fn f(); }'),
@@ -128,7 +120,6 @@ MANIFESTS = (
     ("closed", '[build-dependencies]\nserde = "1"\n\t[features]\ncc = []\n', None),
     ("comment", '[build-dependencies]\n\t# cc = "1"\n', None),
 )
-NATIVE_FILES = (("lib/x.so", True), ("x.a", True), ("src/lib.rs", False), (".so", False), ("a.so.1", False), ("notes.asm", False), ("win/y.dll", True), ("z.OBJ", False), ("o", False))
 #: The candidates' gates: number, name, n below, nnz from, nnz below.
 GATES = (
     (1, "amd", "NULL", 0, "NULL"), (2, "amf a5", 250_000, 0, 1_500_000), (3, "amd a5", 60_000, 0, 400_000), (4, "amd a2", 60_000, 0, 400_000), (5, "amf", 60_000, 0, 400_000), (6, "amf a2", 60_000, 0, 400_000),
@@ -164,8 +155,6 @@ def values(rows, *names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, row)) + ')' for row in rows)}) t({', '.join(names)})"
 
 
-_FINDINGS = [(path, line, what) for path, _, line, what, *_ in SOURCES if what]
-
 
 def kkt(h: int, m: int, seed: int) -> str:
     """The seeded generator, draw by draw: a row of states, two links of each variable from four draws, then each constraint's draws, whose number the first gives."""
@@ -273,29 +262,9 @@ ORACLES = {
       e AS (SELECT mid, a, b FROM g UNION SELECT mid, b, a FROM g), v AS (SELECT DISTINCT mid, a AS id FROM e), m AS (SELECT mid, count(*) AS n FROM v GROUP BY mid), l AS (SELECT mid, (a + n - 1) % n AS a, (b + n - 1) % n AS b FROM e JOIN m USING (mid)),
       {closure("c", "e")}, {scored("s", "c")}, {closure("d", "l")}, {scored("t", "d")} SELECT mid, 'natural' AS candidate, n, nnz_l, flops FROM s UNION ALL SELECT mid, 'hub last', n, nnz_l, flops FROM t""",
     "kkt_score": kkt(600, 200, 42),
-    "strip_comments": values([(path, code, shown) for path, _, _, _, code, shown in SOURCES], "path", "code", "shown"),
-    "source_scan": "SELECT path, CAST(line AS BIGINT) AS line, what FROM (" + values(_FINDINGS, "path", "line", "what") + ")",
-    "source_purity": "SELECT path, CAST(line AS BIGINT) AS line, what FROM (" + values([*_FINDINGS, ("x/build.rs", None, "build script"), ("build.rs", None, "build script")], "path", "line", "what") + ")",
-    "macro_calls": "SELECT path, path = 'f10' AS called, CASE WHEN path = 'f10' THEN CAST(2 AS BIGINT) END AS line FROM (" + values([(path,) for path, *_ in SOURCES], "path") + ")",
-    "attribute_lines": "SELECT 'f13' AS path, CAST(2 AS BIGINT) AS line",
-    "build_tools": values([(path, tool) for path, _, tool in MANIFESTS if tool], "path", "tool"),
-    "native_files": values(NATIVE_FILES, "path", "native"),
-    "vendored_faults": values([*[(f"{path}-1.0.0", f"builds with {tool}") for path, _, tool in MANIFESTS if tool], ("wrap-sys-0.1.0", "wraps a native library"), ("blob-2.0.0", "ships lib/x.so")], "crate", "fault"),
-    "policy_gate": "SELECT CAST(i AS BIGINT) AS \"case\", CASE WHEN i < 4 THEN 'source' WHEN i IN (4, 5) THEN 'dependency' WHEN i = 6 THEN 'license' END AS fault FROM range(8) t(i)",
-    "exit_reasons": "SELECT CAST(c AS BIGINT) AS \"case\", reason FROM (VALUES (0, NULL), (1, 'exit code 1'), (2, 'exit code 101'), (3, 'killed by signal 9'), (4, 'killed by signal 6'), (5, 'no exit status')) t(c, reason)",
-    "json_fields": "SELECT CAST(c AS BIGINT) AS \"case\", CAST(n AS BIGINT) AS n, source, CAST(k AS BIGINT) AS indices, shown FROM ("
-    + values([(i, n if n >= 0 else None, None, k if k >= 0 else None, line) for i, (line, n, k, _) in enumerate(BAD_LINES)] + [(100, 7, "a b", 3, '{"n": 7, "source": "a b", "indices": [1, 2, 3]}'), (101, None, 'x"y', 0, '{"n": -7, "source": "x\\"y", "indices": []}'), (102, None, None, None, "y" * 80 + "…")], "c", "n", "source", "k", "shown")
-    + ")",
     "grid2d_score": mesh("grid2d-10", 10, 2),
     "grid3d_score": mesh("grid3d-4", 4, 3),
     "text_forbidden_words": f"WITH l AS ({TEXT_LINES.format("path")}{_TEXTS}) SELECT path, count(*) AS lines, CAST(min(line) AS BIGINT) AS first_line FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_]){_W}([^A-Za-z0-9_]|$)') GROUP BY path",
-    "dep_line_parse": f"""WITH q AS (SELECT path, line, t, trim(regexp_extract(t, '^([^=]*)=(.*)$', 1)) AS name, trim(regexp_extract(t, '^([^=]*)=(.*)$', 2)) AS value FROM {_DEP_ROWS}), s AS (SELECT *, regexp_extract(value, '^"(.*)"$', 1) AS version FROM q)
-      SELECT path, CAST(line AS BIGINT) AS line, name, version, CASE WHEN starts_with(t, '[') THEN 'another table' WHEN path = 'two' AND line < 2 THEN 'before [dependencies]' WHEN NOT contains(t, '=') THEN 'no name = version' WHEN regexp_matches(value, '^[{{\\[]') THEN 'table or array'
-      WHEN NOT regexp_matches(value, '^".*"$') THEN 'version not quoted' WHEN NOT regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') THEN 'version not plain' WHEN name = '' THEN 'no name' END AS fault FROM s""",
-    "version_shape": "SELECT version, regexp_matches(version, '^[0-9][0-9A-Za-z.+-]*$') AS plain FROM (VALUES ('1'), ('1.2.3'), ('0.1.0-rc.1+x'), ('v1'), (''), ('^1'), ('1 2'), ('1.*'), ('9z')) t(version)",
-    "crate_split": "SELECT folder, CASE WHEN regexp_matches(folder, '-[0-9]') THEN regexp_extract(folder, '^(.*)-[0-9]', 1) ELSE folder END AS crate FROM (VALUES ('foo-1.0.0'), ('foo-sys-1.0.0-alpha.1'), ('foo'), ('foo-bar'), ('a-1-b-2'), ('-1'), ('x-')) t(folder)",
-    "license_gate": f"""WITH l AS ({values(LICENSES, "crate", "license")}), alt AS (SELECT crate, unnest(regexp_split_to_array(license, ' OR |/')) AS part FROM l),
-      fine AS (SELECT crate FROM alt WHERE len([x for x in string_split(part, ' AND ') if trim(x) NOT IN ('MIT', 'Apache-2.0', 'BSD-3-Clause')]) = 0) SELECT crate, license FROM l WHERE crate NOT IN (SELECT crate FROM fine)""",
     "jsonl_scan_rejects": f"WITH {ONE} SELECT mid, CAST(count(*) AS BIGINT) AS n, CAST(sum(degree) AS BIGINT) AS nnz, '' AS fault FROM deg GROUP BY mid UNION ALL SELECT '', n, nnz, fault FROM (VALUES "
     + ", ".join(f"(CAST({n} AS BIGINT), CAST({nnz} AS BIGINT), '{fault}: {line}')" for line, n, nnz, fault in BAD_LINES)
     + ") t(n, nnz, fault)",
