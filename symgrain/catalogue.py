@@ -16,7 +16,7 @@ from symgrain import policy_queries
 from symgrain.oracles import BAD_LINES, ROUNDING
 from symgrain.oracles import ORACLES as PATTERN_ORACLES
 from symgrain.plans import bestof
-from symgrain.sources import generators, jsonl, tables
+from symgrain.sources import frames, generators, jsonl, tables
 
 ALL = ("month", "priority", "orders")
 QUERIES: dict = dict(policy_queries.QUERIES)
@@ -463,6 +463,15 @@ def order_by_sql(spark, sf_dir):
     return found
 
 
+@query
+def frames_roundtrip(spark, sf_dir):
+    """The entries of the monthly patterns, written as binary files, one for each, and read back."""
+    frames.register_frames(spark)
+    path = f"{shared(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
+    pattern.pack(*_family(spark, sf_dir)).write.format("frames").mode("append").save(path)
+    return pattern.unpack(spark.read.format("frames").load(path).where("fault IS NULL"))
+
+
 @query
 def jsonl_scan_rejects(spark, sf_dir):
     """Monthly patterns written as JSON lines and read back, with lines that are none among them."""

@@ -222,6 +222,7 @@ ORACLES = {
     "vertex_index": f"WITH {ALL} SELECT mid, kind, key, id FROM v",
     "csc_build": f"WITH {ONE} SELECT v.mid, v.id AS col, CAST(sum(count(e.b)) OVER (PARTITION BY v.mid ORDER BY v.id) AS BIGINT) AS col_end, coalesce(string_agg(CAST(e.b AS VARCHAR), ',' ORDER BY e.b), '') AS rows FROM v LEFT JOIN e ON e.mid = v.mid AND e.a = v.id GROUP BY v.mid, v.id",
     "csc_roundtrip": f"WITH {ONE} SELECT mid, a, b FROM e",
+    "frames_roundtrip": f"WITH {ONE} SELECT mid, a, b FROM e",
     "csc_column": f"WITH {ONE} SELECT e.mid, e.b AS row FROM e JOIN m ON m.mid = e.mid AND e.a = m.n - 1",
     "upper_triangle": f"WITH {ONE} SELECT mid, a, b FROM e WHERE a < b",
     "degree_hist": f"WITH {ALL} SELECT mid, degree, count(*) AS vertices FROM deg GROUP BY ALL",
