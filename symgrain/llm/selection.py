@@ -1,4 +1,9 @@
-"""Takes decided documents out of a table."""
+"""Takes decided documents out of a table.
+
+Defined results: rows without an id stay, as nothing can name them; texts, null, empty or very
+long, are passed through unread; empty tables on either side drop nothing or give no rows; all
+columns of the documents stay, under their names.
+"""
 
 from __future__ import annotations
 

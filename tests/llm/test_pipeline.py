@@ -58,3 +58,12 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_no_documents(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    none.write.mode("overwrite").parquet(f"{tmp_path}/empty/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
