@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as
 Parquet and read again as the next one's docs.
+
+Defined results: null texts count as empty; the classifier and decontamination keep a document
+without words, and all such documents are near-duplicates of each other; texts are read whole;
+a row without an id goes through all stages, as decisions go by id; rows that share an id share
+decisions, and one of them stays where near-duplicates are dropped; of equal documents that with the
+smallest id stays; an empty table gives empty results; further columns stay until the last stage.
 """
 
 from __future__ import annotations
