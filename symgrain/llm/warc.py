@@ -6,7 +6,7 @@ WARC-Concurrent-To, by which reading joins them to one nested row per capture.
 
 Records are built as text columns and written by Spark's own text writer with CRLF CRLF, a
 record's end, as the line separator: writes are committed like any other table's, and go to
-any file system. Each task starts a new archive when the last one holds ``archive_bytes`` of
+any file system. Files are gzipped unless asked otherwise. Each task starts a new archive when the last one holds ``archive_bytes`` of
 payload, so a file is that large at most, but for one last payload. Reading parses whole files,
 by Content-Length.
 
@@ -75,7 +75,7 @@ def _in_volumes(captures: DataFrame, archive_bytes: int) -> DataFrame:
     return captures.mapInArrow(run, "digest string, page_id long, url string, html string, place long, size int, first long, first_place long, volume int")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "none", archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes the captures (page_id, url, html) as WARC files."""
     html = F.coalesce("html", F.lit(""))
     captures = as_stored(pages, "warc-pages").select(F.col("page_id").cast("long"), "url", html.alias("html"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))

@@ -51,7 +51,7 @@ def test_archives_stay_small_and_input_need_not_be_files(spark, tmp_path, monkey
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         pages = spark.range(0, 600, 1, 16).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('text ', id % 200, ' '), 30) AS html", "rand() AS other").repartition(16)
-        warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=8000)
+        warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=8000, compression="none")
         got = warc.captures(spark, str(tmp_path / "w")).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
