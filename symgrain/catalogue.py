@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symgrain.functions import orderings
 from symgrain.functions import symbolic as kernels
-from symgrain.operators import blocks, pattern, policy, scoring, sinks, sweeps, symbolic, udtf, validate, walks
+from symgrain.operators import blocks, pattern, pivots, policy, scoring, sinks, sweeps, symbolic, udtf, validate, walks
 from symgrain.operators.checkpoints import cut, shared, stored
 from symgrain import policy_queries
 from symgrain.oracles import BAD_LINES, ROUNDING
@@ -410,6 +410,19 @@ def cuthill_mckee(spark, sf_dir):
     return sweeps.cuthill_mckee(*_stored_family(spark, sf_dir, ("year",)))
 
 
+@query
+def minimum_degree(spark, sf_dir):
+    """Every vertex's place in the yearly patterns, many pivots a round."""
+    return pivots.minimum_degree(*_stored_family(spark, sf_dir, ("year",)))
+
+
+@query
+def score_minimum_degree(spark, sf_dir):
+    """What that order costs, component by component."""
+    edges, vertices = _stored_family(spark, sf_dir, ("year",))
+    return blocks.scores_by_blocks(edges, blocks.by_components(edges, vertices, pivots.minimum_degree(edges, vertices)))
+
+
 def _stored_family(spark, sf_dir, families):
     return tuple(stored(x, "family") for x in _family(spark, sf_dir, families))
 

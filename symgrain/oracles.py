@@ -217,6 +217,29 @@ def dissection(rounds: int, leaf: int = 200) -> str:
     return ",\n".join(out)
 
 
+def pivoted(rounds: int, slack: int = 25) -> str:
+    """CTE md (mid, k, v) of the family: so many rounds of minimum degree by independent pivots, on each round's whole neighbourhoods; patterns that need more are missing."""
+    out, steps = ["a0 AS MATERIALIZED (SELECT DISTINCT mid, id AS v FROM v), l0 AS MATERIALIZED (SELECT DISTINCT mid, a, b FROM e WHERE a <> b), x0 AS MATERIALIZED (SELECT mid, a AS e, b AS v FROM e WHERE false)"], []
+    for r in range(rounds):
+        out += [
+            f"k{r} AS MATERIALIZED (SELECT t.mid, t.v, coalesce(links, 0) AS links, CASE WHEN links IS NULL AND coalesce(lies, 0) <= 1 THEN coalesce(e, t.v) END AS goes FROM a{r} t LEFT JOIN (SELECT mid, a AS v, count(*) AS links FROM l{r} GROUP BY ALL) USING (mid, v) LEFT JOIN (SELECT mid, v, count(*) AS lies, min(e) AS e FROM x{r} GROUP BY ALL) USING (mid, v))",
+            f"o{r} AS MATERIALIZED (SELECT x.mid, x.e, x.v, count(*) OVER (PARTITION BY x.mid, x.e) - 1 AS others FROM x{r} x JOIN k{r} k ON k.mid = x.mid AND k.v = x.v WHERE goes IS NULL)",
+            f"b{r} AS (SELECT k.mid, k.v, CAST(any_value(links) + coalesce(sum(others), 0) AS BIGINT) AS whole FROM k{r} k LEFT JOIN o{r} o ON o.mid = k.mid AND o.v = k.v WHERE goes IS NULL GROUP BY k.mid, k.v)",
+            f"j{r} AS MATERIALIZED (SELECT mid, v, least(whole, rest) AS bound, least(least_, rest) AS least_, rest, (v * 2654435761 + {r * 1640531527 % _LARGE}) % {_LARGE} AS drawn FROM (SELECT *, count(*) OVER (PARTITION BY mid) - 1 AS rest, min(whole) OVER (PARTITION BY mid) AS least_ FROM b{r}))",
+            f"t{r} AS MATERIALIZED (SELECT * FROM j{r} WHERE 2 * least_ < rest), q{r} AS MATERIALIZED (SELECT * FROM t{r} WHERE 100 * bound <= {100 + slack} * least_)",
+            f"y{r} AS MATERIALIZED (SELECT x.mid, x.e, x.v FROM x{r} x JOIN t{r} t ON t.mid = x.mid AND t.v = x.v)",
+            f"n{r} AS MATERIALIZED (SELECT mid, a, b FROM l{r} WHERE mid IN (SELECT mid FROM t{r}) UNION SELECT x.mid, x.v, y.v FROM y{r} x JOIN y{r} y ON y.mid = x.mid AND y.e = x.e WHERE x.v <> y.v)",
+            f"g{r} AS MATERIALIZED (SELECT mid, v FROM q{r} EXCEPT SELECT n.mid, n.a FROM n{r} n JOIN q{r} s ON s.mid = n.mid AND s.v = n.a JOIN q{r} u ON u.mid = n.mid AND u.v = n.b WHERE u.bound < s.bound OR u.bound = s.bound AND (u.drawn < s.drawn OR u.drawn = s.drawn AND u.v < s.v))",
+            f"f{r} AS MATERIALIZED (SELECT n.mid, n.a AS e, n.b AS v, count(*) OVER (PARTITION BY n.mid, n.a) AS size FROM n{r} n JOIN g{r} g ON g.mid = n.mid AND g.v = n.a)",
+            f"x{r + 1} AS MATERIALIZED (SELECT mid, e, v FROM y{r} WHERE (mid, e) NOT IN (SELECT y.mid, y.e FROM y{r} y JOIN g{r} g ON g.mid = y.mid AND g.v = y.v) UNION ALL SELECT mid, e, v FROM f{r} WHERE size > 2)",
+            f"l{r + 1} AS MATERIALIZED (SELECT mid, a, b FROM l{r} WHERE mid IN (SELECT mid FROM t{r}) AND (mid, a) NOT IN (SELECT mid, v FROM g{r}) AND (mid, b) NOT IN (SELECT mid, v FROM g{r}) UNION SELECT x.mid, x.v, y.v FROM f{r} x JOIN f{r} y ON y.mid = x.mid AND y.e = x.e WHERE x.size = 2 AND x.v <> y.v EXCEPT SELECT x.mid, x.v, y.v FROM f{r} x JOIN f{r} y ON y.mid = x.mid AND y.e = x.e WHERE x.size > 2)",
+            f"a{r + 1} AS MATERIALIZED (SELECT mid, v FROM t{r} EXCEPT SELECT mid, v FROM g{r})",
+        ]
+        steps += [f"SELECT mid, {3 * r} AS step, goes AS block, CAST(0 AS BIGINT) AS rank, v FROM k{r} WHERE goes IS NOT NULL", f"SELECT mid, {3 * r + 1}, 0, bound, v FROM j{r} WHERE 2 * least_ >= rest", f"SELECT mid, {3 * r + 2}, v, 0, v FROM g{r}"]
+    out.append(f"md AS MATERIALIZED (SELECT mid, row_number() OVER (PARTITION BY mid ORDER BY step, block, rank, v) - 1 AS k, v FROM ({' UNION ALL '.join(steps)}))")
+    return ",\n".join(out)
+
+
 ORACLES = {
     "edges_symmetrize": f"WITH {ONE} SELECT mid, a, b FROM e",
     "vertex_index": f"WITH {ALL} SELECT mid, kind, key, id FROM v",
@@ -277,6 +300,8 @@ ORACLES = {
     "nested_dissection": f"WITH RECURSIVE {family(YEAR)}, {dissection(12)} SELECT mid, 'nested dissection' AS candidate, k, v FROM nd",
     "score_components": f"WITH RECURSIVE {ALL}, {DEGREE}, {MOVED}, {closure('c', 'd')}, {scored('s', 'c')} SELECT mid, n, nnz_l, flops FROM s",
     "columns_dissected": f"WITH RECURSIVE {family(BRAND)}, {dissection(6, 100)}, d AS MATERIALIZED (SELECT e.mid, x.k AS a, y.k AS b FROM e JOIN nd x ON x.mid = e.mid AND x.v = e.a JOIN nd y ON y.mid = e.mid AND y.v = e.b), {closure('c', 'd')} SELECT mid, j, coalesce(parent, -1) AS parent, c FROM c",
+    "minimum_degree": f"WITH {family(YEAR)}, {pivoted(12)} SELECT mid, 'independent pivots' AS candidate, k, v FROM md",
+    "score_minimum_degree": f"WITH RECURSIVE {family(YEAR)}, {pivoted(12)}, d AS MATERIALIZED (SELECT e.mid, x.k AS a, y.k AS b FROM e JOIN md x ON x.mid = e.mid AND x.v = e.a JOIN md y ON y.mid = e.mid AND y.v = e.b), {closure('c', 'd')}, {scored('s', 'c')} SELECT mid, n, nnz_l, flops FROM s",
     "order_nd": f"WITH RECURSIVE {family(YEAR)}, {dissection(12)} SELECT mid, 'nested dissection' AS candidate, k, v FROM nd",
     "order_rcm": f"WITH RECURSIVE {ONE}, {rcm()} SELECT mid, 'rcm' AS candidate, k, v FROM rcm",
     "order_by_sql": f"WITH RECURSIVE {ONE}, {rcm()} SELECT mid, k, v FROM rcm",
