@@ -2,10 +2,13 @@ import json
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from symgrain.functions.graph import Graph
 from symgrain.functions.lexing import strip_comments
+from symgrain.functions.symbolic import column_counts, elimination_tree
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
 from symgrain.operators.numbering import numbered_by
 from symgrain.plans import bestof
@@ -264,3 +267,31 @@ def test_vendored_trees(spark):
     files = spark.createDataFrame([(c, p, t) for c, each in crates.items() for p, t in each], "crate string, path string, text string")
     got = dict(rows(policy.vendored_faults(files)))
     assert got == {"foo-sys-1.0.0-alpha.1": "wraps a native library", "a-1.0.0": "builds with cc", "b-1.0.0": "builds with cmake", "c-1.0.0": "builds with bindgen", "e-1.0.0": "ships lib/x.so", "f-1.0.0": "builds with cc", "g-1.0.0": "builds with cc"}
+
+
+def test_components_are_joined_up_across_chunks(spark):
+    """Patterns of more links than a chunk: a long path in mixed order, a star, pairs."""
+    number = np.random.default_rng(5).permutation(60)
+    links = {"path": list(zip(number[:-1], number[1:])), "star": [(7, v) for v in range(60) if v != 7], "pairs": [(2 * k, 2 * k + 1) for k in range(30)]}
+    half = spark.createDataFrame([(m, int(min(e)), int(max(e))) for m, each in links.items() for e in each], "mid string, a long, b long")
+    want = {"path": lambda v: 0, "star": lambda v: 0, "pairs": lambda v: v // 2 * 2}
+    for chunk in (10, 10_000):
+        got = walks.linked_components(half, chunk=chunk).collect()
+        assert sorted((r["mid"], r["v"], r["component"]) for r in got) == sorted((m, v, f(v)) for m, f in want.items() for v in range(60))
+
+
+def test_no_row_for_the_kernel_holds_a_pattern_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(symbolic, "LINKS_AT_ONCE", 20)
+    rng = np.random.default_rng(6)
+    links = {(10 * k + int(min(e)), 10 * k + int(max(e))) for k in range(40) for e in rng.integers(0, 10, (14, 2)) if e[0] != e[1]}
+    edges = spark.createDataFrame([("p", a, b) for a, b in links | {(b, a) for a, b in links}], "mid string, a long, b long")
+    vertices = spark.createDataFrame([("p", v) for v in range(400)], "mid string, id long")
+    orders = symbolic.natural_order(vertices).unionByName(symbolic.reverse_order(vertices))
+    assert max(len(r["order"]) for r in symbolic._groups(edges, orders).collect()) < 200
+    for candidate, name in (("natural", lambda v: v), ("reverse", lambda v: 399 - v)):
+        graph = Graph.edges(400, [name(a) for a, _ in links], [name(b) for _, b in links])
+        parent, counts = elimination_tree(graph), column_counts(graph)
+        got = symbolic.columns(edges, orders.where(F.col("candidate") == candidate)).collect()
+        assert sorted((r["j"], -1 if r["parent"] is None else r["parent"], r["c"]) for r in got) == list(zip(range(400), parent, counts))
+        row = symbolic.scores(edges, orders).where(F.col("candidate") == candidate).first()
+        assert tuple(row)[2:] == (400, sum(counts), sum(c * c for c in counts))
