@@ -295,3 +295,12 @@ def test_no_row_for_the_kernel_holds_a_pattern_of_many_components(spark, monkeyp
         assert sorted((r["j"], -1 if r["parent"] is None else r["parent"], r["c"]) for r in got) == list(zip(range(400), parent, counts))
         row = symbolic.scores(edges, orders).where(F.col("candidate") == candidate).first()
         assert tuple(row)[2:] == (400, sum(counts), sum(c * c for c in counts))
+
+
+def test_levels_compute_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    marked = F.udf(lambda a: seen.add(1) or a, "long")
+    path = edges(spark, [(a, b) for k in range(5) for a, b in ((k, k + 1), (k + 1, k))]).withColumn("a", marked("a"))
+    got = walks.levels(path, spark.createDataFrame([("m", 0)], "mid string, v long")).collect()
+    assert sorted((r["v"], r["level"]) for r in got) == [(k, k) for k in range(6)]
+    assert seen.value == 10
