@@ -5,7 +5,8 @@ copies and equal fingerprints collapse to one node first. Fingerprints that can
 radius share a bucket; each bucket's fingerprints form a BK-tree (a child hangs on its parent
 by their Hamming distance), and a search follows only edges within the radius of the distance
 just measured. The trees of many buckets are built and searched together, level by level, in
-numpy. A task returns one link per member and bucket, from which components are joined.
+numpy. A task links the members of each component of a bucket to its least node, and components are joined
+from the distinct links. Wide fingerprints take two rounds: the second gives links only of what the first did not join.
 
 Two ways to bucket:
 
@@ -49,6 +50,8 @@ TASKS = 64
 SLACK, SURE, SURE_SHINGLES, MISS = 4.0, 5.0, 64, 0.0025
 #: Members of a bucket that chance alone may bring together, and the fewest bits of a band.
 OCCUPANCY, BAND_BITS = 64, 14
+#: Bands that are searched before the others.
+FIRST_BANDS = 8
 #: Members and bytes of a block of shingle sets; a cell holds two blocks.
 SET_CAP, SET_BYTES = 2048, 16 << 20
 _LANES = np.uint64(0x0101010101010101)
@@ -179,21 +182,63 @@ def _cuts(sizes: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip([0, *at], [*at, len(sizes)], strict=True)]
 
 
-def _links(dealt: DataFrame, radius: int, words: int) -> DataFrame:
-    """(a, b, away, fewest) links of nodes that join what lies within the radius; dealt: cell, node long, print binary, shingles int; fewest: the lesser of both nodes' shingles."""
+def stars(labels: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Of each place the least node of its component; labels: the first place of it."""
+    least = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, nodes)
+    return least[labels]
+
+
+def _links(dealt: DataFrame, radius: int, words: int, sure: int | None = None) -> DataFrame:
+    """(a, b, stands) links of nodes that join what lies within the radius; dealt: cell, node long, print binary, shingles int, strong long, loose long.
+
+    strong and loose name what a node is joined to already, by links that stand and by any: the
+    least node of each. What links of up to ``sure`` bits between nodes of SURE_SHINGLES or more join
+    (all links, if none is named) is linked by links that stand, strong to the least strong; what
+    only others join, by links that do not stand, loose to the least loose. What is joined already
+    gives no link.
+    """
 
     @trimmed
     def run(batches):
         def handle(cells, rows):
-            nodes = rows.column("node").to_numpy()
+            nodes, strong, loose = (rows.column(c).to_numpy() for c in ("node", "strong", "loose"))
             prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), "<u8").reshape(-1, words)
-            _, a, b, away = bk_links(prints, starts_of(cells), radius)
-            sizes = rows.column("shingles").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(away), pa.array(np.minimum(sizes[a], sizes[b]))], ["a", "b", "away", "fewest"])
+            starts = starts_of(cells)
+            labels, a, b, away = bk_links(prints, starts, radius)
+            places, stands = np.arange(len(nodes)), np.ones(len(a), bool)
+            if sure is not None:
+                sizes = rows.column("shingles").to_numpy()
+                stands = (away <= sure) & (np.minimum(sizes[a], sizes[b]) >= SURE_SHINGLES)
+            near = least_linked(places, *_together(starts, strong))
+            near = least_linked(near, a[stands], b[stands])
+            half = least_linked(near.copy(), *_together(starts, loose))
+            whole = least_linked(half.copy(), a, b)
+            ends = np.unique(np.stack([strong, stars(near, strong)]), axis=1), np.unique(np.stack([stars(half, loose), stars(whole, loose)]), axis=1)
+            ends = [x[:, x[0] != x[1]] for x in ends]
+            low, high = np.concatenate(ends, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.arange(len(low)) < ends[0].shape[1])], ["a", "b", "stands"])
 
         yield from by_cells(batches, handle, rows=60_000 // words)
 
-    return dealt.select("cell", "node", "print", "shingles").mapInArrow(run, "a long, b long, away long, fewest int")
+    return dealt.select("cell", "node", "print", "shingles", "strong", "loose").mapInArrow(run, "a long, b long, stands boolean").distinct()
+
+
+def _together(starts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (place, place) of what has one name within a cell; starts: the first place of each place's cell."""
+    order = np.lexsort((names, starts))
+    same = (starts[order][1:] == starts[order][:-1]) & (names[order][1:] == names[order][:-1])
+    return order[:-1][same], order[1:][same]
+
+
+def _joined(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with the least node that links (a, b, stands) join each to: ``strong`` by those that stand, ``loose`` by any. One run finds both, of doubled numbers, odd for those that stand."""
+    twice = lambda rows, odd: rows.select(*[(F.col(c) * 2 + odd).alias(c) for c in ("a", "b")])
+    ends = connected_components(twice(found, 0).unionByName(twice(found.where("stands"), 1)))
+    for name, odd in (("loose", 0), ("strong", 1)):
+        part = ends.where(F.col("node").bitwiseAND(F.lit(1)) == odd).select(F.shiftright("node", 1).alias("node"), F.shiftright("component", 1).alias(name))
+        nodes = nodes.join(part, "node", "left").withColumn(name, F.coalesce(name, "node"))
+    return nodes
 
 
 def _exact_keys(node: Column) -> Column:
@@ -224,8 +269,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, cap:
     rows = materialize(prints.select("doc_id", _signed(F.hex("print")).alias("node")), "simhash-prints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     keyed = nodes.select("node", F.explode(_exact_keys(F.col("node"))).alias("key"))
-    dealt = deal(keyed, cap).select("cell", "node", _bytes_of("node").alias("print"), F.lit(0).alias("shingles"))
-    components = connected_components(_links(dealt, radius, 1))
+    dealt = deal(keyed, cap).select("cell", "node", _bytes_of("node").alias("print"), F.lit(0).alias("shingles"), F.col("node").alias("strong"), F.col("node").alias("loose"))
+    components = connected_components(_links(dealt, radius, 1).select("a", "b"))
     named = nodes.join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
@@ -324,6 +369,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, shingle: in
     return dealt.select("cell", "node", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _band_links(known: DataFrame, keys: Column, radius: int, words: int, sure: int, cap: int) -> DataFrame:
+    """_links of these keys; known: nodes with strong and loose."""
+    keyed = known.select("node", "print", "shingles", "strong", "loose", F.explode(keys).alias("key"))
+    return materialize(_links(deal(keyed, cap, tasks=TASKS), radius, words, sure), "simhash-found")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(doc_id, component_id): documents linked by sets of distinct shingles with that Jaccard similarity.
 
@@ -345,13 +396,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.any_value("shingles").alias("shingles"), F.any_value("print").alias("print")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(_banded(classes, words, *band_plan(rows.count(), agree), seed), "simhash-nodes")
 
-    keyed = nodes.select("node", "print", "shingles", F.explode("keys").alias("key"))
-    found = _links(deal(keyed, cap, tasks=TASKS), radius, words)
-    found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "away", "fewest").distinct(), "simhash-found")
-    stands = (F.col("away") <= sure) & (F.col("fewest") >= SURE_SHINGLES)
-    grouped = connected_components(found.select("a", "b")).withColumnRenamed("component", "group")
-    unsure = materialize(found.where(~stands).select(F.col("a").alias("node")).distinct().join(grouped, "node").select("group").distinct(), "simhash-unsure")
-    links = found.where(stands).select("a", "b").unionByName(_verified(docs, nodes, grouped.join(unsure, "group"), shingle, similarity))
+    # The first bands join the large groups; the others need links only for what these left apart.
+    known = nodes.withColumns({"strong": F.col("node"), "loose": F.col("node")})
+    first = _band_links(known, F.slice("keys", 1, FIRST_BANDS), radius, words, sure, cap)
+    known = _joined(nodes, first)
+    second = _band_links(known, F.slice("keys", FIRST_BANDS + 1, 1 << 20), radius, words, sure, cap)
+    star = lambda name, stands: known.where(F.col("node") != F.col(name)).select(F.col("node").alias("a"), F.col(name).alias("b"), F.lit(stands).alias("stands"))
+    grouped = _joined(nodes, second.unionByName(star("strong", True)).unionByName(star("loose", False))).select("node", "strong", F.col("loose").alias("group"))
+    grouped = materialize(grouped, "simhash-groups")
+    unsure = materialize(first.unionByName(second).where("NOT stands").select(F.col("a").alias("node")).distinct().join(grouped, "node").select("group").distinct(), "simhash-unsure")
+    stand = grouped.where("node <> strong").select(F.col("node").alias("a"), F.col("strong").alias("b"))
+    links = stand.unionByName(_verified(docs, nodes, grouped.select("node", "group").join(unsure, "group"), shingle, similarity))
     components = connected_components(materialize(links, "simhash-links"))
     named = nodes.select("node", "least").join(components, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

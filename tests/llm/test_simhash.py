@@ -162,3 +162,18 @@ def test_true_links_equal_brute_force():
         links = [(a, b) for a in range(40) for b in range(a) if starts[a] == starts[b] and plain[a] and plain[b] and jaccard(plain[a], plain[b]) >= 0.6]
         a, b = s.true_links(sets, starts, 0.6)
         assert components(range(40), links) == components(range(40), list(zip(a.tolist(), b.tolist())))
+
+
+def test_a_group_of_near_copies_gives_few_links(spark, monkeypatch):
+    rng, made = random.Random(6), []
+    base, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(200):
+        w = list(base)
+        for at in rng.sample(range(300), 2):
+            w[at] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    plain = s.materialize
+    monkeypatch.setattr(s, "materialize", lambda df, name: (lambda out: made.append((name, out.count())) or out)(plain(df, name)))
+    got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(n for name, n in made if name == "simhash-found") <= 6 * 200  # and not one for each band that a text shares
