@@ -77,3 +77,47 @@ def test_overdrawn_budget_fills_what_is_left(spark, monkeypatch):
     monkeypatch.setattr(sweeps, "BUDGET", (1, 0))
     found = orders(sweeps.nested_dissection(*tables(spark, some), leaf=2))["dust"]
     assert is_order(found, 60)
+
+
+@pytest.mark.parametrize("within, budget", [(12, (64, 4096)), (10**6, (3, 0))])
+def test_parts_taken_whole_give_the_same_places(spark, monkeypatch, within, budget):
+    some = {"mesh": mesh(5), "dust": (20, [(i, i + 1) for i in range(0, 20, 2)]), "random": graphs()["random 2"]}
+    monkeypatch.setattr(sweeps, "BUDGET", budget)
+    edges, vertices = tables(spark, some)
+    found = orders(sweeps.nested_dissection(edges, vertices, leaf=2, within=within))
+    assert found == _round_by_round(some, 2, budget)
+    if budget[1]:
+        assert orders(sweeps.cuthill_mckee(edges, vertices, within=within)) == {mid: orderings.reverse_cuthill_mckee(graph(*g)) for mid, g in some.items()}
+
+
+def _round_by_round(some, leaf, budget):
+    out = {}
+    for mid, g in some.items():
+        whole, placed, left = graph(*g), [], budget[0] * g[0] + budget[1]
+        parts = [(0, list(range(g[0])))]
+        while parts:
+            following, able = [], left >= 0
+            for first, part in parts:
+                if len(part) <= leaf or not able:
+                    placed += [(first, whole.degree[v], v) for v in part]
+                    continue
+                left -= len(part)
+                levels = whole.walk(orderings._outer_seed(whole, part, set(part)), set(part).__contains__)
+                half = (sum(map(len, levels)) + 1) // 2
+                median = next(k for k in range(len(levels)) if sum(map(len, levels[: k + 1])) >= half)
+                below = [v for level in levels[:median] for v in level]
+                above = [v for v in part if v not in {*below, *levels[median]}]
+                if not below and not above:
+                    placed += [(first, whole.degree[v], v) for v in part]
+                else:
+                    placed += [(first + len(part) - len(levels[median]), 0, v) for v in levels[median]]
+                following += [(at, p) for at, p in ((first, sorted(below)), (first + len(below), above)) if p]
+            parts = following
+        out[mid] = [v for *_, v in sorted(placed)]
+    return out
+
+
+def test_a_part_that_fits_a_task_takes_one_round(spark):
+    some = {"dust": (60, [(i, i + 1) for i in range(0, 60, 2)])}  # one component a round by tables
+    placed = sweeps.dissected(*tables(spark, some), leaf=2, within=1000)
+    assert placed.selectExpr("max(depth) AS d").first()["d"] == 0
