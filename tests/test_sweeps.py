@@ -121,3 +121,15 @@ def test_a_part_that_fits_a_task_takes_one_round(spark):
     some = {"dust": (60, [(i, i + 1) for i in range(0, 60, 2)])}  # one component a round by tables
     placed = sweeps.dissected(*tables(spark, some), leaf=2, within=1000)
     assert placed.selectExpr("max(depth) AS d").first()["d"] == 0
+
+
+def test_orders_and_component_scores_hold_no_pattern_in_a_row(spark, monkeypatch):
+    from symgrain import catalogue
+
+    def never(*_):
+        raise AssertionError("a whole pattern, or a group for each component")
+
+    monkeypatch.setattr(catalogue.pattern, "pack", never)
+    monkeypatch.setattr(catalogue.blocks, "columns_by_blocks", never)
+    for name in ("order_nd", "order_rcm", "score_components"):
+        assert not catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
