@@ -114,3 +114,25 @@ def test_rules_for_ties():
     assert orderings.by_degree(path(4)) == [0, 3, 1, 2]
     assert orderings.reverse_cuthill_mckee(of(5, [(0, 1), (2, 3)])) == [4, 2, 3, 0, 1]
     assert orderings.reverse_cuthill_mckee(of(3, [])) == [2, 1, 0]
+
+
+def test_leaves_go_first_and_add_nothing():
+    tree = of(200, [(v, random.Random(v).randrange(v)) for v in range(1, 200)])
+    for make in (lambda g: orderings.grown_dissection(g, 20), multilevel.multilevel_dissection, orderings.minimum_fill):
+        assert score(path(100), make(path(100))) == (199, 397)
+        assert score(tree, make(tree))[0] == 399
+    assert orderings.leaves_first(of(6, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4)])) == ([5, 4, 3], [0, 1, 2])
+
+
+def test_components_are_ordered_by_themselves():
+    two = of(800, [(2 * a, 2 * b) for a, row in enumerate(mesh(20).neighbours) for b in row] + [(2 * a + 1, 2 * b + 1) for a, row in enumerate(mesh(20).neighbours) for b in row])
+    one = orderings.grown_dissection(mesh(20))
+    assert orderings.by_components(two, orderings.grown_dissection) == [2 * v for v in one] + [2 * v + 1 for v in one]
+    assert two.components() == [list(range(0, 800, 2)), list(range(1, 800, 2))]
+
+
+def test_minimum_fill_of_larger_cores_goes_by_sets(monkeypatch):
+    g = chance(60, 150, 8)
+    by_bits = orderings.minimum_fill(g)
+    monkeypatch.setattr(orderings, "BITS", 0)
+    assert orderings.minimum_fill(g) == by_bits == naive_fill(g)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from symgrain.functions.graph import Graph
 from symgrain.functions.lexing import strip_comments
 from symgrain.functions.symbolic import column_counts, elimination_tree
+from symgrain.catalogue import order_report
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
 from symgrain.operators.numbering import numbered_by
 from symgrain.plans import bestof
@@ -304,3 +305,18 @@ def test_levels_compute_their_edges_once(spark):
     got = walks.levels(path, spark.createDataFrame([("m", 0)], "mid string, v long")).collect()
     assert sorted((r["v"], r["level"]) for r in got) == [(k, k) for k in range(6)]
     assert seen.value == 10
+
+
+def test_candidates_by_parts(spark):
+    """Four components and two vertices without links, a part each or more together: the figures of whole patterns."""
+    edges = [(m, 4 * i + a, 4 * i + b) for m in "xy" for i in range(4) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))]
+    both = pattern.symmetrize(spark.createDataFrame(edges, "mid string, a long, b long"))
+    v = spark.range(18).crossJoin(spark.createDataFrame([("x",), ("y",)], "mid string")).select("mid", "id")
+    own = {40: ("own", lambda g: list(range(g.n))[::-1]), 41: ("broken", lambda g: [0] * g.n if g.n > 1 else [0])}
+    asked = spark.createDataFrame([(m, i, n) for m in "xy" for i, n in ((1, "amd"), (21, "grown dissection"), (40, "own"), (41, "broken"))], "mid string, cand_idx long, candidate string")
+    whole = rows(bestof.candidate_scores(pattern.pack(both, v), asked, own=own))
+    for at_once in (1, 4, 1000):
+        parts = symbolic.parts(both, v, at_once)
+        assert at_once == 1000 or parts.count() > 4
+        assert rows(bestof.part_scores(parts, asked, own)) == whole
+        assert [(r["mid"], r["n"], r["whole"], r["repeats"], r["counts_agree"], r["nnz_l"], r["natural_flops"]) for r in order_report(parts, 21).orderBy("mid").collect()] == [(m, 18, True, True, True, 38, 94) for m in "xy"]
