@@ -5,7 +5,8 @@ from pyspark.errors import PythonException
 
 from symgrain.functions import orderings
 from symgrain.functions.symbolic import column_counts, elimination_tree, reordered
-from symgrain.operators import blocks, sweeps, udtf
+from symgrain.operators import blocks, sweeps, symbolic, udtf
+from symgrain.operators.numbering import numbered_by
 from tests.test_sweeps import graph, graphs, loaded, orders, tables  # noqa: F401
 
 
@@ -58,3 +59,16 @@ def test_order_functions(spark):
     udtf.register_order(spark, "no_order", lambda g: [0] * g.n)
     with pytest.raises(PythonException, match="not an order"):
         spark.sql("SELECT * FROM no_order(TABLE(entries_of_some) PARTITION BY mid)").collect()
+
+
+def test_orders_of_parts(spark):
+    """Reverse Cuthill-McKee component by component gives the places of whole patterns."""
+    some = graphs()
+    udtf.register_part_order(spark, "rcm_of_parts", orderings.reverse_cuthill_mckee)
+    for at_once in (1, 1000):
+        parts = symbolic.parts(*tables(spark, some), at_once)
+        found = spark.sql("SELECT mid, -component AS place, posexplode(vs) AS (at, v) FROM rcm_of_parts(TABLE({parts}) PARTITION BY (mid, part))", parts=parts)
+        assert orders(numbered_by(found, "mid", ["place", "at"], "k")) == {mid: orderings.reverse_cuthill_mckee(graph(*g)) for mid, g in some.items() if g[0]}
+    udtf.register_part_order(spark, "no_part_order", lambda g: [0] * (g.n + 1))
+    with pytest.raises(PythonException, match="not an order"):
+        spark.sql("SELECT * FROM no_part_order(TABLE({parts}) PARTITION BY (mid, part))", parts=parts).collect()

@@ -3,6 +3,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from symgrain.catalogue import order_report
 from symgrain.operators import pattern, policy, scoring, sinks, symbolic, validate, walks
 from symgrain.operators.numbering import numbered_by
 from symgrain.plans import bestof
-from symgrain.sources import binary, generators, jsonl
+from symgrain.sources import binary, generators, jsonl, tables
 
 LINE = '{"n":4,"nnz":12,"indptr":[0,3,6,8,12],"indices":[0,1,3,0,1,3,2,3,0,1,2,3],"hash":"x","source":"st"}'
 
@@ -320,3 +321,18 @@ def test_candidates_by_parts(spark):
         assert at_once == 1000 or parts.count() > 4
         assert rows(bestof.part_scores(parts, asked, own)) == whole
         assert [(r["mid"], r["n"], r["whole"], r["repeats"], r["counts_agree"], r["nnz_l"], r["natural_flops"]) for r in order_report(parts, 21).orderBy("mid").collect()] == [(m, 18, True, True, True, 38, 94) for m in "xy"]
+
+
+def test_degrees_counted_by_key(spark):
+    linked = spark.createDataFrame([("x", 5, 5), ("x", 5, 7), ("x", 6, 7), ("y", 9, 1)], "mid string, l long, r long")
+    found = tables.numbered_with_degrees(linked)
+    assert rows(found) == [("x", 0, 5, 2, 0), ("x", 0, 6, 1, 1), ("x", 1, 5, 1, 2), ("x", 1, 7, 2, 3), ("y", 0, 9, 1, 0), ("y", 1, 1, 1, 1)]
+    vertices = tables.numbered(linked)
+    assert rows(found.select("mid", F.col("id").alias("v"), "degree")) == rows(pattern.degrees(pattern.both_ways(tables.edge_list(linked, vertices)), vertices))
+
+
+def test_few_texts_are_strings_at_once():
+    """Batches of any size; before, a whole batch was a pandas series."""
+    texts = pa.array([None if k % 5 == 0 else f"a{k} // b" for k in range(policy.TEXTS_AT_ONCE * 2 + 1)])
+    assert policy._some_at_once(texts, str.upper).to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    assert policy._some_at_once(texts[:0], str.upper).to_pylist() == []
