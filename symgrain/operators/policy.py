@@ -5,7 +5,9 @@ Stripping comments needs a lexer and runs as an Arrow function; all else is regu
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ WORDS = (("extern", "foreign functions"), ("no_mangle", "no_mangle"), ("proc_mac
 MACROS = ("asm", "global_asm", "naked_asm", "llvm_asm")
 BUILD_TOOLS = ("cc", "gcc", "clang", "cmake", "bindgen", "nasm")
 NATIVE_ENDINGS = ("a", "so", "dylib", "dll", "lib", "o", "obj")
+#: Texts of a batch that are Python strings at once.
+TEXTS_AT_ONCE = 64
 _EDGE = "[^A-Za-z0-9_]"
 
 
@@ -25,10 +29,16 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+def _some_at_once(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """Each text changed, nulls kept; only ``TEXTS_AT_ONCE`` are Python strings at any time."""
+    some = [pa.array([None if t is None else change(t) for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), TEXTS_AT_ONCE)]
+    return pa.concat_arrays(some) if some else pa.array([], pa.string())
+
+
 def stripped(text: Column, blank_strings: bool) -> Column:
-    @F.pandas_udf("string")
-    def strip(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else strip_comments(t, blank_strings))
+    @F.arrow_udf("string")
+    def strip(texts: pa.Array) -> pa.Array:
+        return _some_at_once(texts, lambda t: strip_comments(t, blank_strings))
 
     return strip(text)
 
