@@ -30,9 +30,9 @@ from symgrain.llm.buckets import ranges
 from symgrain.llm.common import trimmed
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
-#: Pieces that a worker's memo may hold (some 60 bytes each), and of how many bytes; words and pairs that its dictionaries may, and texts encoded at a time.
+#: Pieces that a worker's memo may hold (some 60 bytes each), and of how many bytes; words and pairs that its dictionaries may, and texts, or bytes of them, encoded at a time.
 MEMO_PIECES, MEMO_BYTES, MEMO_WORDS, MEMO_PAIRS = 600_000, 24, 40_000, 150_000
-MEMO_CHARS, DOCS_AT_ONCE = 80, 1_000
+MEMO_CHARS, DOCS_AT_ONCE, BYTES_AT_ONCE = 80, 1_000, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Where this is not found, splitting at single spaces never cuts what ByteLevel keeps together.
 SPACE_AFTER_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -214,10 +214,10 @@ class BytePairCodec(PieceEncoder):
         for token, rank in self.rank_of.items():
             self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
-        self.size_of = {rank: len(token) for token, rank in self.rank_of.items()}
+        self.size_of = [len(token or b"") for token in self.bytes_of]
         # The longest token that each path of the trie starts with, and for each token the next shorter one.
         self.ending: dict[str, int | None] = {"": None}
-        self.shorter: dict[int, int | None] = {}
+        self.shorter: list[int | None] = [None] * len(self.bytes_of)
         for token, rank in sorted(self.rank_of.items()):
             for size in range(1, len(token) + 1):
                 if (path := token[:size]) not in self.ending:
@@ -236,7 +236,7 @@ class BytePairCodec(PieceEncoder):
 
     def _split_tokens(self, ranks: dict[bytes, int]) -> None:
         """For each token the two that merge into it (itself twice if none do), and the token that each such pair makes."""
-        self.left, self.right, self.merged = {}, {}, {}
+        self.left, self.right, self.merged = list(range(len(self.bytes_of))), list(range(len(self.bytes_of))), {}
         for token, rank in ranks.items():
             parts = [token[i : i + 1] for i in range(len(token))]
             while len(parts) > 2:
@@ -248,8 +248,6 @@ class BytePairCodec(PieceEncoder):
                 pair = ranks[parts[0]], ranks[parts[1]]
                 self.left[rank], self.right[rank] = pair
                 self.merged[pair] = rank
-            else:
-                self.left[rank] = self.right[rank] = rank
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the two tokens' bytes together gives these two tokens.
@@ -323,6 +321,12 @@ class BytePairCodec(PieceEncoder):
     def encode_one(self, text: str | None) -> list[int]:
         return self._whole([text or ""])[0].tolist()
 
+    def forget(self) -> None:
+        """Empties what remembers earlier texts."""
+        self.memo.clear()
+        for memo in (self.words, self.words.older, self.fits):
+            memo.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -333,18 +337,39 @@ def _rows(batches, limit: int = DOCS_AT_ONCE) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, limit)
 
 
+def _texts(batches) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts (the second column) have BYTES_AT_ONCE together, or one that has more, and DOCS_AT_ONCE at most."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES_AT_ONCE, "right"))
+            stop = min(max(stop, start + 1), start + DOCS_AT_ONCE)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch  # while the next one is read
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, ids array<int>, n_tokens long) of every row; other columns are left out, so their names cannot clash."""
+    """(id_col, ids array<int>, n_tokens long) of every row; other columns are left out, so their names cannot clash.
+
+    Workers wait in a pool that deals tasks to each in turn, so there may be more of them than tasks
+    at once: what a worker remembers goes with its task.
+    """
     path, pattern = path or public_tokenizers.path(TIKTOKEN_FILE), pattern or public_tokenizers.PATTERN
     kind = docs.schema[id_col].dataType.simpleString()
 
     @trimmed
     def run(batches):
         codec = BytePairCodec.of(path, pattern)
-        for batch in _rows(batches):
-            ids, sizes = codec.encode(batch.column(1))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(sizes)], [id_col, "ids", "n_tokens"])
+        try:
+            for batch in _texts(batches):
+                ids, sizes = codec.encode(batch.column(1))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(sizes)], [id_col, "ids", "n_tokens"])
+                del batch
+        finally:
+            codec.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long")
 

@@ -78,3 +78,27 @@ def test_query(spark):
     tokens = bpe.encode_documents(docs)
     assert {r["doc_id"]: r["bytes"].decode() for r in bpe.decode_documents(tokens).collect()}[3] == ""
     assert bpe.round_trip(docs.limit(0)).count() == 0
+
+
+def test_texts_go_by_bytes_and_a_task_leaves_no_memo(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 10)
+    monkeypatch.setattr(bpe, "DOCS_AT_ONCE", 3)
+    texts = ["a" * 25, "bb", None, "cc", "", "dd", "eeeee", "f" * 10, "g"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(bpe._texts([batch, batch.slice(0, 0), batch.slice(2, 3)]))
+    assert [p.column(0).to_pylist() for p in parts] == [[0], [1, 2, 3], [4, 5, 6], [7], [8], [2, 3, 4]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "some words some words"])], "doc_id long, text string").coalesce(1)
+    e = library()
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode_documents(docs).collect()} == {r["doc_id"]: e.encode_ordinary(r["text"] or "") for r in docs.collect()}
+
+    def left(batches):
+        codec = bpe.BytePairCodec.of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([codec.memo.entries + len(codec.words) + len(codec.words.older) + len(codec.fits)])], ["left"])
+
+    assert {r["left"] for r in docs.select("doc_id").mapInArrow(left, "left long").collect()} == {0}
+    codec = bpe.BytePairCodec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    before = [x.tolist() for x in codec.encode(pa.array(texts))]
+    assert codec.words
+    codec.forget()
+    assert not codec.words and not codec.memo.entries and [x.tolist() for x in codec.encode(pa.array(texts))] == before
