@@ -95,3 +95,38 @@ def test_context_tells_words_of_one_class_apart(spark):
     rows = [(i, " ".join(ring[(k + j) % 150] for j in range(100))) for i in range(400) for k in [rng.randrange(150)]]
     held = [r for r in lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 1.0 * sum(r["n_tokens"] for r in held)
+
+
+def test_a_step_equals_the_plain_sum_over_the_batch(monkeypatch):
+    """In strides, with rows that a batch meets once, twice and often; a stride of 7 cuts groups of them. Logits beyond SAFE take their row's largest off."""
+    monkeypatch.setattr(lm, "STRIDE", 7)
+    rng = np.random.default_rng(5)
+    for scale in (1, 200):
+        weights = (rng.normal(size=(41, 5)) * scale).astype(np.float32)
+        squares = np.ones_like(weights)
+        rows = np.stack([rng.integers(0, 40, 60), np.minimum(rng.geometric(0.2, 60), 39), np.full(60, 3)]).astype(np.int32)
+        classes = rng.integers(0, 5, 60)
+        z = weights[-1].astype(np.float64) + sum(weights[r].astype(np.float64) for r in rows)
+        plain = np.exp(z - z.max(axis=1, keepdims=True))
+        plain /= plain.sum(axis=1, keepdims=True)
+        assert np.allclose(lm._softmax(weights, rows), plain, atol=1e-4)
+        slope = plain - np.eye(5)[classes]
+        w, q = weights.astype(np.float64), squares.astype(np.float64)
+        for at in (*rows, np.full(60, 40)):
+            total = np.zeros_like(w)
+            np.add.at(total, at, slope)
+            q += total * total
+            w -= lm.RATE * total / np.sqrt(q)
+        lm.descend(weights, squares, rows, classes)
+        assert np.allclose(weights, w, atol=1e-2 if scale > 1 else 1e-4)
+        assert np.allclose(squares, q, atol=1e-2)
+
+
+def test_a_batch_is_summed_in_strides(monkeypatch):
+    """Sums by groups are asked for groups of three or more alone."""
+    monkeypatch.setattr(lm, "STRIDE", 16)
+    slope = np.arange(40.0).reshape(20, 2)
+    times = np.array([1, 2, 3, 1, 5, 2, 6])
+    order = np.random.default_rng(1).permutation(20)
+    ends = np.cumsum(times)
+    assert np.allclose(lm._totals(slope, order, times), [slope[order[e - t : e]].sum(axis=0) for e, t in zip(ends, times, strict=True)])
