@@ -6,6 +6,10 @@ off or holds anything else gives a row that says so. Tasks write into a folder o
 below the target; only when all are done are the files moved into place, so a task that runs twice
 or a job that fails leaves nothing behind. With overwrite, the target's former files go first.
 
+Kind ``pieces`` takes and gives the same pattern files by some columns at a time (``pattern.pieces``), so that
+no task holds a pattern: the pieces of a pattern come to one task, by column; rows follow the column starts
+in the file, so they wait in a file beside it. Pieces that leave a gap or are out of turn fail the job.
+
 Folders are local paths or URIs that pyarrow's file systems know. A null name, two rows of one name in
 a job and an array with nulls or numbers below zero fail the job; an empty table gives an empty folder; an
 empty or missing folder no rows.
@@ -13,19 +17,23 @@ empty or missing folder no rows.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from symgrain.sources.binary import Broken, order_bytes, order_from, pattern_bytes, pattern_from
+from symgrain.sources.binary import Broken, column_rows, column_starts, order_bytes, order_from, pattern_bytes, pattern_from, pattern_sizes
 
 ENDING = ".frame"
-SCHEMAS = {"pattern": "mid string, n long, col_at array<long>, rows array<long>, fault string", "order": "mid string, order array<long>, fault string"}
+#: Columns of a piece that is read, pieces of a batch, bytes copied at a time.
+PIECE_COLUMNS, PIECES, COPY_BYTES = 256, 64, 1 << 20
+SCHEMAS = {"pattern": "mid string, n long, col_at array<long>, rows array<long>, fault string", "pieces": "mid string, n long, col long, col_at array<long>, rows array<long>, fault string", "order": "mid string, order array<long>, fault string"}
 
 
 @dataclass
@@ -69,6 +77,30 @@ class _Reader(DataSourceReader):
             yield (mid, *[None] * (3 if self.kind == "pattern" else 1), str(error))
 
 
+class _PieceReader(_Reader):
+    def read(self, partition):
+        if not partition.path:
+            return
+        files, _ = _opened(self.options)
+        mid = unquote(partition.path.rpartition("/")[2].removesuffix(ENDING))
+        names = [c.split()[0] for c in SCHEMAS["pieces"].split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.string()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        with files.open_input_file(partition.path) as file:
+            try:
+                n, _ = pattern_sizes(file, file.size())
+            except Broken as error:
+                yield batch([(mid, None, None, None, None, str(error))])
+                return
+            some = []
+            for first in range(0, max(n, 1), PIECE_COLUMNS):
+                starts = column_starts(file, first, min(first + PIECE_COLUMNS, n) + 1)
+                some.append((mid, n, first, starts, column_rows(file, n, int(starts[0]), int(starts[-1])), None))
+                if len(some) == PIECES or first + PIECE_COLUMNS >= n:
+                    yield batch(some)
+                    some = []
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, kind: str, overwrite: bool):
         self.options, self.kind, self.overwrite, self.job = options, kind, overwrite, uuid.uuid4().hex
@@ -114,6 +146,56 @@ class _Writer(DataSourceWriter):
             files.delete_dir(self._staging(folder))
 
 
+class _PieceWriter(_Writer, DataSourceArrowWriter):
+    def write(self, iterator):
+        files, folder = _opened(self.options)
+        own, done, mid, open_ = f"{self._staging(folder)}/{uuid.uuid4().hex}", [], None, None
+        number = lambda x: struct.pack("<Q", x)
+
+        def end():
+            head, tail, path, n, col, rows = open_
+            tail.close()
+            if col != n:
+                raise ValueError(f"{mid}: columns {col} to {n} are missing")
+            head.write(number(rows))
+            with files.open_input_stream(path + ".rows") as file:
+                while block := file.read(COPY_BYTES):
+                    head.write(block)
+            head.close()
+            files.delete_file(path + ".rows")
+
+        for batch in iterator:
+            columns = {name: batch.column(name) for name in ("mid", "n", "col", "col_at", "rows")}
+            for at in range(batch.num_rows):
+                name, n, col = (columns[c][at].as_py() for c in ("mid", "n", "col"))
+                starts, rows = (columns[c][at].values for c in ("col_at", "rows"))
+                if name is None:
+                    raise ValueError("a pattern without a name cannot be a file")
+                if n is None or col is None or any(x is None or x.null_count or (len(x) and np.min(x) < 0) for x in (starts, rows)):
+                    raise ValueError(f"{name}: numbers from 0 are needed")
+                if name != mid:
+                    if open_:
+                        end()
+                    mid, file = name, quote(name, safe="") + ENDING
+                    files.create_dir(own, recursive=True)
+                    path = f"{own}/{file}"
+                    if (path, file) in done:
+                        raise ValueError(f"{mid}: its pieces are not together")
+                    done.append((path, file))
+                    open_ = [files.open_output_stream(path), files.open_output_stream(path + ".rows"), path, n, 0, 0]
+                    open_[0].write(number(n) + number(n + 1) + number(0))
+                starts, rows = np.asarray(starts), np.asarray(rows)
+                if n != open_[3] or col != open_[4] or not len(starts) or starts[0] != open_[5] or starts[-1] - starts[0] != len(rows):
+                    raise ValueError(f"{mid}: column {open_[4]} should come next")
+                open_[0].write(starts[1:].astype("<u8").tobytes())
+                open_[1].write(rows.astype("<u8").tobytes())
+                open_[4] += len(starts) - 1
+                open_[5] += len(rows)
+        if open_:
+            end()
+        return _Written(done)
+
+
 class FrameSource(DataSource):
     @classmethod
     def name(cls):
@@ -127,10 +209,10 @@ class FrameSource(DataSource):
         return SCHEMAS[self.kind]
 
     def reader(self, schema):
-        return _Reader(dict(self.options), self.kind)
+        return (_PieceReader if self.kind == "pieces" else _Reader)(dict(self.options), self.kind)
 
     def writer(self, schema, overwrite):
-        return _Writer(dict(self.options), self.kind, overwrite)
+        return (_PieceWriter if self.kind == "pieces" else _Writer)(dict(self.options), self.kind, overwrite)
 
 
 def register_frames(spark: SparkSession) -> None:

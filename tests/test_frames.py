@@ -1,6 +1,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
+from symgrain.operators import pattern
 from symgrain.sources.frames import register_frames
 
 PATTERN, ORDER = "mid string, n long, col_at array<long>, rows array<long>", "mid string, order array<long>"
@@ -41,3 +42,34 @@ def test_failed_writes_leave_nothing(spark, tmp_path):
         assert [p.name for p in (tmp_path / "p").iterdir()] == ["kept.frame"]
     spark.createDataFrame([], PATTERN).write.format("frames").mode("append").save(str(tmp_path / "q"))
     assert spark.read.format("frames").load(str(tmp_path / "q")).count() == spark.read.format("frames").load(str(tmp_path / "absent")).count() == 0
+
+
+def test_pieces_make_the_same_files(spark, tmp_path):
+    """Written by some columns at a time, read whole; and the other way round."""
+    register_frames(spark)
+    links = [("m/1", 0, x) for x in range(1, 40)] + [("m/1", x, x + 1) for x in range(5, 30)] + [("two", 2, 3)]
+    edges = pattern.symmetrize(spark.createDataFrame(links, "mid string, a long, b long")).cache()
+    vertices = spark.createDataFrame([("m/1", i) for i in range(45)] + [("two", i) for i in range(600)] + [("bare", 0)], "mid string, id long")
+    pieces = pattern.pieces(edges, vertices, 8)
+    assert pieces.where("mid = 'm/1'").count() > 5 and pieces.where("size(col_at) > 9").count() == 0
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    pattern.pack(edges, vertices).write.format("frames").mode("append").save(whole)
+    sorted_ = pieces.repartition(2, "mid").sortWithinPartitions("mid", "col")
+    sorted_.write.format("frames").option("kind", "pieces").mode("append").save(parts)
+    names = sorted(p.name for p in (tmp_path / "whole").iterdir())
+    assert names == sorted(p.name for p in (tmp_path / "parts").iterdir()) and len(names) == 3
+    assert all((tmp_path / "whole" / x).read_bytes() == (tmp_path / "parts" / x).read_bytes() for x in names)
+    read = spark.read.format("frames").option("kind", "pieces").load(whole)
+    assert read.where("mid = 'two'").count() > 1
+    assert rows(pattern.unpack_pieces(read)) == rows(edges.select("mid", "a", "b"))
+    spark.createDataFrame([("empty", 0, [0], [])], PATTERN).write.format("frames").mode("append").save(whole)
+    data = (tmp_path / "whole" / "two.frame").read_bytes()
+    for name, spoilt in {"cut": data[:-3], "long": data + b"x", "none": b"", "starts": data[:16] + data[24:32] + data[16:24] + data[32:40] + b"\x09" + data[41:]}.items():
+        (tmp_path / "whole" / f"{name}.frame").write_bytes(spoilt)
+    faults = {r["mid"]: r["fault"] for r in spark.read.format("frames").option("kind", "pieces").load(whole).where("fault IS NOT NULL").collect()}
+    assert faults == {"cut": "cut off: 2 numbers announced", "long": "1 bytes too many", "none": "cut off before n", "starts": "column starts do not fit"}
+    last = pieces.agg({"col": "max"}).first()[0]
+    for bad in (sorted_.where("col > 0"), sorted_.where(f"col < {last}"), pieces.coalesce(1).sortWithinPartitions("col", "mid")):
+        with pytest.raises(PySparkException):
+            bad.write.format("frames").option("kind", "pieces").mode("overwrite").save(parts)
+        assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == names
