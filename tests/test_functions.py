@@ -136,3 +136,11 @@ def test_minimum_fill_of_larger_cores_goes_by_sets(monkeypatch):
     by_bits = orderings.minimum_fill(g)
     monkeypatch.setattr(orderings, "BITS", 0)
     assert orderings.minimum_fill(g) == by_bits == naive_fill(g)
+
+
+def test_minimum_fill_goes_on_to_the_last_vertex():
+    """Full scans of this pattern come to more than 40 million pairs."""
+    g = chance(600, 1800, 3)
+    found = orderings.minimum_fill(g)
+    assert is_order(found, 600) and found == orderings.minimum_fill(g, 10**12) != orderings.minimum_fill(g, 40_000_000)
+    assert score(g, found)[1] < score(g, orderings.minimum_fill(g, 40_000_000))[1]
