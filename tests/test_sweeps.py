@@ -133,3 +133,15 @@ def test_orders_and_component_scores_hold_no_pattern_in_a_row(spark, monkeypatch
     monkeypatch.setattr(catalogue.blocks, "columns_by_blocks", never)
     for name in ("order_nd", "order_rcm", "score_components"):
         assert not catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
+
+
+@pytest.mark.parametrize("budget", [(64, 4096), (4, 0)])
+def test_components_that_fit_tasks_take_one_round_together(spark, monkeypatch, budget):
+    """Copies of a pattern that do not touch, together of more links than a task takes; by tables one is split a round."""
+    rng, copies = random.Random(9), 8
+    one = [(rng.randrange(12), 12 + rng.randrange(18)) for _ in range(40)]
+    some = {"copies": (30 * copies, [(a + 30 * i, b + 30 * i) for i in range(copies) for a, b in one])}
+    monkeypatch.setattr(sweeps, "BUDGET", budget)
+    placed = sweeps.dissected(*tables(spark, some), leaf=4, within=50).cache()
+    assert placed.selectExpr("max(depth) AS d").first()["d"] == 0
+    assert orders(placed) == _round_by_round(some, 4, budget)
