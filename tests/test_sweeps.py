@@ -145,3 +145,17 @@ def test_components_that_fit_tasks_take_one_round_together(spark, monkeypatch, b
     placed = sweeps.dissected(*tables(spark, some), leaf=4, within=50).cache()
     assert placed.selectExpr("max(depth) AS d").first()["d"] == 0
     assert orders(placed) == _round_by_round(some, 4, budget)
+
+
+def test_all_components_of_a_bin_are_swept_at_once():
+    import numpy as np
+
+    from symgrain.functions import sweeping
+
+    for n, pairs in graphs().values():
+        links = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+        a, b = (np.array([p[k] for p in links], np.int64) for k in (0, 1))
+        at, near = sweeping.links_of(a, b, n)
+        component = np.unique(sweeping.labels(a, b, n), return_inverse=True)[1]
+        found = sweeping.cuthill_mckee(at, near, np.diff(at), component)
+        assert found[::-1].tolist() == orderings.reverse_cuthill_mckee(graph(n, pairs))
