@@ -72,3 +72,12 @@ def test_orders_of_parts(spark):
     udtf.register_part_order(spark, "no_part_order", lambda g: [0] * (g.n + 1))
     with pytest.raises(PythonException, match="not an order"):
         spark.sql("SELECT * FROM no_part_order(TABLE({parts}) PARTITION BY (mid, part))", parts=parts).collect()
+
+
+def test_blocks_of_a_dissection_by_tasks_are_components(spark):
+    some = {"copies": (72, [(a + 9 * i, b + 9 * i) for i in range(8) for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (0, 4), (2, 7))])}
+    edges, vertices = tables(spark, some)
+    placed = sweeps.dissected(edges, vertices, leaf=4, within=12).cache()
+    assert placed.groupBy("block").agg({"v": "count"}).where("`count(v)` <> 9").isEmpty()
+    moved = reordered(graph(*some["copies"]), orders(placed)["copies"])
+    assert columns(blocks.columns_by_blocks(edges, placed))["copies"] == list(zip(elimination_tree(moved), column_counts(moved), strict=True))
