@@ -336,3 +336,16 @@ def test_few_texts_are_strings_at_once():
     texts = pa.array([None if k % 5 == 0 else f"a{k} // b" for k in range(policy.TEXTS_AT_ONCE * 2 + 1)])
     assert policy._some_at_once(texts, str.upper).to_pylist() == [t and t.upper() for t in texts.to_pylist()]
     assert policy._some_at_once(texts[:0], str.upper).to_pylist() == []
+
+
+def test_rows_of_parts_do_not_grow_with_the_part(spark, monkeypatch):
+    from symgrain.operators import symbolic
+
+    monkeypatch.setattr(symbolic, "PIECE_LINKS", 4)
+    path = spark.createDataFrame([("path", i, i + 1) for i in range(200)], "mid string, a long, b long")
+    both = pattern.symmetrize(path.unionByName(spark.createDataFrame([("path", 300, 301)], "mid string, a long, b long")))
+    vertices = both.selectExpr("mid", "a AS id").distinct().unionByName(spark.createDataFrame([("path", 400)], "mid string, id long"))
+    parts = symbolic.parts(both, vertices, 400).cache()
+    assert parts.selectExpr("max(size(a)) AS most").first()["most"] < 30 and parts.select("part").distinct().count() <= 2
+    row = order_report(parts, 21).first()
+    assert (row["n"], row["whole"], row["nnz_l"]) == (204, True, 405)
